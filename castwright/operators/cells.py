@@ -46,7 +46,8 @@ def _order_key(frame: DataFrame, order_by: str | Column) -> Column:
     elif isinstance(kind, T.TimestampType):
         number = F.unix_micros(key)
     elif isinstance(kind, T.TimestampNTZType):
-        number = F.unix_micros(F.to_utc_timestamp(key.cast("timestamp"), F.current_timezone()))
+        clock = F.hour(key) * 3600 + F.minute(key) * 60 + F.extract(F.lit("SECOND"), key)
+        number = F.unix_date(key.cast("date")).cast("bigint") * 86_400_000_000 + (clock * 1_000_000).cast("bigint")
     else:
         raise ValueError("order_by must be an integer, date or timestamp.")
     return F.coalesce(number, F.lit(_LAST))
@@ -80,14 +81,27 @@ def with_row_order(frame: DataFrame, order_by: str | Column | None = None, colum
 
 
 def with_file_position(frame: DataFrame) -> DataFrame:
-    """Add file, block start and a sequence that grows within the block of a file scan."""
-    return frame.withColumns(
-        {
-            SRC: F.col("_metadata.file_path"),
-            BLK: F.col("_metadata.file_block_start").cast("bigint"),
-            SEQ: F.monotonically_increasing_id(),
-        }
-    )
+    """Add file, block and sequence of a file scan.
+
+    Parquet knows the row number within the file.  For other formats it is the
+    block start and a number that grows by one from row to row within the block.
+    """
+    try:
+        return frame.withColumns(
+            {
+                SRC: F.col("_metadata.file_path"),
+                BLK: F.lit(0).cast("bigint"),
+                SEQ: F.col("_metadata.row_index"),
+            }
+        )
+    except AnalysisException:
+        return frame.withColumns(
+            {
+                SRC: F.col("_metadata.file_path"),
+                BLK: F.col("_metadata.file_block_start").cast("bigint"),
+                SEQ: F.monotonically_increasing_id(),
+            }
+        )
 
 
 def spread(frame: DataFrame) -> DataFrame:
@@ -103,11 +117,6 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if estimate < cores * _SPLIT_BYTES else frame
 
 
-def position(prefix: str = "") -> Column:
-    """The comparable row position of a frame that has all three parts."""
-    return F.struct(*[F.col(prefix + c) for c in ORDER_COLUMNS])
-
-
 def unpivot(ordered: Ordered, columns: list[str], *, as_text: bool = False) -> DataFrame:
     """One row per cell: ``pos, raw, hint, digest`` and the row position.
 

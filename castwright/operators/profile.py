@@ -180,20 +180,26 @@ def _first_positions(ordered: Ordered, columns: list[str], bounds: dict[str, tup
     if bounds and not ordered.by_value:
         # Filter before the text is touched: most cells of these columns end here.
         cells = cells.where(F.col("bound").isNull() | (_position(ordered.block_keys, F.col(SEQ)) <= F.col("bound")))
-    cells = normalized_cells(cells).where(F.col("v").isNotNull())
+    # Group by the stripped text and test for null tokens on the few groups.
+    cells = cells.withColumn("text", text.strip(F.col("raw"))).where(F.col("raw").isNotNull())
     if ordered.by_value:
-        cells = cells.withColumn(SEQ, F.coalesce(F.col("digest"), F.xxhash64("v")))
+        cells = cells.withColumn(SEQ, F.coalesce(F.col("digest"), F.xxhash64("text")))
         if bounds:
             cells = cells.where(F.col("bound").isNull() | (_position([], F.col(SEQ)) <= F.col("bound")))
-    firsts = cells.groupBy("pos", "v", *ordered.block_keys).agg(F.min(SEQ).alias(SEQ))
-    located = firsts.select("pos", "v", _position(ordered.block_keys, F.col(SEQ)).alias("first"))
+    firsts = cells.groupBy("pos", "text", *ordered.block_keys).agg(F.min(SEQ).alias(SEQ))
+    located = firsts.select(
+        "pos", text.blank_null_token(F.col("text")).alias("v"), _position(ordered.block_keys, F.col(SEQ)).alias("first")
+    )
     if ordered.block_keys:
         located = located.groupBy("pos", "v").agg(F.min("first").alias("first"))
     return located
 
 
 def values(ordered: Ordered, rows: dict[int, dict]) -> DataFrame:
-    """Pass 2: ``pos, v, first`` of the values that unique counts and samples need."""
+    """Pass 2: ``pos, v, first`` of the values that unique counts and samples need.
+
+    A null ``v`` stands for a null token and counts for nothing.
+    """
     counted, bounds = [], {}
     for pos, name in enumerate(ordered.columns):
         row = rows.get(pos)
@@ -244,12 +250,12 @@ def finish(spark: SparkSession, columns: list[str], rows: dict[int, dict], found
     schema = T.StructType(PROFILE_SCHEMA.fields + [T.StructField("many", T.BooleanType())])
     flags = local_frame(spark, local_rows, schema)
 
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy("first", "v"))
-    sampled = F.when(F.col("rank") <= fixed.SAMPLE_SIZE, F.struct("rank", "v"))
+    rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.col("v").isNull(), "first", "v"))
+    sampled = F.when((F.col("rank") <= fixed.SAMPLE_SIZE) & F.col("v").isNotNull(), F.struct("rank", "v"))
     per_column = (
         found.withColumn("rank", rank)
         .groupBy("pos")
-        .agg(F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list(sampled)).alias("sampled"))
+        .agg(F.count("v").alias("found"), F.array_sort(F.collect_list(sampled)).alias("sampled"))
     )
     return (
         F.broadcast(flags)
