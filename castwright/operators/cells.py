@@ -53,12 +53,12 @@ def _order_key(frame: DataFrame, order_by: str | Column) -> Column:
     return F.coalesce(number, F.lit(_LAST))
 
 
-def _has_file_position(frame: DataFrame) -> bool:
+def _file_facts(frame: DataFrame) -> list[str]:
+    """Names of the file facts Spark offers for the rows of a frame; none unless it is a file scan."""
     try:
-        frame.select("_metadata.file_path", "_metadata.file_block_start")
+        return frame.select("_metadata").schema["_metadata"].dataType.names
     except AnalysisException:
-        return False
-    return True
+        return []
 
 
 def with_row_order(frame: DataFrame, order_by: str | Column | None = None, columns: list[str] | None = None) -> Ordered:
@@ -68,14 +68,15 @@ def with_row_order(frame: DataFrame, order_by: str | Column | None = None, colum
     file, then block, then row within the scan.  Anything else has no order a
     second run could rely on, so values are ordered by their hash.
     """
-    columns = columns if columns is not None else [c for c in frame.columns if c != order_by and c not in ORDER_COLUMNS]
+    key_column = order_by if isinstance(order_by, str) else None
+    if columns is None:
+        columns = [c for c in frame.columns if c != key_column and c not in ORDER_COLUMNS]
     if order_by is not None:
-        key_column = order_by if isinstance(order_by, str) else None
         keyed = frame.withColumn(SEQ, _order_key(frame, order_by))
         return Ordered(keyed, columns, key_column=key_column)
     if set(ORDER_COLUMNS) <= set(frame.columns):
         return Ordered(frame, columns, [SRC, BLK])
-    if _has_file_position(frame):
+    if _file_facts(frame):
         return Ordered(with_file_position(frame), columns, [SRC, BLK])
     return Ordered(frame.withColumn(SEQ, F.lit(None).cast("bigint")), columns, by_value=True)
 
@@ -86,22 +87,14 @@ def with_file_position(frame: DataFrame) -> DataFrame:
     Parquet knows the row number within the file.  For other formats it is the
     block start and a number that grows by one from row to row within the block.
     """
-    try:
-        return frame.withColumns(
-            {
-                SRC: F.col("_metadata.file_path"),
-                BLK: F.lit(0).cast("bigint"),
-                SEQ: F.col("_metadata.row_index"),
-            }
-        )
-    except AnalysisException:
-        return frame.withColumns(
-            {
-                SRC: F.col("_metadata.file_path"),
-                BLK: F.col("_metadata.file_block_start").cast("bigint"),
-                SEQ: F.monotonically_increasing_id(),
-            }
-        )
+    by_row = "row_index" in _file_facts(frame)
+    return frame.withColumns(
+        {
+            SRC: F.col("_metadata.file_path"),
+            BLK: F.lit(0).cast("bigint") if by_row else F.col("_metadata.file_block_start").cast("bigint"),
+            SEQ: F.col("_metadata.row_index") if by_row else F.monotonically_increasing_id(),
+        }
+    )
 
 
 def spread(frame: DataFrame) -> DataFrame:
