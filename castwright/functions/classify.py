@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from castwright import fixed
 from castwright.functions import complexes, dates, numbers, text
-from castwright.functions.stages import apply_stages
+from castwright.functions.stages import apply_stages, raw
 
 INTEGER = 1
 NUMBER = 2
@@ -75,38 +75,31 @@ def typed_cell(cell: Column, data_type: T.DataType) -> tuple[Column, Column]:
 
 def classify(cells: DataFrame, v: str = "v", mask: str = "mask", **date_options) -> DataFrame:
     """Add the mask of the normalized text column ``v``; cheap, common shapes are tested first."""
-    value = F.col(v)
-    cleaned, scientific, settled, parts, pieces, instant = (
-        F.col("__" + name) for name in ("cleaned", "scientific", "settled", "parts", "numbers", "stamp")
+    number = f"CASE WHEN {numbers.whole_test('__cleaned', '__scientific')} THEN {INTEGER | NUMBER} ELSE {NUMBER} END"
+    settled = F.expr(
+        f"CASE WHEN {v} IN ('0', '1') THEN {INTEGER | NUMBER | BOOLEAN} "
+        f"WHEN {v} RLIKE {raw(numbers.PLAIN_DIGITS)} THEN {INTEGER | NUMBER} "
+        f"WHEN {text.is_alpha_boolean(v)} THEN {BOOLEAN | ALPHA} "
+        f"WHEN {numbers.number_test('__cleaned')} THEN {number} "
+        f"WHEN {complexes.complex_test(v)} THEN {COMPLEX} END"
     )
-    numbered = apply_stages(
-        cells,
-        [
-            numbers.number_stages(v, "__")
-            + [
-                {
-                    "__settled": F.when(value.isin("0", "1"), F.lit(INTEGER | NUMBER | BOOLEAN))
-                    .when(value.rlike(numbers.PLAIN_DIGITS), F.lit(INTEGER | NUMBER))
-                    .when(text.is_alpha_boolean(value), F.lit(BOOLEAN | ALPHA))
-                    .when(
-                        numbers.is_number(cleaned),
-                        F.lit(NUMBER).bitwiseOR(_flag(numbers.is_integral(cleaned, scientific), INTEGER)),
-                    )
-                    .when(complexes.is_complex(value), F.lit(COMPLEX))
-                }
-            ]
-        ],
+    date_mask = (
+        f"{DATETIME} | CASE WHEN {dates.ambiguous_test('__numbers')} THEN {AMBIGUOUS} ELSE 0 END "
+        f"| CASE WHEN {dates.time_test('__parts')} THEN {TIME} ELSE 0 END "
+        f"| CASE WHEN {dates.offset_test('__parts')} THEN {OFFSET} ELSE 0 END"
     )
-    dated = apply_stages(
-        numbered, [dates.timestamp_stages(v, "__stamp", "__", when=settled.isNull(), **date_options)]
+    rule = (
+        numbers.number_stages(v, "__")
+        + [{"__settled": settled}]
+        + dates.timestamp_stages(v, "__stamp", "__", when="__settled IS NULL", **date_options)
+        + [
+            {
+                mask: F.expr(
+                    f"CASE WHEN __stamp IS NOT NULL THEN {date_mask} WHEN {v} IS NOT NULL THEN coalesce(__settled, 0) END"
+                )
+            }
+        ]
     )
-    date_mask = (
-        F.lit(DATETIME)
-        .bitwiseOR(_flag(dates.is_ambiguous(pieces), AMBIGUOUS))
-        .bitwiseOR(_flag(dates.has_time(parts), TIME))
-        .bitwiseOR(_flag(dates.has_offset(parts), OFFSET))
+    return apply_stages(cells, [rule]).drop(
+        "__cleaned", "__scientific", "__settled", "__parts", "__numbers", "__wall", "__shift", "__instant", "__stamp"
     )
-    return dated.withColumn(
-        mask,
-        F.when(instant.isNotNull(), date_mask).when(value.isNotNull(), F.coalesce(settled, F.lit(0))),
-    ).drop("__cleaned", "__scientific", "__settled", "__parts", "__numbers", "__wall", "__shift", "__instant", "__stamp")

@@ -1,18 +1,17 @@
 """Date and time grammar.
 
-One pattern describes every accepted shape; ``date_parts`` applies it once and
-returns the captured pieces, and ``timestamp_stages`` works on that array.
+One pattern describes every accepted shape.  ``timestamp_stages`` applies it once per
+cell and works on the captured pieces.  Arguments are column names.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from castwright import fixed
-from castwright.functions.stages import Stages
+from castwright.functions.stages import Stages, raw
 
 # --- fixed values: names a date may carry -----------------------------------
 MONTH_NAMES = (
@@ -43,73 +42,76 @@ _PIECES = "$1$6$9|$2$4|$3$5$8|$4|$7|$10|$11|$12|$13|$14|$15|$16$17|$18|$19"
 YEAR, FIRST, SECOND, SHORT, NAME, GAP, HOUR, MINUTE, SECONDS, FRACTION, HALF, ZONE, ZONE_HOUR, ZONE_MINUTE = range(14)
 
 
-def date_parts(v: Column) -> Column:
-    """The captured pieces (empty text where absent), or null for another shape."""
-    return F.when(v.rlike(SHAPE), F.split(F.regexp_replace(v, SHAPE, _PIECES), r"\|", -1))
+def parts_sql(v: str) -> str:
+    """SQL: the captured pieces (empty text where absent), or null for another shape."""
+    return rf"CASE WHEN {v} RLIKE {raw(SHAPE)} THEN split(regexp_replace({v}, {raw(SHAPE)}, r'{_PIECES}'), r'\|', -1) END"
 
 
-def has_time(parts: Column) -> Column:
-    return F.get(parts, HOUR) != ""
+def time_test(parts: str) -> str:
+    return f"get({parts}, {HOUR}) <> ''"
 
 
-def has_offset(parts: Column) -> Column:
-    return F.get(parts, ZONE) != ""
+def offset_test(parts: str) -> str:
+    return f"get({parts}, {ZONE}) <> ''"
 
 
-def _numbers(parts: Column) -> Column:
+def ambiguous_test(numbers: str) -> str:
+    """SQL: do month-first and day-first readings of a short date differ and both hold?
+
+    Meaningful only where the parsed timestamp is not null.
+    """
+    first, second = f"get({numbers}, {SHORT})", f"get({numbers}, {SECOND})"
+    return f"({first} <= 12 AND {second} <= 12 AND {first} <> {second})"
+
+
+def _numbers(parts: str) -> str:
     """The pieces as integers, null where they are none.
 
     The guard matters: a failing ``try_cast`` costs an exception per cell.  The
     lambda also ends the fused code of the scan at this stage; one fused method
     for the whole chain would be too long for the JVM to compile to machine code.
     """
-    return F.transform(parts, lambda p: F.when(F.length(p).between(1, 4) & p.rlike("^[0-9]"), p.cast("int")))
+    return f"transform({parts}, p -> CASE WHEN length(p) BETWEEN 1 AND 4 AND p RLIKE '^[0-9]' THEN CAST(p AS INT) END)"
 
 
-def _offset_minutes(parts: Column, numbers: Column) -> Column:
+def _offset_minutes(parts: str, numbers: str) -> str:
     """Minutes east of UTC; null for an offset of a day or more."""
-    hours = F.get(numbers, ZONE_HOUR)
-    minutes = hours * 60 + F.coalesce(F.get(numbers, ZONE_MINUTE), F.lit(0))
-    east = F.when(F.get(parts, ZONE) == "-", F.lit(-1)).otherwise(F.lit(1))
-    return F.when(F.get(parts, ZONE_HOUR) == "", F.lit(0)).when(hours <= 23, minutes * east)
-
+    hours = f"get({numbers}, {ZONE_HOUR})"
+    minutes = f"{hours} * 60 + coalesce(get({numbers}, {ZONE_MINUTE}), 0)"
+    east = f"CASE WHEN get({parts}, {ZONE}) = '-' THEN -1 ELSE 1 END"
+    return f"CASE WHEN get({parts}, {ZONE_HOUR}) = '' THEN 0 WHEN {hours} <= 23 THEN ({minutes}) * {east} END"
 
-def _year(parts: Column, numbers: Column, this_year: Column) -> Column:
-    """The year as text; two digits are placed within fifty years of ``this_year``."""
-    short = F.get(numbers, YEAR)
-    placed = short + F.floor((this_year + 49 - short) / 100).cast("int") * 100
-    return F.when(F.length(F.get(parts, YEAR)) == 2, placed.cast("string")).otherwise(F.get(parts, YEAR))
 
-
-def _calendar(parts: Column, numbers: Column, dayfirst: bool, this_year: Column, today: Column) -> Column:
+def _calendar(parts: str, numbers: str, dayfirst: bool, this_year: str, today: str) -> str:
     """``y-m-d`` text of the pieces, of ``today`` when they carry no date."""
-    first, second = F.get(parts, FIRST), F.get(parts, SECOND)
-    short = F.get(numbers, SHORT)
-    swap = (short.isNotNull() & (F.get(numbers, SECOND) <= 12)) if dayfirst else (short > 12)
-    month_number = (F.instr(F.lit(MONTH_KEYS), F.lower(F.left(F.get(parts, NAME), F.lit(3)))) + 2) / 3
-    month = F.when(swap, second).when(first == "", month_number.cast("int").cast("string")).otherwise(first)
-    day = F.when(swap, first).otherwise(second)
+    year, first, second = (f"get({parts}, {i})" for i in (YEAR, FIRST, SECOND))
+    short = f"get({numbers}, {SHORT})"
+    # Two digits are placed within fifty years of this year.
+    written = f"get({numbers}, {YEAR})"
+    placed = f"CAST({written} + (({this_year} + 49 - {written}) DIV 100) * 100 AS STRING)"
+    full_year = f"CASE WHEN length({year}) = 2 THEN {placed} ELSE {year} END"
+    swap = f"({short} IS NOT NULL AND get({numbers}, {SECOND}) <= 12)" if dayfirst else f"{short} > 12"
+    named = f"CAST((instr('{MONTH_KEYS}', lower(left(get({parts}, {NAME}), 3))) + 2) DIV 3 AS STRING)"
+    month = f"CASE WHEN {swap} THEN {second} WHEN {first} = '' THEN {named} ELSE {first} END"
+    day = f"CASE WHEN {swap} THEN {first} ELSE {second} END"
     # The gap belongs between a date and a time and nowhere else.
-    no_gap = F.get(parts, GAP) == ""
-    return F.when(F.get(parts, YEAR) != "", F.when(
-        no_gap == (F.get(parts, HOUR) == ""), F.concat_ws("-", _year(parts, numbers, this_year), month, day)
-    )).when(no_gap, F.date_format(today, "yyyy-MM-dd"))
+    no_gap = f"get({parts}, {GAP}) = ''"
+    dated = f"CASE WHEN ({no_gap}) = (get({parts}, {HOUR}) = '') THEN concat_ws('-', {full_year}, {month}, {day}) END"
+    return f"CASE WHEN {year} <> '' THEN {dated} WHEN {no_gap} THEN CAST({today} AS STRING) END"
 
 
-def _clock(parts: Column, numbers: Column) -> Column:
+def _clock(parts: str, numbers: str) -> str:
     """``H:m:s.f`` text of the pieces, null for an hour a twelve-hour clock lacks."""
-    hour = F.get(numbers, HOUR)
+    hour, half, seconds = f"get({numbers}, {HOUR})", f"get({parts}, {HALF})", f"get({parts}, {SECONDS})"
     # On a twelve-hour clock 12 AM is midnight and 12 PM is noon.
-    afternoon = F.when(F.lower(F.get(parts, HALF)) == "p", F.lit(12)).otherwise(F.lit(0))
-    hour24 = F.when(F.get(parts, HALF) == "", hour).when(hour <= 12, hour % 12 + afternoon)
+    afternoon = f"CASE WHEN lower({half}) = 'p' THEN 12 ELSE 0 END"
+    hour24 = f"CASE WHEN {half} = '' THEN {hour} WHEN {hour} <= 12 THEN {hour} % 12 + {afternoon} END"
     # Missing seconds and fractions read as zero.
-    seconds = F.concat(F.lit("0"), F.right(F.get(parts, SECONDS), F.lit(1)))
-    timed = F.concat(
-        hour24.cast("string"), F.lit(":"), F.get(parts, MINUTE), F.lit(":"),
-        F.when(F.length(F.get(parts, SECONDS)) == 2, F.get(parts, SECONDS)).otherwise(seconds),
-        F.lit("."), F.left(F.get(parts, FRACTION), F.lit(6)), F.lit("0"),
+    timed = (
+        f"concat(CAST({hour24} AS STRING), ':', get({parts}, {MINUTE}), ':', CASE WHEN {seconds} = '' THEN '0' "
+        f"ELSE {seconds} END, '.', left(get({parts}, {FRACTION}), 6), '0')"
     )
-    return F.when(F.get(parts, HOUR) == "", F.lit("0:00:00")).otherwise(timed)
+    return f"CASE WHEN get({parts}, {HOUR}) = '' THEN '0:00:00' ELSE {timed} END"
 
 
 def timestamp_stages(
@@ -120,7 +122,7 @@ def timestamp_stages(
     dayfirst: bool = False,
     pivot_year: int | None = None,
     reference_date: date | None = None,
-    when: Column | None = None,
+    when: str | None = None,
 ) -> Stages:
     """Parse the text column ``source`` into ``target``.
 
@@ -130,36 +132,24 @@ def timestamp_stages(
     ``pivot_year`` (default: this year) places two-digit years, ``reference_date``
     (default: today) dates a bare time, ``when`` limits the work to some cells.
     """
-    this_year = F.lit(pivot_year) if pivot_year else F.year(F.current_date())
-    today = F.lit(reference_date) if reference_date else F.current_date()
-    names = ("parts", "numbers", "wall", "shift", "instant")
-    parts, numbers, wall, shift, instant = (F.col(prefix + n) for n in names)
-    found = date_parts(F.col(source))
+    this_year = str(pivot_year) if pivot_year else "year(current_date())"
+    today = f"DATE'{reference_date}'" if reference_date else "current_date()"
+    parts, numbers, wall, shift, instant = (prefix + n for n in ("parts", "numbers", "wall", "shift", "instant"))
+    found = parts_sql(source)
     return [
-        {prefix + "parts": found if when is None else F.when(when, found)},
-        {prefix + "numbers": _numbers(parts)},
+        {parts: F.expr(found if when is None else f"CASE WHEN {when} THEN {found} END")},
+        {numbers: F.expr(_numbers(parts))},
         {
-            prefix + "wall": F.concat(
-                _calendar(parts, numbers, dayfirst, this_year, today), F.lit(" "), _clock(parts, numbers)
+            wall: F.expr(
+                f"concat({_calendar(parts, numbers, dayfirst, this_year, today)}, ' ', {_clock(parts, numbers)})"
             ),
-            prefix + "shift": _offset_minutes(parts, numbers),
+            shift: F.expr(_offset_minutes(parts, numbers)),
         },
-        {prefix + "instant": wall.try_cast("timestamp_ntz") - F.make_dt_interval(mins=shift)},
+        {instant: F.expr(f"try_cast({wall} AS TIMESTAMP_NTZ) - make_dt_interval(0, 0, {shift}, 0)")},
         {
-            target: F.when(
-                instant.between(
-                    F.lit(fixed.FIRST_INSTANT).cast("timestamp_ntz"), F.lit(fixed.LAST_INSTANT).cast("timestamp_ntz")
-                ),
-                instant,
+            target: F.expr(
+                f"CASE WHEN {instant} BETWEEN TIMESTAMP_NTZ'{fixed.FIRST_INSTANT}' "
+                f"AND TIMESTAMP_NTZ'{fixed.LAST_INSTANT}' THEN {instant} END"
             )
         },
     ]
-
-
-def is_ambiguous(numbers: Column) -> Column:
-    """Do month-first and day-first readings of a short date differ and both hold?
-
-    Meaningful only where the parsed timestamp is not null.
-    """
-    first, second = F.get(numbers, SHORT), F.get(numbers, SECOND)
-    return (first <= 12) & (second <= 12) & (first != second)

@@ -1,4 +1,4 @@
-"""Number grammar, integrality and numeric casts.
+"""Number grammar, integrality and numeric casts.  Arguments are column names.
 
 Spark's own casts cannot decide these questions: ``'1d'`` casts to 1.0, a cast
 to decimal rounds ``0.5`` to 1 and gives null beyond 38 digits.  The grammar is
@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from castwright import fixed
-from castwright.functions.stages import Stages
+from castwright.functions.stages import Stages, raw
 
 PLAIN_DIGITS = r"^[0-9]+\z"
 SIGNED_DIGITS = r"^[+-]?[0-9]+\z"
@@ -25,68 +25,83 @@ SCIENTIFIC = r"^[+-]?([0-9]*)\.?([0-9]*)[eE]([+-]?[0-9]{1,18})\z"
 _BIGINT_DIGITS = 20
 
 
-def clean_number(v: Column) -> Column:
+def clean_number(v: str) -> Column:
     """Drop the commas of a well-formed grouped number and all underscores."""
-    return F.when(
-        F.contains(v, F.lit(",")) & v.rlike(fixed.GROUPED_NUMBER), F.translate(v, ",_", "")
-    ).otherwise(F.translate(v, "_", ""))
+    grouped = f"contains({v}, ',') AND {v} RLIKE {raw(fixed.GROUPED_NUMBER)}"
+    return F.expr(f"CASE WHEN {grouped} THEN translate({v}, ',_', '') ELSE translate({v}, '_', '') END")
 
 
-def is_number(cleaned: Column) -> Column:
-    """Is a cleaned text a number, infinities and NaN forms included?"""
-    return cleaned.rlike(NUMERIC)
+def number_test(cleaned: str) -> str:
+    """SQL: is a cleaned text a number, infinities and NaN forms included?"""
+    return f"{cleaned} RLIKE {raw(NUMERIC)}"
 
 
-def scientific_parts(cleaned: Column) -> Column:
-    """(digits, how many of them right of the point) of a number with an exponent, null otherwise."""
-    pieces = F.split(F.regexp_replace(cleaned, SCIENTIFIC, "$1|$2|$3"), r"\|", -1)
-    exponential = cleaned.rlike(NUMBER) & cleaned.rlike("[eE]")
-    return F.when(exponential, pieces)
+def is_number(cleaned: str) -> Column:
+    return F.expr(number_test(cleaned))
 
 
-def _digits(parts: Column) -> Column:
-    return F.concat(parts[0], parts[1])
+def scientific_parts(cleaned: str) -> Column:
+    """[digits before, digits after the point, exponent] of a number with an exponent, null otherwise.
+
+    The plain test for the letter comes first, so that most numbers skip the pattern.
+    """
+    pieces = f"split(regexp_replace({cleaned}, {raw(SCIENTIFIC)}, r'$1|$2|$3'), r'\\|', -1)"
+    letter = f"(contains({cleaned}, 'e') OR contains({cleaned}, 'E'))"
+    return F.expr(f"CASE WHEN {letter} AND {cleaned} RLIKE {raw(NUMBER)} THEN {pieces} END")
+
+
+def _digits(parts: str) -> str:
+    return f"concat({parts}[0], {parts}[1])"
 
 
-def _shift(parts: Column) -> Column:
-    return F.length(parts[1]) - parts[2].cast("bigint")
+def _shift(parts: str) -> str:
+    """How many places right of the point the digits reach."""
+    return f"(length({parts}[1]) - CAST({parts}[2] AS BIGINT))"
 
 
-def is_integral(cleaned: Column, parts: Column) -> Column:
-    """Is a cleaned number a whole number?  ``parts`` are its ``scientific_parts``.
+def whole_test(cleaned: str, parts: str) -> str:
+    """SQL: is a cleaned number a whole number?  ``parts`` are its ``scientific_parts``.
 
     With an exponent, the number is whole if its digits are all zero or end in
     enough zeros to fill the places right of the point.
     """
-    without_zeros = F.rtrim(_digits(parts), F.lit("0"))
-    return F.when(parts.isNull(), cleaned.rlike(WHOLE)).otherwise(
-        (without_zeros == "") | (_shift(parts) <= F.length(_digits(parts)) - F.length(without_zeros))
+    kept = f"rtrim('0', {_digits(parts)})"
+    return (
+        f"CASE WHEN {parts} IS NULL THEN {cleaned} RLIKE {raw(WHOLE)} "
+        f"ELSE {kept} = '' OR {_shift(parts)} <= length({_digits(parts)}) - length({kept}) END"
     )
 
 
-def to_bigint(cleaned: Column, parts: Column) -> Column:
+def is_integral(cleaned: str, parts: str) -> Column:
+    return F.expr(whole_test(cleaned, parts))
+
+
+def to_bigint(cleaned: str, parts: str) -> Column:
     """Exact 64-bit integer of a whole number; null when it is not one or does not fit."""
-    plain = F.when(cleaned.rlike(SIGNED_DIGITS), cleaned.try_cast("bigint")).when(
-        cleaned.rlike(WHOLE), F.translate(F.regexp_replace(cleaned, r"^([+-]?)([0-9]*)\..*", "$1@$2"), "@", "0").try_cast("bigint")
-    )
-    significant = F.ltrim(_digits(parts), F.lit("0"))
-    missing = F.least(-_shift(parts), F.lit(_BIGINT_DIGITS)).cast("int")
-    padded = F.when(_shift(parts) <= 0, F.concat(significant, F.repeat(F.lit("0"), missing))).otherwise(
-        F.left(_digits(parts), (F.length(_digits(parts)) - _shift(parts)).cast("int"))
+    significant = f"ltrim('0', {_digits(parts)})"
+    zeros = f"repeat('0', CAST(least(-{_shift(parts)}, {_BIGINT_DIGITS}) AS INT))"
+    cut = f"left({_digits(parts)}, CAST(length({_digits(parts)}) - {_shift(parts)} AS INT))"
+    scaled = f"CASE WHEN {_shift(parts)} <= 0 THEN concat({significant}, {zeros}) ELSE {cut} END"
+    sign = f"CASE WHEN startswith({cleaned}, '-') THEN '-' ELSE '' END"
+    # ``@`` stands for a zero that keeps the integer part of ``.0`` from being empty.
+    integer_part = rf"translate(regexp_replace({cleaned}, r'^([+-]?)([0-9]*)\..*', r'$1@$2'), '@', '0')"
+    return F.expr(
+        f"CASE WHEN {cleaned} RLIKE {raw(SIGNED_DIGITS)} THEN try_cast({cleaned} AS BIGINT) "
+        f"WHEN {parts} IS NULL AND {cleaned} RLIKE {raw(WHOLE)} THEN try_cast({integer_part} AS BIGINT) "
+        f"WHEN {parts} IS NOT NULL AND {whole_test(cleaned, parts)} THEN "
+        f"CASE WHEN {significant} = '' THEN 0L ELSE try_cast(concat({sign}, {scaled}) AS BIGINT) END END"
     )
-    sign = F.when(cleaned.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    scaled = F.when(significant == "", F.lit(0).cast("bigint")).otherwise(F.concat(sign, padded).try_cast("bigint"))
-    return F.when(parts.isNull(), plain).when(is_integral(cleaned, parts), scaled)
 
 
-def to_double(cleaned: Column) -> Column:
+def to_double(cleaned: str) -> Column:
     """Double of a number; NaN forms and texts that are no number give null."""
-    return F.when(cleaned.rlike(NUMBER) | cleaned.rlike(INFINITE), cleaned.try_cast("double"))
+    fits = f"{cleaned} RLIKE {raw(NUMBER)} OR {cleaned} RLIKE {raw(INFINITE)}"
+    return F.expr(f"CASE WHEN {fits} THEN try_cast({cleaned} AS DOUBLE) END")
 
 
 def number_stages(source: str, prefix: str) -> Stages:
     """Add ``<prefix>cleaned`` and ``<prefix>scientific`` of the text column ``source``."""
     return [
-        {f"{prefix}cleaned": clean_number(F.col(source))},
-        {f"{prefix}scientific": scientific_parts(F.col(f"{prefix}cleaned"))},
+        {f"{prefix}cleaned": clean_number(source)},
+        {f"{prefix}scientific": scientific_parts(f"{prefix}cleaned")},
     ]

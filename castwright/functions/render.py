@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from castwright.functions.stages import Stages
+
 
 def iso_date(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
@@ -28,44 +30,60 @@ def iso_timestamp(wall: Column, *, utc: bool = False) -> Column:
     return F.concat(text, F.lit("+00:00")) if utc else text
 
 
-def number_text(x: Column) -> Column:
-    """A double in its shortest form: plain digits from 1e-4 to below 1e16, else an exponent."""
-    java = F.abs(x).cast("string")
-    mantissa = F.regexp_replace(F.regexp_extract(java, r"^([0-9.]+)", 1), r"\.0\z", "")
-    written = F.regexp_extract(java, r"E(-?[0-9]+)\z", 1)
-    exponent = F.when(written == "", F.lit(0)).otherwise(written.try_cast("int"))
-    digits = F.translate(mantissa, ".", "")
-    left = F.locate(".", mantissa)
-    whole = F.when(left == 0, F.length(mantissa)).otherwise(left - 1)
-    point = whole + exponent
+def number_stages(source: str, target: str, prefix: str) -> Stages:
+    """Text of a double's size, without sign, in its shortest form.
+
+    Plain digits from 1e-4 to below 1e16, an exponent elsewhere.
+    """
+    java, mantissa, digits, exponent, point = (prefix + n for n in ("java", "mantissa", "digits", "exponent", "point"))
     plain = (
-        F.when(written == "", F.regexp_replace(java, r"\.0\z", ""))
-        .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.rpad(digits, point, F.lit("0")))
-        .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1)))
+        f"CASE WHEN NOT contains({java}, 'E') THEN {mantissa} "
+        f"WHEN {point} <= 0 THEN concat('0.', repeat('0', -{point}), {digits}) "
+        f"WHEN {point} >= length({digits}) THEN rpad({digits}, {point}, '0') "
+        f"ELSE concat(left({digits}, {point}), '.', substr({digits}, {point} + 1)) END"
     )
-    sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
-    size = F.abs(x)
-    return (
-        F.when(F.isnan(x), F.lit("nan"))
-        .when(size == float("inf"), F.lit("inf"))
-        .when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain)
-        .otherwise(scientific)
+    power = f"CAST(abs({exponent}) AS STRING)"
+    scientific = (
+        f"concat({mantissa}, 'e', CASE WHEN {exponent} < 0 THEN '-' ELSE '+' END, "
+        f"CASE WHEN length({power}) < 2 THEN '0' ELSE '' END, {power})"
     )
-
-
-def is_negative(x: Column) -> Column:
-    """Sign of a double, minus zero included."""
-    return (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
-
-
-def complex_text(z: Column) -> Column:
-    """``(1+2j)``, or ``2j`` when the real part is plain zero."""
-    re, im = z["re"], z["im"]
-    minus = F.lit("-")
-    imaginary = F.concat(number_text(im), F.lit("j"))
-    real = F.concat(F.when(is_negative(re), minus).otherwise(F.lit("")), number_text(re))
-    lone = F.concat(F.when(is_negative(im), minus).otherwise(F.lit("")), imaginary)
-    pair = F.concat(F.lit("("), real, F.when(is_negative(im), minus).otherwise(F.lit("+")), imaginary, F.lit(")"))
-    return F.when((re == 0) & ~is_negative(re), lone).otherwise(pair)
+    return [
+        {java: F.expr(f"CAST(abs({source}) AS STRING)")},
+        {
+            mantissa: F.expr(rf"regexp_replace(regexp_replace({java}, 'E.*', ''), r'\.0\z', '')"),
+            exponent: F.expr(f"CASE WHEN contains({java}, 'E') THEN CAST(regexp_replace({java}, '.*E', '') AS INT) ELSE 0 END"),
+        },
+        {
+            digits: F.expr(f"translate({mantissa}, '.', '')"),
+            # How many digits stand left of the point in plain form.
+            point: F.expr(
+                f"{exponent} + CASE WHEN contains({mantissa}, '.') THEN instr({mantissa}, '.') - 1 ELSE length({mantissa}) END"
+            ),
+        },
+        {
+            target: F.expr(
+                f"CASE WHEN isnan({source}) THEN 'nan' WHEN {java} = 'Infinity' THEN 'inf' "
+                f"WHEN {source} = 0 OR (abs({source}) >= 1e-4D AND abs({source}) < 1e16D) THEN {plain} ELSE {scientific} END"
+            )
+        },
+    ]
+
+
+def _minus(x: str, otherwise: str) -> str:
+    """SQL: a minus for a negative double, minus zero included."""
+    return f"CASE WHEN startswith(CAST({x} AS STRING), '-') THEN '-' ELSE '{otherwise}' END"
+
+
+def complex_stages(source: str, target: str, prefix: str) -> Stages:
+    """Text of a complex number: ``(1+2j)``, or ``2j`` when the real part is plain zero."""
+    re, im = prefix + "re", prefix + "im"
+    parts = [{re: F.expr(f"{source}.re"), im: F.expr(f"{source}.im")}]
+    texts = [
+        {**left, **right}
+        for left, right in zip(
+            number_stages(re, prefix + "re_text", prefix + "re_"), number_stages(im, prefix + "im_text", prefix + "im_")
+        )
+    ]
+    lone = f"concat({_minus(im, '')}, {prefix}im_text, 'j')"
+    pair = f"concat('(', {_minus(re, '')}, {prefix}re_text, {_minus(im, '+')}, {prefix}im_text, 'j)')"
+    return parts + texts + [{target: F.expr(f"CASE WHEN CAST({re} AS STRING) = '0.0' THEN {lone} ELSE {pair} END")}]

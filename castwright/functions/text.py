@@ -1,4 +1,4 @@
-"""Cell normalisation and boolean tokens."""
+"""Cell normalisation and boolean tokens.  Arguments are SQL text, usually a column name."""
 
 from __future__ import annotations
 
@@ -6,43 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from castwright import fixed
+from castwright.functions.stages import raw
 
-_LONGEST_NULL = max(len(t) for t in fixed.NULL_TOKENS)
-_LONGEST_BOOL = max(len(t) for t in fixed.TRUE_TOKENS + fixed.FALSE_TOKENS)
+_ALPHA_TOKENS = [t for t in fixed.TRUE_TOKENS + fixed.FALSE_TOKENS if not t.isdigit()]
 
 
-def _one_of(tokens: list[str]) -> str:
-    return rf"(?i)^({'|'.join(tokens)})\z"
-
-
-def _is_token(v: Column, tokens: list[str], longest: int) -> Column:
+def _is_token(v: str, tokens: list[str]) -> str:
     """Case-insensitive membership; the length test keeps the pattern off long text."""
-    return (F.length(v) <= longest) & v.rlike(_one_of(tokens))
+    return f"(length({v}) <= {max(map(len, tokens))} AND {v} RLIKE {raw(rf'(?i)^({"|".join(tokens)})\z')})"
 
 
-def strip(raw: Column) -> Column:
+def strip(cell: str) -> Column:
     """Remove Unicode whitespace from both ends (Spark's ``trim`` knows only the blank)."""
-    return F.btrim(raw, F.lit(fixed.WHITESPACE))
+    return F.btrim(F.expr(cell), F.lit(fixed.WHITESPACE))
 
 
-def blank_null_token(stripped: Column) -> Column:
+def blank_null_token(stripped: str) -> Column:
     """Null for a null token, the text otherwise."""
-    return F.when(~_is_token(stripped, fixed.NULL_TOKENS, _LONGEST_NULL), stripped)
-
-
-def normalize(raw: Column) -> Column:
-    """Stripped text, or null when the cell is null or a null token."""
-    return blank_null_token(strip(raw))
+    return F.expr(f"CASE WHEN NOT {_is_token(stripped, fixed.NULL_TOKENS)} THEN {stripped} END")
 
 
-def parse_boolean(v: Column) -> Column:
+def parse_boolean(v: str) -> Column:
     """True / false for the boolean tokens, null for anything else."""
-    return F.when(_is_token(v, fixed.TRUE_TOKENS, _LONGEST_BOOL), F.lit(True)).when(
-        _is_token(v, fixed.FALSE_TOKENS, _LONGEST_BOOL), F.lit(False)
+    return F.expr(
+        f"CASE WHEN {_is_token(v, fixed.TRUE_TOKENS)} THEN true WHEN {_is_token(v, fixed.FALSE_TOKENS)} THEN false END"
     )
 
 
-def is_alpha_boolean(v: Column) -> Column:
-    """Is the value a boolean token other than the digits 0 and 1?"""
-    alpha = [t for t in fixed.TRUE_TOKENS + fixed.FALSE_TOKENS if not t.isdigit()]
-    return _is_token(v, alpha, _LONGEST_BOOL)
+def is_alpha_boolean(v: str) -> str:
+    """SQL: is the value a boolean token other than the digits 0 and 1?"""
+    return _is_token(v, _ALPHA_TOKENS)

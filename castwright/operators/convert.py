@@ -12,7 +12,8 @@ from castwright import fixed
 from castwright.functions import complexes, dates, numbers, render, text
 from castwright.functions.stages import Stages, apply_stages
 from castwright.local import quoted
-from castwright.operators.cells import SEQ, with_row_order
+from castwright.operators.cells import SEQ, spread, with_row_order
+from castwright.session import tune
 
 ERRORS = {
     "integer": fixed.ERR_NOT_INTEGER,
@@ -48,53 +49,58 @@ def targets(schema: DataFrame | list[dict] | dict[str, str]) -> list[Target]:
     return [Target(e["column"], e["inferred_type"], bool(e.get("has_utc_offset"))) for e in schema]
 
 
-def _rule(index: int, target: Target, cell: Column, date_options: dict) -> tuple[Stages, Column, Column]:
+def _rule(index: int, target: Target, date_options: dict) -> tuple[Stages, Column, Column]:
     """(stages, converted value, does a present value fit) of one column."""
     prefix = f"__{index}_"
-    v = F.col(prefix + "v")
+    v = prefix + "v"
     # Strip and token test are stages of their own, so later stages can reuse the result.
-    normal: Stages = [{prefix + "text": text.strip(cell)}, {prefix + "v": text.blank_null_token(F.col(prefix + "text"))}]
+    normal: Stages = [
+        {prefix + "text": text.strip(f"CAST({quoted(target.column)} AS STRING)")},
+        {v: text.blank_null_token(prefix + "text")},
+    ]
     kind = target.logical
     if kind in ("text", "category"):
-        return normal, v, F.lit(True)
+        return normal, F.col(v), F.lit(True)
     if kind in ("integer", "float"):
-        stages = normal + numbers.number_stages(prefix + "v", prefix)
-        cleaned, parts = F.col(prefix + "cleaned"), F.col(prefix + "scientific")
+        stages = normal + numbers.number_stages(v, prefix)
+        cleaned = prefix + "cleaned"
         if kind == "float":
             return stages, numbers.to_double(cleaned), numbers.is_number(cleaned)
-        value = numbers.to_bigint(cleaned, parts)
+        value = numbers.to_bigint(cleaned, prefix + "scientific")
         return stages, value, value.isNotNull()
     if kind == "boolean":
         value = text.parse_boolean(v)
         return normal, value, value.isNotNull()
     if kind in ("date", "datetime"):
+        stages = normal + dates.timestamp_stages(v, prefix + "stamp", prefix, **date_options)
         stamp = F.col(prefix + "stamp")
-        stages = normal + dates.timestamp_stages(prefix + "v", prefix + "stamp", prefix, **date_options)
         if kind == "date":
             return stages, stamp.cast("date"), stamp.isNotNull()
-        value = render.utc_instant(stamp) if target.has_offset else stamp
-        return stages, value, stamp.isNotNull()
+        return stages, render.utc_instant(stamp) if target.has_offset else stamp, stamp.isNotNull()
     if kind == "complex":
-        value = complexes.to_complex(v)
-        return normal, value, value.isNotNull()
+        value = F.col(prefix + "z")
+        return normal + complexes.complex_stages(v, prefix + "z", prefix), value, value.isNotNull()
     raise ValueError(fixed.ERR_UNSUPPORTED_TYPE % kind)
 
 
 def _staged(frame: DataFrame, wanted: list[Target], date_options: dict):
-    rules = [
-        _rule(i, t, F.col(quoted(t.column)).cast("string"), date_options) for i, t in enumerate(wanted)
-    ]
+    tune(frame.sparkSession)
+    rules = [_rule(i, t, date_options) for i, t in enumerate(wanted)]
     return apply_stages(frame, [stages for stages, _, _ in rules]), rules
 
 
-def convert(frame: DataFrame, schema, *, keep: list[str] | None = None, **date_options) -> DataFrame:
-    """Typed table in schema order: a chain of projections, no shuffle.
+def convert(
+    frame: DataFrame, schema, *, keep: list[str] | None = None, ordered: bool = False, **date_options
+) -> DataFrame:
+    """Typed table in schema order: a chain of projections.
 
     Cells that do not fit become null; ``violations`` counts them.  ``keep`` names
-    columns (say, a row key) carried along unchanged.
+    columns (say, a row key) carried along unchanged.  A table too small to fill
+    the cores is spread over them first, unless its rows are ``ordered``.
     """
     wanted = targets(schema)
-    staged, rules = _staged(frame, wanted, date_options)
+    needed = frame.select(*map(quoted, dict.fromkeys([*(keep or []), *[t.column for t in wanted]])))
+    staged, rules = _staged(needed if ordered else spread(needed), wanted, date_options)
     return staged.select(
         *[F.col(quoted(k)) for k in keep or []],
         *[value.alias(t.column) for t, (_, value, _) in zip(wanted, rules)],
@@ -104,8 +110,8 @@ def convert(frame: DataFrame, schema, *, keep: list[str] | None = None, **date_o
 def render_rows(converted: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     """Preview form: dates, datetimes and complex numbers as text, other types as they are."""
     kept = set(keep or [])
-    shown = []
-    for column in converted.schema.fields:
+    shown, rules = [], []
+    for i, column in enumerate(converted.schema.fields):
         cell, kind = F.col(quoted(column.name)), column.dataType
         if column.name in kept:
             shown.append(cell)
@@ -113,13 +119,13 @@ def render_rows(converted: DataFrame, *, keep: list[str] | None = None) -> DataF
             shown.append(render.iso_date(cell).alias(column.name))
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
             offset = isinstance(kind, T.TimestampType)
-            wall = render.utc_wall(cell) if offset else cell
-            shown.append(render.iso_timestamp(wall, utc=offset).alias(column.name))
+            shown.append(render.iso_timestamp(render.utc_wall(cell) if offset else cell, utc=offset).alias(column.name))
         elif isinstance(kind, T.StructType):
-            shown.append(render.complex_text(cell).alias(column.name))
+            rules.append(render.complex_stages(quoted(column.name), f"__shown{i}", f"__shown{i}_"))
+            shown.append(F.col(f"__shown{i}").alias(column.name))
         else:
             shown.append(cell)
-    return converted.select(*shown)
+    return apply_stages(converted, rules).select(*shown)
 
 
 def violations(frame: DataFrame, schema, order_by=None, **date_options) -> DataFrame:
@@ -129,7 +135,8 @@ def violations(frame: DataFrame, schema, order_by=None, **date_options) -> DataF
     """
     wanted = targets(schema)
     ordered = with_row_order(frame, order_by, [t.column for t in wanted])
-    staged, rules = _staged(ordered.frame, wanted, date_options)
+    cells = ordered.frame.select(*ordered.block_keys, SEQ, *[quoted(t.column) for t in wanted])
+    staged, rules = _staged(spread(cells), wanted, date_options)
     present = [F.col(f"__{i}_v").isNotNull() for i in range(len(wanted))]
     spot = F.struct(*[F.col(k) for k in ordered.block_keys], F.col(SEQ))
     flagged = staged.select(

@@ -217,7 +217,7 @@ def preview_page(
 ) -> DataFrame:
     """One page, converted by a given schema and rendered; only its rows are converted."""
     rows = raw_page(frame, page, page_size, order_by)
-    return conversion.render_rows(conversion.convert(rows, schema, keep=keep, **date_options), keep=keep)
+    return conversion.render_rows(conversion.convert(rows, schema, keep=keep, ordered=True, **date_options), keep=keep)
 
 
 def write_numbered(frame: DataFrame, path: str, order_by: str | Column | None = None) -> None:
@@ -232,4 +232,4 @@ def numbered_page(
     check_page(page, page_size)
     lo = (page - 1) * page_size
     rows = numbered.where((F.col(ORD) >= lo) & (F.col(ORD) < lo + page_size)).orderBy(ORD)
-    return conversion.render_rows(conversion.convert(rows, schema, keep=keep, **date_options), keep=keep)
+    return conversion.render_rows(conversion.convert(rows, schema, keep=keep, ordered=True, **date_options), keep=keep)

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from castwright import fixed
 from castwright.functions import classify, text
 from castwright.local import local_frame, quoted
+from castwright.session import tune
 from castwright.operators.cells import BLK, SEQ, SRC, Ordered, unpivot, with_row_order
 
 _BUCKETS = 8
@@ -79,9 +80,7 @@ PROFILE_SCHEMA = T.StructType(
 
 def normalized_cells(cells: DataFrame) -> DataFrame:
     """Add the normalized text ``v``; strip and token test stay separate stages."""
-    return cells.withColumn("__text", text.strip(F.col("raw"))).withColumn(
-        "v", text.blank_null_token(F.col("__text"))
-    ).drop("__text")
+    return cells.withColumn("__text", text.strip("raw")).withColumn("v", text.blank_null_token("__text")).drop("__text")
 
 
 def _position(block_keys: list[str], seq: Column) -> Column:
@@ -92,6 +91,7 @@ def _position(block_keys: list[str], seq: Column) -> Column:
 
 def evidence(ordered: Ordered, **date_options) -> DataFrame:
     """Pass 1: one evidence row per column."""
+    tune(ordered.frame.sparkSession)
     cells = normalized_cells(unpivot(ordered, ordered.columns))
     digest = F.coalesce(F.col("digest"), F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     # Hash work precedes classification, so that it is fused with the scan.
@@ -181,14 +181,14 @@ def _first_positions(ordered: Ordered, columns: list[str], bounds: dict[str, tup
         # Filter before the text is touched: most cells of these columns end here.
         cells = cells.where(F.col("bound").isNull() | (_position(ordered.block_keys, F.col(SEQ)) <= F.col("bound")))
     # Group by the stripped text and test for null tokens on the few groups.
-    cells = cells.withColumn("text", text.strip(F.col("raw"))).where(F.col("raw").isNotNull())
+    cells = cells.withColumn("text", text.strip("raw")).where(F.col("raw").isNotNull())
     if ordered.by_value:
         cells = cells.withColumn(SEQ, F.coalesce(F.col("digest"), F.xxhash64("text")))
         if bounds:
             cells = cells.where(F.col("bound").isNull() | (_position([], F.col(SEQ)) <= F.col("bound")))
     firsts = cells.groupBy("pos", "text", *ordered.block_keys).agg(F.min(SEQ).alias(SEQ))
     located = firsts.select(
-        "pos", text.blank_null_token(F.col("text")).alias("v"), _position(ordered.block_keys, F.col(SEQ)).alias("first")
+        "pos", text.blank_null_token("text").alias("v"), _position(ordered.block_keys, F.col(SEQ)).alias("first")
     )
     if ordered.block_keys:
         located = located.groupBy("pos", "v").agg(F.min("first").alias("first"))

@@ -109,12 +109,11 @@ def process_table(
     found, schema, warnings = _settle(profile(frame, order_by, ordered.columns, **date_options), overrides)
     first = found.first()
     row_count = first["total_count"] if first else frame.count()
-    wanted = conversion.targets(schema)
     if ordered.by_value:
         rows = frame.limit(page_size)
     else:
         rows = paging.raw_page(frame, 1, page_size, order_by)
-    preview = conversion.render_rows(conversion.convert(rows, schema, **date_options))
+    preview = conversion.render_rows(conversion.convert(rows, schema, ordered=True, **date_options))
     return ProcessResult(
         object_key, file_type, row_count, found, schema, conversion.convert(frame, schema, **date_options), preview,
         paging.page_info(row_count, 1, page_size), warnings, metadata=_metadata(started, page_size),
@@ -163,7 +162,7 @@ def process_csv(
     found, schema, warnings = _settle(finish(spark, table.columns, rows, values(ordered, rows)), overrides)
     row_count = found.first()["total_count"]
     leading = _leading_rows(spark, table, page_size, row_count)
-    preview = conversion.render_rows(conversion.convert(leading, schema, **date_options))
+    preview = conversion.render_rows(conversion.convert(leading, schema, ordered=True, **date_options))
     return ProcessResult(
         table.path, "csv", row_count, found, schema, conversion.convert(table.frame, schema, **date_options), preview,
         paging.page_info(row_count, 1, page_size), warnings, metadata=_metadata(started, page_size),
@@ -206,7 +205,7 @@ def preview_run(
     info = paging.page_info(context["row_count"], page, page_size)
     table = read_csv(spark, context["object_key"])
     rows = paging.raw_page(table.positioned, page, page_size).select(*map(quoted, table.columns))
-    return info, conversion.render_rows(conversion.convert(rows, context["schema"], **date_options))
+    return info, conversion.render_rows(conversion.convert(rows, context["schema"], ordered=True, **date_options))
 
 
 PREFIX_SCHEMA = T.StructType(

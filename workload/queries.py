@@ -200,7 +200,7 @@ def schema_diff(spark, folder):
 
 def event_texts(spark, folder, column) -> DataFrame:
     frame = raw_events(spark, folder).select(KEY, F.col(column).alias("raw"))
-    return frame.select(KEY, text.strip(F.col("raw")).alias("t")).select(KEY, text.blank_null_token(F.col("t")).alias("v"))
+    return frame.select(KEY, text.strip("raw").alias("t")).select(KEY, text.blank_null_token("t").alias("v"))
 
 
 def _one(column: str) -> str:
@@ -226,25 +226,23 @@ def grouped_numbers(spark, folder):
 
 @query(f"WITH {_one('num_text')}, {oracle.parsed_numbers('one')} SELECT row_ord, is_number, as_double AS value FROM nums")
 def parse_number(spark, folder):
-    cleaned = F.col("cleaned")
     return event_numbers(spark, folder).select(
-        KEY, numbers.is_number(cleaned).alias("is_number"), numbers.to_double(cleaned).alias("value")
+        KEY, numbers.is_number("cleaned").alias("is_number"), numbers.to_double("cleaned").alias("value")
     )
 
 
 @query(f"WITH {_one('num_text')}, {oracle.parsed_numbers('one')} SELECT row_ord, is_whole, as_bigint AS value FROM nums")
 def integrality(spark, folder):
-    cleaned, parts = F.col("cleaned"), F.col("scientific")
     return event_numbers(spark, folder).select(
         KEY,
-        (numbers.is_number(cleaned) & numbers.is_integral(cleaned, parts)).alias("is_whole"),
-        numbers.to_bigint(cleaned, parts).alias("value"),
+        (numbers.is_number("cleaned") & numbers.is_integral("cleaned", "scientific")).alias("is_whole"),
+        numbers.to_bigint("cleaned", "scientific").alias("value"),
     )
 
 
 @query(f"WITH {_one('bool_text')} SELECT row_ord, {oracle.boolean('v')} AS value FROM one")
 def parse_boolean(spark, folder):
-    return event_texts(spark, folder, "bool_text").select(KEY, text.parse_boolean(F.col("v")).alias("value"))
+    return event_texts(spark, folder, "bool_text").select(KEY, text.parse_boolean("v").alias("value"))
 
 
 def event_dates(spark, folder, **options) -> DataFrame:
@@ -267,7 +265,7 @@ def parse_datetime_dayfirst(spark, folder):
     "SELECT row_ord, v, stamp IS NOT NULL AND is_ambiguous AS is_ambiguous FROM stamps"
 )
 def ambiguous_dates(spark, folder):
-    found = F.col("stamp").isNotNull() & F.coalesce(dates.is_ambiguous(F.col("d_numbers")), F.lit(False))
+    found = F.col("stamp").isNotNull() & F.coalesce(F.expr(dates.ambiguous_test("d_numbers")), F.lit(False))
     return event_dates(spark, folder).select(KEY, "v", found.alias("is_ambiguous"))
 
 
@@ -276,18 +274,18 @@ def ambiguous_dates(spark, folder):
     "SELECT row_ord, v, stamp IS NOT NULL AND is_timed AS is_timed, stamp IS NOT NULL AND has_offset AS has_offset FROM stamps"
 )
 def time_hints(spark, folder):
-    valid, parts = F.col("stamp").isNotNull(), F.col("d_parts")
+    valid = F.col("stamp").isNotNull()
     return event_dates(spark, folder).select(
         KEY, "v",
-        (valid & dates.has_time(parts)).alias("is_timed"),
-        (valid & dates.has_offset(parts)).alias("has_offset"),
+        (valid & F.expr(dates.time_test("d_parts"))).alias("is_timed"),
+        (valid & F.expr(dates.offset_test("d_parts"))).alias("has_offset"),
     )
 
 
 @query(f"WITH {_one('cplx_text')}, {oracle.parsed_complex('one')} SELECT row_ord, v, is_complex, re, im FROM cplx")
 def parse_complex(spark, folder):
-    frame = event_texts(spark, folder, "cplx_text").withColumn("z", complexes.to_complex(F.col("v")))
-    return frame.select(KEY, "v", complexes.is_complex(F.col("v")).alias("is_complex"), "z.re", "z.im")
+    frame = apply_stages(event_texts(spark, folder, "cplx_text"), [complexes.complex_stages("v", "z", "c_")])
+    return frame.select(KEY, "v", complexes.is_complex("v").alias("is_complex"), "z.re", "z.im")
 
 
 # --- conversion -------------------------------------------------------------
