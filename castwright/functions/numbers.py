@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from castwright import fixed
 from castwright.functions.stages import Stages, raw
 
+NUMBER_START = r"^[+_-]*[0-9.iInN]"
 PLAIN_DIGITS = r"^[0-9]+\z"
 SIGNED_DIGITS = r"^[+-]?[0-9]+\z"
 WHOLE = r"^[+-]?([0-9]+(\.0*)?|\.0+)\z"
@@ -26,9 +27,15 @@ _BIGINT_DIGITS = 20
 
 
 def clean_number(v: str) -> Column:
-    """Drop the commas of a well-formed grouped number and all underscores."""
+    """Drop the commas of a well-formed grouped number and all underscores.
+
+    Text that cannot begin a number stays as it is, so long text is not copied.
+    """
     grouped = f"contains({v}, ',') AND {v} RLIKE {raw(fixed.GROUPED_NUMBER)}"
-    return F.expr(f"CASE WHEN {grouped} THEN translate({v}, ',_', '') ELSE translate({v}, '_', '') END")
+    return F.expr(
+        f"CASE WHEN NOT {v} RLIKE {raw(NUMBER_START)} THEN {v} WHEN {grouped} THEN translate({v}, ',_', '') "
+        f"WHEN contains({v}, '_') THEN translate({v}, '_', '') ELSE {v} END"
+    )
 
 
 def number_test(cleaned: str) -> str:
@@ -43,10 +50,10 @@ def is_number(cleaned: str) -> Column:
 def scientific_parts(cleaned: str) -> Column:
     """[digits before, digits after the point, exponent] of a number with an exponent, null otherwise.
 
-    The plain test for the letter comes first, so that most numbers skip the pattern.
+    The first character and the letter are tested before the full pattern.
     """
     pieces = f"split(regexp_replace({cleaned}, {raw(SCIENTIFIC)}, r'$1|$2|$3'), r'\\|', -1)"
-    letter = f"(contains({cleaned}, 'e') OR contains({cleaned}, 'E'))"
+    letter = f"{cleaned} RLIKE r'^[+-]?[0-9.]' AND (contains({cleaned}, 'e') OR contains({cleaned}, 'E'))"
     return F.expr(f"CASE WHEN {letter} AND {cleaned} RLIKE {raw(NUMBER)} THEN {pieces} END")
 
 

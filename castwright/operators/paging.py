@@ -8,6 +8,7 @@ cell from a scan of the key alone, a running sum, and a sort within each cell.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 from castwright import fixed
 from castwright.local import quoted
 from castwright.operators import convert as conversion
+from castwright.sources.scratch import work_folder
 from castwright.operators.cells import BLK, ORDER_COLUMNS, SEQ, SRC, Ordered, with_row_order
 
 ORD = "ord"
 _QUANTILES = 64
 _CELLS_PER_QUANTILE = 4096
 _ROWS_PER_CELL = 1_000_000
+# File blocks that may be broadcast: a path and three numbers each, some 50 MB at most.
+_BROADCAST_BLOCKS = 300_000
 # Up to here a page is a bounded top-k: every task keeps at most this many rows.
 _TOP_ROWS = 10_000
 
@@ -83,9 +87,26 @@ def page_info(row_count: int, page: int, page_size: int) -> dict:
 def _block_offsets(ordered: Ordered) -> DataFrame:
     """First sequence number and first ordinal of every file block."""
     blocks = ordered.frame.groupBy(SRC, BLK).agg(F.count(F.lit(1)).alias("n"), F.min(SEQ).alias("seq0"))
-    # One row per file split (some hundred megabytes each), so one task can add them up.
-    running = Window.orderBy(SRC, BLK).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    # Blocks are added up within their file, and files after that: one row per
+    # file split, then one row per file, are the most a task sees.
+    in_file = Window.partitionBy(SRC).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(in_file), F.lit(0)))
+    per_file = blocks.groupBy(SRC).agg(F.sum("n").alias("file_rows"))
+    over_files = Window.orderBy(SRC).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_file.select(SRC, F.coalesce(F.sum("file_rows").over(over_files), F.lit(0)).alias("file_start"))
+    return blocks.join(starts, SRC).select(SRC, BLK, "n", "seq0", (F.col("file_start") + F.col("before")).alias("start"))
+
+
+def _landed_offsets(ordered: Ordered) -> DataFrame:
+    """Block offsets as a written table: counted once, and of known size.
+
+    Broadcast only up to a checked number of blocks, joined by shuffle beyond it.
+    """
+    spark = ordered.frame.sparkSession
+    path = f"{work_folder(spark, 'block_offsets')}/{uuid.uuid4().hex}"
+    _block_offsets(ordered).select(SRC, BLK, "seq0", "start").write.parquet(path)
+    offsets = spark.read.parquet(path)
+    return F.broadcast(offsets) if offsets.count() <= _BROADCAST_BLOCKS else offsets
 
 
 @dataclass
@@ -145,8 +166,7 @@ def with_ordinals(
     if ordered.by_value:
         raise ValueError("Row ordinals need an order_by key or a file scan.")
     if ordered.block_keys:
-        offsets = _block_offsets(ordered).select(SRC, BLK, "seq0", "start")
-        numbered = ordered.frame.join(offsets, [SRC, BLK])
+        numbered = ordered.frame.join(_landed_offsets(ordered), [SRC, BLK])
         return numbered.select((F.col("start") + F.col(SEQ) - F.col("seq0")).alias(ORD), *map(quoted, names))
     cells = _key_cells(ordered.frame.select(SEQ), rows_per_cell)
     if cells is None:

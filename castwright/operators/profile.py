@@ -258,8 +258,8 @@ def finish(spark: SparkSession, columns: list[str], rows: dict[int, dict], found
         .agg(F.count("v").alias("found"), F.array_sort(F.collect_list(sampled)).alias("sampled"))
     )
     return (
-        F.broadcast(flags)
-        .join(per_column, "pos", "left")
+        # Both sides have one row per table column.
+        flags.join(F.broadcast(per_column), "pos", "left")
         .select(
             *[f.name for f in PROFILE_SCHEMA],
             F.when(F.col("many"), F.lit(fixed.UNIQUE_CAP))

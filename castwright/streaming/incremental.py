@@ -8,6 +8,7 @@ all batches and equals the profile of all files read at once.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +66,41 @@ def start_profile(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _merged(spark: SparkSession, state: str) -> tuple[int, DataFrame, DataFrame]:
+    """Last batch id, merged evidence and merged values: the newest snapshot and the batches after it."""
+    batches, found = spark.read.parquet(f"{state}/evidence"), spark.read.parquet(f"{state}/values")
+    last = batches.agg(F.max("batch_id")).first()[0]
+    snapshots = _read(spark, f"{state}/snapshot_evidence")
+    if snapshots is not None:
+        upto = snapshots.agg(F.max("upto")).first()[0]
+        older = spark.read.parquet(f"{state}/snapshot_values").where(F.col("upto") == upto).drop("upto")
+        found = found.where(F.col("batch_id") > upto).drop("batch_id").unionByName(older)
+        older = snapshots.where(F.col("upto") == upto).drop("upto")
+        batches = batches.where(F.col("batch_id") > upto).drop("batch_id").unionByName(older)
+        last = max(last, upto)
+    return last, merge_evidence(batches), found.groupBy("pos", "v").agg(F.min("first").alias("first"))
+
+
+def compact(spark: SparkSession, state: str) -> int:
+    """Write a snapshot of all batches so far, which later profiles start from.
+
+    Batch folders are left in place, and partition pruning skips them afterwards.
+    Run it between batches: a batch replayed later must not be in a snapshot.
+    """
+    last, batches, found = _merged(spark, state)
+    found.coalesce(1).write.mode("overwrite").parquet(f"{state}/snapshot_values/upto={last}")
+    batches.coalesce(1).write.mode("overwrite").parquet(f"{state}/snapshot_evidence/upto={last}")
+    return last
+
+
 def current_profile(spark: SparkSession, state: str, columns: list[str]) -> DataFrame:
     """Profile over all batches so far."""
-    rows = collect_evidence(merge_evidence(spark.read.parquet(f"{state}/evidence")))
-    found = spark.read.parquet(f"{state}/values").groupBy("pos", "v").agg(F.min("first").alias("first"))
-    return finish(spark, columns, rows, found)
+    _, batches, found = _merged(spark, state)
+    return finish(spark, columns, collect_evidence(batches), found)

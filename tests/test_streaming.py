@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from castwright import profile
-from castwright.streaming.incremental import current_profile, start_profile, update_state
+from castwright.streaming.incremental import compact, current_profile, start_profile, update_state
 
 
 def test_batches_equal_one_shot(spark, tmp_path):
@@ -25,3 +25,10 @@ def test_batches_equal_one_shot(spark, tmp_path):
     update_state(batch, 99, frame.columns, state)
     again = {r["column"]: r for r in current_profile(spark, state, frame.columns).collect()}
     assert again["n"]["total_count"] == 2000 and again["c"]["unique_count"] == 51
+
+    # A snapshot and the batches after it give the same profile.
+    assert compact(spark, state) == 99
+    assert {r["column"]: r for r in current_profile(spark, state, frame.columns).collect()} == again
+    update_state(batch, 100, frame.columns, state)
+    later = {r["column"]: r for r in current_profile(spark, state, frame.columns).collect()}
+    assert later["n"]["total_count"] == 3000 and later["c"]["sample_values"] == again["c"]["sample_values"]
