@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from castwright import fixed
 from castwright.functions.stages import Stages, raw
+from castwright.functions.text import begins_with
 
 # --- fixed values: names a date may carry -----------------------------------
 MONTH_NAMES = (
@@ -44,7 +45,17 @@ YEAR, FIRST, SECOND, SHORT, NAME, GAP, HOUR, MINUTE, SECONDS, FRACTION, HALF, ZO
 
 def parts_sql(v: str) -> str:
     """SQL: the captured pieces (empty text where absent), or null for another shape."""
-    return rf"CASE WHEN {v} RLIKE {raw(SHAPE)} THEN split(regexp_replace({v}, {raw(SHAPE)}, r'{_PIECES}'), r'\|', -1) END"
+    initials = "0123456789" + "".join(name[0] for name in f"{MONTH_NAMES}|{DAY_NAMES}".split("|"))
+    return rf"CASE WHEN {begins_with(v, initials)} AND {v} RLIKE {raw(SHAPE)} THEN split(regexp_replace({v}, {raw(SHAPE)}, r'{_PIECES}'), r'\|', -1) END"
+
+
+def plain_iso(v: str) -> str:
+    """SQL: timestamp of the two most common shapes, which Spark reads as they are; null for others.
+
+    The year bounds keep it inside the range of valid instants.
+    """
+    shape = raw(r"^(?:1[7-9]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}(?: [0-9]{2}:[0-9]{2}:[0-9]{2})?\z")
+    return f"CASE WHEN {begins_with(v, '12')} AND {v} RLIKE {shape} THEN try_cast({v} AS TIMESTAMP_NTZ) END"
 
 
 def time_test(parts: str) -> str:

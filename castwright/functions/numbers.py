@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from castwright import fixed
 from castwright.functions.stages import Stages, raw
+from castwright.functions.text import begins_with
 
-NUMBER_START = r"^[+_-]*[0-9.iInN]"
+# What a number may begin with: digits, signs, point, underscore, and the letters of inf and nan.
+NUMBER_START = "0123456789+-._in"
 PLAIN_DIGITS = r"^[0-9]+\z"
 SIGNED_DIGITS = r"^[+-]?[0-9]+\z"
 WHOLE = r"^[+-]?([0-9]+(\.0*)?|\.0+)\z"
@@ -33,14 +35,14 @@ def clean_number(v: str) -> Column:
     """
     grouped = f"contains({v}, ',') AND {v} RLIKE {raw(fixed.GROUPED_NUMBER)}"
     return F.expr(
-        f"CASE WHEN NOT {v} RLIKE {raw(NUMBER_START)} THEN {v} WHEN {grouped} THEN translate({v}, ',_', '') "
+        f"CASE WHEN NOT {begins_with(v, NUMBER_START)} THEN {v} WHEN {grouped} THEN translate({v}, ',_', '') "
         f"WHEN contains({v}, '_') THEN translate({v}, '_', '') ELSE {v} END"
     )
 
 
 def number_test(cleaned: str) -> str:
     """SQL: is a cleaned text a number, infinities and NaN forms included?"""
-    return f"{cleaned} RLIKE {raw(NUMERIC)}"
+    return f"({begins_with(cleaned, NUMBER_START)} AND {cleaned} RLIKE {raw(NUMERIC)})"
 
 
 def is_number(cleaned: str) -> Column:
@@ -53,7 +55,7 @@ def scientific_parts(cleaned: str) -> Column:
     The first character and the letter are tested before the full pattern.
     """
     pieces = f"split(regexp_replace({cleaned}, {raw(SCIENTIFIC)}, r'$1|$2|$3'), r'\\|', -1)"
-    letter = f"{cleaned} RLIKE r'^[+-]?[0-9.]' AND (contains({cleaned}, 'e') OR contains({cleaned}, 'E'))"
+    letter = f"{begins_with(cleaned, '0123456789+-.')} AND (contains({cleaned}, 'e') OR contains({cleaned}, 'E'))"
     return F.expr(f"CASE WHEN {letter} AND {cleaned} RLIKE {raw(NUMBER)} THEN {pieces} END")
 
 

@@ -11,14 +11,32 @@ from castwright.functions.stages import raw
 _ALPHA_TOKENS = [t for t in fixed.TRUE_TOKENS + fixed.FALSE_TOKENS if not t.isdigit()]
 
 
+def begins_with(v: str, characters: str) -> str:
+    """SQL: does the value begin with one of some characters, in either case?
+
+    Decides most cells without running a pattern.
+    """
+    both_cases = "".join(sorted({c for letter in characters for c in (letter.lower(), letter.upper())}))
+    return f"contains('{both_cases}', left({v}, 1))"
+
+
 def _is_token(v: str, tokens: list[str]) -> str:
-    """Case-insensitive membership; the length test keeps the pattern off long text."""
-    return f"(length({v}) <= {max(map(len, tokens))} AND {v} RLIKE {raw(rf'(?i)^({"|".join(tokens)})\z')})"
+    """SQL: case-insensitive membership in a list of tokens."""
+    words = [t for t in tokens if t]
+    pattern = raw(rf'(?i)^({"|".join(words)})\z')
+    initials = "".join(t[0] for t in words)
+    found = f"({begins_with(v, initials)} AND length({v}) <= {max(map(len, words))} AND {v} RLIKE {pattern})"
+    return found if len(words) == len(tokens) else f"({v} = '' OR {found})"
 
 
 def strip(cell: str) -> Column:
-    """Remove Unicode whitespace from both ends (Spark's ``trim`` knows only the blank)."""
-    return F.btrim(F.expr(cell), F.lit(fixed.WHITESPACE))
+    """Remove Unicode whitespace from both ends (Spark's ``trim`` knows only the blank).
+
+    Cells that begin and end with a visible ASCII character are left alone at once.
+    """
+    last = f"substring({cell}, -1, 1)"
+    visible = f"{cell} >= '!' AND {cell} < '\x7f' AND {last} >= '!' AND {last} < '\x7f'"
+    return F.when(F.expr(visible), F.expr(cell)).otherwise(F.btrim(F.expr(cell), F.lit(fixed.WHITESPACE)))
 
 
 def blank_null_token(stripped: str) -> Column:
