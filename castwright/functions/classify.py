@@ -84,17 +84,13 @@ def classify(cells: DataFrame, v: str = "v", mask: str = "mask", **date_options)
         f"WHEN {complexes.complex_test(v)} THEN {COMPLEX} END"
     )
     date_mask = (
-        f"{DATETIME} | CASE WHEN {dates.ambiguous_test('__numbers')} THEN {AMBIGUOUS} ELSE 0 END "
-        f"| CASE WHEN {dates.time_test('__parts')} THEN {TIME} ELSE 0 END "
-        f"| CASE WHEN {dates.offset_test('__parts')} THEN {OFFSET} ELSE 0 END"
+        f"{DATETIME} | CASE WHEN {dates.ambiguous_test('__')} THEN {AMBIGUOUS} ELSE 0 END "
+        f"| CASE WHEN {dates.time_test(v, '__')} THEN {TIME} ELSE 0 END "
+        f"| CASE WHEN {dates.offset_test('__')} THEN {OFFSET} ELSE 0 END"
     )
-    iso_mask = f"CASE WHEN length({v}) > 10 THEN {DATETIME | TIME} ELSE {DATETIME} END"
     rule = (
         numbers.number_stages(v, "__")
-        + [{"__numeric": settled}]
-        # Common ISO forms need no pieces: they are never ambiguous and have no offset.
-        + [{"__iso": F.expr(f"CASE WHEN __numeric IS NULL THEN {dates.plain_iso(v)} END")}]
-        + [{"__settled": F.expr(f"CASE WHEN __iso IS NULL THEN __numeric ELSE {iso_mask} END")}]
+        + [{"__settled": settled}]
         + dates.timestamp_stages(v, "__stamp", "__", when="__settled IS NULL", **date_options)
         + [
             {
@@ -105,5 +101,5 @@ def classify(cells: DataFrame, v: str = "v", mask: str = "mask", **date_options)
         ]
     )
     return apply_stages(cells, [rule]).drop(
-        "__cleaned", "__scientific", "__numeric", "__iso", "__settled", "__parts", "__numbers", "__wall", "__shift", "__instant", "__stamp"
+        "__cleaned", "__scientific", "__iso", "__settled", "__parts", "__numbers", "__wall", "__shift", "__instant", "__stamp"
     )

@@ -58,21 +58,23 @@ def plain_iso(v: str) -> str:
     return f"CASE WHEN {begins_with(v, '12')} AND {v} RLIKE {shape} THEN try_cast({v} AS TIMESTAMP_NTZ) END"
 
 
-def time_test(parts: str) -> str:
-    return f"get({parts}, {HOUR}) <> ''"
+def time_test(source: str, prefix: str) -> str:
+    """SQL: did ``timestamp_stages`` read a time of day?"""
+    return f"CASE WHEN {prefix}iso IS NOT NULL THEN length({source}) > 10 ELSE coalesce(get({prefix}parts, {HOUR}) <> '', false) END"
 
 
-def offset_test(parts: str) -> str:
-    return f"get({parts}, {ZONE}) <> ''"
+def offset_test(prefix: str) -> str:
+    """SQL: did ``timestamp_stages`` read an offset?"""
+    return f"coalesce(get({prefix}parts, {ZONE}) <> '', false)"
 
 
-def ambiguous_test(numbers: str) -> str:
+def ambiguous_test(prefix: str) -> str:
     """SQL: do month-first and day-first readings of a short date differ and both hold?
 
     Meaningful only where the parsed timestamp is not null.
     """
-    first, second = f"get({numbers}, {SHORT})", f"get({numbers}, {SECOND})"
-    return f"({first} <= 12 AND {second} <= 12 AND {first} <> {second})"
+    first, second = f"get({prefix}numbers, {SHORT})", f"get({prefix}numbers, {SECOND})"
+    return f"coalesce({first} <= 12 AND {second} <= 12 AND {first} <> {second}, false)"
 
 
 def _numbers(parts: str) -> str:
@@ -145,10 +147,12 @@ def timestamp_stages(
     """
     this_year = str(pivot_year) if pivot_year else "year(current_date())"
     today = f"DATE'{reference_date}'" if reference_date else "current_date()"
-    parts, numbers, wall, shift, instant = (prefix + n for n in ("parts", "numbers", "wall", "shift", "instant"))
-    found = parts_sql(source)
+    names = ("iso", "parts", "numbers", "wall", "shift", "instant")
+    iso, parts, numbers, wall, shift, instant = (prefix + n for n in names)
     return [
-        {parts: F.expr(found if when is None else f"CASE WHEN {when} THEN {found} END")},
+        # Plain ISO forms, the most common ones, need no pieces.
+        {iso: F.expr(f"CASE WHEN {when or 'true'} THEN {plain_iso(source)} END")},
+        {parts: F.expr(f"CASE WHEN {when or 'true'} AND {iso} IS NULL THEN {parts_sql(source)} END")},
         {numbers: F.expr(_numbers(parts))},
         {
             wall: F.expr(
@@ -159,7 +163,7 @@ def timestamp_stages(
         {instant: F.expr(f"try_cast({wall} AS TIMESTAMP_NTZ) - make_dt_interval(0, 0, {shift}, 0)")},
         {
             target: F.expr(
-                f"CASE WHEN {instant} BETWEEN TIMESTAMP_NTZ'{fixed.FIRST_INSTANT}' "
+                f"CASE WHEN {iso} IS NOT NULL THEN {iso} WHEN {instant} BETWEEN TIMESTAMP_NTZ'{fixed.FIRST_INSTANT}' "
                 f"AND TIMESTAMP_NTZ'{fixed.LAST_INSTANT}' THEN {instant} END"
             )
         },

@@ -6,22 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castwright.local import quoted
-from castwright.operators.cells import with_row_order
+from castwright.operators.cells import unpivot, with_row_order
 from castwright.operators.profile import normalized_cells
-from castwright.operators.cells import unpivot
 
 _BOUNDARIES = 63
 _SAMPLED_VALUES = 20_000
 
 
-def _distinct_values(frame: DataFrame, columns: list[str]) -> DataFrame:
+def _values(frame: DataFrame, columns: list[str]) -> DataFrame:
     ordered = with_row_order(frame, columns=columns)
-    cells = normalized_cells(unpivot(ordered, columns, as_text=True))
+    cells = normalized_cells(unpivot(ordered, columns, as_text=True)).where(F.col("raw").isNotNull())
     names = F.array(*[F.lit(c) for c in columns])
-    return (
-        cells.where(F.col("raw").isNotNull()).select("pos", "v").distinct().where(F.col("v").isNotNull())
-        .select(names[F.col("pos")].alias("column"), F.col("v").alias("value"))
-    )
+    return cells.select(names[F.col("pos")].alias("column"), F.col("v").alias("value"))
+
+
+def _sampled_edges(values: DataFrame) -> list[str]:
+    """Boundaries from a sample of cells of fixed size; a top-k, so no shuffle of the values."""
+    drawn = values.withColumn("row", F.monotonically_increasing_id())
+    drawn = drawn.orderBy(F.xxhash64("value", "row")).select("value").limit(_SAMPLED_VALUES)
+    ranked = sorted({row["value"] for row in drawn.collect()} - {None})
+    step = max(1, len(ranked) // (_BOUNDARIES + 1))
+    return ranked[step::step][:_BOUNDARIES]
 
 
 def _locate(value: Column, edges: list[str]) -> Column:
@@ -44,12 +49,10 @@ def category_dictionary(frame: DataFrame, columns: list[str], *, edges: list[str
     shifted by the sizes of the pieces before it; no task sorts a whole column.
     The boundaries only balance the pieces, any choice gives the same codes.
     """
-    values = _distinct_values(frame, columns)
+    cells = _values(frame, columns)
     if edges is None:
-        sampled = values.select("value").orderBy(F.xxhash64("value")).limit(_SAMPLED_VALUES).distinct()
-        ranked = sorted(row["value"] for row in sampled.collect())
-        step = max(1, len(ranked) // (_BOUNDARIES + 1))
-        edges = ranked[step::step][:_BOUNDARIES]
+        edges = _sampled_edges(cells)
+    values = cells.distinct().where(F.col("value").isNotNull())
     placed = values.withColumn("piece", _locate(F.col("value"), sorted(set(edges))))
     pieces = placed.groupBy("column", "piece").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("column").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)

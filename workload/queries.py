@@ -265,7 +265,7 @@ def parse_datetime_dayfirst(spark, folder):
     "SELECT row_ord, v, stamp IS NOT NULL AND is_ambiguous AS is_ambiguous FROM stamps"
 )
 def ambiguous_dates(spark, folder):
-    found = F.col("stamp").isNotNull() & F.coalesce(F.expr(dates.ambiguous_test("d_numbers")), F.lit(False))
+    found = F.col("stamp").isNotNull() & F.expr(dates.ambiguous_test("d_"))
     return event_dates(spark, folder).select(KEY, "v", found.alias("is_ambiguous"))
 
 
@@ -277,8 +277,8 @@ def time_hints(spark, folder):
     valid = F.col("stamp").isNotNull()
     return event_dates(spark, folder).select(
         KEY, "v",
-        (valid & F.expr(dates.time_test("d_parts"))).alias("is_timed"),
-        (valid & F.expr(dates.offset_test("d_parts"))).alias("has_offset"),
+        (valid & F.expr(dates.time_test("v", "d_"))).alias("is_timed"),
+        (valid & F.expr(dates.offset_test("d_"))).alias("has_offset"),
     )
 
 
