@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ BLOCK, LANE, LIMIT, CACHE = 1 << 16, 128, 18, 1_200_000
 MARKS = ".,;:!?%#&$*"
 # Letters below this are letters in every Unicode version.
 LATIN = "\u0250"
+PROBES = ["the", "Unlikely", "\u00e9t\u00e9s", "\u017bubr", "zqxj"]
+# Printable Latin-1 bytes show as themselves, the others, in order, as the characters from 256 on.
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or b >= 161 and b != 173))}
 
 
 class Pieces:
@@ -55,24 +59,31 @@ class Pieces:
         self.words: dict[str, bytes] = {}  # a word stands for itself with a space before it; "\nword" has a line break instead
         self.marks: dict[str, bytes] = {}
         self.line_break = self.encode("\n")
+        # A word of letters is one unit of a byte-level splitter, so its model may be asked without the splitter; only if it agrees.
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        same = [array(self.code, [t.id for t in self.tokenizer.model.tokenize(self.shown(" " + w))]).tobytes() == self.encode(" " + w) for w in PROBES]
+        self.direct = all(same)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    @staticmethod
+    def shown(text: str) -> str:
+        """The text as byte-level vocabularies spell it: a visible character for each byte."""
+        return text.encode().decode("latin-1").translate(SHOWN)
+
     def learn(self, words: set[str]) -> None:
-        """Ids of new words; those of letters only in one call, cut by the library's own word numbers."""
+        """Ids of new words; those of letters only go to the library's model directly."""
         known = self.words
         if len(known) + len(words) > CACHE:
             known.clear()
         cores = {w: w.rstrip(MARKS) for w in words}
-        plain = [c for c in {*cores.values()}.difference(known) if c.isalpha() and max(c) < LATIN]
-        if plain:
-            found = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
-            owner = np.array(found.word_ids)
-            if owner[-1] == len(plain) - 1:
-                raw, width = np.array(found.ids, self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-                cuts = (np.searchsorted(owner, np.arange(len(plain) + 1)) * width).tolist()
-                known.update(zip(plain, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        plain = [c for c in {*cores.values()}.difference(known) if c.isalpha() and (c.isascii() or max(c) < LATIN)]
+        if self.direct:
+            model = self.tokenizer.model.tokenize
+            for core in plain:
+                shown = "\u0120" + core if core.isascii() else self.shown(" " + core)
+                known[core] = array(self.code, [t.id for t in model(shown)]).tobytes()
         for word, core in cores.items():
             if word in known:
                 continue
