@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from castwright.llm import mixing, tokens
+from castwright.llm import mixing, pii, quality, tokens, toxicity
 from castwright.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_pii(table(spark, folder, "documents"))
+
+
 @query
 def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
     path = work_folder(spark)
@@ -38,3 +44,25 @@ def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture(table(spark, folder, "documents"))
+
+
+def held_out() -> Column:
+    """Rows that no fit may use: every fifth by the crc32 of the id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model, scored = toxicity.train(docs, labels.where(~held_out()), "toxic")
+    found = toxicity.probabilities(scored, model)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    # Grades: 0 poor, 1 good but toxic, 2 good. Selected: probably 1 or better.
+    grades = labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
+    model = quality.train(docs, grades.where(~held_out()))
+    return quality.grade(docs, model).select("doc_id", held_out().alias("held_out"), "expected_grade", "tail", "selected")
