@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwright.llm import mixing, pii, quality, tokens, toxicity
+from castwright.llm import mixing, ngram_join, pii, quality, tokens, toxicity
 from castwright.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     grades = labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
     model = quality.train(docs, grades.where(~held_out()))
     return quality.grade(docs, model).select("doc_id", held_out().alias("held_out"), "expected_grade", "tail", "selected")
+
+
+@query
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
