@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,33 @@ def work_folder(spark: SparkSession) -> str:
 
 def land(df: DataFrame, *partition_by: str) -> DataFrame:
     """`df` written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = work_folder(df.sparkSession)
+    spark, schema = df.sparkSession, df.schema
+    path = work_folder(spark)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def maybe_in(keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+    """A bitmap of a hash of the key column: columns word, mask, `bits` / 64 rows at most, so it may be broadcast at any size."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = keys.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
+    return words.groupBy("word").agg(F.bit_or("bit").alias("mask"))
+
+
+def prefiltered(rows: DataFrame, bitmap: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+    """Rows whose key may be among those of the bitmap; an exact join must follow."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    keyed = rows.withColumns({"__word": F.shiftright(place, 6), "__bit": F.pmod(place, F.lit(64)).cast("int")})
+    found = keyed.join(F.broadcast(bitmap.select(F.col("word").alias("__word"), F.col("mask").alias("__mask"))), "__word")
+    return found.where(F.getbit("__mask", "__bit") == 1).drop("__word", "__bit", "__mask")
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castwright.llm.common import checked, land, text_bytes
+from castwright.llm.common import checked, land, maybe_in, prefiltered, text_bytes
 from castwright.llm.graph import components
 
 WORDS, PERCENT, SPARE, LIGHT, FLUSH, CACHE = 4, 85, 2, 48, 3_000_000, 500_000
@@ -114,21 +114,36 @@ def signatures(tokens: np.ndarray, percent: int = PERCENT, deletions: bool = Fal
 
 
 _RECORD = np.dtype([("sig", "<u4"), ("cls", "<i8")])
-_OUT = "doc_id long, n long, cls long, tid long, slice int, data binary, sig long"
+_MEMBER = np.dtype([("sig", "<i8"), ("cls", "<i8")])
+_DOC = np.dtype([("doc_id", "<i8"), ("known", "?"), ("n", "<i8"), ("cls", "<i8"), ("tid", "<i8")])
+_ARROW = pa.schema([("slice", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
+_PACKED = "slice int, kind byte, data binary"
 
 
 class Gather:
-    """Signatures of a task: repeated ones become members here, and one record of each goes on to its slice."""
+    """Signatures of a task, packed by slice.
+
+    A signature met twice in the task gives its members here, which travel to any slice; one record of each
+    signature goes to the slice of the signature.
+    """
 
     def __init__(self, slices: int) -> None:
-        self.slices, self.sigs, self.classes, self.size = slices, [], [], 0
+        self.slices, self.sigs, self.classes, self.size, self.turn = slices, [], [], 0, 0
 
     def add(self, sigs: np.ndarray, cls: int) -> None:
         self.sigs.append(sigs)
         self.classes.append(np.full(len(sigs), cls, np.int64))
         self.size += len(sigs)
 
-    def flush(self) -> Iterator[dict[str, list]]:
+    def aside(self, kind: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows that need no meeting: 64 Ki at a time to one slice after the other."""
+        for i in range(0, len(rows), 1 << 16):
+            self.turn += 1
+            part = rows[i : i + (1 << 16)]
+            home = (self.turn + int(part[0]["cls"])) % self.slices
+            yield pa.RecordBatch.from_pydict({"slice": [home], "kind": [kind], "data": [part.tobytes()]}, schema=_ARROW)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
         sigs, classes = np.concatenate(self.sigs), np.concatenate(self.classes)
@@ -137,44 +152,51 @@ class Gather:
         order = np.lexsort((classes, short, home))
         home, short, classes = home[order], short[order], classes[order]
         first = np.concatenate([[True], (home[1:] != home[:-1]) | (short[1:] != short[:-1])])
-        again = ~first | np.concatenate([~first[1:], [False]])  # of a signature met twice in this task
-        yield {"cls": classes[again], "sig": home[again] << 32 | short[again]}
+        again = ~first | np.concatenate([~first[1:], [False]])
+        twice = np.empty(int(again.sum()), _MEMBER)
+        twice["sig"], twice["cls"] = home[again] << 32 | short[again], classes[again]
+        yield from self.aside(1, twice)
         home, short, classes = home[first], short[first], classes[first]
         edges = np.searchsorted(home, np.arange(self.slices + 1))
         rows = np.empty(len(home), _RECORD)
         rows["sig"], rows["cls"] = short, classes
         used = [i for i in range(self.slices) if edges[i] < edges[i + 1]]
-        yield {"slice": np.array(used, np.int32), "data": [rows[edges[i] : edges[i + 1]].tobytes() for i in used]}
+        yield pa.RecordBatch.from_pydict({"slice": used, "kind": [0] * len(used), "data": [rows[edges[i] : edges[i + 1]].tobytes() for i in used]}, schema=_ARROW)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("tid", pa.int64()), ("slice", pa.int32()), ("data", pa.binary()), ("sig", pa.int64())])
+def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one slice: members (sig, cls) of repeated signatures, and the rows that travelled aside."""
+    parts = {k: [np.frombuffer(x, t) for x in rows["data"][rows["kind"] == k]] for k, t in ((0, _RECORD), (1, _MEMBER), (2, _DOC))}
+    found = np.concatenate([np.zeros(0, _RECORD), *parts[0]])
+    found = found[np.lexsort((found["cls"], found["sig"]))]
+    same = found["sig"][1:] == found["sig"][:-1]
+    again = (np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(found) else np.zeros(0, bool)
+    twice, docs = np.concatenate([np.zeros(0, _MEMBER), *parts[1]]), np.concatenate([np.zeros(0, _DOC), *parts[2]])
+    sig = np.concatenate([np.int64(key[0]) << 32 | found["sig"][again].astype(np.int64), twice["sig"]])
+    out = {c: pd.array(np.concatenate([np.zeros(len(sig), np.int64), docs[c]]), "Int64") for c in ("doc_id", "n", "tid")}
+    for c in ("n", "tid"):
+        out[c][: len(sig)] = pd.NA
+    out["doc_id"][np.concatenate([np.ones(len(sig), bool), ~docs["known"]])] = pd.NA
+    whole = pd.array(np.concatenate([sig, np.zeros(len(docs), np.int64)]), "Int64")
+    whole[len(sig) :] = pd.NA
+    return pd.DataFrame({"sig": whole, "cls": np.concatenate([found["cls"][again], twice["cls"], docs["cls"]]), **out})
 
 
-def _batch(columns: dict) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _ARROW], schema=_ARROW)
+def met(packed: DataFrame) -> DataFrame:
+    """The landed output of all slices: rows of members (sig not null) and of documents (n not null)."""
+    return land(packed.groupBy("slice").applyInPandas(meet, "sig long, cls long, doc_id long, n long, tid long"))
 
 
 def members(gathered: DataFrame) -> DataFrame:
-    """Distinct sig, cls of every signature that at least two classes hold, from the output of `Gather`."""
-
-    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = np.concatenate([np.frombuffer(x, _RECORD) for x in rows["data"]])
-        found = found[np.lexsort((found["cls"], found["sig"]))]
-        same = found["sig"][1:] == found["sig"][:-1]
-        again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        # Copies of one class in several tasks are no partners: only signatures of two classes count, below.
-        return pd.DataFrame({"sig": np.int64(key[0]) << 32 | found["sig"][again].astype(np.int64), "cls": found["cls"][again]})
-
-    across = gathered.where("slice is not null").select("slice", "data").groupBy("slice").applyInPandas(meet, "sig long, cls long")
-    inside = gathered.where("sig is not null").select("sig", "cls")
-    both = across.unionByName(inside).distinct()
-    return land(both)
+    """Distinct sig, cls of every signature that at least two classes hold."""
+    rows = gathered.where("sig is not null").select("sig", "cls")
+    shared = rows.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("sig")
+    return land(rows.join(shared, "sig").distinct())
 
 
 def pointers(entries: DataFrame) -> DataFrame:
     """For each class the pair (a, b) with the signature head a that it shares most signatures with."""
-    heads = entries.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").drop("last")
+    heads = entries.groupBy("sig").agg(F.min("cls").alias("a"))
     shared = entries.join(heads, "sig").where("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     return shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
@@ -195,7 +217,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b")
     heads = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     sized = right.join(heads, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return land(sized.where(F.pandas_udf(linked, "boolean")("ta", "tb")).select("a", "b"))
+    return land(sized.where(F.pandas_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct())
 
 
 def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -223,37 +245,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, gather, seen = WordHashes(), Gather(slices), set()
         for batch in batches:
-            n, classes = [], []
-            for text in text_bytes(batch["text"]):
+            docs = np.zeros(batch.num_rows, _DOC)
+            docs["doc_id"], docs["known"] = batch["doc_id"].fill_null(0), batch["doc_id"].is_valid()
+            docs["tid"] = batch["tid"]
+            for i, text in enumerate(text_bytes(batch["text"])):
                 tokens = shingles(text, hashes, words)
-                cls = class_of(tokens)
-                n.append(len(tokens))
-                classes.append(cls)
+                docs["n"][i], docs["cls"][i] = len(tokens), (cls := class_of(tokens))
                 if cls and cls not in seen:
                     if len(seen) < FLUSH:
                         seen.add(cls)
                     gather.add(signatures(tokens, percent), cls)
                     if gather.size >= FLUSH:
-                        yield from map(_batch, gather.flush())
-            yield _batch({"doc_id": batch["doc_id"], "n": n, "cls": classes, "tid": batch["tid"]})
-        yield from map(_batch, gather.flush())
+                        yield from gather.flush()
+            yield from gather.aside(2, docs)
+        yield from gather.flush()
 
-    gathered = land(rows.mapInArrow(index, _OUT))
+    gathered = met(rows.mapInArrow(index, _PACKED))
     slim = gathered.where("n is not null").select("doc_id", "n", "cls", "tid")
     entries = members(gathered)
     pairs = land(pointers(entries))
     # Sets of every class that shares a signature with another, from one text each.
-    live = entries.join(entries.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("sig"), "sig", "left_semi")
-    wanted = slim.join(live.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("tid").alias("tid"))
+    wanted = land(slim.join(entries.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("tid").alias("tid")).select("tid"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            found = [shingles(text, hashes, words) for text in text_bytes(batch["text"])]
+            found = []
+            for tid, text in zip(batch["tid"].to_pylist(), text_bytes(batch["text"]), strict=True):
+                if tid not in seen:  # copies of a text stand together
+                    if len(seen) < FLUSH:
+                        seen.add(tid)
+                    found.append(shingles(text, hashes, words))
             yield pa.RecordBatch.from_pydict({"cls": pa.array([class_of(x) for x in found], pa.int64()), "n": pa.array([len(x) for x in found], pa.int64()), "tokens": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    texts = rows.join(wanted.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    sets = land(texts.select("text").mapInArrow(rebuild, "cls long, n long, tokens binary").dropDuplicates(["cls"]))
+    texts = prefiltered(rows.select("tid", "text"), maybe_in(wanted, "tid"), "tid").join(wanted, "tid", "left_semi")
+    sets = land(texts.mapInArrow(rebuild, "cls long, n long, tokens binary"))  # a class may come twice, from parts of a split partition
 
     links = verified(pairs, sets, percent)
     roots = components(links)
@@ -270,10 +296,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
             for cls, tokens in zip(batch["cls"].to_pylist(), batch["tokens"], strict=True):
                 gather.add(signatures(np.frombuffer(tokens.as_py(), np.uint64), percent, deletions=True), cls)
                 if gather.size >= FLUSH:
-                    yield from map(_batch, gather.flush())
-        yield from map(_batch, gather.flush())
+                    yield from gather.flush()
+        yield from gather.flush()
 
-    again = members(land(sets.join(heavy, "cls", "left_semi").select("cls", "tokens").mapInArrow(deletions, _OUT)))
+    again = members(met(sets.join(heavy, "cls", "left_semi").select("cls", "tokens").mapInArrow(deletions, _PACKED)))
     links = links.unionByName(verified(pointers(again), sets, percent))
     placed = with_roots(again, components(links))
     links = links.unionByName(verified(across(placed), sets, percent))
