@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwright.llm import mixing, ngram_join, pii, quality, tokens, toxicity
+from castwright.llm import hnsw, mixing, ngram_join, pii, quality, tokens, toxicity
 from castwright.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
