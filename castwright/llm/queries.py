@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwright.llm import hnsw, mixing, ngram_join, pii, quality, tokens, toxicity
+from castwright.llm import hnsw, mixing, ngram_join, pii, quality, tokens, toxicity, wrapper
 from castwright.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.main_text(table(spark, folder, "pages"))
