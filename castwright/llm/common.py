@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,22 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, which may not see the driver's folders."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="llm-code-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+
+
 def land(df: DataFrame, *partition_by: str) -> DataFrame:
     """`df` written once as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark, schema = df.sparkSession, df.schema
@@ -51,12 +69,17 @@ def maybe_in(keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
     return words.groupBy("word").agg(F.bit_or("bit").alias("mask"))
 
 
-def prefiltered(rows: DataFrame, bitmap: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
-    """Rows whose key may be among those of the bitmap; an exact join must follow."""
+def marked(rows: DataFrame, bitmap: DataFrame, column: str, name: str, bits: int = 1 << 24) -> DataFrame:
+    """Adds `name`: false where the row's key is not among those of the bitmap, true where it may be."""
     place = F.pmod(F.xxhash64(column), F.lit(bits))
     keyed = rows.withColumns({"__word": F.shiftright(place, 6), "__bit": F.pmod(place, F.lit(64)).cast("int")})
-    found = keyed.join(F.broadcast(bitmap.select(F.col("word").alias("__word"), F.col("mask").alias("__mask"))), "__word")
-    return found.where(F.getbit("__mask", "__bit") == 1).drop("__word", "__bit", "__mask")
+    found = keyed.join(F.broadcast(bitmap.select(F.col("word").alias("__word"), F.col("mask").alias("__mask"))), "__word", "left")
+    return found.withColumn(name, F.coalesce(F.getbit("__mask", "__bit") == 1, F.lit(False))).drop("__word", "__bit", "__mask")
+
+
+def prefiltered(rows: DataFrame, bitmap: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+    """Rows whose key may be among those of the bitmap; an exact join must follow."""
+    return marked(rows, bitmap, column, "__maybe", bits).where("__maybe").drop("__maybe")
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes]:

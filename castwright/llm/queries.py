@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwright.llm import hnsw, mixing, ngram_join, pii, quality, tokens, toxicity, wrapper
-from castwright.llm.common import work_folder
+from castwright.llm import decontaminate, hnsw, mixing, ngram_join, pii, quality, suffix_dedup, tokens, toxicity, wrapper
+from castwright.llm.common import ship, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return f(spark, folder)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,7 +71,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     # Grades: 0 poor, 1 good but toxic, 2 good. Selected: probably 1 or better.
     grades = labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
     model = quality.train(docs, grades.where(~held_out()))
-    return quality.grade(docs, model).select("doc_id", held_out().alias("held_out"), "expected_grade", "tail", "selected")
+    return quality.grade(docs, model).select("doc_id", held_out().alias("held_out"), "expected_grade", "tail", "selected").where("selected")
 
 
 @query
@@ -82,3 +88,13 @@ def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return wrapper.main_text(table(spark, folder, "pages"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"), with_text=False)
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
