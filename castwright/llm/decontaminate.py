@@ -2,14 +2,19 @@
 
 1. Words (lower case, outer marks stripped) are hashed to 32 bits once and landed; the low bits are the term. A passage is
    two neighbouring strides of `STRIDE` words; strides do not cross documents.
-2. TF-IDF: document frequency of every term over all strides.
-3. Distributed randomised SVD: with random W of `RANK` columns, one pass sums B = A' (A W) over all passages A; an
-   orthonormal basis of B spans the leading right singular space. Each task sums its own part, parts are added in two levels.
+2. TF-IDF over the terms of the benchmark: document frequency of every term over all strides; terms on more than `COMMON` of all
+   strides weigh nothing.
+3. Distributed randomised SVD: with random W of `RANK` columns, one pass sums B = A' (A W) over all passages A (rows of one
+   length). Each task sums its own part, parts are added in two levels. The small factors give an orthonormal basis of the
+   leading right singular space and its singular values; coordinates are divided by their square roots, so that the few
+   directions that all passages of a language share do not drown the rest.
 4. Every passage and every benchmark item (cut into pieces of a passage's length) is projected; pairs with a cosine of at least
-   `COSINE` (less for short items) are candidates. Items go in blocks of `ITEMS`, each a bounded broadcast.
-5. A candidate is confirmed by the longest common subsequence of words between the item and the text around the passage: at
-   least `SURE` of the item, or `LIKELY` if its answer (the last quarter of its words) is there as well to that degree.
-   So paraphrases with changed, added or dropped words are found. Items under `SHORT` words must occur word for word.
+   `COSINE` are candidates. Items go in blocks of about `ITEMS`, each a bounded broadcast. A piece with few weighted words has no
+   direction to speak of; all passages are its candidates.
+5. A candidate is confirmed step by step: share of the piece's word bits in the passage, share of the item's words in the text
+   around it, then the longest common subsequence of words: at least `SURE` of the item, or `LIKELY` if its answer (the
+   last quarter of its words) is there to that degree as well. So paraphrases with changed, added or dropped words are found.
+   Items under `SHORT` words must occur word for word.
 
 Result: a row for each document and item found. Null and empty texts and items match nothing; items alike are
 separate items; a null id is reported as null; an empty table on either side gives no rows.
@@ -27,9 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castwright.llm.common import checked, land
+from castwright.llm.common import checked, land, marked, maybe_in
 
-STRIDE, TERMS, RANK, COSINE, SURE, LIKELY, SHORT, ITEMS, CACHE, SLICES = 24, 1 << 16, 48, 0.55, 0.75, 0.6, 10, 4096, 500_000, 64
+STRIDE, TERMS, RANK, COMMON, COSINE, BITS, SURE, LIKELY, SHORT, ITEMS = 24, 1 << 16, 48, 0.1, 0.3, 0.45, 0.75, 0.6, 10, 4096
+CACHE, SLICES, WIDTH = 500_000, 64, 256
 STRIP = ".,;:!?\"'()[]{}<>%#&$*|-_/\\"
 
 
@@ -93,16 +99,22 @@ def chunks(batch: pa.RecordBatch, most: int = 60_000) -> Iterator[tuple[list[int
         yield rows, texts
 
 
-def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
-    """Strides that hold each term, and the number of all strides."""
+def numbers(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The stride of each word."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+
+
+def frequencies(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """Strides that hold each term of the vocabulary, and the number of all strides."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, every = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for _, texts in chunks(batch):
-                ids, starts, owner = strides(texts)
-                number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-                pairs = np.unique(number * TERMS + (ids % TERMS).astype(np.int64))
+                ids, starts, _ = strides(texts)
+                terms = (ids % TERMS).astype(np.int64)
+                own = vocabulary[terms]
+                pairs = np.unique(numbers(ids, starts)[own] * TERMS + terms[own])
                 total += np.bincount(pairs % TERMS, minlength=TERMS)
                 every += len(starts)
         yield pa.RecordBatch.from_pydict({"term": np.append(np.flatnonzero(total), -1), "n": np.append(total[total > 0], every)})
@@ -113,37 +125,53 @@ def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     return out[:TERMS], int(out[TERMS])
 
 
-def passages(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Sum of the word vectors of each stride and the next one of the same text."""
-    half = np.add.reduceat(vectors[ids % TERMS], starts, axis=0)
-    half[:-1] += np.where((owner[1:] == owner[:-1])[:, None], half[1:], 0)
-    return half
+def with_next(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Each stride together with the next one of the same text."""
+    rows[:-1] += np.where((owner[1:] == owner[:-1])[:, None], rows[1:], rows.dtype.type(0))
+    return rows
+
 
+def stride_sums(vectors: np.ndarray, terms: np.ndarray, stride: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the vectors of each stride's weighted words."""
+    out = np.zeros((n, vectors.shape[1]), np.float32)
+    if len(terms):
+        first = np.flatnonzero(np.concatenate([[True], stride[1:] != stride[:-1]]))
+        out[stride[first]] = np.add.reduceat(vectors[terms], first, axis=0)
+    return out
 
-def basis(words: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """Orthonormal basis (TERMS x rank) of the leading right singular space of the TF-IDF passages."""
+
+def weighted(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms with a weight, and their strides."""
+    terms = ids % TERMS
+    own = idf[terms] > 0
+    return terms[own], numbers(ids, starts)[own]
+
+
+def coordinates(words: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """TERMS x rank: the latent coordinates of a term, weighted by its idf."""
     spark = words.sparkSession
-    test = np.random.default_rng(seed).standard_normal((TERMS, rank)).astype(np.float32) * idf[:, None]
-    shared = spark.sparkContext.broadcast(test)
+    test = np.random.default_rng(seed).standard_normal((TERMS, rank)).astype(np.float32)
+    shared = spark.sparkContext.broadcast((test * idf[:, None], idf))
     step = TERMS // SLICES
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TERMS, rank), np.float32)
+        projected, weights = shared.value
         for batch in batches:
             for _, texts in chunks(batch):
                 ids, starts, owner = strides(texts)
-                terms = ids % TERMS
-                rows = passages(shared.value, ids, starts, owner)
-                # Rows of A are scaled to one length, so that a long passage weighs no more than a short one.
-                norm = np.add.reduceat(idf[terms] ** 2, starts)
-                rows /= np.maximum(norm, 1e-6)[:, None]
+                terms, stride = weighted(ids, starts, weights)
+                if not len(terms):
+                    continue
+                rows = with_next(stride_sums(projected, terms, stride, len(starts)), owner)
+                norm = with_next(np.bincount(stride, weights[terms] ** 2, len(starts))[:, None], owner)
+                rows /= np.maximum(norm, 1e-6)
                 # Each stride stands in its own passage and in the one before.
-                rows[1:] += np.where((owner[1:] == owner[:-1])[:, None], rows[:-1], 0)
-                number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+                rows[1:] += np.where((owner[1:] == owner[:-1])[:, None], rows[:-1], np.float32(0))
                 order = np.argsort(terms, kind="stable")
                 ordered = terms[order]
                 first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                total[ordered[first]] += np.add.reduceat(rows[number[order]], first, axis=0)
+                total[ordered[first]] += np.add.reduceat(rows[stride[order]], first, axis=0)
         part = TaskContext.get().partitionId() // SLICES
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "part": pa.array([part] * SLICES, pa.int32()), "data": [total[i * step : (i + 1) * step].tobytes() for i in range(SLICES)]})
 
@@ -155,7 +183,25 @@ def basis(words: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) ->
     sums = words.select("ids").mapInArrow(partial, shape).groupBy("slice", "part").applyInPandas(add, shape).groupBy("slice").applyInPandas(add, shape)
     found = dict(sums.select("slice", "data").toPandas().itertuples(index=False))  # TERMS x rank numbers in all
     full = np.concatenate([np.frombuffer(found[i], np.float32) if i in found else np.zeros(step * rank, np.float32) for i in range(SLICES)])
-    return np.linalg.qr(full.reshape(TERMS, rank) * idf[:, None])[0].astype(np.float32)
+    gathered = full.reshape(TERMS, rank) * idf[:, None]  # A'A W
+    if not gathered.any():
+        return np.zeros((TERMS, rank), np.float32)
+    axes, small = np.linalg.qr(gathered)
+    core = test.T @ gathered
+    squares, turn = np.linalg.eigh(_symmetric(small @ np.linalg.pinv(_symmetric(core)) @ small.T))
+    squares = np.maximum(squares, squares.max() * 1e-3)  # of the singular values
+    return (axes @ turn / squares**0.25 * idf[:, None]).astype(np.float32)
+
+
+def _symmetric(x: np.ndarray) -> np.ndarray:
+    return (x + x.T) / 2
+
+
+def bitmaps(ids: np.ndarray, stride: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Per passage, a bit for each hashed word: shape (passages, WIDTH / 64)."""
+    flags = np.zeros((len(owner), WIDTH), np.uint8)
+    flags[stride, (ids >> np.uint32(20)) % WIDTH] = 1
+    return np.packbits(with_next(flags, owner) > 0, axis=1).view(np.uint64)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -186,10 +232,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share (of the item's words found in order) for every document and item found."""
     words = words_table(docs)
     items = checked(benchmark, "item_id", "text").where("text is not null")
-    df, n = frequencies(words)
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
-    space = basis(words, idf) * idf[:, None]
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+    terms = items.select("text").mapInArrow(_terms, "term int").distinct().toPandas()["term"].to_numpy(np.int64)  # TERMS rows at most
+    vocabulary = np.zeros(TERMS, bool)
+    vocabulary[terms] = True
+    df, n = frequencies(words, vocabulary)
+    idf = np.where((df > 0) & (df <= COMMON * n), np.log((n + 1) / (df + 1)), 0).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((coordinates(words, idf), idf))
     numbered = land(items.select("item_id", "text").repartitionByRange("item_id"))
     blocks = -(-numbered.count() // ITEMS)
     shape = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, share double"
@@ -205,35 +253,60 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, in which no benchmark item is found. The name `__row` is reserved."""
+    row = F.xxhash64("`doc_id`", "`text`")
+    found = land(find_leaks(docs.select(row.alias("doc_id"), "`text`"), benchmark).select(F.col("doc_id").alias("__row")).distinct())
+    keyed = docs.withColumn("__row", row)
+    split = marked(keyed, maybe_in(found, "__row"), "__row", "__maybe")
+    doubtful = split.where("__maybe").join(found, "__row", "left_anti")
+    return split.where("not __maybe").unionByName(doubtful).select(*docs.columns)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Terms()
+    for batch in batches:
+        found = [hashed(t.as_py() or "", known) % TERMS for t in batch["text"]]
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.unique(np.concatenate([np.zeros(0, np.uint32), *found])).astype(np.int32))})
+
+
 def _searcher(items: list[tuple], shared):  # noqa: ANN001, ANN202
     """The search of one block of items, for `mapInArrow`."""
     short = [(key, ids) for key, ids in items if len(ids) < SHORT]
     pieces = [(key, ids, a) for key, ids in items if len(ids) >= SHORT for a in range(0, max(1, len(ids) - STRIDE), 2 * STRIDE)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shared.value
-        targets = np.array([space[ids[a : a + 2 * STRIDE] % TERMS].sum(0) for _, ids, a in pieces], np.float32).reshape(len(pieces), space.shape[1])
+        space, idf = shared.value
+        parts = [ids[a : a + 2 * STRIDE] for _, ids, a in pieces]
+        targets = np.array([space[p % TERMS].sum(0) for p in parts], np.float32).reshape(len(pieces), space.shape[1])
         targets /= np.maximum(np.linalg.norm(targets, axis=1), 1e-9)[:, None]
-        least = np.array([COSINE * min(1.0, (min(len(ids) - a, 2 * STRIDE) / 30) ** 0.5) for _, ids, a in pieces], np.float32)
+        weak = np.array([(idf[p % TERMS] > 0).sum() < 6 for p in parts], bool)
+        item_bits = np.concatenate([np.zeros((0, WIDTH // 64), np.uint64), *[bitmaps(p, np.zeros(len(p), np.int64), np.zeros(1, np.int64)) for p in parts]])
+        least_bits = BITS * np.bitwise_count(item_bits).sum(1)
         for batch in batches:
             keys, out = batch["doc_id"].to_pylist(), []
             for rows, texts in chunks(batch):
                 ids, starts, owner = strides(texts)
                 ends = np.cumsum([len(t) for t in texts])
                 if pieces:
-                    vectors = passages(space, ids, starts, owner)
+                    terms, stride = weighted(ids, starts, idf)
+                    vectors = with_next(stride_sums(space, terms, stride, len(starts)), owner)
                     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-                    for at, which in zip(*np.nonzero(vectors @ targets.T >= least), strict=True):
-                        key, item, a = pieces[which]
-                        low = max(starts[at] - a - len(item) // 2, ends[owner[at]] - len(texts[owner[at]]))
-                        high = min(starts[at] + 2 * STRIDE + len(item) - a + len(item) // 2, ends[owner[at]])
+                    at, which = np.nonzero((vectors @ targets.T >= COSINE) | weak)
+                    bits = bitmaps(ids, numbers(ids, starts), owner)
+                    near = np.bitwise_count(bits[at] & item_bits[which]).sum(1) >= least_bits[which]
+                    for at_, which_ in zip(at[near].tolist(), which[near].tolist(), strict=True):
+                        key, item, a = pieces[which_]
+                        text = owner[at_]
+                        low = max(starts[at_] - a - len(item) // 2, ends[text] - len(texts[text]))
+                        high = min(starts[at_] + 2 * STRIDE + len(item) - a + len(item) // 2, ends[text])
                         if share := confirmed(item, ids[low:high]):
-                            out.append((keys[rows[owner[at]]], key, share))
+                            out.append((keys[rows[text]], key, share))
                 for key, item in short:
                     hits = np.flatnonzero(ids[: len(ids) - len(item) + 1] == item[0]) if len(ids) >= len(item) else []
-                    for at in hits:
-                        text = int(np.searchsorted(ends, at, "right"))
-                        if at + len(item) <= ends[text] and (ids[at : at + len(item)] == item).all():
+                    for first in hits:
+                        text = int(np.searchsorted(ends, first, "right"))
+                        if first + len(item) <= ends[text] and (ids[first : first + len(item)] == item).all():
                             out.append((keys[rows[text]], key, 1.0))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([o[0] for o in out], batch["doc_id"].type), "item_id": pa.array([o[1] for o in out], pa.int64()), "share": pa.array([float(o[2]) for o in out], pa.float64())})
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castwright.llm.common import checked, land, maybe_in, prefiltered, text_bytes
+from castwright.llm.common import checked, land, marked, maybe_in, prefiltered, text_bytes
 from castwright.llm.graph import components
 
 WORDS, PERCENT, SPARE, LIGHT, FLUSH, CACHE = 4, 85, 2, 48, 3_000_000, 500_000
@@ -234,7 +234,7 @@ def across(placed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, cls (class of the set), component_id, tid (hash of the text).
+    """Per row of `docs`: doc_id, n_shingles, cls (class of the set, 0 if empty), component_id, tid (hash of the text), root (smallest class).
 
     component_id is the smallest doc_id reachable by links, for a text without words its own. Null texts are empty.
     Null ids take part but name no component unless all ids of a component are null. Rows alike come out alike.
@@ -307,6 +307,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     least = slim.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     grouped = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "root", "component_id")
     out = slim.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tid")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tid", "root")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of `docs` that stay when one row of each component does: the one with the smallest id, then text hash.
+
+    Rows without words are in no component and all stay. All columns are carried; names `__id`, `__tid` are reserved.
+    """
+    found = near_duplicates(docs, percent, words).where("cls <> 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+    keep = land(found.groupBy("root").agg(F.min(order).alias("first")).select(_id(F.col("first.doc_id")).alias("__id"), F.col("first.tid").alias("__tid")))
+    has_words = F.coalesce(F.col("`text`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(has_words).withColumns({"__id": _id(F.col("`doc_id`")), "__tid": F.xxhash64("`text`")})
+    rows = marked(rows, maybe_in(keep, "__tid"), "__tid", "__maybe").where("__maybe").drop("__maybe")
+    kept = rows.join(keep, ["__id", "__tid"], "left_semi").dropDuplicates(["__id", "__tid"])
+    return kept.select(*docs.columns).unionByName(docs.where(~has_words))
+
+
+def _id(key):  # noqa: ANN001, ANN202
+    return F.coalesce(key.cast("string"), F.lit("null"))

@@ -229,6 +229,21 @@ def probabilities(scored: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("score", F.pandas_udf(curve, "double")("n", "best"))
 
 
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        scorer = own.scorer()
+        for batch in batches:
+            words = [words_of(text.as_py() or "") for text in batch["text"]]
+            best = np.array([best_segment(text_scores(w, scorer)) for w in words])
+            yield batch.filter(pa.array(own.probability(best, np.array([len(w) for w in words])) < least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def passages(docs: DataFrame, model: Model, least: float = 5.0) -> DataFrame:
     """doc_id and every significant toxic passage: start and end (words), sum, level (Gumbel units, `least` or more), text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
