@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from castwright.llm.common import checked, land
 
 SURE, MOST = 5, 0.6
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!])[^<]*\Z", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!])[^<]*\Z", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
+_ENDS = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -61,17 +62,11 @@ class Page:
         self.sizes = None
 
     def read(self, source: str) -> None:
-        tags, parents, kids, junk, at, end, raw = self.tags, self.parents, self.kids, self.junk, 0, 0, None
-        for m in _TOKEN.finditer(source):
-            if m.start() < end:
-                continue
-            if m.start() > end and not raw:
+        tags, parents, kids, junk, at, end = self.tags, self.parents, self.kids, self.junk, 0, 0
+        while m := _TOKEN.search(source, end):
+            if m.start() > end:
                 kids[at].append(source[end : m.start()])
             name = m.group(2)
-            if raw:  # inside raw text only its own end tag counts
-                if not (name and m.group(1) and name.lower() == raw):
-                    continue
-                raw = None
             end = m.end()
             if not name:
                 continue
@@ -112,9 +107,10 @@ class Page:
             if attributes.endswith("/") and name not in BLOCK:
                 continue
             at = len(tags) - 1
-            if name in RAW:
-                raw = name
-        if end < len(source) and not raw:
+            if name in RAW:  # its text ends at its own end tag only
+                close = _ENDS[name].search(source, end)
+                end = close.start() if close else len(source)
+        if end < len(source):
             kids[at].append(source[end:])
 
     def furniture(self, name: str, attributes: str, parent: int) -> bool:
