@@ -8,7 +8,8 @@ linked sets lie in one band or in neighbours; each set is indexed for its own ba
 band below. The hashed universe is cut into m = H + 1 + SPARE segments; a pair with at most H differences agrees
 exactly in at least 1 + SPARE segments. Allocation by cost: a segment empty in a set is the costliest (it agrees with every
 other empty one), so a set skips its empty segments as long as they are at most SPARE, which leaves one agreement at
-least; sets with more of them index those too. So no linked pair is lost.
+least; sets with more of them index those too. So no linked pair is lost. For the same reason linked sets share at
+least 1 + SPARE - (fewest empty segments of the two) signatures, and sets or pairs that share fewer are dropped unseen.
 
 Candidates. Signatures are cut into slices, grouped inside each task first (a signature held by a third of all sets costs
 one entry a task), then across tasks. Members of a signature point to its smallest member. Each set is first verified
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from castwright.llm.common import checked, land, marked, maybe_in, prefiltered, text_bytes
 from castwright.llm.graph import components
 
-WORDS, PERCENT, SPARE, LIGHT, FLUSH, CACHE = 4, 85, 2, 48, 3_000_000, 500_000
+WORDS, PERCENT, SPARE, LIGHT, FLUSH, CACHE = 4, 85, 3, 48, 3_000_000, 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -90,10 +91,10 @@ def differences(band: int, percent: int = PERCENT) -> int:
     return (100 - percent) * (small + small * 100 // percent) // (100 + percent)
 
 
-def signatures(tokens: np.ndarray, percent: int = PERCENT, deletions: bool = False) -> np.ndarray:
-    """All signatures of a set: for its own band, and for the band below as the larger partner."""
+def signatures(tokens: np.ndarray, percent: int = PERCENT, deletions: bool = False) -> tuple[np.ndarray, int]:
+    """All signatures of a set: for its own band, and for the band below as the larger partner; and its most empty segments."""
     own = int(np.searchsorted(bands(percent), len(tokens), "right")) - 1
-    out = []
+    out, most = [], 0
     for band in (own, own - 1):
         h = differences(band, percent) if band >= 0 else 0
         if not h:  # such sets would have to be equal, and equal sets are one class
@@ -108,14 +109,15 @@ def signatures(tokens: np.ndarray, percent: int = PERCENT, deletions: bool = Fal
             out += [mixed(sums + salt), mixed(sums[segment] - spread + salt[segment])]
             continue
         empty = np.bincount(segment, minlength=m) == 0
-        keep = ~empty if empty.sum() <= SPARE else slice(None)
-        out.append(mixed(sums + salt)[keep])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        count = int(empty.sum())
+        most = max(most, count)
+        out.append(mixed(sums + salt)[~empty if count <= SPARE else slice(None)])
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), most
 
 
 _RECORD = np.dtype([("sig", "<u4"), ("cls", "<i8")])
 _MEMBER = np.dtype([("sig", "<i8"), ("cls", "<i8")])
-_DOC = np.dtype([("doc_id", "<i8"), ("known", "?"), ("n", "<i8"), ("cls", "<i8"), ("tid", "<i8")])
+_DOC = np.dtype([("doc_id", "<i8"), ("known", "?"), ("n", "<i8"), ("cls", "<i8"), ("tid", "<i8"), ("least", "<i8")])
 _ARROW = pa.schema([("slice", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
 _PACKED = "slice int, kind byte, data binary"
 
@@ -173,8 +175,8 @@ def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     again = (np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(found) else np.zeros(0, bool)
     twice, docs = np.concatenate([np.zeros(0, _MEMBER), *parts[1]]), np.concatenate([np.zeros(0, _DOC), *parts[2]])
     sig = np.concatenate([np.int64(key[0]) << 32 | found["sig"][again].astype(np.int64), twice["sig"]])
-    out = {c: pd.array(np.concatenate([np.zeros(len(sig), np.int64), docs[c]]), "Int64") for c in ("doc_id", "n", "tid")}
-    for c in ("n", "tid"):
+    out = {c: pd.array(np.concatenate([np.zeros(len(sig), np.int64), docs[c]]), "Int64") for c in ("doc_id", "n", "tid", "least")}
+    for c in ("n", "tid", "least"):
         out[c][: len(sig)] = pd.NA
     out["doc_id"][np.concatenate([np.ones(len(sig), bool), ~docs["known"]])] = pd.NA
     whole = pd.array(np.concatenate([sig, np.zeros(len(docs), np.int64)]), "Int64")
@@ -184,7 +186,7 @@ def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def met(packed: DataFrame) -> DataFrame:
     """The landed output of all slices: rows of members (sig not null) and of documents (n not null)."""
-    return land(packed.groupBy("slice").applyInPandas(meet, "sig long, cls long, doc_id long, n long, tid long"))
+    return land(packed.groupBy("slice").applyInPandas(meet, "sig long, cls long, doc_id long, n long, tid long, least long"))
 
 
 def members(gathered: DataFrame) -> DataFrame:
@@ -194,13 +196,28 @@ def members(gathered: DataFrame) -> DataFrame:
     return land(rows.join(shared, "sig").distinct())
 
 
+def pruned(entries: DataFrame, facts: DataFrame) -> DataFrame:
+    """Entries of the classes that share as many signatures as a linked one must."""
+    enough = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("shared")).join(facts, "cls").where("shared >= least").select("cls")
+    return members(entries.join(enough, "cls", "left_semi"))
+
+
 def pointers(entries: DataFrame) -> DataFrame:
-    """For each class the pair (a, b) with the signature head a that it shares most signatures with."""
+    """For each class the pair (a, b) with the signature head a that it shares most signatures with, if several."""
     heads = entries.groupBy("sig").agg(F.min("cls").alias("a"))
-    shared = entries.join(heads, "sig").where("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    shared = entries.join(heads, "sig").where("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     return shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
+def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, maybe shared) whose sizes allow a link, and that share enough signatures."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(facts.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("least").alias(f"least{side}")), side)
+    sized = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return (sized.where("shared >= greatest(leasta, leastb)") if "shared" in pairs.columns else sized).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by their full sets."""
 
@@ -214,10 +231,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             out.append(100 * common >= percent * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b")
-    heads = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    sized = right.join(heads, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return land(sized.where(F.pandas_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct())
+    right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
+    heads = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
+    return land(right.join(heads, "a").where(F.pandas_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct())
 
 
 def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -228,9 +244,9 @@ def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def across(placed: DataFrame) -> DataFrame:
-    """Pairs of classes that share a signature and lie in different components."""
+    """Pairs (a, b, shared) of classes that share signatures and lie in different components."""
     left, right = placed.select("sig", F.col("cls").alias("a"), F.col("root").alias("ra")), placed.select("sig", F.col("cls").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, "sig").where("ra < rb").select("a", "b").distinct()
+    return left.join(right, "sig").where("ra < rb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -254,7 +270,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
                 if cls and cls not in seen:
                     if len(seen) < FLUSH:
                         seen.add(cls)
-                    gather.add(signatures(tokens, percent), cls)
+                    sigs, empty = signatures(tokens, percent)
+                    docs["least"][i] = 1 + SPARE - min(empty, SPARE)
+                    gather.add(sigs, cls)
                     if gather.size >= FLUSH:
                         yield from gather.flush()
             yield from gather.aside(2, docs)
@@ -262,10 +280,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     gathered = met(rows.mapInArrow(index, _PACKED))
     slim = gathered.where("n is not null").select("doc_id", "n", "cls", "tid")
-    entries = members(gathered)
-    pairs = land(pointers(entries))
+    facts = land(gathered.where("n is not null and cls <> 0").groupBy("cls").agg(F.max("n").alias("n"), F.max("least").alias("least"), F.min("tid").alias("tid")))
+    entries = pruned(members(gathered), facts)
+    pairs = land(possible(pointers(entries), facts, percent))
     # Sets of every class that shares a signature with another, from one text each.
-    wanted = land(slim.join(entries.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("tid").alias("tid")).select("tid"))
+    wanted = land(facts.join(entries.select("cls").distinct(), "cls", "left_semi").select("tid"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -284,8 +303,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     links = verified(pairs, sets, percent)
     roots = components(links)
     placed = with_roots(entries, roots)
-    light = across(placed.where(F.col("members") <= LIGHT)).join(pairs, ["a", "b"], "left_anti")
-    more = verified(light, sets, percent)
+    # A pair that also shares a heavy signature may fall short here; it is found below.
+    light = possible(across(placed.where(F.col("members") <= LIGHT)), facts, percent).join(pairs, ["a", "b"], "left_anti")
+    more = verified(land(light), sets, percent)
     links = links.unionByName(more)
     roots = components(links)
     heavy = with_roots(placed.where(F.col("members") > LIGHT).select("sig", "cls"), roots).select("cls").distinct()
@@ -294,15 +314,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         gather = Gather(slices)
         for batch in batches:
             for cls, tokens in zip(batch["cls"].to_pylist(), batch["tokens"], strict=True):
-                gather.add(signatures(np.frombuffer(tokens.as_py(), np.uint64), percent, deletions=True), cls)
+                gather.add(signatures(np.frombuffer(tokens.as_py(), np.uint64), percent, deletions=True)[0], cls)
                 if gather.size >= FLUSH:
                     yield from gather.flush()
         yield from gather.flush()
 
     again = members(met(sets.join(heavy, "cls", "left_semi").select("cls", "tokens").mapInArrow(deletions, _PACKED)))
-    links = links.unionByName(verified(pointers(again), sets, percent))
+    links = links.unionByName(verified(land(possible(pointers(again), facts, percent)), sets, percent))
     placed = with_roots(again, components(links))
-    links = links.unionByName(verified(across(placed), sets, percent))
+    links = links.unionByName(verified(land(possible(across(placed).drop("shared"), facts, percent)), sets, percent))
     roots = components(links)
 
     least = slim.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least"))

@@ -69,7 +69,7 @@ def test_ngram_join(docs, none):
 def test_ngram_heavy_signatures(spark, monkeypatch):
     """Signatures of many unlinked sets go through one-deletion neighbourhoods."""
     monkeypatch.setattr(ngram_join, "LIGHT", 2)
-    monkeypatch.setattr(ngram_join, "SPARE", 0)
+    monkeypatch.setattr(ngram_join, "SPARE", 1)
     shared = prose(60)
     texts = [shared + " " + prose(40) for _ in range(25)]
     texts += [changed(t, 0.01) for t in texts[:8]]
