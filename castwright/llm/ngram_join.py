@@ -5,11 +5,11 @@ a class, known by a 64-bit hash of the set; all further work is on classes.
 
 Segments. Linked sets differ in at most H shingles, H from the larger sizes of their size band. Bands grow by 1 / threshold, so
 linked sets lie in one band or in neighbours; each set is indexed for its own band and as the larger partner for the
-band below. The hashed universe is cut into m = H + 1 + SPARE segments; a pair with at most H differences agrees
-exactly in at least 1 + SPARE segments. Allocation by cost: a segment empty in a set is the costliest (it agrees with every
-other empty one), so a set skips its empty segments as long as they are at most SPARE, which leaves one agreement at
+band below. The hashed universe is cut into m = H + 1 + spare segments (spare grows with H); a pair with at most H differences
+agrees exactly in at least 1 + spare segments. Allocation by cost: a segment empty in a set is the costliest (it agrees with every
+other empty one), so a set skips its empty segments as long as they are at most spare, which leaves one agreement at
 least; sets with more of them index those too. So no linked pair is lost. For the same reason linked sets share at
-least 1 + SPARE - (fewest empty segments of the two) signatures, and sets or pairs that share fewer are dropped unseen.
+least 1 + spare - (fewest empty segments of the two) signatures, and sets or pairs that share fewer are dropped unseen.
 
 Candidates. Signatures are cut into slices, grouped inside each task first (a signature held by a third of all sets costs
 one entry a task), then across tasks. Members of a signature point to its smallest member. Each set is first verified
@@ -92,14 +92,15 @@ def differences(band: int, percent: int = PERCENT) -> int:
 
 
 def signatures(tokens: np.ndarray, percent: int = PERCENT, deletions: bool = False) -> tuple[np.ndarray, int]:
-    """All signatures of a set: for its own band, and for the band below as the larger partner; and its most empty segments."""
+    """All signatures of a set: for its own band, and for the band below as the larger partner; and how many a linked set shares at least."""
     own = int(np.searchsorted(bands(percent), len(tokens), "right")) - 1
-    out, most = [], 0
+    out, least = [], 1 << 40
     for band in (own, own - 1):
         h = differences(band, percent) if band >= 0 else 0
         if not h:  # such sets would have to be equal, and equal sets are one class
             continue
-        m = (h + 2) // 2 if deletions else h + 1 + SPARE
+        spare = SPARE + h // 40  # of about 250 segments one is empty by chance
+        m = (h + 2) // 2 if deletions else h + 1 + spare
         segment = (mixed(tokens + np.uint64(7 * band + 1)) % np.uint64(m)).astype(np.int64)
         spread = mixed(tokens ^ _FACTORS[1])
         sums = np.zeros(m, np.uint64)
@@ -110,9 +111,9 @@ def signatures(tokens: np.ndarray, percent: int = PERCENT, deletions: bool = Fal
             continue
         empty = np.bincount(segment, minlength=m) == 0
         count = int(empty.sum())
-        most = max(most, count)
-        out.append(mixed(sums + salt)[~empty if count <= SPARE else slice(None)])
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), most
+        least = min(least, 1 + spare - min(count, spare))
+        out.append(mixed(sums + salt)[~empty if count <= spare else slice(None)])
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), least
 
 
 _RECORD = np.dtype([("sig", "<u4"), ("cls", "<i8")])
@@ -270,8 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
                 if cls and cls not in seen:
                     if len(seen) < FLUSH:
                         seen.add(cls)
-                    sigs, empty = signatures(tokens, percent)
-                    docs["least"][i] = 1 + SPARE - min(empty, SPARE)
+                    sigs, docs["least"][i] = signatures(tokens, percent)
                     gather.add(sigs, cls)
                     if gather.size >= FLUSH:
                         yield from gather.flush()
