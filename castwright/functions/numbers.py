@@ -19,10 +19,10 @@ NUMBER_START = "0123456789+-._in"
 PLAIN_DIGITS = r"^[0-9]+\z"
 SIGNED_DIGITS = r"^[+-]?[0-9]+\z"
 WHOLE = r"^[+-]?([0-9]+(\.0*)?|\.0+)\z"
-NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,18})?\z"
-NUMERIC = r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,18})?|(?i:inf|infinity|nan[0-9]*))\z"
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?0*[0-9]{1,18})?\z"
+NUMERIC = r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?0*[0-9]{1,18})?|(?i:inf|infinity|nan[0-9]*))\z"
 INFINITE = r"^[+-]?(?i:inf|infinity)\z"
-SCIENTIFIC = r"^[+-]?([0-9]*)\.?([0-9]*)[eE]([+-]?[0-9]{1,18})\z"
+SCIENTIFIC = r"^[+-]?([0-9]*)\.?([0-9]*)[eE]([+-]?0*[0-9]{1,18})\z"
 
 # A value other than zero with more digits than this is outside bigint.
 _BIGINT_DIGITS = 20

@@ -199,3 +199,11 @@ def test_rendered_timestamps_ignore_the_session_zone(spark):
         assert row[1] == "2021-03-14T02:30:00.500000+00:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_exponent_with_leading_zeros(spark):
+    from castwright.functions import numbers
+
+    for pattern in (numbers.NUMBER, numbers.NUMERIC):
+        found = spark.createDataFrame([("1e0000000000000000001",), ("1e" + "0" * 40 + "5",), ("1e" + "9" * 19,)], "v string").selectExpr(f"v RLIKE r'{pattern}' AS ok")
+        assert [r.ok for r in found.collect()] == [True, True, False]

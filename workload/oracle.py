@@ -35,7 +35,7 @@ def boolean(v: str) -> str:
 
 # --- numbers ----------------------------------------------------------------
 
-_NUMBER = r"'^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,18})?$'"
+_NUMBER = r"'^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?0*[0-9]{1,18})?$'"
 _GROUPED = r"'^[+-]?\d{1,3}(,\d{3})+(\.\d+)?([eE][+-]?\d+)?$'"
 
 
