@@ -23,8 +23,9 @@ Verification compares the full shingle sets of both classes. Links inside one co
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from castwright.llm.common import checked, land, marked, maybe_in, prefiltered, text_bytes
 from castwright.llm.graph import components
 
-WORDS, PERCENT, SPARE, LIGHT, FLUSH, CACHE = 4, 85, 3, 48, 3_000_000, 500_000
+WORDS, PERCENT, SPARE, LIGHT, FLUSH, PIECE, LONG = 4, 85, 3, 48, 3_000_000, 1 << 19, 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -48,25 +49,85 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTES, _STEP = mixed(np.arange(1, 257, dtype=np.uint64)), 0x9E3779B97F4A7C15
 
 
-def shingles(text: bytes, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+@cache
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of `_STEP` and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.full(1 << bits, x, np.uint64)) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of some bytes, at least one: a polynomial of its bytes, taken from running sums; long words by xxhash."""
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = np.concatenate([[0][: not space[0]], edges, [len(data)][: not space[-1]]]).astype(np.int64)
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers(max(len(data).bit_length(), 20))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    out = mixed((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out, starts
+
+
+def pieces(data: bytes) -> Iterator[np.ndarray]:
+    """The bytes, cut at white space about every `PIECE`, so that a very long text takes little memory."""
+    start = 0
+    while start < len(data):
+        cut = _WHITE.search(data, start + PIECE)
+        end = cut.end() if cut else len(data)
+        yield np.frombuffer(data, np.uint8, end - start, start)
+        start = end
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, a text without words none."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.array([*map(hashes.__getitem__, found)], np.uint64)
-    k = min(words, len(h))
-    total = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        total += mixed(h[i : len(h) - k + 1 + i] + np.uint64(i)) * _FACTORS[i % 4] + np.uint64(i // 4)
-    return np.unique(mixed(total + np.uint64(k)))
+    return shingle_sets([text], words)[0]
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """The shingles of each text. All words of the texts are hashed as one row; a shingle sums its words' hashes by place."""
+    hashes, starts, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for part in pieces(b" ".join(texts).lower()):
+        found, at = word_hashes(part)
+        hashes.append(found)
+        starts.append(at + base)
+        base += len(part)
+    h = np.concatenate(hashes)
+    firsts = np.searchsorted(np.concatenate(starts), np.cumsum([0] + [len(text) + 1 for text in texts])).tolist()
+    places = mixed(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+    total = np.zeros(max(len(h) - words + 1, 0), np.uint64)
+    for i in range(words):
+        total += h[i : i + len(total)] * places[i]
+    total = mixed(total + np.uint64(words))
+    out = []
+    for start, end in zip(firsts, firsts[1:]):
+        n = end - start
+        if n >= words:
+            found = np.sort(total[start : end - words + 1])
+            new = found[1:] != found[:-1]
+            out.append(found if new.all() else found[np.concatenate([[True], new])])
+        else:
+            out.append(mixed((h[start:end] * places[:n]).sum(keepdims=True) + np.uint64(n)) if n else h[:0])
+    return out
+
+
+def in_chunks(texts: Iterable[bytes], most: int = 1 << 18) -> Iterator[list[bytes]]:
+    """Texts, in order, about `most` bytes at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -95,14 +156,15 @@ def signatures(tokens: np.ndarray, percent: int = PERCENT, deletions: bool = Fal
     """All signatures of a set: for its own band, and for the band below as the larger partner; and how many a linked set shares at least."""
     own = int(np.searchsorted(bands(percent), len(tokens), "right")) - 1
     out, least = [], 1 << 40
+    spread = mixed(tokens ^ _FACTORS[1])
     for band in (own, own - 1):
         h = differences(band, percent) if band >= 0 else 0
         if not h:  # such sets would have to be equal, and equal sets are one class
             continue
         spare = SPARE + h // 40  # of about 250 segments one is empty by chance
         m = (h + 2) // 2 if deletions else h + 1 + spare
-        segment = (mixed(tokens + np.uint64(7 * band + 1)) % np.uint64(m)).astype(np.int64)
-        spread = mixed(tokens ^ _FACTORS[1])
+        turn = mixed(np.array([band + 1], np.uint64)) | np.uint64(1)
+        segment = ((tokens * turn >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, segment, spread)
         salt = mixed(np.arange(m, dtype=np.uint64) + np.uint64(band << 32 | deletions << 62))
@@ -152,7 +214,7 @@ class Gather:
         sigs, classes = np.concatenate(self.sigs), np.concatenate(self.classes)
         self.sigs, self.classes, self.size = [], [], 0
         home, short = (sigs >> np.uint64(32)).astype(np.int64) % self.slices, (sigs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.lexsort((classes, short, home))
+        order = np.argsort(home << 32 | short)
         home, short, classes = home[order], short[order], classes[order]
         first = np.concatenate([[True], (home[1:] != home[:-1]) | (short[1:] != short[:-1])])
         again = ~first | np.concatenate([~first[1:], [False]])
@@ -171,7 +233,7 @@ def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Of one slice: members (sig, cls) of repeated signatures, and the rows that travelled aside."""
     parts = {k: [np.frombuffer(x, t) for x in rows["data"][rows["kind"] == k]] for k, t in ((0, _RECORD), (1, _MEMBER), (2, _DOC))}
     found = np.concatenate([np.zeros(0, _RECORD), *parts[0]])
-    found = found[np.lexsort((found["cls"], found["sig"]))]
+    found = found[np.argsort(found["sig"].astype(np.int64))]
     same = found["sig"][1:] == found["sig"][:-1]
     again = (np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(found) else np.zeros(0, bool)
     twice, docs = np.concatenate([np.zeros(0, _MEMBER), *parts[1]]), np.concatenate([np.zeros(0, _DOC), *parts[2]])
@@ -260,13 +322,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     slices = max(8, 2 * rows.rdd.getNumPartitions())
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, gather, seen = WordHashes(), Gather(slices), set()
+        gather, seen = Gather(slices), set()
         for batch in batches:
             docs = np.zeros(batch.num_rows, _DOC)
             docs["doc_id"], docs["known"] = batch["doc_id"].fill_null(0), batch["doc_id"].is_valid()
             docs["tid"] = batch["tid"]
-            for i, text in enumerate(text_bytes(batch["text"])):
-                tokens = shingles(text, hashes, words)
+            sets = (tokens for part in in_chunks(text_bytes(batch["text"])) for tokens in shingle_sets(part, words))
+            for i, tokens in enumerate(sets):
                 docs["n"][i], docs["cls"][i] = len(tokens), (cls := class_of(tokens))
                 if cls and cls not in seen:
                     if len(seen) < FLUSH:
@@ -287,14 +349,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     wanted = land(facts.join(entries.select("cls").distinct(), "cls", "left_semi").select("tid"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
-            found = []
+            fresh = []
             for tid, text in zip(batch["tid"].to_pylist(), text_bytes(batch["text"]), strict=True):
                 if tid not in seen:  # copies of a text stand together
                     if len(seen) < FLUSH:
                         seen.add(tid)
-                    found.append(shingles(text, hashes, words))
+                    fresh.append(text)
+            found = [tokens for part in in_chunks(fresh) for tokens in shingle_sets(part, words)]
             yield pa.RecordBatch.from_pydict({"cls": pa.array([class_of(x) for x in found], pa.int64()), "n": pa.array([len(x) for x in found], pa.int64()), "tokens": pa.array([x.tobytes() for x in found], pa.binary())})
 
     texts = prefiltered(rows.select("tid", "text"), maybe_in(wanted, "tid"), "tid").join(wanted, "tid", "left_semi")

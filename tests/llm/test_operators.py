@@ -74,8 +74,7 @@ def test_ngram_heavy_signatures(spark, monkeypatch):
     texts = [shared + " " + prose(40) for _ in range(25)]
     texts += [changed(t, 0.01) for t in texts[:8]]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    hashes = ngram_join.WordHashes()
-    sets = [set(ngram_join.shingles(t.encode(), hashes).tolist()) for t in texts]
+    sets = [set(ngram_join.shingles(t.encode()).tolist()) for t in texts]
     links = {(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame).collect()}
     assert all(got[i] == got[j] for i, j in links)
