@@ -27,44 +27,45 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwright.llm.common import checked, land, marked, maybe_in
+from castwright.llm.words import in_chunks, pieces, word_hashes
 
 STRIDE, TERMS, RANK, COMMON, COSINE, BITS, SURE, LIKELY, SHORT, ITEMS = 24, 1 << 16, 48, 0.1, 0.3, 0.45, 0.75, 0.6, 10, 4096
-CACHE, SLICES, WIDTH = 500_000, 64, 256
+SLICES, WIDTH = 64, 256
 STRIP = ".,;:!?\"'()[]{}<>%#&$*|-_/\\"
+_MARKS = np.isin(np.arange(256), [*STRIP.encode()])
 
 
-class Terms(dict):
-    """32-bit hash of each word; words of marks only have none (-1)."""
+def hashed(text: str) -> np.ndarray:
+    return all_hashed([text])[0]
 
-    def __missing__(self, word: str) -> int:
-        core = word.strip(STRIP)
-        value = xxhash.xxh32_intdigest(core.encode("utf-8", "surrogatepass")) if core else -1
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value
-        return value
 
-
-def hashed(text: str, terms: Terms) -> np.ndarray:
-    found = np.array([*map(terms.__getitem__, text.lower().split())], np.int64)
-    return found[found >= 0].astype(np.uint32)
+def all_hashed(texts: list[str]) -> list[np.ndarray]:
+    """32-bit hashes of the words of each text; words of marks only have none."""
+    data = [(x if x.isascii() else " ".join(x.split())).lower().encode("utf-8", "surrogatepass") for x in texts]
+    hashes, starts, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for part in pieces(b" ".join(data)):
+        found, at = word_hashes(part, _MARKS)
+        hashes.append(found)
+        starts.append(at + base)
+        base += len(part)
+    ids = (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32)
+    firsts = np.searchsorted(np.concatenate(starts), np.cumsum([0] + [len(x) + 1 for x in data]))
+    return [ids[a:b] for a, b in zip(firsts, firsts[1:])]
 
 
 def words_table(docs: DataFrame) -> DataFrame:
     """Landed doc_id, ids (little-endian 32-bit word hashes); documents without words are left out, as they match nothing."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
         for batch in batches:
             keys, out = [], []
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = hashed(text.as_py() or "", terms)
+            found = (ids for part in in_chunks(text.as_py() or "" for text in batch["text"]) for ids in all_hashed(part))
+            for key, ids in zip(batch["doc_id"].to_pylist(), found, strict=True):
                 if len(ids):
                     keys.append(key)
                     out.append(ids.astype("<u4").tobytes())
@@ -244,8 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = []
     for block in range(max(blocks, 1)):
         own = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1))) == block).collect()  # about ITEMS rows
-        terms = Terms()
-        known = [(r["item_id"], ids) for r in own if len(ids := hashed(r["text"], terms))]
+        known = [(r["item_id"], ids) for r in own if len(ids := hashed(r["text"]))]
         parts.append(words.mapInArrow(_searcher(known, shared), shape))
     found = parts[0]
     for part in parts[1:]:
@@ -264,9 +264,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Terms()
     for batch in batches:
-        found = [hashed(t.as_py() or "", known) % TERMS for t in batch["text"]]
+        found = [hashed(t.as_py() or "") % TERMS for t in batch["text"]]
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.unique(np.concatenate([np.zeros(0, np.uint32), *found])).astype(np.int32))})
 
 

@@ -23,9 +23,8 @@ Verification compares the full shingle sets of both classes. Links inside one co
 
 from __future__ import annotations
 
-import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -37,54 +36,12 @@ from pyspark.sql import functions as F
 
 from castwright.llm.common import checked, land, marked, maybe_in, prefiltered, text_bytes
 from castwright.llm.graph import components
+from castwright.llm.words import in_chunks, mixed, pieces, word_hashes
 
-WORDS, PERCENT, SPARE, LIGHT, FLUSH, PIECE, LONG = 4, 85, 3, 48, 3_000_000, 1 << 19, 64
+WORDS, PERCENT, SPARE, LIGHT, FLUSH = 4, 85, 3, 48, 3_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective finisher on 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_WHITE = re.compile(rb"[\x20\x09-\x0D]")
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_BYTES, _STEP = mixed(np.arange(1, 257, dtype=np.uint64)), 0x9E3779B97F4A7C15
-
-
-@cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2 ** bits powers of `_STEP` and of its inverse, modulo 2 ** 64."""
-    return tuple(np.cumprod(np.full(1 << bits, x, np.uint64)) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of some bytes, at least one: a polynomial of its bytes, taken from running sums; long words by xxhash."""
-    space = _SPACE[data]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    edges = np.concatenate([[0][: not space[0]], edges, [len(data)][: not space[-1]]]).astype(np.int64)
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(max(len(data).bit_length(), 20))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    out = mixed((sums[ends] - sums[starts]) * down[starts])
-    for i in np.flatnonzero(ends - starts > LONG):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    return out, starts
-
-
-def pieces(data: bytes) -> Iterator[np.ndarray]:
-    """The bytes, cut at white space about every `PIECE`, so that a very long text takes little memory."""
-    start = 0
-    while start < len(data):
-        cut = _WHITE.search(data, start + PIECE)
-        end = cut.end() if cut else len(data)
-        yield np.frombuffer(data, np.uint8, end - start, start)
-        start = end
-
-
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, a text without words none."""
     return shingle_sets([text], words)[0]
@@ -117,19 +74,6 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def in_chunks(texts: Iterable[bytes], most: int = 1 << 18) -> Iterator[list[bytes]]:
-    """Texts, in order, about `most` bytes at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def class_of(tokens: np.ndarray) -> int:
     """A signed 64-bit name of the set; never 0, which stands for the empty set."""
     if not len(tokens):

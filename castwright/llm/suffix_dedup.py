@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwright.llm.common import checked, land, marked, maybe_in, text_bytes
-from castwright.llm.ngram_join import mixed
+from castwright.llm.words import mixed
 
 LENGTH, GRAM, HOT, ROWS = 400, 100, 2048, 50_000
 _SPREAD = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
