@@ -18,7 +18,8 @@ up to `LIGHT` members, their pairs across components are verified. Sets of large
 twice as large with one-deletion neighbourhoods (m = ceil((H + 1) / 2), a linked pair differs by at most one shingle in some
 segment), and all pairs across components of those signatures are verified.
 
-Verification compares the full shingle sets of both classes. Links inside one component are not enumerated further.
+Verification first compares parity sketches, which bound the differences from below, so that only pairs
+close to the threshold move their sets; then the full shingle sets of both classes. Links inside one component are not enumerated further.
 """
 
 from __future__ import annotations
@@ -225,8 +226,37 @@ def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return (sized.where("shared >= greatest(leasta, leastb)") if "shared" in pairs.columns else sized).select("a", "b")
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each of 2 to 4 buckets a token (a power of two, by low bits), a bit each: about 1/25 of the set."""
+    buckets = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fewest_differences(a: bytes, b: bytes) -> int:
+    """Two sets differ in at least as many tokens as their sketches do in parities; a longer sketch is folded."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    short = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def hopeful(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow a link: linked sets of S tokens in all differ in at most S * (100 - percent) / (100 + percent)."""
+
+    def allowed(left: pd.Series, right: pd.Series, total: pd.Series) -> pd.Series:
+        found = zip(left, right, total, strict=True)
+        return pd.Series([fewest_differences(x, y) * (100 + percent) <= n * (100 - percent) for x, y, n in found], dtype=bool)
+
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    kept = pairs.where(F.pandas_udf(allowed, "boolean")("sa", "sb", F.col("na") + F.col("nb")))
+    return land(kept.select("a", "b").distinct())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by their full sets."""
+    """The pairs (a, b) whose sets reach the threshold: by sketches, which lose no such pair, then by their full sets."""
+    pairs = hopeful(pairs, sets, percent)
 
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
@@ -302,10 +332,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
                         seen.add(tid)
                     fresh.append(text)
             found = [tokens for part in in_chunks(fresh) for tokens in shingle_sets(part, words)]
-            yield pa.RecordBatch.from_pydict({"cls": pa.array([class_of(x) for x in found], pa.int64()), "n": pa.array([len(x) for x in found], pa.int64()), "tokens": pa.array([x.tobytes() for x in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"cls": pa.array([class_of(x) for x in found], pa.int64()), "n": pa.array([len(x) for x in found], pa.int64()), "tokens": pa.array([x.tobytes() for x in found], pa.binary()), "sketch": pa.array([sketch(x) for x in found], pa.binary())})
 
     texts = prefiltered(rows.select("tid", "text"), maybe_in(wanted, "tid"), "tid").join(wanted, "tid", "left_semi")
-    sets = land(texts.mapInArrow(rebuild, "cls long, n long, tokens binary"))  # a class may come twice, from parts of a split partition
+    sets = land(texts.mapInArrow(rebuild, "cls long, n long, tokens binary, sketch binary"))  # a class may come twice, from parts of a split partition
 
     links = verified(pairs, sets, percent)
     roots = components(links)

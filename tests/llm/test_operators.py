@@ -81,6 +81,17 @@ def test_ngram_heavy_signatures(spark, monkeypatch):
     assert len(set(got.values())) == len(texts) - len(links)  # here every link joins two documents
 
 
+def test_sketches_never_exceed_the_differences():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 31, 32, 33, 500, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for change in (0, 1, size // 10, size):
+            b = np.unique(np.concatenate([a[change:], rng.integers(0, 1 << 63, max(2 * change, not len(a[change:]))).astype(np.uint64)]))
+            least = ngram_join.fewest_differences(ngram_join.sketch(a), ngram_join.sketch(b))
+            assert least <= len(np.setxor1d(a, b))
+            assert change < size // 2 or size < 31 or least > size // 4  # sets without a common token are told apart
+
+
 def test_one_of_each(docs):
     kept = ngram_join.one_of_each(docs, percent=85, words=4)
     components = {(r.doc_id, r.root) for r in ngram_join.near_duplicates(docs).where("cls <> 0").collect()}
