@@ -59,6 +59,7 @@ def land(df: DataFrame, *partition_by: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to: its cleaner acts when the driver collects garbage."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -76,9 +76,10 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndar
 
     known = checked(docs, "doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "label")
     sums = known.mapInArrow(count, "bucket int, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    found = sums.toPandas()  # BUCKETS rows at most
+    found = sums.select("bucket", F.col("n1").cast("float"), F.col("n0").cast("float")).toArrow()  # BUCKETS rows at most
     out = np.zeros((2, BUCKETS), np.float32)
-    out[1, found["bucket"]], out[0, found["bucket"]] = found["n1"], found["n0"]
+    for y, name in ((1, "n1"), (0, "n0")):
+        out[y, found["bucket"].to_numpy()] = found[name].to_numpy()
     return out[1], out[0]
 
 
