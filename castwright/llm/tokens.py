@@ -35,6 +35,8 @@ from castwright.llm.common import checked, land
 BLOCK, LANE, LIMIT, CACHE = 1 << 16, 128, 18, 1_200_000
 # Fixed: marks that end a word, of those that never join a letter (an apostrophe may).
 MARKS = ".,;:!?%#&$*"
+# The pairs of the white space that a text may be cut at.
+PAIRS = ("  ", " \n", "\n ", "\n\n")
 # Letters below this are letters in every Unicode version.
 LATIN = "\u0250"
 PROBES = ["the", "Unlikely", "\u00e9t\u00e9s", "\u017bubr", "zqxj"]
@@ -46,9 +48,10 @@ class Pieces:
     """Ids of words, as bytes, so that a task asks the library once for each word.
 
     A byte-level vocabulary splits a text before it merges: a word takes at most one space before it, and letters
-    are split from marks. So where no two white space characters meet, a text may be cut before every space, around
-    every line break, and between a letter and the ASCII marks that end a word, without changing an id. Any other text goes
-    to the library whole. At `CACHE` words the store starts anew, so it stays small whatever the corpus.
+    are split from marks. So where no two white space characters meet, none stands at an end, and all are single spaces or
+    line breaks, a text may be cut before every space, around every line break, and between a letter and the ASCII marks that
+    end a word, without changing an id. The cut shows it: each piece is then one run without white space, but for a line break
+    before it. Any other text goes to the library whole. At `CACHE` words the store starts anew, so it stays small whatever the corpus.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -72,6 +75,12 @@ class Pieces:
         """The text as byte-level vocabularies spell it: a visible character for each byte."""
         return text.encode().decode("latin-1").translate(SHOWN)
 
+    @staticmethod
+    def whole(piece: str) -> bool:
+        """Whether a piece is one run without white space (any that Unicode or Python knows), after a line break or none."""
+        run = piece[1:] if piece[:1] == "\n" else piece
+        return run.split() == [run]
+
     def learn(self, words: set[str]) -> None:
         """Ids of new words; those of letters only go to the library's model directly."""
         known = self.words
@@ -97,10 +106,14 @@ class Pieces:
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text."""
+        if any(map(text.__contains__, PAIRS)):
+            return self.encode(text)
         parts = text.replace("\n", " \n").split(" ")
-        if len(parts) != len(text.split()):  # other white space, or two such characters together
+        if not self.whole(parts[0]):
             return self.encode(text)
-        if missing := {*parts[1:]}.difference(self.words):
+        if missing := {*parts[1:]}.difference(self.words):  # the store holds whole pieces only
+            if not all(map(self.whole, missing)):
+                return self.encode(text)
             self.learn(missing)
             if {*parts[1:]}.difference(self.words):  # a full store was cleared in between
                 return self.encode(text)

@@ -153,6 +153,15 @@ def test_tokenizer_pieces_agree_with_the_library():
         assert np.frombuffer(pieces.of(text), "<u2").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokenizer_pieces_agree_on_white_space():
+    pieces = tokens.Pieces(tokenizer_path(), "<u2")
+    g = random.Random(11)
+    spaces = [" ", " ", " ", "\n", "\n", "\u00a0", "\t", "\r", "\x1c", "\u180e", "\u2003", "\u3000"]
+    mixes = ["".join(g.choice(spaces) if g.random() < 0.4 else g.choice(["a", "b", "it's", "x.", "\u00e9", "7"]) for _ in range(g.randint(1, 12))) for _ in range(20000)]
+    for text in ["a\n\u00a0\u00a0b", "a\u00a0b\u00a0c\n\n", "a\n", "\na", " a", "a\u00a0", *mixes]:
+        assert np.frombuffer(pieces.of(text), "<u2").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pii(spark, docs):
     noise = ["".join(rng.choice("a1@.+- 25(0)9é") for _ in range(300)) for _ in range(300)]
     noise += ["1.2.3.4.5.6.7.8", "a@b.c@d.e.f", "0001.2.3.255 256.1.1.1", "+1 (23) 4567-89012 4111111111111111", None, "9" * 3000, 'token = "186661156f3f9905942d70850a01cbf23a203f82"']
