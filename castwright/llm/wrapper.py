@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 1. One page of each host, by a hash of its id, is the reference. Every page's tree is aligned with the reference by simple
-   tree matching: roots must agree in tag, children are aligned in order for the largest number of matched nodes (dynamic
-   programming). Runs of equal-tagged leaves count as one node, so long texts stay cheap.
+   tree matching: roots must agree in tag and in being furniture, children are aligned in order for the largest number of
+   matched nodes of their whole subtrees (dynamic programming). A run of equal-tagged leaves is placed as one, with the
+   matched nodes of all its members as weight.
 2. Over all pages of the host, each reference node gets: pages matched, pages with the same text, characters. Nodes
    whose text never changes are template; those that vary are slots. Counts are summed per task first, so a host with
    a third of all pages is no hot group; the reference is the only page that meets others.
@@ -24,6 +25,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,14 +193,88 @@ class Page:
             node = best
 
 
+class Matching:
+    """Simple tree matching of two pages: the largest number of node pairs that agree in key, parents paired, in order.
+
+    Nodes with equal subtrees share a class, and a score is kept per pair of classes, so that long runs of equal
+    children cost one score. Scores are found from low subtrees up, without recursion, as broken pages nest deeply.
+    """
+
+    def __init__(self, a: Page, b: Page) -> None:
+        names: dict[tuple, int] = {}
+        self.kids: list[list[int]] = []  # of a class: its children's classes
+        self.keys: list[tuple[str, bool]] = []
+        self.sizes: list[int] = []
+        self.heights: list[int] = []
+        self.classes = tuple(self._classes(p, names) for p in (a, b))
+        self.known: dict[tuple[int, int], int] = {}
+        top = (self.classes[0][0], self.classes[1][0])
+        needed, stack = {top}, [top]
+        while stack:
+            x, y = stack.pop()
+            for c in {*self.kids[x]}:
+                for d in {*self.kids[y]}:
+                    if c != d and self.keys[c] == self.keys[d] and self.kids[c] and self.kids[d] and (c, d) not in needed:
+                        needed.add((c, d))
+                        stack.append((c, d))
+        for x, y in sorted(needed, key=lambda pair: self.heights[pair[0]]):
+            self.known[x, y] = 1 + self.run(self.kids[x], self.kids[y])
+
+    def _classes(self, page: Page, names: dict[tuple, int]) -> list[int]:
+        out = [0] * len(page.tags)
+        for i in range(len(out) - 1, -1, -1):  # children have higher numbers
+            kids = [out[k] for k in page.kids[i] if isinstance(k, int)]
+            name = (page.tags[i], page.junk[i], *kids)
+            if name not in names:
+                names[name] = len(names)
+                self.kids.append(kids)
+                self.keys.append(_key(page, i))
+                self.sizes.append(1 + sum(self.sizes[k] for k in kids))
+                self.heights.append(1 + max((self.heights[k] for k in kids), default=0))
+            out[i] = names[name]
+        return out
+
+    def score(self, x: int, y: int) -> int:
+        """Matched nodes of two subtrees, given by class; 0 if their roots do not agree."""
+        if x == y:
+            return self.sizes[x]
+        if self.keys[x] != self.keys[y]:
+            return 0
+        return self.known[x, y] if self.kids[x] and self.kids[y] else 1
+
+    def run(self, a: list[int], b: list[int]) -> int:
+        """Matched nodes of two runs of siblings, paired in order."""
+        start, end = 0, 0
+        least = min(len(a), len(b))
+        while start < least and a[start] == b[start]:  # pairing equal subtrees at an end is never worse
+            start += 1
+        while end < least - start and a[-1 - end] == b[-1 - end]:
+            end += 1
+        equal = sum(self.sizes[c] for c in a[:start]) + sum(self.sizes[c] for c in a[len(a) - end :])
+        a, b = a[start : len(a) - end], b[start : len(b) - end]
+        if not a or not b:
+            return equal
+        one, two = [*{*a}], [*{*b}]
+        table = np.array([[self.score(c, d) for d in two] for c in one], np.int64)
+        places = np.array([*map({d: j for j, d in enumerate(two)}.__getitem__, b)])
+        rows = {c: table[i, places] for i, c in enumerate(one)}
+        best = np.zeros(len(b) + 1, np.int64)
+        for c in a:
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[c]))
+        return equal + int(best[-1])
+
+
 def match(a: Page, b: Page) -> dict[int, list[int]]:
-    """Simple tree matching: for each node of `a` that is matched, its nodes in `b` (several for a run of leaves)."""
+    """For each node of `a` that is matched, its nodes in `b` (several for a run of leaves, which is placed as one)."""
+    matching = Matching(a, b)
+    ours, theirs = matching.classes
     found: dict[int, list[int]] = {0: [0]}
     queue = deque([(0, 0)])
     while queue:
         x, y = queue.popleft()
         left, right = a.shape(x), b.shape(y)
-        for i, j in align([_key(a, g[0]) for g in left], [_key(b, g[0]) for g in right], [_bulk(a, g) for g in left], [_bulk(b, g) for g in right]):
+        one, two = [[ours[n] for n in g] for g in left], [[theirs[n] for n in g] for g in right]
+        for i, j in align(one, two, matching):
             found[left[i][0]] = right[j]
             if len(left[i]) == 1 and len(right[j]) == 1:
                 queue.append((left[i][0], right[j][0]))
@@ -209,23 +285,27 @@ def _key(page: Page, node: int) -> tuple[str, bool]:
     return page.tags[node], page.junk[node]
 
 
-def _bulk(page: Page, group: list[int]) -> int:
-    return 1 + sum(sum(isinstance(k, int) for k in page.kids[n]) for n in group[:8])
-
-
-def align(a: list, b: list, wa: list[int], wb: list[int]) -> list[tuple[int, int]]:
-    """Pairs of equal keys in order with the largest total of matched nodes."""
+def align(a: list[list[int]], b: list[list[int]], matching: Matching) -> list[tuple[int, int]]:
+    """Pairs of groups (lists of classes of siblings) with equal keys, in order, with the largest total of matched nodes."""
     if a == b:
         return [(i, i) for i in range(len(a))]
+    pairs: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
+    both = [[0] * len(b) for _ in a]
+    for i, g in enumerate(a):
+        for j, h in enumerate(b):
+            if matching.keys[g[0]] == matching.keys[h[0]]:
+                name = (tuple(g), tuple(h))
+                if name not in pairs:
+                    pairs[name] = matching.score(g[0], h[0]) if len(g) == len(h) == 1 else matching.run(g, h)
+                both[i][j] = pairs[name]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            both = best[i + 1][j + 1] + min(wa[i], wb[j]) if a[i] == b[j] else -1
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], both)
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + both[i][j])
     i = j = 0
     out = []
     while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + min(wa[i], wb[j]):
+        if both[i][j] and best[i][j] == best[i + 1][j + 1] + both[i][j]:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i][j] == best[i + 1][j]:

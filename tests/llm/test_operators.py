@@ -257,6 +257,36 @@ def test_main_text(spark):
     assert wrapper.main_text(frame.limit(0)).count() == 0
 
 
+def test_tree_matching():
+    def brute(a, b, x, y):
+        if wrapper._key(a, x) != wrapper._key(b, y):
+            return 0
+        left, right = ([k for k in p.kids[n] if isinstance(k, int)] for p, n in ((a, x), (b, y)))
+        best = np.zeros((len(left) + 1, len(right) + 1), int)
+        for i, u in enumerate(left):
+            for j, v in enumerate(right):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + brute(a, b, u, v))
+        return 1 + best[-1, -1]
+
+    g = random.Random(4)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in g.choices(["div", "section", "b", "p", "i"], k=g.randint(0, 4))) if depth else "x"
+
+    for _ in range(300):
+        a, b = wrapper.Page(tree(3)), wrapper.Page(tree(3))
+        m = wrapper.Matching(a, b)
+        assert m.score(m.classes[0][0], m.classes[1][0]) == brute(a, b, 0, 0)
+    paragraphs = lambda n: "".join(f"<p>text {i}</p>" for i in range(n))
+    article = "<div><h2>a</h2><h3>b</h3><h4>c</h4></div><div>{}</div>"
+    a, b = wrapper.Page(article.format(paragraphs(20))), wrapper.Page("<div>" + "<a>link</a>" * 25 + "</div>" + article.format(paragraphs(5)))
+    found = wrapper.match(a, b)
+    tops = lambda p: [k for k in p.kids[0] if isinstance(k, int)]
+    assert [found[n] for n in tops(a)] == [[n] for n in tops(b)[1:]]
+    deep = wrapper.Page("<div>" * 5000 + "end")
+    assert len(wrapper.match(deep, wrapper.Page("<div>" * 4000 + "end"))) == 4001
+
+
 def test_decontamination(spark, none):
     items = [prose(40), prose(30), prose(70), prose(6), None, ""]
     texts = [prose(200) for _ in range(40)]
