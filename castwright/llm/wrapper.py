@@ -1,6 +1,8 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-1. One page of each host, by a hash of its id, is the reference. Every page's tree is aligned with the reference by simple
+1. Pages of a host are told apart by layout, the set of paths of their containers. A layout with at least `SURE` distinct
+   pages is a cluster, the other pages of the host are one more. "Host" below means such a cluster, "page" a distinct
+   content: copies count once. One page of each, by a hash of its id, is the reference. Every page's tree is aligned with the reference by simple
    tree matching: roots must agree in tag and in being furniture, children are aligned in order for the largest number of
    matched nodes of their whole subtrees (dynamic programming). A run of equal-tagged leaves is placed as one, with the
    matched nodes of all its members as weight.
@@ -8,10 +10,11 @@
    whose text never changes are template; those that vary are slots. Counts are summed per task first, so a host with
    a third of all pages is no hot group; the reference is the only page that meets others.
 3. The content region is the deepest node that holds most of the varying text, outside navigation and other furniture
-   known by tag, role or class name. A page's content is its node aligned with the region; if there is none, or the host
+   known by tag, role or class name. A word of class, id or role, or a form, marks no furniture where the subtrees it
+   marks hold most of the varying text (of an article or main element outside furniture, or else of the page). A page's content is its node aligned with the region; if there is none, or the host
    has one page, or all its pages are alike, the same rule is applied to the page's own text.
-4. Inside the region furniture is left out, and constant nodes (same text on every one of at least `SURE` pages, while the
-   region itself varies). Everything else stays, whole.
+4. Inside the region furniture is left out, and constant nodes (same text on every one of at least `SURE` pages and of
+   nine tenths of the region's pages, while the region itself varies). Everything else stays, whole.
 
 Null pages are empty and have empty text; a null or odd url counts as a host of its own kind (the empty host); pages alike
 come out alike; repeated rows stay rows. Broken markup (open tags, cut pages, stray ends) is read as browsers do in outline.
@@ -26,13 +29,15 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwright.llm.common import checked, land
 
-SURE, MOST = 5, 0.6
+SURE, MOST, DEEP = 5, 0.6, 6
+PLAIN = -1  # stands for a whole page without its furniture, in place of a node
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!])[^<]*\Z", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"\s+")
@@ -46,25 +51,55 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table select article section div body html".split())
-# Furniture of a page: by tag, and by words of class, id and role.
-TAGS = frozenset("head nav footer aside form button select dialog menu script style noscript template iframe svg math textarea title object canvas audio video".split())
+# Containers whose paths tell a page's layout; lists, quotations and tables belong to the text.
+FRAME = frozenset("html body div section article main center td".split())
+# Furniture of a page: by tag, and, where they do not hold most of the text, by words of class, id and role, and forms.
+TAGS = frozenset("head nav footer aside button select dialog menu script style noscript template iframe svg math textarea title object canvas audio video".split())
 WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer contentinfo sidebar complementary aside ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search popup modal overlay pagination pager skip masthead topbar toolbar widget".split()
 )
 
 
+def checksums(texts: list[str]) -> bytes:
+    """Four bytes for each text."""
+    return b"".join(zlib.crc32(t.encode("utf-8", "replace")).to_bytes(4, "big") for t in texts)
+
+
 class Page:
-    """A page's tree: per node tag, parent, children (texts and node numbers in order), furniture or not."""
+    """A page's tree: per node tag, parent, children (texts and node numbers in order), furniture words, furniture or not."""
 
-    __slots__ = ("tags", "parents", "kids", "junk", "sizes")
+    __slots__ = ("tags", "parents", "kids", "hard", "words", "marked", "junk", "sizes")
 
     def __init__(self, source: str) -> None:
-        self.tags, self.parents, self.kids, self.junk = ["#"], [-1], [[]], [False]
+        self.tags, self.parents, self.kids, self.hard, self.words = ["#"], [-1], [[]], [False], [frozenset()]
         self.read(source)
         self.sizes = None
+        self.junk = self.hard
+        self.judge(frozenset())
+        self.marked = self.junk  # as matching sees it, whatever is judged later
+
+    def judge(self, free: frozenset[str]) -> None:
+        """Settle what is furniture: by tag, or by a word that is not among `free`; all below it too."""
+        junk = self.hard.copy()
+        for i in range(1, len(junk)):
+            junk[i] = junk[i] or junk[self.parents[i]] or not self.words[i] <= free
+        self.junk = junk
+
+    def digests(self, runs: list[list[int]]) -> list[int]:
+        """A checksum of the text of each run of nodes, without furniture by tag; the first without any furniture."""
+        self.junk = self.marked
+        out = [zlib.crc32(checksums(self.blocks(runs[0][0])))]
+        self.junk = self.hard
+        spans: dict[int, tuple[int, int]] = {}
+        page = checksums(self.blocks(0, spans=spans))
+        spans[0] = (0, len(page) // 4)
+        for nodes in runs[1:]:
+            parts = [page[4 * spans[n][0] : 4 * spans[n][1]] if n in spans else checksums(self.blocks(n)) for n in nodes]
+            out.append(zlib.crc32(b"".join(parts)))
+        return out
 
     def read(self, source: str) -> None:
-        tags, parents, kids, junk, at, end = self.tags, self.parents, self.kids, self.junk, 0, 0
+        tags, parents, kids, at, end = self.tags, self.parents, self.kids, 0, 0
         while m := _TOKEN.search(source, end):
             if m.start() > end:
                 kids[at].append(source[end : m.start()])
@@ -104,7 +139,8 @@ class Page:
             tags.append(name)
             parents.append(at)
             kids.append([])
-            junk.append(junk[at] or self.furniture(name, attributes, at))
+            self.hard.append(self.hard[at] or self.furniture(name, at))
+            self.words.append(self.furniture_words(name, attributes))
             kids[at].append(len(tags) - 1)
             if attributes.endswith("/") and name not in BLOCK:
                 continue
@@ -115,73 +151,137 @@ class Page:
         if end < len(source):
             kids[at].append(source[end:])
 
-    def furniture(self, name: str, attributes: str, parent: int) -> bool:
+    def furniture(self, name: str, parent: int) -> bool:
         if name in TAGS:
             return True
         if name == "header":  # a page's header; an article's own holds its title
             while parent > 0 and self.tags[parent] not in ("article", "main"):
                 parent = self.parents[parent]
             return parent <= 0
-        if not attributes or name in ("html", "body", "article", "main"):
-            return False
-        for value in _NAMES.findall(attributes):
-            if not WORDS.isdisjoint(_PARTS.split(value.strip("\"'")) + _PARTS.split(value.strip("\"'").lower())):
-                return True
         return False
 
-    def blocks(self, root: int, without: frozenset[int] = frozenset()) -> list[str]:
-        """Texts of the blocks below a node, in order, white space folded."""
+    @staticmethod
+    def furniture_words(name: str, attributes: str) -> frozenset[str]:
+        if name == "form":
+            return frozenset(["<form>"])
+        if not attributes or name in ("html", "body", "article", "main"):
+            return frozenset()
+        found: set[str] = set()
+        for value in _NAMES.findall(attributes):
+            for name in value.strip("\"'").split():
+                bare = name.lower()
+                # A name that is the word itself is told from one that holds it, as `sidebar` from `has-sidebar`.
+                found.update(["=" + bare] if bare in WORDS else WORDS.intersection(_PARTS.split(name) + _PARTS.split(bare)))
+        return frozenset(found)
+
+    def free_words(self, text: list[int], base: int = 0) -> frozenset[str]:
+        """Words that are no furniture here: the subtrees they mark hold together most of the text below `base`.
+
+        `text`: characters of text below each node, without furniture by tag.
+        """
+        held: dict[str, int] = {}
+        above: dict[int, frozenset[str]] = {base: frozenset()}
+        for i in range(base + 1, len(self.tags)):
+            if self.parents[i] in above:
+                seen = above[self.parents[i]]
+                above[i] = seen | self.words[i]
+                for word in self.words[i] - seen:
+                    held[word] = held.get(word, 0) + text[i]
+        return frozenset(w for w, n in held.items() if 2 * n > text[base])
+
+    def layout(self) -> int:
+        """A number for the set of paths of the page's containers outside furniture; -1 for a page without any."""
+        paths = [""]
+        for i in range(1, len(self.tags)):
+            up = paths[self.parents[i]]
+            depth = up.count("/")
+            paths.append(f"{up}/{self.tags[i]}" if self.tags[i] in FRAME and not self.hard[i] and depth < DEEP else up)
+        found = {*paths} - {""}
+        return zlib.crc32(" ".join(sorted(found)).encode()) if found else -1
+
+    def blocks(self, root: int, without: frozenset[int] = frozenset(), spans: dict[int, tuple[int, int]] | None = None) -> list[str]:
+        """Texts of the blocks below a node, in order, white space folded. `spans` gets the place of each block element's own."""
         out, parts, tags, kids, junk = [], [], self.tags, self.kids, self.junk
 
         def close() -> None:
-            text = _SPACE.sub(" ", html_entities.unescape("".join(parts))).strip()
+            text = "".join(parts)
+            text = _SPACE.sub(" ", html_entities.unescape(text) if "&" in text else text).strip()
             parts.clear()
             if text:
                 out.append(text)
 
         stack = [iter((root,))]
         names = [False]
+        opened: list[tuple[int, int]] = []
         while stack:
             child = next(stack[-1], None)
             if child is None:
                 stack.pop()
                 if names.pop():
                     close()
+                    node, start = opened.pop()
+                    if spans is not None:
+                        spans[node] = (start, len(out))
             elif isinstance(child, str):
                 parts.append(child)
             elif not (junk[child] and child != root) and child not in without:
                 block = tags[child] in BLOCK
                 if block:
                     close()
+                    opened.append((child, len(out)))
                 stack.append(iter(kids[child]))
                 names.append(block)
         close()
         return out
 
     def weights(self) -> list[int]:
-        """Characters of text below each node, without furniture."""
+        """Characters of text below each node, without furniture by tag."""
         if self.sizes is None:
-            sizes = [0 if self.junk[i] else sum(len(k.strip()) for k in kids if isinstance(k, str)) for i, kids in enumerate(self.kids)]
+            sizes = [0 if self.hard[i] else sum(len(k.strip()) for k in kids if isinstance(k, str)) for i, kids in enumerate(self.kids)]
             for i in range(len(sizes) - 1, 0, -1):
                 sizes[self.parents[i]] += sizes[i]
             self.sizes = sizes
         return self.sizes
 
+    def plain_size(self) -> int:
+        """Characters outside all furniture, words and forms included."""
+        self.junk = self.marked
+        return self.net(self.weights())[0]
+
+    def settle(self, text: list[int]) -> frozenset[str]:
+        """Judge furniture by where the text stands: in an article or main element outside furniture, or else in the page."""
+        self.judge(frozenset())
+        named = [i for i, t in enumerate(self.tags) if t in ("article", "main") and not self.junk[i] and text[i]]
+        free = self.free_words(text, max(named, key=lambda i: (text[i], -i)) if named else 0)
+        self.judge(free)
+        return free
+
     def shape(self, node: int) -> list[list[int]]:
         """Children of a node for matching: runs of leaves with one tag are one group."""
         groups: list[list[int]] = []
         for k in self.kids[node]:
             if isinstance(k, int):
                 leaf = all(isinstance(x, str) or self.tags[x] not in BLOCK for x in self.kids[k])
-                if groups and leaf and self.tags[groups[-1][0]] == self.tags[k] and self.junk[groups[-1][0]] == self.junk[k] and groups[-1][-1] >= 0 and all(isinstance(x, str) or self.tags[x] not in BLOCK for x in self.kids[groups[-1][-1]]):
+                if groups and leaf and self.tags[groups[-1][0]] == self.tags[k] and self.marked[groups[-1][0]] == self.marked[k] and groups[-1][-1] >= 0 and all(isinstance(x, str) or self.tags[x] not in BLOCK for x in self.kids[groups[-1][-1]]):
                     groups[-1].append(k)
                 else:
                     groups.append([k])
         return groups
 
+    def net(self, text: list[int]) -> list[int]:
+        """`text` (characters below each node, without furniture by tag) without any furniture."""
+        own = text.copy()
+        for i in range(1, len(own)):
+            own[self.parents[i]] -= text[i]
+        out = [0 if junk else n for n, junk in zip(own, self.junk, strict=True)]
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parents[i]] += out[i]
+        return out
+
     def own_region(self) -> int:
         """The deepest node with most of the page's text; an article or main element that holds it, if there is one."""
-        sizes, node = self.weights(), 0
+        self.settle(self.weights())
+        sizes, node = self.net(self.weights()), 0
         named = [i for i, t in enumerate(self.tags) if t in ("article", "main") and not self.junk[i] and sizes[i]]
         if named:
             return max(named, key=lambda i: (sizes[i], -i))
@@ -224,7 +324,7 @@ class Matching:
         out = [0] * len(page.tags)
         for i in range(len(out) - 1, -1, -1):  # children have higher numbers
             kids = [out[k] for k in page.kids[i] if isinstance(k, int)]
-            name = (page.tags[i], page.junk[i], *kids)
+            name = (page.tags[i], page.marked[i], *kids)
             if name not in names:
                 names[name] = len(names)
                 self.kids.append(kids)
@@ -282,7 +382,7 @@ def match(a: Page, b: Page) -> dict[int, list[int]]:
 
 
 def _key(page: Page, node: int) -> tuple[str, bool]:
-    return page.tags[node], page.junk[node]
+    return page.tags[node], page.marked[node]
 
 
 def align(a: list[list[int]], b: list[list[int]], matching: Matching) -> list[tuple[int, int]]:
@@ -315,81 +415,124 @@ def align(a: list[list[int]], b: list[list[int]], matching: Matching) -> list[tu
     return out
 
 
-def digest(page: Page, nodes: list[int]) -> int:
-    return zlib.crc32("\n".join(t for n in nodes for t in page.blocks(n)).encode("utf-8", "replace"))
-
-
 class References:
     """Parsed reference pages of a task, the last few hosts."""
 
     def __init__(self) -> None:
         self.kept: dict[str, Page] = {}
+        self.texts: dict[str, dict[int, int]] = {}
+        self.found: dict[str, dict[tuple, dict[int, list[int]]]] = {}
+        self.regions: dict[str, tuple[int, set[int], frozenset[str]]] = {}
 
     def of(self, host: str, source: str) -> Page:
         if host not in self.kept:
             if len(self.kept) > 64:
                 self.kept.clear()
+                self.texts.clear()
+                self.found.clear()
+                self.regions.clear()
             self.kept[host] = Page(source)
         return self.kept[host]
 
-
-def region_of(reference: Page, stats: list[tuple[int, int, int, int]]) -> tuple[int, set[int]]:
-    """The reference's region node (-1: no evidence) and its constant nodes, from (node, pages, same, chars)."""
+    def match(self, host: str, page: Page) -> dict[int, list[int]]:
+        """The page matched with a kept reference; pages with equal trees match alike."""
+        known = self.found.setdefault(host, {})
+        tree = (tuple(page.tags), tuple(page.parents), tuple(page.marked))
+        if tree not in known:
+            if len(known) >= 64:
+                known.clear()
+            known[tree] = match(self.kept[host], page)
+        return known[tree]
+
+    def digest(self, host: str, node: int) -> int:
+        """The checksum of a kept reference's node."""
+        if host not in self.texts:
+            page = self.kept[host]
+            runs = {PLAIN: [0], 0: [0]} | {g[0]: g for n in range(len(page.tags)) for g in page.shape(n)}
+            self.texts[host] = dict(zip(runs, page.digests([*runs.values()]), strict=True))
+        return self.texts[host][node]
+
+
+def region_of(reference: Page, stats: list[tuple[int, int, int, int]]) -> tuple[int, set[int], frozenset[str]]:
+    """The reference's region node (-1: no evidence), its constant nodes and the words that are no furniture, from (node, pages, same, chars)."""
     table = {node: (pages, same, chars) for node, pages, same, chars in stats}
-    varies = {n: chars for n, (pages, same, chars) in table.items() if pages > 1 and same < pages}
-    if not varies or 0 not in varies:
-        return -1, set()
-    named = [n for n in varies if reference.tags[n] in ("article", "main") and not reference.junk[n]]
-    region = max(named, key=lambda n: (varies[n], -n)) if named else 0
+    seen, fixed, outside = table.pop(PLAIN, (0, 0, 0))
+    if fixed == seen and 0 in table and 2 * outside > table[0][2]:  # copies, but for furniture
+        return -1, set(), frozenset()
+    varies = {n for n, (pages, same, _) in table.items() if pages > 1 and same < pages}
+    if 0 not in varies:
+        return -1, set(), frozenset()
+    # Varying characters: of a node that varies, what its children do not hold, and theirs.
+    text = [0] * len(reference.tags)
+    for n in varies:
+        text[n] += table[n][2]
+        if n and reference.parents[n] in varies:
+            text[reference.parents[n]] -= table[n][2]
+    for n in table.keys() - varies:
+        if reference.parents[n] in varies:
+            text[reference.parents[n]] -= table[n][2]
+    for i in range(len(text) - 1, 0, -1):
+        text[reference.parents[i]] += text[i]
+    free = reference.settle(text)
+    net = reference.net(text)
+    named = [n for n in varies if reference.tags[n] in ("article", "main") and not reference.junk[n] and net[n] > 0]
+    region = max(named, key=lambda n: (net[n], -n)) if named else 0
     while not named:
         inner = [k for k in reference.kids[region] if isinstance(k, int) and k in varies and not reference.junk[k]]
-        best = max(inner, key=varies.__getitem__, default=None)
-        if best is None or varies[best] < MOST * varies[region] or not any(isinstance(k, int) and reference.tags[k] in BLOCK for k in reference.kids[best]):
+        best = max(inner, key=net.__getitem__, default=None)
+        if best is None or net[best] < MOST * net[region] or not any(isinstance(k, int) and reference.tags[k] in BLOCK for k in reference.kids[best]):
             break
         region = best
     pages, same, _ = table[region]
     sure = pages >= SURE and same * 2 < pages
-    return region, {n for n, (p, s, _) in table.items() if sure and s == p >= SURE and n != region}
-
-
-def extract(source: str, reference: Page | None, stats: list[tuple[int, int, int, int]]) -> str:
-    """The main text of one page."""
-    page = Page(source)
-    if reference is not None and stats:
-        region, constant = region_of(reference, stats)
-        if region >= 0:
-            found = match(reference, page)
-            nodes = found.get(region, [])
-            if nodes:
-                without = frozenset(n for c in constant for n in found.get(c, []))
-                text = "\n\n".join(t for n in nodes for t in page.blocks(n, without))
-                if text:
-                    return text
+    return region, {n for n, (p, s, _) in table.items() if sure and s == p >= SURE and 10 * p >= 9 * pages and n != region}, free
+
+
+def extract(page: Page, found: dict[int, list[int]], region: int, constant: set[int], free: frozenset[str]) -> str:
+    """The main text of one page; `found`: its nodes by those of the reference (none without a reference)."""
+    page.judge(free)
+    if nodes := found.get(region, []):
+        without = frozenset(n for c in constant for n in found.get(c, []))
+        text = "\n\n".join(t for n in nodes for t in page.blocks(n, without))
+        if text:
+            return text
     region = page.own_region()
     return "\n\n".join(page.blocks(region)) if not page.junk[region] else ""
 
 
+def layouts(html: pd.Series) -> pd.Series:
+    return html.map(lambda source: Page(source).layout() if isinstance(source, str) else -1).astype("int64")
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: key, url, text, n_chars (code points)."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = checked(pages, key, url, html).withColumn("host", host)
-    chosen = rows.where(F.col(html).isNotNull()).groupBy("host").agg(F.min_by(html, F.struct(F.xxhash64(key, url), key, url, html)).alias("reference"))
-    paired = rows.join(land(chosen), "host", "left")
+    rows = checked(pages, key, url, html).withColumns({"host": host, "layout": F.pandas_udf(layouts, "long")(F.col(html))})
+    # Layouts of a host with enough distinct pages have a wrapper of their own; its other pages share one.
+    alike = rows.where(F.col(html).isNotNull()).groupBy("host", "layout").agg(F.countDistinct(F.xxhash64(html)).alias("n"))
+    own = land(alike.where(F.col("n") >= SURE).select("host", "layout", F.lit(True).alias("own")))
+    named = F.concat_ws("\n", "host", F.when(F.col("own"), F.col("layout").cast("string")))
+    rows = rows.join(own, ["host", "layout"], "left").select(key, url, html, named.alias("host"))
+    present = rows.where(F.col(html).isNotNull())
+    chosen = present.groupBy("host").agg(F.min_by(html, F.struct(F.xxhash64(key, url), key, url, html)).alias("reference"))
+    chosen = land(chosen)
+    paired = present.select("host", html).distinct().join(chosen, "host")  # copies are no evidence
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = References()
         for batch in batches:
             sums: dict[tuple[str, int], list[int]] = {}
-            for at, own, source in zip(batch["host"].to_pylist(), batch[html].to_pylist(), batch["reference"].to_pylist(), strict=True):
-                if own is None:
-                    continue
-                reference, page = references.of(at, source), Page(own)
+            for i, (at, own) in enumerate(zip(batch["host"].to_pylist(), batch[html].to_pylist(), strict=True)):
+                if at not in references.kept:
+                    references.of(at, batch["reference"][i].as_py())
+                page = Page(own)
                 weights = page.weights()
-                for node, matched in match(reference, page).items():
+                found = {PLAIN: [0], **references.match(at, page)}
+                for node, nodes, text in zip(found, found.values(), page.digests([*found.values()]), strict=True):
                     total = sums.setdefault((at, node), [0, 0, 0])
                     total[0] += 1
-                    total[1] += digest(reference, _run(reference, node)) == digest(page, matched)
-                    total[2] += sum(weights[n] for n in matched)
+                    total[1] += references.digest(at, node) == text
+                    total[2] += sum(weights[n] for n in nodes) if node != PLAIN else page.plain_size()
             yield pa.RecordBatch.from_pydict({
                 "host": pa.array([h for h, _ in sums], pa.string()), "node": pa.array([n for _, n in sums], pa.int32()),
                 **{c: pa.array([v[i] for v in sums.values()], pa.int64()) for i, c in enumerate(("pages", "same", "chars"))},
@@ -405,17 +548,14 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         references = References()
         for batch in batches:
             texts = []
-            for at, own, source, found in zip(batch["host"].to_pylist(), batch[html].to_pylist(), batch["reference"].to_pylist(), batch["stats"].to_pylist(), strict=True):
-                reference = references.of(at, source) if source is not None else None
-                texts.append(extract(own or "", reference, [(s["node"], s["pages"], s["same"], s["chars"]) for s in found or []]))
+            for i, (at, own) in enumerate(zip(batch["host"].to_pylist(), batch[html].to_pylist(), strict=True)):
+                page = Page(own or "")
+                if at not in references.kept and batch["reference"][i].is_valid:
+                    kept = references.of(at, batch["reference"][i].as_py())
+                    references.regions[at] = region_of(kept, [(s["node"], s["pages"], s["same"], s["chars"]) for s in batch["stats"][i].as_py() or []])
+                region = references.regions.get(at, (-1, set(), frozenset()))
+                texts.append(extract(page, references.match(at, page) if region[0] >= 0 else {}, *region))
             yield pa.RecordBatch.from_arrays([batch[key], batch[url], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
 
     shape = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{url}` string, text string, n_chars long"
     return rows.join(wrappers, "host", "left").mapInArrow(cut, shape)
-
-
-def _run(page: Page, node: int) -> list[int]:
-    """The group of leaves that a node stands for."""
-    if not node:
-        return [0]
-    return next(g for g in page.shape(page.parents[node]) if node in g)

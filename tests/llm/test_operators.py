@@ -287,6 +287,45 @@ def test_tree_matching():
     assert len(wrapper.match(deep, wrapper.Page("<div>" * 4000 + "end"))) == 4001
 
 
+def test_main_text_stays_whole(spark):
+    def page(body):
+        return f"<html><body><div class=top-menu><a>Home</a></div><div class='sidebar'>links</div>{body}<footer>f</footer></body></html>"
+
+    body = lambda i: f"<h2>Head {i}</h2><p>one {prose(20)} {i}</p><p>two {prose(20)} {i}</p>"
+    wraps = {
+        "named": "<div class='content has-sidebar'>{}</div>",
+        "form": "<form>{}</form>",
+        "parts": "<div><div class='elementor-widget-container'>{}</div><div class='elementor-widget-container'>{}</div></div>",
+        "one": "<div class='content has-sidebar'>{}</div>",
+    }
+    rows, want = [], {}
+    for host, wrap in wraps.items():
+        for i in range(1 if host == "one" else 12):
+            text = wrap.format(body(i), body(i))
+            want[len(rows)] = re.findall(r"<(?:h2|p)>([^<]*)", text)
+            rows.append((len(rows), f"http://{host}.org/{i}", page(text)))
+    # One article in many copies, with a quotation that no other page has.
+    quoted = body(0) + "<blockquote><p>said once</p></blockquote>"
+    for i in range(30):
+        text = quoted if i < 20 else body(i)
+        want[len(rows)] = re.findall(r"<(?:h2|p)>([^<]*)", text)
+        rows.append((len(rows), f"http://copies.org/{i}", page(f"<div>{text}</div>")))
+    # Copies that differ in their furniture only.
+    for i in range(8):
+        want[len(rows)] = ["all the same text of one article"]
+        rows.append((len(rows), f"http://ads.org/{i}", page(f"<div><p>all the same text of one article</p><div class=ad>a{i}</div></div>")))
+    # Two layouts on one host, each with its own place of the text.
+    for i in range(24):
+        text = body(i) if i % 2 else f"<p>{prose(20)} {i}</p><p>b {i}</p>"
+        want[len(rows)] = re.findall(r"<(?:h2|p)>([^<]*)", text)
+        both = f"<div><section>{text}</section><section><p>all rights</p></section></div>" if i % 2 else f"<div><div><p>{'shop ' * 30}</p></div><div>{text}</div></div>"
+        rows.append((len(rows), f"http://two.org/{i}", page(both)))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in wrapper.main_text(frame).collect()}
+    for i, blocks in want.items():
+        assert got[i] == blocks, (rows[i][1], got[i], blocks)
+
+
 def test_decontamination(spark, none):
     items = [prose(40), prose(30), prose(70), prose(6), None, ""]
     texts = [prose(200) for _ in range(40)]
