@@ -3,12 +3,16 @@
 1. Log-odds. A word's probability of standing in a toxic document has a chain of Dirichlet (here Beta) priors: all words,
    then the word's first 3, 4, 5, 6 and 8 letters, then the word. Each link is the posterior mean with the link before
    as prior, of weight `PRIOR`. Counts are per document and word, hashed to `BUCKETS` counters, so the model has a fixed size.
-2. Segments. Each word scores its log-odds against all words, less `DRIFT`, so that plain text drifts down; a word that
-   comes again in a text scores no more than -`DRIFT`, so mere repetition is no evidence. One linear scan finds the maximum-scoring segment; where that is significant, another finds every maximal segment
+2. Segments. Each word scores its log-odds against all words, less `DRIFT`, so that plain text drifts down; the k-th place of
+   a word in a text adds 1/k of its evidence, so repetition counts, but ever less. One linear scan finds every maximal segment
    (disjoint, none can be extended).
 3. Extreme values. One training row in `FOLDS` is kept from the counts. Over its non-toxic documents of n words the best score S follows a Gumbel law with location
-   a + b log(n); (S - location) / scale is comparable across lengths. A logistic curve, fitted on counts by steps of this
-   value, turns it into the probability of the toxic label.
+   a + b log(n); (S - location) / scale is comparable across lengths.
+4. Sums. Karlin-Altschul: with segments at levels z1 >= z2 >= ..., the chance that r of them reach a sum T of levels is about
+   e^-T T^(r-1) / (r! (r-1)!). All segments above the usual best one (z > 0) are taken; the r with the least chance
+   counts, at the price of a factor 2^r for having tried several, and minus the log of that chance is the text's evidence. For r = 1
+   it is z itself (but for a constant). A logistic curve, fitted on counts by steps of the evidence, turns it into the
+   probability of the toxic label.
 
 The labelled rows are a bounded sample (`LABELLED`, by a hash of the id), small enough to broadcast. Scores cover every
 row and whole text. Null and empty texts score as a text without words; rows alike score alike; an empty table
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castwright.llm.common import checked, land
@@ -102,13 +106,13 @@ class Scorer(dict):
 
 
 def text_scores(words: list[str], scorer: Scorer) -> np.ndarray:
-    """Score of each word of a text; after its first place a word scores -DRIFT at most."""
+    """Score of each word of a text; the k-th place of a word with positive evidence keeps 1/k of that evidence."""
     scores = np.array([*map(scorer.__getitem__, words)])
-    seen = set()
+    seen: dict[str, int] = {}
     for i in np.flatnonzero(scores > 0).tolist():
-        if words[i] in seen:
-            scores[i] = -DRIFT
-        seen.add(words[i])
+        k = seen[words[i]] = seen.get(words[i], 0) + 1
+        if k > 1:
+            scores[i] = (scores[i] + DRIFT) / k - DRIFT
     return scores
 
 
@@ -145,6 +149,34 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in stack]
 
 
+def segment_sums(scores: np.ndarray) -> np.ndarray:
+    """Sums of all maximal segments, without their places; each candidate knows the last one before it with a smaller total."""
+    up = np.flatnonzero(scores > 0)
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    done: list[float] = []
+    lows: list[float] = []
+    highs: list[float] = []
+    links: list[int] = []
+    for low, high in zip(sums[up].tolist(), sums[up + 1].tolist(), strict=True):
+        while True:
+            j = len(lows) - 1
+            while j >= 0 and lows[j] >= low:
+                j = links[j]
+            if j < 0:  # no later run can reach those before this one
+                done.extend(h - w for h, w in zip(highs, lows, strict=True))
+                lows, highs, links = [low], [high], [-1]
+                break
+            if highs[j] >= high:
+                lows.append(low)
+                highs.append(high)
+                links.append(j)
+                break
+            low = lows[j]
+            del lows[j:], highs[j:], links[j:]
+    done.extend(h - w for h, w in zip(highs, lows, strict=True))
+    return np.array(done, np.float32)
+
+
 class Model:
     """The counters and the fitted curves; a few megabytes, whatever the corpus."""
 
@@ -163,29 +195,50 @@ class Model:
         """Gumbel units above the usual best score of a text of n words."""
         return (best - self.shift - self.slope * np.log1p(n)) / self.scale
 
-    def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def evidence(self, best: float, n: int, sums: np.ndarray) -> float:
+        """Minus the log of the chance of the text's segments (without a constant): of the best one, or of the r best together."""
+        top = float(self.level(np.float64(best), np.float64(n)))
+        levels = self.level(np.asarray(sums, np.float64), np.float64(n))
+        levels = np.sort(levels[levels > 0])[::-1]
+        if len(levels) < 2:
+            return top
+        r = np.arange(1, len(levels) + 1)
+        total = np.maximum(np.cumsum(levels), r - 1)  # below r - 1 the formula no longer falls with the sum
+        logs = np.cumsum(np.log(r))  # of r!
+        chance = total - (r - 1) * np.log(np.maximum(total, 1e-9)) + logs + (logs - np.log(r)) - (r - 1) * math.log(2)
+        return max(top, float(chance[1:].max()))
+
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
         if not self.usable or not self.scale:
-            return np.zeros(len(best))
-        z = np.clip(self.level(best, n), -5, 60)
+            return np.zeros(len(evidence))
+        z = np.clip(evidence, -5, 60)
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * z, -30, 30)))
 
+    def curves(self) -> Model:
+        """The fitted curves alone, without the counters."""
+        out = Model(np.zeros(1), np.zeros(1))
+        out.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("n1", "n0")})
+        return out
+
 
 def best_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n (words), best (the largest segment score) for every row."""
+    """doc_id, n (words), best (the largest segment score), sums (the scores of all maximal segments) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
-            n, best = [], []
+            n, best, sums = [], [], []
             for text in batch["text"]:
                 words = words_of(text.as_py() or "")
+                scores = text_scores(words, scorer)
                 n.append(len(words))
-                best.append(best_segment(text_scores(words, scorer)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(best, pa.float64())], names=["doc_id", "n", "best"])
+                best.append(best_segment(scores))
+                sums.append(segment_sums(scores))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(sums, pa.list_(pa.float32()))], names=["doc_id", "n", "best", "sums"])
 
     rows = checked(docs, "doc_id", "text")
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, best double")
+    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, best double, sums array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Model, DataFrame]:
@@ -203,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Mod
     model.slope = s["xy"] / s["xx"] if s["xx"] else 0.0
     model.scale = max(math.sqrt(max(s["yy"] - model.slope * (s["xy"] or 0.0), 0.0)) * math.sqrt(6) / math.pi, 0.05)
     model.shift = s["y"] - 0.5772156649 * model.scale - model.slope * s["x"]
-    z = (y - model.shift - model.slope * x) / model.scale
+    z = evidence_of(model)
     steps = own.select(F.round(F.greatest(F.lit(-5.0), F.least(F.lit(60.0), z)) * 4).alias("z"), "label").groupBy("z").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).toPandas()  # 261 rows at most
     model.curve = logistic(steps["z"].to_numpy(float) / 4, steps["ones"].to_numpy(float), steps["n"].to_numpy(float))
     return model, scored
@@ -219,15 +272,26 @@ def logistic(x: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[float, flo
     return float(beta[0]), float(beta[1])
 
 
+def evidence_of(model: Model) -> Column:
+    """The evidence of the rows of `best_scores`."""
+    curves = model.curves()
+
+    def evidence(n: pd.Series, best: pd.Series, sums: pd.Series) -> pd.Series:
+        return pd.Series([curves.evidence(*row) for row in zip(best, n, sums, strict=True)], dtype="float64")
+
+    return F.pandas_udf(evidence, "double")("n", "best", "sums")
+
+
 def probabilities(scored: DataFrame, model: Model) -> DataFrame:
     """Adds score: the probability of the toxic label."""
+    curves = model.curves()
 
-    def curve(n: pd.Series, best: pd.Series) -> pd.Series:
-        return pd.Series(model_curve.probability(best.to_numpy(), n.to_numpy()))
+    def curve(n: pd.Series, best: pd.Series, sums: pd.Series) -> pd.Series:
+        if not curves.scale:
+            return pd.Series(np.zeros(len(n)))
+        return pd.Series(curves.probability(np.array([curves.evidence(*row) for row in zip(best, n, sums, strict=True)])))
 
-    model_curve = Model(np.zeros(1), np.zeros(1))  # the curves alone, without the counters
-    model_curve.__dict__.update({k: v for k, v in model.__dict__.items() if k not in ("n1", "n0")})
-    return scored.withColumn("score", F.pandas_udf(curve, "double")("n", "best"))
+    return scored.withColumn("score", F.pandas_udf(curve, "double")("n", "best", "sums"))
 
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -238,9 +302,12 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
         own = shared.value
         scorer = own.scorer()
         for batch in batches:
-            words = [words_of(text.as_py() or "") for text in batch["text"]]
-            best = np.array([best_segment(text_scores(w, scorer)) for w in words])
-            yield batch.filter(pa.array(own.probability(best, np.array([len(w) for w in words])) < least))
+            found = []
+            for text in batch["text"]:
+                words = words_of(text.as_py() or "")
+                scores = text_scores(words, scorer)
+                found.append(own.evidence(best_segment(scores), len(words), segment_sums(scores)) if own.scale else 0.0)
+            yield batch.filter(pa.array(own.probability(np.array(found)) < least))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -353,6 +353,25 @@ def test_segments_against_brute_force():
         assert abs(max([0.0, *[t for *_, t in found]]) - best) < 1e-9
 
 
+def test_toxic_passages_add_up():
+    g = np.random.default_rng(8)
+    for _ in range(300):
+        s = np.round(g.normal(-0.2, 1, g.integers(0, 60)), 2)
+        assert np.allclose(np.sort(toxicity.segment_sums(s)), np.sort([t for *_, t in toxicity.maximal_segments(s.tolist())]), atol=1e-5)
+    model = toxicity.Model(np.array([0.0, 90.0]), np.array([900.0, 0.0]))
+    model.shift, model.slope, model.scale, model.curve = 2.0, 0.5, 1.0, (-6.0, 1.0)
+    at = lambda *levels: model.evidence(max(s := [x + 2.0 + 0.5 * np.log1p(1000) for x in levels]), 1000, s)
+    assert abs(at(4.0) - 4.0) < 1e-9 and abs(at(-1.0, -2.0) + 1.0) < 1e-9 and abs(at(4.0, -1.0) - 4.0) < 1e-5
+    assert at(4.0, 4.0, 4.0) > 6 > at(4.0)  # each stays under the level, all together are marked
+    assert model.probability(np.array([at(4.0, 4.0, 4.0), at(4.0)])).round().tolist() == [1, 0]
+    runs = [at(*[3.0] * r) for r in range(1, 8)]
+    assert all(a < b for a, b in zip(runs, runs[1:], strict=False))
+    scorer = {"scum": 2.5, **{w: -0.5 for w in WORDS}}
+    plain = WORDS[:5]
+    best = [toxicity.best_segment(toxicity.text_scores([*plain, *["scum"] * k, *plain], scorer)) for k in (1, 2, 3, 50)]
+    assert best[0] < best[1] < best[2] < best[3] < 3 * best[0]
+
+
 def test_toxicity_and_quality_hold_out(spark, none):
     bad = ["vile", "scum", "idiot"]
     texts = []
