@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwright.llm import decontaminate, hnsw, mixing, ngram_join, pii, quality, suffix_dedup, tokens, toxicity, wrapper
+from castwright.llm import decontaminate, hnsw, mixing, ngram_join, periodic, pii, quality, suffix_dedup, tokens, toxicity, wrapper
 from castwright.llm.common import ship, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(table(spark, folder, "documents"), periodic.planted_repeats))
