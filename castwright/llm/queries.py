@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwright.llm import decontaminate, hnsw, mixing, ngram_join, periodic, pii, quality, suffix_dedup, tokens, toxicity, wrapper
+from castwright.llm import decontaminate, hnsw, lexical, mixing, ngram_join, periodic, pii, quality, suffix_dedup, tokens, toxicity, wrapper
 from castwright.llm.common import ship, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,31 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(table(spark, folder, "documents"), periodic.planted_repeats))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE["op12_lexical_search"] = f"""
+WITH words AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+times AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM times, totals GROUP BY term, all_docs
+),
+scored AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * all_docs) // all_terms))) AS part
+  FROM times JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+),
+ranked AS (
+  SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM asked JOIN scored USING (term) GROUP BY item_id, doc_id HAVING sum(part) > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM ranked
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
