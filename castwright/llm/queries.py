@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castwright.llm import decontaminate, hnsw, lexical, mixing, ngram_join, periodic, pii, quality, suffix_dedup, tokens, toxicity, wrapper
+from castwright.llm import decontaminate, hnsw, lexical, mixing, ngram_join, packing, periodic, pii, quality, suffix_dedup, tokens, toxicity, wrapper
 from castwright.llm.common import ship, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ ranked AS (
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM ranked
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
 """
+
+
+@query
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path(), end_id=2)

@@ -123,13 +123,18 @@ class Pieces:
 _ENCODERS: dict[tuple[str, str], Pieces] = {}
 
 
+def encoder(tokenizer: str, dtype: str) -> Pieces:
+    """The encoder of this worker, which keeps its words from task to task."""
+    if (tokenizer, dtype) not in _ENCODERS:
+        _ENCODERS[tokenizer, dtype] = Pieces(tokenizer, dtype)
+    return _ENCODERS[tokenizer, dtype]
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2") -> DataFrame:
     """Landed blocks of ids: shard, block, offset, doc_ids, counts, ids. `dtype`: `<u2` for vocabularies up to 65,536, else `<u4`."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, dtype) not in _ENCODERS:  # a worker keeps its words from task to task
-            _ENCODERS[tokenizer, dtype] = Pieces(tokenizer, dtype)
-        encoder = _ENCODERS[tokenizer, dtype]
+        own = encoder(tokenizer, dtype)
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         shard, block, offset = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
@@ -143,7 +148,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2")
 
         for batch in batches:
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encoder.of(text.as_py() or "") + end
+                ids = own.of(text.as_py() or "") + end
                 keys.append(key)
                 counts.append(len(ids) // width)
                 parts.append(ids)
