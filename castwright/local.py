@@ -27,3 +27,10 @@ def pin(frame: DataFrame) -> DataFrame:
 def quoted(name: str) -> str:
     """Column names come from file headers, so dots and backticks must not be parsed."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def refuse_clash(columns: list[str], *helpers: str) -> None:
+    """Raise if a table has a column by the name of a helper column."""
+    taken = {c.lower() for c in columns} & {h.lower() for h in helpers}
+    if taken:
+        raise ValueError(f"Column names {', '.join(sorted(taken))} are reserved; rename them first.")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from castwright.functions import classify
-from castwright.local import quoted
+from castwright.local import quoted, refuse_clash
+from castwright.sources.scratch import work_folder
 
 SRC, BLK, SEQ = "__src", "__blk", "__seq"
 ORDER_COLUMNS = (SRC, BLK, SEQ)
@@ -64,18 +66,20 @@ def _file_facts(frame: DataFrame) -> list[str]:
 def with_row_order(frame: DataFrame, order_by: str | Column | None = None, columns: list[str] | None = None) -> Ordered:
     """Attach the row position.
 
-    With ``order_by`` the key is the position.  A file scan is in file order:
-    file, then block, then row within the scan.  Anything else has no order a
+    With ``order_by`` the key is the position; the key is a column like the others, unless ``columns`` leaves it out.
+    A file scan is in file order: file, then row.  Anything else has no order a
     second run could rely on, so values are ordered by their hash.
     """
     key_column = order_by if isinstance(order_by, str) else None
     if columns is None:
-        columns = [c for c in frame.columns if c != key_column and c not in ORDER_COLUMNS]
+        columns = [c for c in frame.columns if c not in ORDER_COLUMNS]
     if order_by is not None:
+        refuse_clash(frame.columns, SEQ)
         keyed = frame.withColumn(SEQ, _order_key(frame, order_by))
         return Ordered(keyed, columns, key_column=key_column)
     if set(ORDER_COLUMNS) <= set(frame.columns):
         return Ordered(frame, columns, [SRC, BLK])
+    refuse_clash(frame.columns, *ORDER_COLUMNS)
     if _file_facts(frame):
         return Ordered(with_file_position(frame), columns, [SRC, BLK])
     return Ordered(frame.withColumn(SEQ, F.lit(None).cast("bigint")), columns, by_value=True)
@@ -85,16 +89,30 @@ def with_file_position(frame: DataFrame) -> DataFrame:
     """Add file, block and sequence of a file scan.
 
     Parquet knows the row number within the file.  For other formats it is the
-    block start and a number that grows by one from row to row within the block.
+    block start and a number that grows by one from row to row within the block. Such a position holds for one scan
+    only, since another may split the files elsewhere: the rows are landed with it once, and read from there.
     """
     by_row = "row_index" in _file_facts(frame)
-    return frame.withColumns(
+    placed = frame.withColumns(
         {
             SRC: F.col("_metadata.file_path"),
             BLK: F.lit(0).cast("bigint") if by_row else F.col("_metadata.file_block_start").cast("bigint"),
             SEQ: F.col("_metadata.row_index") if by_row else F.monotonically_increasing_id(),
         }
     )
+    return placed if by_row or frame.isStreaming else landed(placed, "positions")
+
+
+def land(frame: DataFrame, name: str) -> str:
+    """The new folder below the shared one that a frame was written to."""
+    path = f"{work_folder(frame.sparkSession, name)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return path
+
+
+def landed(frame: DataFrame, name: str) -> DataFrame:
+    """A frame written once to the shared folder and read back."""
+    return frame.sparkSession.read.schema(frame.schema).parquet(land(frame, name))
 
 
 def spread(frame: DataFrame) -> DataFrame:

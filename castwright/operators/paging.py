@@ -15,19 +15,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castwright import fixed
-from castwright.local import quoted
+from castwright.local import quoted, refuse_clash
 from castwright.operators import convert as conversion
 from castwright.sources.scratch import work_folder
 from castwright.operators.cells import BLK, ORDER_COLUMNS, SEQ, SRC, Ordered, with_row_order
 
 ORD = "ord"
+_HELPERS = ("cell", "__rank", "start", "seq0")
+_FAR = 2**63 - 1  # stands for a key that is null
 _QUANTILES = 64
 _CELLS_PER_QUANTILE = 4096
 _ROWS_PER_CELL = 1_000_000
 # File blocks that may be broadcast: a path and three numbers each, some 50 MB at most.
 _BROADCAST_BLOCKS = 300_000
-# Up to here a page is a bounded top-k: every task keeps at most this many rows.
-_TOP_ROWS = 10_000
+# Up to here the keys of a page come from a bounded top-k: every task keeps at most this many keys, and no other cell.
+_TOP_KEYS = 10_000
+# An order index is refined until a page lies within about so many rows.
+_ROWS_SORTED = 10_000
 
 
 class PageError(ValueError):
@@ -122,7 +126,9 @@ class _KeyCells:
         def locate(lo: int, hi: int) -> Column:
             if hi - lo == 1:
                 width = max(1, -(-(self.edges[hi] - self.edges[lo]) // self.cells))
-                return F.lit(lo * self.cells) + F.floor((key - F.lit(self.edges[lo])) / F.lit(width))
+                # As doubles, since far keys differ by more than a long; the number still grows with the key.
+                inside = F.floor((key.cast("double") - F.lit(float(self.edges[lo]))) / F.lit(float(width)))
+                return F.lit(lo * self.cells) + F.greatest(F.lit(0), F.least(inside, F.lit(self.cells - 1)))
             middle = (lo + hi) // 2
             return F.when(key < F.lit(self.edges[middle]), locate(lo, middle)).otherwise(locate(middle, hi))
 
@@ -163,6 +169,7 @@ def with_ordinals(
     """
     ordered = with_row_order(frame, order_by)
     names = [c for c in frame.columns if c not in ORDER_COLUMNS]
+    refuse_clash(names, ORD, *_HELPERS)
     if ordered.by_value:
         raise ValueError("Row ordinals need an order_by key or a file scan.")
     if ordered.block_keys:
@@ -181,23 +188,84 @@ def with_ordinals(
 # --- pages ------------------------------------------------------------------
 
 
-def _rows_by_key(ordered: Ordered, lo: int, hi: int, rows_per_cell: int) -> DataFrame:
-    if hi <= _TOP_ROWS:
-        return ordered.frame.orderBy(SEQ).offset(lo).limit(hi - lo)
-    cells = _key_cells(ordered.frame.select(SEQ), rows_per_cell)
-    if cells is None:
-        return ordered.frame.limit(0)
-    offsets = _cell_offsets(ordered.frame.select(SEQ), cells)
-    # A page of at most 500 rows touches at most 500 non-empty cells.
-    touched = offsets.where((F.col("start") < hi) & (F.col("start") + F.col("n") > lo)).orderBy("cell").collect()
-    if not touched:
-        return ordered.frame.limit(0)
-    first, last, start = touched[0]["lo"], touched[-1]["hi"], touched[0]["start"]
+@dataclass
+class OrderIndex:
+    """A sparse index of a table's order: pieces of it with their least and largest key, first ordinal and rows.
+
+    The pieces are cut at quantiles, so they are alike in size however clumped the keys are. There are at most `_QUANTILES`; the one a
+    page lies in is cut again, until it is small. Pages of one table may share the index, which then grows with the pages seen.
+    """
+
+    ordered: Ordered
+    pieces: list[tuple[int, int, int, int]]
+
+    def around(self, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """Least and largest key of rows that hold the ordinals [lo, hi), and the ordinal of the first of them."""
+        while True:
+            touched = [p for p in self.pieces if p[2] < hi and p[2] + p[3] > lo]
+            if not touched:
+                return None
+            big = [p for p in touched if p[3] > _ROWS_SORTED and p[0] < p[1]]
+            if not big:
+                return touched[0][0], touched[-1][1], touched[0][2]
+            for piece in big:
+                self.refine(piece)
+
+    def refine(self, piece: tuple[int, int, int, int]) -> None:
+        low, high, start, _ = piece
+        finer = _cut(_between(self.ordered, low, high).select(SEQ), start)
+        if len(finer) == 1:  # quantiles on one side: halve the range
+            finer = _cut(_between(self.ordered, low, high).select(SEQ), start, [(low + high) // 2 + 1])
+        self.pieces = sorted([p for p in self.pieces if p != piece] + finer)
+
+
+def _cut(keys: DataFrame, start: int, edges: list[int] | None = None) -> list[tuple[int, int, int, int]]:
+    """Pieces (least key, largest key, first ordinal, rows) of a column of keys: two scans of it, at most `_QUANTILES` rows."""
+    if edges is None:
+        shares = [i / _QUANTILES for i in range(1, _QUANTILES)]
+        edges = keys.agg(F.percentile_approx(SEQ, shares, 10_000)).first()[0] or []
+    cells = _KeyCells([-_FAR, *sorted(set(edges)), _FAR], 1)
+    found = keys.groupBy(cells.index(F.col(SEQ)).alias("cell")).agg(F.min(SEQ), F.max(SEQ), F.count(F.lit(1))).orderBy("cell").collect()
+    out = []
+    for _, low, high, n in found:
+        out.append((low, high, start, n))
+        start += n
+    return out
+
+
+def order_index(frame: DataFrame, order_by: str | Column) -> OrderIndex:
+    """Index a table by its key; reads the key column only."""
+    ordered = with_row_order(frame, order_by)
+    return OrderIndex(ordered, _cut(ordered.frame.select(SEQ), 0))
+
+
+def _between(ordered: Ordered, low: int, high: int) -> DataFrame:
+    """Rows with keys in a closed range; the scan of a file can skip row groups by it."""
     rows = ordered.frame
-    if ordered.key_column and dict(frame_types(rows))[ordered.key_column] in ("tinyint", "smallint", "int", "bigint"):
-        rows = rows.where(F.col(quoted(ordered.key_column)).between(first, last))
-    rows = rows.where(F.col(SEQ).between(first, last))
-    return rows.orderBy(SEQ).offset(lo - start).limit(hi - lo)
+    if ordered.key_column:
+        key, kind = F.col(quoted(ordered.key_column)), dict(frame_types(rows))[ordered.key_column]
+        literal = {"date": lambda n: F.date_from_unix_date(F.lit(n)), "timestamp": lambda n: F.timestamp_micros(F.lit(n))}
+        if kind in ("tinyint", "smallint", "int", "bigint"):
+            literal[kind] = lambda n: F.lit(n).cast(kind)
+        if kind in literal:  # rows without a key come last
+            inside = (key >= literal[kind](low)) & (key <= literal[kind](high)) if high < _FAR else F.coalesce(key >= literal[kind](low), F.lit(True)) if low < _FAR else key.isNull()
+            rows = rows.where(inside)
+    return rows.where(F.col(SEQ).between(low, high))
+
+
+def _rows_by_key(ordered: Ordered, lo: int, hi: int, index: OrderIndex | None) -> DataFrame:
+    if index is None and hi <= _TOP_KEYS:
+        keys = ordered.frame.select(SEQ).orderBy(SEQ).offset(lo).limit(hi - lo)
+        facts = keys.agg(F.min(SEQ).alias("low"), F.max(SEQ).alias("high")).first()
+        if facts["low"] is None:
+            return ordered.frame.limit(0)
+        rows = _between(ordered, facts["low"], facts["high"])
+        return rows.orderBy(SEQ).limit(hi - lo)
+    found = (index or OrderIndex(ordered, _cut(ordered.frame.select(SEQ), 0))).around(lo, hi)
+    if found is None:
+        return ordered.frame.limit(0)
+    low, high, start = found
+    return _between(ordered, low, high).orderBy(SEQ).offset(lo - start).limit(hi - lo)
 
 
 def frame_types(frame: DataFrame) -> list[tuple[str, str]]:
@@ -205,38 +273,39 @@ def frame_types(frame: DataFrame) -> list[tuple[str, str]]:
 
 
 def _rows_by_block(ordered: Ordered, lo: int, hi: int) -> DataFrame:
+    """Rows of a page in file order: the few files it touches, and the row numbers in each, are filters of the scan."""
     offsets = _block_offsets(ordered).where((F.col("start") < hi) & (F.col("start") + F.col("n") > lo))
-    # The join keeps rows of the few blocks the page touches.
-    found = ordered.frame.join(F.broadcast(offsets), [SRC, BLK])
-    spot = F.col("start") + F.col(SEQ) - F.col("seq0")
-    return found.where((spot >= lo) & (spot < hi)).orderBy(SRC, BLK, SEQ)
+    inside = F.lit(False)
+    for piece in offsets.collect():  # each holds a row of the page, so there are 500 at most
+        first, last = max(lo, piece["start"]) - piece["start"], min(hi, piece["start"] + piece["n"]) - piece["start"] - 1
+        at = F.col(SEQ).between(piece["seq0"] + first, piece["seq0"] + last)
+        inside |= (F.col(SRC) == piece[SRC]) & (F.col(BLK) == piece[BLK]) & at
+    return ordered.frame.where(inside).orderBy(SRC, BLK, SEQ)
 
 
 def raw_page(
-    frame: DataFrame, page: int, page_size: int, order_by: str | Column | None = None,
-    *, rows_per_cell: int = _ROWS_PER_CELL,
+    frame: DataFrame, page: int, page_size: int, order_by: str | Column | None = None, *, index: OrderIndex | None = None
 ) -> DataFrame:
-    """The raw rows ``[(page-1)*size, page*size)`` in row order."""
+    """The raw rows ``[(page-1)*size, page*size)`` in row order.
+
+    Only their keys or row numbers are looked for first; the rows are then read by a range filter that the scan
+    pushes down, and no more than about a page of them is sorted.
+    """
     check_page(page, page_size)
     lo, hi = (page - 1) * page_size, page * page_size
-    ordered = with_row_order(frame, order_by)
+    ordered = index.ordered if index else with_row_order(frame, order_by)
     if ordered.by_value:
         raise ValueError("Paging needs an order_by key or a file scan.")
-    if not ordered.block_keys:
-        rows = _rows_by_key(ordered, lo, hi, rows_per_cell)
-    elif hi <= _TOP_ROWS:
-        rows = ordered.frame.orderBy(SRC, BLK, SEQ).offset(lo).limit(hi - lo)
-    else:
-        rows = _rows_by_block(ordered, lo, hi)
+    rows = _rows_by_block(ordered, lo, hi) if ordered.block_keys else _rows_by_key(ordered, lo, hi, index)
     return rows.select(*map(quoted, frame.columns))
 
 
 def preview_page(
     frame: DataFrame, schema, page: int = 1, page_size: int = fixed.PAGE_SIZE_DEFAULT,
-    order_by: str | Column | None = None, *, keep: list[str] | None = None, **date_options,
+    order_by: str | Column | None = None, *, keep: list[str] | None = None, index: OrderIndex | None = None, **date_options,
 ) -> DataFrame:
     """One page, converted by a given schema and rendered; only its rows are converted."""
-    rows = raw_page(frame, page, page_size, order_by)
+    rows = raw_page(frame, page, page_size, order_by, index=index)
     return conversion.render_rows(conversion.convert(rows, schema, keep=keep, ordered=True, **date_options), keep=keep)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import date
 from time import perf_counter
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +17,12 @@ from castwright import fixed
 from castwright.local import local_frame, pin, quoted
 from castwright.operators import convert as conversion
 from castwright.operators import paging
-from castwright.operators.cells import BLK, SEQ, SRC, Ordered, with_row_order
+from castwright.operators.cells import BLK, SRC, Ordered, with_row_order
 from castwright.operators.infer import dataset_warnings, infer
 from castwright.operators.overrides import apply_overrides
 from castwright.operators.profile import collect_evidence, evidence, finish, profile, values
 from castwright.sources import runs as run_log
-from castwright.sources.csv import MALFORMED, CsvError, CsvTable, read_csv
+from castwright.sources.csv import MALFORMED, CsvError, CsvTable, open_landed, read_csv
 from castwright.sources.files import FileTypeError, file_type_of, list_supported_files
 
 # Files of a prefix processed at the same time; each is a distributed job of its own.
@@ -42,6 +44,8 @@ class ProcessResult:
     warnings: list[str]
     selected_sheet: str = ""
     metadata: dict = field(default_factory=dict)
+    # What a later page needs to read and render as the first one did.
+    paging: dict = field(default_factory=dict)
 
     @property
     def preview_columns(self) -> list[str]:
@@ -70,7 +74,7 @@ class ProcessResult:
         return run_log.run_row(
             bucket=bucket, object_key=self.object_key, file_type=self.file_type, sheet_name=self.selected_sheet,
             row_count=self.row_count, schema=self.schema_entries(), warnings=self.warnings,
-            preview_columns=self.preview_columns, metadata=self.metadata,
+            preview_columns=self.preview_columns, metadata=self.metadata | {"paging": self.paging},
         )
 
 
@@ -97,15 +101,16 @@ def process_table(
     overrides: Mapping[str, str] | DataFrame | None = None,
     *,
     order_by: str | None = None,
+    columns: list[str] | None = None,
     page_size: int = fixed.PAGE_SIZE_DEFAULT,
     object_key: str = "",
     file_type: str = "csv",
     **date_options,
 ) -> ProcessResult:
-    """Process any DataFrame; ``order_by`` defines row order for samples and the first page."""
+    """Process any DataFrame; ``order_by`` defines row order for samples and the first page, ``columns`` what to process (default: all)."""
     paging.check_page(1, page_size)
     started = perf_counter()
-    ordered = with_row_order(frame, order_by)
+    ordered = with_row_order(frame, order_by, columns)
     found, schema, warnings = _settle(profile(frame, order_by, ordered.columns, **date_options), overrides)
     first = found.first()
     row_count = first["total_count"] if first else frame.count()
@@ -117,58 +122,61 @@ def process_table(
     return ProcessResult(
         object_key, file_type, row_count, found, schema, conversion.convert(frame, schema, **date_options), preview,
         paging.page_info(row_count, 1, page_size), warnings, metadata=_metadata(started, page_size),
+        paging={"dates": _stored_dates(date_options)},
     )
 
 
-def _leading_rows(spark: SparkSession, table: CsvTable, count: int, total: int) -> DataFrame:
-    """The first rows of a CSV table in file order, read from as few files as hold them."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in table.columns])
-    needed, taken, files = min(count, total), [], 0
-    while len(taken) < needed and files < len(table.files):
-        file = table.files[files]
-        part = read_csv(spark, file, multiline=table.multiline, columns=table.columns).positioned
-        names = [*map(quoted, table.columns), BLK, SEQ]
-        # Partitions of a single file come in file order, and ``take`` stops at the last one it needs.
-        rows = part.select(*names).take(needed - len(taken))
-        blocks = [row[BLK] for row in rows]
-        if blocks and (blocks[0] != 0 or blocks != sorted(blocks)):
-            rows = part.select(*names).orderBy(BLK, SEQ).take(needed - len(taken))
-        taken += [{name: row[i] for i, name in enumerate(table.columns)} for row in rows]
-        files += 1
-    return local_frame(spark, taken, schema)
-
-
 def process_csv(
     spark: SparkSession,
     path: str | list[str],
     overrides: Mapping[str, str] | DataFrame | None = None,
     *,
     page_size: int = fixed.PAGE_SIZE_DEFAULT,
-    multiline: bool | None = None,
     allow_malformed: bool = False,
     **date_options,
 ) -> ProcessResult:
     """Process CSV files; rows with too many cells fail the run unless allowed."""
     paging.check_page(1, page_size)
     started = perf_counter()
-    table = read_csv(spark, path, multiline=multiline)
+    table = read_csv(spark, path)
     # The malformed marker is profiled as one more column, so the check costs no pass of its own.
     ordered = Ordered(table.positioned, [*table.columns, MALFORMED], [SRC, BLK])
     rows = collect_evidence(evidence(ordered, **date_options))
-    marker = rows.pop(len(table.columns), None)
+    marker = rows.pop(len(table.columns), None)  # it has a value only on malformed rows
     if marker and marker["non_null_count"] and not allow_malformed:
         raise CsvError(fixed.ERR_PARSE)
     ordered = Ordered(table.positioned, table.columns, [SRC, BLK])
     found, schema, warnings = _settle(finish(spark, table.columns, rows, values(ordered, rows)), overrides)
     row_count = found.first()["total_count"]
-    leading = _leading_rows(spark, table, page_size, row_count)
+    leading = paging.raw_page(table.positioned, 1, page_size).select(*map(quoted, table.columns))
     preview = conversion.render_rows(conversion.convert(leading, schema, ordered=True, **date_options))
     return ProcessResult(
         table.path, "csv", row_count, found, schema, conversion.convert(table.frame, schema, **date_options), preview,
         paging.page_info(row_count, 1, page_size), warnings, metadata=_metadata(started, page_size),
+        paging={"dates": _stored_dates(date_options), "landed": table.landed, "columns": table.columns},
     )
 
 
+def _stored_dates(options: dict) -> dict:
+    """Date options as a run row holds them, resolved: what is not given depends on the day of the run."""
+    today = date.today()
+    options = {"pivot_year": today.year, "reference_date": today} | {k: v for k, v in options.items() if v is not None}
+    return {k: v.isoformat() if isinstance(v, date) else v for k, v in options.items()}
+
+
+def _read_dates(stored: dict) -> dict:
+    return {k: date.fromisoformat(v) if k == "reference_date" else v for k, v in stored.items()}
+
+
+def _landed_table(spark: SparkSession, context: dict, stored: dict) -> CsvTable:
+    """The rows a run landed, or, where they are gone, its files read again."""
+    try:
+        return open_landed(spark, stored["landed"], stored["columns"], context["object_key"])
+    except (KeyError, AnalysisException):
+        paths = context["object_key"].split(",") if "," in context["object_key"] else context["object_key"]
+        return read_csv(spark, paths, columns=stored.get("columns"))
+
+
 def process(spark: SparkSession, source: DataFrame | str, overrides=None, **options) -> ProcessResult:
     """Process a DataFrame or a path (any URI Spark can read)."""
     if isinstance(source, DataFrame):
@@ -192,18 +200,23 @@ def preview_run(
 
     The context holds ``object_key``, ``row_count`` and ``schema``.  Nothing is
     profiled again, and a page outside the table is refused before any read.
+    A run's own date options hold unless others are given, and the rows it landed are read, if they
+    are still there. A log or a run that is missing counts as no run.
     """
     paging.check_page(page, page_size)
     if log_path is not None and run_id is not None:
         try:
             context = run_log.find_run(spark, log_path, run_id)
-        except run_log.RunNotFound:
+        except (run_log.RunNotFound, AnalysisException) as error:
             if context is None:
-                raise
+                raise run_log.RunNotFound(fixed.ERR_RUN_MISSING) from error
     if context is None:
         raise run_log.RunNotFound(fixed.ERR_RUN_MISSING)
     info = paging.page_info(context["row_count"], page, page_size)
-    table = read_csv(spark, context["object_key"])
+    stored = context.get("processing_metadata", {}).get("paging", {})
+    date_options = _read_dates(stored.get("dates", {})) | date_options
+    table = _landed_table(spark, context, stored)
+    table.require_well_formed()
     rows = paging.raw_page(table.positioned, page, page_size).select(*map(quoted, table.columns))
     return info, conversion.render_rows(conversion.convert(rows, context["schema"], ordered=True, **date_options))
 

@@ -1,30 +1,49 @@
 """Raw CSV tables: every cell a string, nothing coerced.
 
-Spark splits a CSV file only when no quoted field contains a line break.  A
-distributed check of the physical lines decides that, so large files are read by
-many tasks whenever it is safe.
+A line break may stand inside a quoted cell, so whether a line starts a row depends on all quotes before it. Files are
+split all the same:
+
+1. ``scan``: each byte range (Spark's file split) is read once, and its effect on the quote state is found for both states
+   it may start in, outside and inside a quoted cell, along with the rows it starts in either case.
+2. The effects of a file's ranges are composed in order: a running sum over one row per range tells the state each
+   range starts in, and how many rows start before it.
+3. The ranges are read again. A line that is a whole row passes on; only lines of rows with line breaks are brought
+   together by (file, row). Rows are cut into cells and landed as Parquet with their file and row number.
+
+The landed row number is the row's position from then on, whatever the split settings of later jobs. The two scans must see the
+same ranges; a row of a range that the first did not see stops the job with an error.
+
+Rules: quotes count only at the start of a cell, a doubled quote inside stands for one, text behind the closing quote belongs
+to the cell; ``\\n``, ``\\r\\n`` and ``\\r`` end lines; lines of blanks and tabs outside quoted cells are skipped; short rows are filled with
+empty cells; rows with more cells than the header, rows that are not UTF-8 and a quoted cell that never ends are malformed. Files of
+one path may have their columns in any order, and columns of their own: cells are matched by column name.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from castwright import fixed
-from castwright.local import quoted
-from castwright.operators.cells import BLK, SEQ, SRC, with_file_position
+from castwright.local import quoted, refuse_clash
+from castwright.operators.cells import BLK, SEQ, SRC, land, landed
 
 MALFORMED = "__malformed"
-_BAD = "__bad"
+# File ranges that may be broadcast: a path and some numbers each, some 50 MB at most.
+_BROADCAST_RANGES = 300_000
+# Files of one path may differ in their headers, but each kind of header is planned for on the driver.
+_HEADERS = 10_000
 
-# A physical line that is a complete record: quoted or bare fields between commas.
-# Possessive loops, so the check is linear and needs no deep stack.
-_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
-COMPLETE_RECORD = rf"^{_FIELD}(?:,{_FIELD})*+\z"
+# A cell outside quotes, or quoted with whatever stands behind the closing quote. Possessive: linear, no deep stack.
+_CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
+# A physical line that is a complete record of quoted or bare cells without stray quotes.
+_PLAIN = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
+COMPLETE_RECORD = rf"^{_PLAIN}(?:,{_PLAIN})*+\z"
 
 
 class CsvError(ValueError):
@@ -33,22 +52,28 @@ class CsvError(ValueError):
 
 @dataclass
 class CsvTable:
-    """A raw CSV table.
+    """A raw CSV table, landed.
 
-    ``positioned`` carries, besides the columns, the file position of each row and
-    a marker on rows with more cells than the header.
+    ``positioned`` carries, besides the columns, the file and number of each row and a marker on malformed ones.
+    ``landed`` is the folder it is read from; ``open_landed`` opens it again.
     """
 
     path: str
-    files: list[str]
     columns: list[str]
     positioned: DataFrame
-    multiline: bool
+    landed: str
 
     @property
     def frame(self) -> DataFrame:
         return self.positioned.select(*map(quoted, self.columns))
 
+    def is_malformed(self) -> bool:
+        return not self.positioned.where(F.col(MALFORMED).isNotNull()).isEmpty()
+
+    def require_well_formed(self) -> None:
+        if self.is_malformed():
+            raise CsvError(fixed.ERR_PARSE)
+
 
 def column_names(header: list[str | None]) -> list[str]:
     """Header cells as unique names: blanks become ``Unnamed: i``, repeats get ``.1``, ``.2`` and so on.
@@ -70,81 +95,277 @@ def column_names(header: list[str | None]) -> list[str]:
     return names
 
 
-def _reader(spark: SparkSession, multiline: bool):
-    return spark.read.options(quote='"', escape='"', multiLine=multiline, encoding="UTF-8", mode="PERMISSIVE")
-
-
-def read_header(spark: SparkSession, file: str) -> list[str]:
-    """Column names from the first record of one file; reads no further."""
-    first = _reader(spark, True).csv(file, header=False).head(1)
-    if not first:
-        raise CsvError(fixed.ERR_EMPTY_FILE)
-    return column_names(list(first[0]))
-
-
 def needs_multiline(spark: SparkSession, path: str | list[str]) -> bool:
-    """Is there a physical line that is no complete record?
-
-    If every line is complete, each record ends with its line, so splitting the
-    file at line breaks cannot cut a record.
-    """
+    """Is there a physical line that is no complete record?  Readers that split at line breaks must not read such files."""
     return not spark.read.text(path).where(~F.col("value").rlike(COMPLETE_RECORD)).isEmpty()
 
 
-def is_long_row(bad: Column, width: int) -> Column:
-    """Does a record flagged by the parser have more cells than the header?  (Short rows are flagged too.)"""
-    bare = F.regexp_replace(bad, r'"[^"]*+"', "")
-    return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1 > width
+# --- the quote automaton ------------------------------------------------------
 
 
-def _parse(
-    spark: SparkSession, path: str | list[str], names: list[str], multiline: bool, *, pruning: bool = True
-) -> DataFrame:
-    """Cells, file position and malformed marker.
+def scanner(whole: bool):
+    """A function for ``mapInArrow`` over (file, start, length, value), whose rows come in file order within a range.
 
-    The parser sees only rows of the selected columns, so with column pruning the
-    marker is right only where all columns are read.
+    With ``whole`` it gives a row per line, else a row per range. It refers to nothing outside itself, so that executors need
+    not have this package.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BAD]])
-    options = {"header": True, "columnNameOfCorruptRecord": _BAD, "columnPruning": pruning}
-    parsed = _reader(spark, multiline).options(**options).schema(schema).csv(path)
-    long_row = F.col(_BAD).isNotNull() & is_long_row(F.col(_BAD), len(names))
-    first_cell = F.coalesce(F.col(quoted(names[0])), F.lit(""))
-    return with_file_position(parsed).select(
-        # A missing or empty cell is empty text.
-        *[F.coalesce(F.col(quoted(n)), F.lit("")).alias(n) for n in names],
-        SRC, BLK, SEQ,
-        F.when(long_row, F.concat(F.lit("malformed: "), first_cell)).alias(MALFORMED),
-    )
-
-
-def read_csv(
-    spark: SparkSession, path: str | list[str], *, multiline: bool | None = None, columns: list[str] | None = None
-) -> CsvTable:
-    """Raw table of one CSV file, or of files with one common header.
 
-    ``multiline`` forces whole-file parsing on or off; by default the lines decide.
+    def scan(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cell = r'(?:"(?:[^"]|"")*"(?:[^",][^,]*)?|[^",][^,]*|)'
+        ends_outside = {False: rf"^(?:{cell},)*{cell}$", True: rf'^(?:[^"]|"")*"(?:[^",][^,]*)?(?:,{cell})*$'}
+
+        def pieces(value: pa.Array, at_start: bool) -> tuple[pa.Array, pa.Array, np.ndarray]:
+            """Lines as text, what ends each, and which are no UTF-8. Carriage returns within a line end lines, too."""
+            binary = value.cast(pa.large_binary())
+            if at_start and len(binary) and (binary[0].as_py() or b"").startswith(b"\xef\xbb\xbf"):
+                binary = pa.concat_arrays([pa.array([binary[0].as_py()[3:]], pa.large_binary()), binary.slice(1)])
+            try:
+                text, bad = binary.cast(pa.large_string()), np.zeros(len(binary), bool)
+            except pa.ArrowInvalid:
+                raw = binary.to_pylist()
+                fixed_text = [x.decode("utf-8", "replace") for x in raw]
+                bad = np.array([x.encode() != y for x, y in zip(fixed_text, raw, strict=True)])
+                text = pa.array(fixed_text, pa.large_string())
+            if not pc.any(pc.match_substring(text, "\r")).as_py():
+                return text, pa.repeat(pa.scalar("\n"), len(text)), bad
+            lines, ends, flags = [], [], []
+            for line, flag in zip(text.to_pylist(), bad.tolist(), strict=True):
+                parts = line.split("\r")
+                own = ["\r"] * (len(parts) - 1) + ["\n"]
+                if len(parts) > 1 and not parts[-1]:
+                    parts, own = parts[:-1], [*own[:-2], "\r\n"]
+                lines += parts
+                ends += own
+                flags += [flag] * len(parts)
+            return pa.array(lines, pa.large_string()), pa.array(ends), np.array(flags)
+
+        def steps(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """State behind each line if it starts outside, and if it starts inside a quoted cell."""
+            behind = {False: np.zeros(len(text), bool), True: np.ones(len(text), bool)}
+            some = np.flatnonzero(pc.match_substring(text, '"').to_numpy(zero_copy_only=False))
+            if len(some):
+                own = text.take(pa.array(some))
+                for state, pattern in ends_outside.items():
+                    behind[state][some] = ~pc.match_substring_regex(own, pattern).to_numpy(zero_copy_only=False)
+            return behind[False], behind[True]
+
+        def states(outside: np.ndarray, inside: np.ndarray, start: bool) -> np.ndarray:
+            """State behind each line, given the state before the first: the last line that fixes it, and turns since."""
+            place, turns = np.arange(len(outside)), np.cumsum(outside & ~inside)
+            last = np.maximum.accumulate(np.where(outside == inside, place, -1))
+            known = last >= 0
+            base = np.where(known, outside[last], start)
+            return base ^ ((turns - np.where(known, turns[last], 0)) % 2 == 1)
+
+        key, header, number = None, None, 0
+        state, count = {}, {}
+
+        def summary() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(
+                [{"file": key[0], "start": key[1], "length": key[2], "out_u": state[False], "out_q": state[True], "n_u": count[False], "n_q": count[True], "header": "".join(header) if header is not None else None}],
+                pa.schema([("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("out_u", pa.bool_()), ("out_q", pa.bool_()), ("n_u", pa.int64()), ("n_q", pa.int64()), ("header", pa.string())]),
+            )
+
+        for batch in batches:
+            keys = [batch[c].to_pylist() for c in ("file", "start", "length")]
+            edges = [0, *[i for i in range(1, batch.num_rows) if any(k[i] != k[i - 1] for k in keys)], batch.num_rows]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                now = tuple(k[low] for k in keys)
+                if now != key:
+                    if key is not None and not whole:
+                        yield summary()
+                    key, header, number, closed = now, None, 0, False
+                    state, count = {False: False, True: True}, {False: 0, True: 0}
+                text, ends, bad = pieces(batch["value"].slice(low, high - low), key[1] == 0 and number == 0)
+                outside, inside = steps(text)
+                blank = pc.match_substring_regex(text, r"^[ \t]*$").to_numpy(zero_copy_only=False)
+                columns = {}
+                for start in (False, True):
+                    after = states(outside, inside, state[start])
+                    before = np.concatenate([[state[start]], after[:-1]])
+                    rows = count[start] + np.cumsum(~before & ~blank)
+                    columns[start] = (before, after, rows)
+                    state[start], count[start] = bool(after[-1]), int(rows[-1])
+                if not whole and key[1] == 0 and not closed:  # the first row of the file, as far as it stands in this range
+                    before, after, rows = columns[False]
+                    for i in np.flatnonzero(rows == 1).tolist():
+                        if not before[i] and blank[i]:
+                            continue
+                        header = [*(header or []), text[i].as_py(), ends[i].as_py()]
+                        if not after[i]:
+                            header, closed = header[:-1], True
+                            break
+                if whole:
+                    n = len(text)
+                    fields = {"file": pa.repeat(pa.scalar(key[0]), n), "start": pa.repeat(pa.scalar(key[1], pa.int64()), n), "length": pa.repeat(pa.scalar(key[2], pa.int64()), n)}
+                    fields |= {"line": np.arange(number, number + n), "text": text.cast(pa.string()), "ends": ends, "bad": bad, "blank": blank}
+                    for start, name in ((False, "u"), (True, "q")):
+                        fields |= dict(zip((f"in_{name}", f"out_{name}", f"n_{name}"), columns[start], strict=True))
+                    yield pa.RecordBatch.from_pydict(fields)
+                number += len(text)
+        if key is not None and not whole:
+            yield summary()
+
+    return scan
+
+
+_RANGE = "file string, start long, length long"
+_LINES = f"{_RANGE}, line long, text string, ends string, bad boolean, blank boolean, in_u boolean, out_u boolean, n_u long, in_q boolean, out_q boolean, n_q long"
+_SUMMARY = f"{_RANGE}, out_u boolean, out_q boolean, n_u long, n_q long, header string"
+
+
+def _physical(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    facts = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"), ("file_block_length", "length"))]
+    return spark.read.option("lineSep", "\n").text(path).select(*facts, F.col("value").cast("binary").alias("value"))
+
+
+def composed(summary: DataFrame) -> DataFrame:
+    """Per range: the state it starts in (``quoted``), the rows of its file that start before it (``before``), and ``unclosed``: the
+    number of the file's last row if that row never ends."""
+    in_file = Window.partitionBy("file").orderBy("start")
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.sum((F.col("out_u") & ~F.col("out_q")).cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, 0))
+    fixes = F.when(F.col("out_u") == F.col("out_q"), F.struct(F.col("out_u").alias("state"), F.col("turned").alias("turned")))
+    last = F.last("fixes", ignorenulls=True).over(earlier)
+    turns = F.coalesce(F.max("turned").over(earlier), F.lit(0))
+    odd = (F.col("turns") - F.coalesce(F.col("last.turned"), F.lit(0))) % 2 == 1
+    marked = summary.withColumn("turned", turned).withColumn("fixes", fixes).withColumn("last", last).withColumn("turns", turns)
+    marked = marked.withColumn("quoted", F.coalesce(F.col("last.state"), F.lit(False)) != odd)
+    marked = marked.withColumn("n", F.when(F.col("quoted"), F.col("n_q")).otherwise(F.col("n_u")))
+    marked = marked.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    whole = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = F.last(F.when(F.col("quoted"), F.col("out_q")).otherwise(F.col("out_u"))).over(whole)
+    return marked.select("file", "start", "length", "quoted", "before", "n", F.when(out, F.sum("n").over(whole)).alias("unclosed"))
+
+
+# --- rows and cells -------------------------------------------------------------
+
+
+def _rows(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """file, row (from 1, the header's), text, problem."""
+    seen = lines.join(ranges, ["file", "start", "length"], "left")
+    state = F.coalesce("quoted", F.raise_error(F.lit("The files or their split settings changed while they were read.")).cast("boolean"))
+    seen = seen.withColumn("quoted", state)
+    pick = lambda name: F.when(F.col("quoted"), F.col(f"{name}_q")).otherwise(F.col(f"{name}_u"))
+    seen = seen.select(
+        "file", "start", "line", "text", "ends", "bad", "blank", pick("in").alias("inside"), pick("out").alias("open"),
+        (F.col("before") + pick("n")).alias("row"), "unclosed",
+    ).where(~F.col("blank") | F.col("inside"))
+    endless = F.coalesce(F.col("row") == F.col("unclosed"), F.lit(False))
+    seen = seen.where(~(endless & F.col("inside")))  # of a quoted cell that never ends only the first line is kept
+    problem = F.when(endless, F.lit("quote")).when(F.col("bad"), F.lit("encoding"))
+    alone = ~F.col("inside") & (~F.col("open") | endless)
+    single = seen.where(alone).select("file", "row", "text", problem.alias("problem"))
+    # A row with line breaks: its lines meet by (file, row), wherever they were read.
+    own = F.sort_array(F.collect_list(F.struct("start", "line", "text", "ends")))
+    whole = seen.where(~alone).groupBy("file", "row").agg(own.alias("own"), F.max(problem).alias("problem"))
+    joined = F.concat_ws("", F.flatten(F.transform("own", lambda x: F.array(x["text"], x["ends"]))))
+    last = F.element_at("own", -1)["ends"]
+    text = F.expr("substring(joined, 1, length(joined) - length(last))")
+    whole = whole.select("file", "row", joined.alias("joined"), last.alias("last"), "problem").select("file", "row", text.alias("text"), "problem")
+    return single.unionByName(whole)
+
+
+def split_cells(text: Column) -> Column:
+    """The cells of a row, unquoted. Rows without quotes, the common case, are only cut at commas."""
+
+    def bare(cell: Column) -> Column:
+        inner = F.substr(cell, F.lit(2), F.length(cell) - 2)
+        regular = cell.endswith('"') & (F.length(cell) > 1) & ~F.contains(F.replace(inner, F.lit('""'), F.lit("")), F.lit('"'))
+        body = F.regexp_extract(cell, r'^"((?:[^"]++|"")*+)"', 1)
+        tail = F.regexp_replace(cell, r'^"(?:[^"]++|"")*+"', "")
+        plain = F.when(regular, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.concat(F.replace(body, F.lit('""'), F.lit('"')), tail))
+        return F.when(cell.startswith('"'), plain).otherwise(cell)
+
+    found = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(f",({_CELL})"), F.lit(1))
+    return F.when(~F.contains(text, F.lit('"')), F.split(text, ",", -1)).otherwise(F.transform(found, bare))
+
+
+def header_cells(text: str) -> list[str]:
+    """The cells of a header row, on the driver."""
+    cells = []
+    for cell in re.findall(f",({_CELL})", "," + text):
+        if cell.startswith('"') and (end := re.match(r'"((?:[^"]++|"")*+)"', cell)):
+            cell = end[1].replace('""', '"') + cell[end.end() :]
+        cells.append(cell)
+    return cells
+
+
+def read_csv(spark: SparkSession, path: str | list[str], *, columns: list[str] | None = None) -> CsvTable:
+    """Raw table of CSV files; lands it.
+
+    Its columns are those of the first file (by name), then those that only later files have; ``columns`` names
+    the wanted ones instead.
     """
     try:
-        files = sorted(spark.read.text(path).inputFiles())
+        physical = _physical(spark, path)
     except AnalysisException as error:
         raise CsvError(fixed.ERR_FILE_MISSING % path) from error
-    if not files:
+    summary = landed(physical.mapInArrow(scanner(False), _SUMMARY), "csv_ranges")
+    found = summary.groupBy("header").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("ranges"))
+    found = found.orderBy(F.col("header").isNotNull(), "file").limit(_HEADERS + 2).collect()
+    many = sum(row["ranges"] for row in found) > _BROADCAST_RANGES
+    headers = [row["header"] for row in found if row["header"] is not None]
+    if not headers:
         raise CsvError(fixed.ERR_EMPTY_FILE)
-    names = columns or read_header(spark, files[0])
-    if multiline is None:
-        multiline = needs_multiline(spark, path)
-    positioned = _parse(spark, path, names, multiline)
-    label = path if isinstance(path, str) else ",".join(path)
-    return CsvTable(label, files, names, positioned, multiline)
+    if len(headers) > _HEADERS:
+        raise CsvError(f"The files have more than {_HEADERS} kinds of headers.")
+    names = {text: column_names(header_cells(text)) for text in headers}
+    merged: dict[str, str] = {}
+    for own in names.values():
+        for name in own:
+            merged.setdefault(name.lower(), name)
+    every = columns or [*merged.values()]
+    refuse_clash(every, SRC, BLK, SEQ, MALFORMED)
+
+    ranges = composed(summary)
+    kinds = summary.where(F.col("header").isNotNull()).select("file", F.col("header").alias("kind"))
+    ranges = ranges.join(kinds, "file")
+    ranges = ranges if many else F.broadcast(ranges)
+    lines = physical.mapInArrow(scanner(True), _LINES)
+    rows = _rows(lines, ranges.select("file", "start", "length", "quoted", "before", "unclosed")).where(F.col("row") > 1)
+    cut = rows.withColumn("cells", split_cells(F.col("text")))
+    if len(headers) == 1 and names[headers[0]] == every:
+        cut = cut.withColumns({"width": F.lit(len(every)), "own": F.col("cells")})
+    else:
+        place = [[text, len(own), [{n.lower(): i for i, n in enumerate(own)}.get(name.lower(), -1) for name in every]] for text, own in names.items()]
+        orders = spark.createDataFrame(place, "kind string, width int, places array<int>")
+        # One row per file, and a row per kind of header.
+        files = kinds.join(F.broadcast(orders), "kind").drop("kind")
+        own = F.transform("places", lambda p: F.when(p >= 0, F.get("cells", p)))
+        cut = cut.join(files if many else F.broadcast(files), "file").withColumn("own", own)
+    long_row = F.when(F.size("cells") > F.col("width"), F.lit("cells"))
+    first_cell = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    folder = land(
+        cut.select(
+            F.col("file").alias(SRC), F.lit(0).cast("bigint").alias(BLK), (F.col("row") - 2).alias(SEQ),
+            *[F.coalesce(F.get("own", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(len(every))],
+            F.when(F.coalesce("problem", long_row).isNotNull(), F.concat(F.lit("malformed: "), first_cell)).alias(MALFORMED),
+        ),
+        "csv_rows",
+    )
+    return open_landed(spark, folder, every, path if isinstance(path, str) else ",".join(path))
+
+
+def open_landed(spark: SparkSession, folder: str, columns: list[str], label: str = "") -> CsvTable:
+    """A table that ``read_csv`` landed, without reading its files again."""
+    cells = [f"c{i}" for i in range(len(columns))]
+    kinds = ", ".join([*[f"{c} string" for c in cells], f"{SRC} string, {BLK} long, {SEQ} long, {MALFORMED} string"])
+    rows = spark.read.schema(kinds).parquet(folder)
+    positioned = rows.select(*[F.col(c).alias(name) for c, name in zip(cells, columns, strict=True)], SRC, BLK, SEQ, MALFORMED)
+    return CsvTable(label, columns, positioned, folder)
 
 
 def malformed_rows(table: CsvTable) -> DataFrame:
-    """Rows with too many cells, counted per file."""
-    spark = table.positioned.sparkSession
-    rows = _parse(spark, table.files, table.columns, table.multiline, pruning=False)
+    """Rows, and malformed ones among them, counted per file."""
     return (
-        rows.groupBy(F.col(SRC).alias("file"))
+        table.positioned.groupBy(F.col(SRC).alias("file"))
         .agg(F.count(F.lit(1)).alias("row_count"), F.count(MALFORMED).alias("malformed"))
         .orderBy("file")
     )

@@ -193,5 +193,7 @@ def test_table_jobs(spark):
     frame = spark.createDataFrame(rows, "k int, n string, v string")
     result = process_table(frame, {"n": "category"}, order_by="k", page_size=2)
     assert result.row_count == 3 and [r["n"] for r in result.preview.collect()] == ["a", "b"]
-    assert [e["inferred_type"] for e in result.schema_entries()] == ["category", "text"]
-    assert result.converted.columns == ["n", "v"]
+    assert [e["inferred_type"] for e in result.schema_entries()] == ["integer", "category", "text"]
+    assert result.converted.columns == ["k", "n", "v"]
+    fewer = process_table(frame, order_by="k", columns=["n", "v"])
+    assert fewer.converted.columns == ["n", "v"]

@@ -130,7 +130,7 @@ FROM events
 EVENT_COLUMNS = ["num_text", "stamp_text", "cplx_text", "bool_text", "blank_text", "sparse_text", "props_text"]
 
 LINEITEM_COLUMNS = [
-    "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
     "l_linestatus", "l_shipdate",
 ]
 

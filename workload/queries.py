@@ -57,7 +57,7 @@ def joined(frame: DataFrame, *arrays: str) -> DataFrame:
 
 
 def orders_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return profile(raw_orders(spark, folder), KEY, **DATES)
+    return profile(raw_orders(spark, folder), KEY, ORDER_COLUMNS, **DATES)
 
 
 def orders_schema(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +73,7 @@ _INFERRED = oracle.inferred(inputs.RAW_ORDERS, ORDER_COLUMNS)
 
 @query(f"WITH {oracle.cells(inputs.RAW_ORDERS, ORDER_COLUMNS)} SELECT \"column\", v, n FROM vals")
 def value_counts_orders(spark, folder):
-    return value_counts(raw_orders(spark, folder), KEY)
+    return value_counts(raw_orders(spark, folder), KEY, ORDER_COLUMNS)
 
 
 @query(f"SELECT count(*) AS row_count FROM ({inputs.RAW_ORDERS})")
@@ -88,7 +88,7 @@ def profile_orders(spark, folder):
 
 @query(f"WITH {oracle.profiled(inputs.RAW_EVENTS, EVENT_COLUMNS)} SELECT * FROM profile")
 def profile_events(spark, folder):
-    return joined(profile(raw_events(spark, folder), KEY, **DATES), "sample_values")
+    return joined(profile(raw_events(spark, folder), KEY, EVENT_COLUMNS, **DATES), "sample_values")
 
 
 @query(f"WITH {_PROFILED} SELECT \"column\", total_count, non_null_count, null_token_count FROM profile")
@@ -130,7 +130,7 @@ def infer_schema(spark, folder):
 
 @query(f"WITH {oracle.inferred(inputs.RAW_EVENTS, EVENT_COLUMNS)} SELECT * FROM inferred")
 def infer_events(spark, folder):
-    schema = inference.infer_table(raw_events(spark, folder), KEY, **DATES)
+    schema = inference.infer_table(raw_events(spark, folder), KEY, EVENT_COLUMNS, **DATES)
     return joined(schema, "warnings", "sample_values", "allowed_overrides")
 
 
@@ -141,14 +141,12 @@ def infer_lineitem(spark, folder):
 
 
 @query(
-    "WITH " + oracle.inferred("SELECT * FROM documents", ["text", "lang", "source", "n_chars"], "doc_id")
-    + " SELECT \"column\", pos, inferred_type, confidence, nullable, null_token_count, sample_values FROM inferred"
+    "WITH " + oracle.inferred("SELECT * FROM documents", ["doc_id", "text", "lang", "source", "n_chars"], "doc_id")
+    + " SELECT * FROM inferred"
 )
 def infer_documents(spark, folder):
     schema = inference.infer_table(table(spark, folder, "documents"), "doc_id", **DATES)
-    return joined(schema, "sample_values").select(
-        "column", "pos", "inferred_type", "confidence", "nullable", "null_token_count", "sample_values"
-    )
+    return joined(schema, "warnings", "sample_values", "allowed_overrides")
 
 
 @query(f"WITH {_INFERRED} SELECT DISTINCT warnings AS warning FROM inferred WHERE warnings <> ''")
@@ -526,7 +524,7 @@ def _schema_part(schema: DataFrame) -> DataFrame:
 
 @query(f"WITH {_INFERRED}, {oracle.overridden(GOOD_OVERRIDES)} SELECT {_SCHEMA_SQL} FROM effective")
 def process(spark, folder):
-    result = jobs.process_table(raw_orders(spark, folder), GOOD_OVERRIDES, order_by=KEY, **DATES)
+    result = jobs.process_table(raw_orders(spark, folder), GOOD_OVERRIDES, order_by=KEY, columns=ORDER_COLUMNS, **DATES)
     return _schema_part(result.schema)
 
 
@@ -543,8 +541,8 @@ def process_csv(spark, folder):
 def run_log_append(spark, folder):
     log = work_folder(spark, "run_log_append")
     rows = [
-        jobs.process_table(raw_orders(spark, folder), order_by=KEY, object_key="orders", **DATES).run_row(),
-        jobs.process_table(raw_events(spark, folder), order_by=KEY, object_key="events", **DATES).run_row(),
+        jobs.process_table(raw_orders(spark, folder), order_by=KEY, columns=ORDER_COLUMNS, object_key="orders", **DATES).run_row(),
+        jobs.process_table(raw_events(spark, folder), order_by=KEY, columns=EVENT_COLUMNS, object_key="events", **DATES).run_row(),
         runs.run_row(object_key="broken", status="failed"),
     ]
     batch = rows[0]["run_id"]
@@ -555,8 +553,8 @@ def run_log_append(spark, folder):
 @query("SELECT 'events' AS object_key, 'completed' AS status, count(*) AS row_count FROM events")
 def run_log_latest(spark, folder):
     log = work_folder(spark, "run_log_latest")
-    first = jobs.process_table(raw_orders(spark, folder), order_by=KEY, object_key="orders", **DATES).run_row()
-    second = jobs.process_table(raw_events(spark, folder), order_by=KEY, object_key="events", **DATES).run_row()
+    first = jobs.process_table(raw_orders(spark, folder), order_by=KEY, columns=ORDER_COLUMNS, object_key="orders", **DATES).run_row()
+    second = jobs.process_table(raw_events(spark, folder), order_by=KEY, columns=EVENT_COLUMNS, object_key="events", **DATES).run_row()
     path = f"{log}/{first['run_id']}"
     runs.append_runs(spark, path, [first])
     runs.append_runs(spark, path, [second])
