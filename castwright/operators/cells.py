@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +56,11 @@ def _order_key(frame: DataFrame, order_by: str | Column) -> Column:
 
 def _file_facts(frame: DataFrame) -> list[str]:
     """Names of the file facts Spark offers for the rows of a frame; none unless it is a file scan."""
-    try:
-        return frame.select("_metadata").schema["_metadata"].dataType.names
-    except AnalysisException:
+    hidden = frame._jdf.queryExecution().analyzed().metadataOutput().mkString(",")
+    if "_metadata" not in frame.columns and not hidden.startswith("_metadata#"):
         return []
+    kind = frame.select("_metadata").schema["_metadata"].dataType
+    return kind.names if isinstance(kind, T.StructType) else []
 
 
 def with_row_order(frame: DataFrame, order_by: str | Column | None = None, columns: list[str] | None = None) -> Ordered:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from castwright.local import quoted
-from castwright.operators.cells import unpivot, with_row_order
+from castwright.local import quoted, refuse_clash
+from castwright.operators.cells import landed, unpivot, with_row_order
+from castwright.operators.convert import convert, targets
 from castwright.operators.profile import normalized_cells
 
-_BOUNDARIES = 63
-_SAMPLED_VALUES = 20_000
+_VALUES_PER_PIECE = 1_000_000
+# Pieces that may be broadcast: some numbers for each piece of a column.
+_BROADCAST_PIECES = 1_000_000
+# The low bits of Spark's row id count the rows of a partition, the others are the partition.
+_ROW_BITS = 33
 
 
 def _values(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,55 +26,48 @@ def _values(frame: DataFrame, columns: list[str]) -> DataFrame:
     return cells.select(names[F.col("pos")].alias("column"), F.col("v").alias("value"))
 
 
-def _sampled_edges(values: DataFrame) -> list[str]:
-    """Boundaries from a sample of cells of fixed size; a top-k, so no shuffle of the values."""
-    drawn = values.withColumn("row", F.monotonically_increasing_id())
-    drawn = drawn.orderBy(F.xxhash64("value", "row")).select("value").limit(_SAMPLED_VALUES)
-    ranked = sorted({row["value"] for row in drawn.collect()} - {None})
-    step = max(1, len(ranked) // (_BOUNDARIES + 1))
-    return ranked[step::step][:_BOUNDARIES]
-
-
-def _locate(value: Column, edges: list[str]) -> Column:
-    """Number of edges at or below a value, by bisection."""
-
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        middle = (lo + hi) // 2
-        return F.when(value < F.lit(edges[middle]), between(lo, middle)).otherwise(between(middle + 1, hi))
-
-    return between(0, len(edges))
-
-
-def category_dictionary(frame: DataFrame, columns: list[str], *, edges: list[str] | None = None) -> DataFrame:
+def category_dictionary(frame: DataFrame, columns: list[str], *, values_per_piece: int = _VALUES_PER_PIECE) -> DataFrame:
     """``column, code, value``: codes count from 0 in value order.
 
-    Any column may be made a category, so the values of one column may be many.
-    They are cut at sampled value boundaries, numbered within each piece, and
-    shifted by the sizes of the pieces before it; no task sorts a whole column.
-    The boundaries only balance the pieces, any choice gives the same codes.
+    Any column may be made a category, so the values of one column may be many. The distinct values, each once however
+    hot it is in the table, are landed, dealt to ranges of (column, value) that grow in number with them, sorted
+    within each range, and landed with their place in it; a running sum over the ranges makes the places dense
+    codes. No task sorts a whole column, and the ranges only balance the work: any choice gives the same codes.
     """
-    cells = _values(frame, columns)
-    if edges is None:
-        edges = _sampled_edges(cells)
-    values = cells.distinct().where(F.col("value").isNotNull())
-    placed = values.withColumn("piece", _locate(F.col("value"), sorted(set(edges))))
-    pieces = placed.groupBy("column", "piece").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("column").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 64 pieces per table column.
-    starts = F.broadcast(pieces.select("column", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
-    rank = F.row_number().over(Window.partitionBy("column", "piece").orderBy("value"))
-    return (
-        placed.withColumn("rank", rank)
-        .join(starts, ["column", "piece"])
-        .select("column", (F.col("start") + F.col("rank") - 1).alias("code"), "value")
+    values = landed(_values(frame, columns).distinct().where(F.col("value").isNotNull()), "category_values")
+    pieces = max(1, math.ceil(values.count() / values_per_piece))
+    row = F.monotonically_increasing_id()
+    placed = values.repartitionByRange(pieces, "column", "value").sortWithinPartitions("column", "value").select(
+        "column", "value", F.shiftright(row, _ROW_BITS).alias("piece"), row.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("place")
     )
+    placed = landed(placed, "category_places")
+    found = placed.groupBy("column", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("column").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = found.select("column", "piece", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    if pieces * len(columns) <= _BROADCAST_PIECES:
+        starts = F.broadcast(starts)
+    return placed.join(starts, ["column", "piece"]).select("column", (F.col("start") + F.col("place")).alias("code"), "value")
 
 
 def encode(frame: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
     """Add ``<column>_code``; Spark broadcasts the dictionary only if it is small enough."""
-    codes = dictionary.where(F.col("column") == column).select(
-        F.col("value").alias(column), F.col("code").alias(f"{column}_code")
-    )
-    return frame.join(codes, quoted(column) if "." in column else column, "left")
+    name = f"{column}_code"
+    refuse_clash(frame.columns, name, "__value")
+    codes = dictionary.where(F.col("column") == column).select(F.col("value").alias("__value"), F.col("code").alias(name))
+    return frame.join(codes, F.col(quoted(column)) == F.col("__value"), "left").drop("__value")
+
+
+def convert_encoded(frame: DataFrame, schema, *, keep: list[str] | None = None, **options) -> DataFrame:
+    """The typed table, with a code beside every category column: its place among the column's sorted values.
+
+    Null cells have a null code. Rows and their number stay as ``convert`` gives them.
+    """
+    wanted = targets(schema)
+    categories = [t.column for t in wanted if t.logical == "category"]
+    converted = convert(frame, schema, keep=keep, **options)
+    if not categories:
+        return converted
+    dictionary = landed(category_dictionary(frame, categories), "category_dictionary")
+    for column in categories:
+        converted = encode(converted, column, dictionary)
+    return converted

@@ -14,7 +14,7 @@ from castwright.operators import convert as conversion
 from castwright.operators import infer as inference
 from castwright.operators import overrides as override_rules
 from castwright.operators import paging
-from castwright.operators.dictionary import category_dictionary
+from castwright.operators.dictionary import category_dictionary, convert_encoded
 from castwright.operators.profile import profile, value_counts
 from castwright.plans import jobs
 from castwright.sources import csv as csv_source
@@ -337,6 +337,18 @@ def category_dictionary_orders(spark, folder):
     return category_dictionary(raw_orders(spark, folder), ["status", "priority", "name_text", "cust_text"])
 
 
+_CODED = {"status": "category", "cust_text": "category", "name_text": "category", "zero_one": "integer"}
+_CODES = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 END AS {c}_code" for c in ("status", "cust_text", "name_text"))
+
+
+@query(
+    "WITH plain AS (SELECT row_ord, " + ", ".join(f"{oracle.normalized(c)} AS {c}" for c in ("status", "cust_text", "name_text"))
+    + f", CAST(zero_one AS BIGINT) AS zero_one FROM ({inputs.RAW_ORDERS})) SELECT *, {_CODES} FROM plain"
+)
+def category_codes_orders(spark, folder):
+    return convert_encoded(raw_orders(spark, folder), _CODED, keep=[KEY])
+
+
 def converted_orders(spark, folder) -> DataFrame:
     return conversion.convert(raw_orders(spark, folder), ORDER_TYPES, keep=[KEY], **DATES)
 
