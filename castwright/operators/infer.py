@@ -62,8 +62,8 @@ def name_of(names: dict[str, str], logical: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[logical]
 
 
-def infer(profile_frame: DataFrame) -> DataFrame:
-    """Schema rows of a profile, in source column order."""
+def infer(profile_frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Schema rows of a profile, in source column order; ``keys`` are carried along, and the order is left open then."""
     ladder = _ladder()
     logical = _first_match(
         [(c, F.lit(kind) if isinstance(kind, str) else kind) for c, kind, _, _ in ladder], F.lit("text")
@@ -74,7 +74,8 @@ def infer(profile_frame: DataFrame) -> DataFrame:
         [(c, F.array(F.lit(text)) if text else no_warning) for c, _, _, text in ladder], no_warning
     )
     typed = profile_frame.withColumn("inferred_type", logical)
-    return typed.select(
+    schema = typed.select(
+        *keys,
         "column",
         "pos",
         "inferred_type",
@@ -87,7 +88,8 @@ def infer(profile_frame: DataFrame) -> DataFrame:
         "sample_values",
         F.array(*[F.lit(t) for t in fixed.LOGICAL_TYPES]).alias("allowed_overrides"),
         "has_utc_offset",
-    ).orderBy("pos")
+    )
+    return schema if keys else schema.orderBy("pos")
 
 
 def infer_table(frame: DataFrame, order_by=None, columns: list[str] | None = None, **date_options) -> DataFrame:

@@ -29,7 +29,7 @@ from castwright import fixed
 from castwright.functions import classify, text
 from castwright.local import local_frame, quoted
 from castwright.session import tune
-from castwright.operators.cells import BLK, SEQ, SRC, Ordered, unpivot, with_row_order
+from castwright.operators.cells import BLK, SEQ, SRC, Ordered, landed, unpivot, with_row_order
 
 _BUCKETS = 8
 
@@ -92,19 +92,24 @@ def _position(block_keys: list[str], seq: Column) -> Column:
 def evidence(ordered: Ordered, **date_options) -> DataFrame:
     """Pass 1: one evidence row per column."""
     tune(ordered.frame.sparkSession)
-    cells = normalized_cells(unpivot(ordered, ordered.columns))
+    return evidence_of(unpivot(ordered, ordered.columns), ordered.block_keys, by_value=ordered.by_value, **date_options)
+
+
+def evidence_of(cells: DataFrame, block_keys: list[str], *, by_value: bool = False, by: tuple[str, ...] = ("pos",), **date_options) -> DataFrame:
+    """Evidence of cells (``pos, raw, hint, digest`` and their position): one row for each value of ``by``."""
+    cells = normalized_cells(cells)
     digest = F.coalesce(F.col("digest"), F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     # Hash work precedes classification, so that it is fused with the scan.
-    cells = cells.select("pos", *ordered.block_keys, SEQ, "v", "hint", digest.alias("digest"))
+    cells = cells.select("pos", *block_keys, SEQ, "v", "hint", digest.alias("digest"))
     cells = cells.select(
-        "pos", *ordered.block_keys, "v", "hint",
-        F.col("digest").alias(SEQ) if ordered.by_value else F.col(SEQ),
+        "pos", *block_keys, "v", "hint",
+        F.col("digest").alias(SEQ) if by_value else F.col(SEQ),
         F.expr("shiftleft(1L, CAST(digest & 63 AS INT))").alias("bit"),
         F.pmod(F.shiftright("digest", 16), F.lit(_BUCKETS)).cast("int").alias("bucket"),
     )
     cells = classify.classify(cells, "v", "__mask", **date_options).withColumn("mask", F.coalesce("hint", "__mask"))
     # Six fixed-width buffers per (column, block, bucket): the whole table is reduced inside the tasks.
-    partial = cells.groupBy("pos", *ordered.block_keys, "bucket").agg(
+    partial = cells.groupBy("pos", *block_keys, "bucket").agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count("mask").alias("non_null_count"),
         F.bit_and("mask").alias("all_mask"),
@@ -112,19 +117,20 @@ def evidence(ordered: Ordered, **date_options) -> DataFrame:
         F.bit_or("bit").alias("bits"),
         F.min(SEQ).alias(SEQ),
     )
-    first = _position(ordered.block_keys, F.col(SEQ))
+    first = _position(block_keys, F.col(SEQ))
     return merge_evidence(
         partial.select(
-            "pos", "total_count", "non_null_count", "all_mask", "any_mask",
+            *by, "total_count", "non_null_count", "all_mask", "any_mask",
             *[F.when(F.col("bucket") == i, F.col("bits")).alias(f"word{i}") for i in range(_BUCKETS)],
             *[F.when(F.col("bucket") == i, first).alias(f"bucket{i}") for i in range(_BUCKETS)],
-        )
+        ),
+        by,
     )
 
 
-def merge_evidence(parts: DataFrame) -> DataFrame:
+def merge_evidence(parts: DataFrame, by: tuple[str, ...] = ("pos",)) -> DataFrame:
     """Combine evidence of disjoint row sets (buckets, file blocks, micro-batches); associative."""
-    return parts.groupBy("pos").agg(
+    return parts.groupBy(*by).agg(
         F.sum("total_count").alias("total_count"),
         F.sum("non_null_count").alias("non_null_count"),
         F.bit_and("all_mask").alias("all_mask"),
@@ -221,58 +227,88 @@ def values(ordered: Ordered, rows: dict[int, dict]) -> DataFrame:
     return scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
 
 
-def finish(spark: SparkSession, columns: list[str], rows: dict[int, dict], found: DataFrame) -> DataFrame:
-    """Profile rows from the evidence (one row per column) and the needed values."""
-    local_rows = []
-    for pos, name in enumerate(columns):
-        row = rows.get(pos) or {"total_count": 0, "non_null_count": 0, "all_mask": None, "any_mask": None}
-        every = classify.ALL if row["all_mask"] is None else row["all_mask"]
-        some = row["any_mask"] or 0
-        local_rows.append(
-            {
-                "column": name,
-                "pos": pos,
-                "total_count": row["total_count"],
-                "non_null_count": row["non_null_count"],
-                "null_token_count": row["total_count"] - row["non_null_count"],
-                "integer_valid": bool(every & classify.INTEGER),
-                "float_valid": bool(every & classify.NUMBER),
-                "boolean_valid": bool(every & classify.BOOLEAN),
-                "boolean_has_alpha_tokens": bool(some & classify.ALPHA),
-                "datetime_valid": bool(every & classify.DATETIME),
-                "ambiguous_datetime": bool(some & classify.AMBIGUOUS),
-                "has_time_component": bool(some & classify.TIME),
-                "has_utc_offset": bool(some & classify.OFFSET),
-                "complex_valid": bool(every & classify.COMPLEX),
-                "many": row["non_null_count"] > 0 and has_many_values(row),
-            }
-        )
-    schema = T.StructType(PROFILE_SCHEMA.fields + [T.StructField("many", T.BooleanType())])
-    flags = local_frame(spark, local_rows, schema)
+def _facts() -> list[Column]:
+    """Profile columns of an evidence row; a column without cells keeps the defaults."""
+    count = F.coalesce("total_count", F.lit(0)).cast("bigint")
+    present = F.coalesce("non_null_count", F.lit(0)).cast("bigint")
+    every, some = F.coalesce("all_mask", F.lit(classify.ALL)), F.coalesce("any_mask", F.lit(0))
+    slots = sum((F.bit_count(F.coalesce(f"word{i}", F.lit(0))) for i in range(_BUCKETS)), F.lit(0))
+    has = lambda mask, kind: mask.bitwiseAND(F.lit(kind)) != 0
+    return [
+        count.alias("total_count"),
+        present.alias("non_null_count"),
+        (count - present).alias("null_token_count"),
+        has(every, classify.INTEGER).alias("integer_valid"),
+        has(every, classify.NUMBER).alias("float_valid"),
+        has(every, classify.BOOLEAN).alias("boolean_valid"),
+        has(some, classify.ALPHA).alias("boolean_has_alpha_tokens"),
+        has(every, classify.DATETIME).alias("datetime_valid"),
+        has(some, classify.AMBIGUOUS).alias("ambiguous_datetime"),
+        has(some, classify.TIME).alias("has_time_component"),
+        has(some, classify.OFFSET).alias("has_utc_offset"),
+        has(every, classify.COMPLEX).alias("complex_valid"),
+        ((present > 0) & (slots >= fixed.UNIQUE_CAP)).alias("many"),
+    ]
 
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.col("v").isNull(), "first", "v"))
+
+def finished(held: DataFrame, found: DataFrame, by: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Profile rows from evidence rows, which carry ``column``, and the needed values; one for each value of ``by``."""
+    flags = held.select(*dict.fromkeys([*by, "column", "pos"]), *_facts())
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("v").isNull(), "first", "v"))
     sampled = F.when((F.col("rank") <= fixed.SAMPLE_SIZE) & F.col("v").isNotNull(), F.struct("rank", "v"))
     per_column = (
         found.withColumn("rank", rank)
-        .groupBy("pos")
+        .groupBy(*by)
         .agg(F.count("v").alias("found"), F.array_sort(F.collect_list(sampled)).alias("sampled"))
     )
-    return (
-        # Both sides have one row per table column.
-        flags.join(F.broadcast(per_column), "pos", "left")
-        .select(
-            *[f.name for f in PROFILE_SCHEMA],
-            F.when(F.col("many"), F.lit(fixed.UNIQUE_CAP))
-            .otherwise(F.least(F.coalesce("found", F.lit(0)), F.lit(fixed.UNIQUE_CAP)))
-            .cast("int")
-            .alias("unique_count"),
-            F.when(F.col("sampled").isNull(), F.array().cast("array<string>"))
-            .otherwise(F.transform("sampled", lambda s: s["v"]))
-            .alias("sample_values"),
-        )
+    # For one table, both sides have one row per column.
+    joined = flags.join(F.broadcast(per_column) if by == ("pos",) else per_column, list(by), "left")
+    return joined.select(
+        *[key for key in by if key not in PROFILE_SCHEMA.names],
+        *PROFILE_SCHEMA.names,
+        F.when(F.col("many"), F.lit(fixed.UNIQUE_CAP))
+        .otherwise(F.least(F.coalesce("found", F.lit(0)), F.lit(fixed.UNIQUE_CAP)))
+        .cast("int")
+        .alias("unique_count"),
+        F.when(F.col("sampled").isNull(), F.array().cast("array<string>"))
+        .otherwise(F.transform("sampled", lambda s: s["v"]))
+        .alias("sample_values"),
     )
 
 
+def finish(spark: SparkSession, columns: list[str], rows: dict[int, dict], found: DataFrame) -> DataFrame:
+    """Profile rows of one table from its evidence (one row per column) and the needed values."""
+    none = dict.fromkeys(EVIDENCE_SCHEMA.names)
+    local_rows = []
+    for pos, name in enumerate(columns):
+        row = none | {k: v for k, v in rows.get(pos, {}).items() if not k.startswith("bucket")}
+        local_rows.append(row | {"pos": pos, "column": name})
+    schema = T.StructType([*EVIDENCE_SCHEMA.fields, T.StructField("column", T.StringType())])
+    return finished(local_frame(spark, local_rows, schema), found)
+
+
+def profile_files(cells: DataFrame, columns: DataFrame, **date_options) -> DataFrame:
+    """Profiles of many files at once: one row per file and column.
+
+    ``cells`` has ``pos, raw`` and the position (file, block, row) of every cell, ``columns`` the ``file, pos, column`` to report. The
+    file is an aggregation key, so the number of jobs does not depend on the number of files. Of a column with many
+    values only the cells up to the place by which its samples have occurred are looked at again.
+    """
+    tune(cells.sparkSession)
+    by = (SRC, "pos")
+    typed = cells.withColumns({"hint": F.lit(None).cast("int"), "digest": F.lit(None).cast("bigint")})
+    held = landed(evidence_of(typed, [SRC, BLK], by=by, **date_options), "file_evidence")
+    slots = sum((F.bit_count(F.coalesce(f"word{i}", F.lit(0))) for i in range(_BUCKETS)), F.lit(0))
+    firsts = F.array_sort(F.filter(F.array(*[f"bucket{i}" for i in range(_BUCKETS)]), lambda x: x.isNotNull()))
+    bound = F.when(slots >= fixed.UNIQUE_CAP, F.get(firsts, F.lit(fixed.SAMPLE_SIZE - 1))[SEQ])
+    bounds = held.select(*by, bound.alias("bound"))
+    near = cells.join(bounds, list(by)).where(F.col("bound").isNull() | (F.col(SEQ) <= F.col("bound")))
+    firsts = normalized_cells(near).groupBy(*by, "v").agg(F.min(SEQ).alias(SEQ))
+    found = firsts.select(*by, "v", F.struct(F.col(SRC), F.lit(0).cast("bigint").alias(BLK), F.col(SEQ)).alias("first"))
+    named = columns.select(F.col("file").alias(SRC), "pos", "column").join(held, list(by), "left")
+    return finished(named, found, by)
+
+
 def collect_evidence(frame: DataFrame) -> dict[int, dict]:
     """Evidence rows by column position; as many rows as the table has columns."""
     return {row["pos"]: row.asDict() for row in frame.collect()}

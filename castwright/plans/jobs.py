@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 from time import perf_counter
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,17 +16,14 @@ from castwright import fixed
 from castwright.local import local_frame, pin, quoted
 from castwright.operators import convert as conversion
 from castwright.operators import paging
-from castwright.operators.cells import BLK, SRC, Ordered, with_row_order
+from castwright.operators.cells import BLK, SRC, Ordered, landed, with_row_order
 from castwright.operators.infer import dataset_warnings, infer
 from castwright.operators.overrides import apply_overrides
-from castwright.operators.profile import collect_evidence, evidence, finish, profile, values
+from castwright.operators.profile import collect_evidence, evidence, finish, profile, profile_files, values
 from castwright.sources import runs as run_log
-from castwright.sources.csv import MALFORMED, CsvError, CsvTable, open_landed, read_csv
+from castwright.sources.csv import MALFORMED, CsvError, CsvTable, open_landed, read_csv, read_each
 from castwright.sources.files import FileTypeError, file_type_of, list_supported_files
 
-# Files of a prefix processed at the same time; each is a distributed job of its own.
-_CONCURRENT_FILES = 4
-
 
 @dataclass
 class ProcessResult:
@@ -236,35 +232,36 @@ PREFIX_SCHEMA = T.StructType(
 )
 
 
-def process_prefix(spark: SparkSession, prefix: str, log_path: str | None = None, **options) -> DataFrame:
-    """Process every CSV file below a prefix; one schema row per column and file.
+def _schema_fields(schema: DataFrame) -> Column:
+    return F.struct(*[c for c in schema.columns if c != SRC])
 
-    Headers differ between files, so each file is a job of its own; a few run side
-    by side.  A file that cannot be processed gives one ``failed`` row.
-    """
-    listed = list_supported_files(spark, prefix).where(F.col("format") == "csv")
-    keys = [row["key"] for row in listed.select("key").collect()]
 
-    def one(key: str) -> tuple[list[dict], dict]:
-        try:
-            result = process_csv(spark, key, **options)
-        except Exception as error:  # every failure is reported, none stops the other files
-            message = str(error).split("\n", 1)[0]
-            failed = dict.fromkeys(PREFIX_SCHEMA.names)
-            failed.update(path=key, status="failed", error=message)
-            return [failed], run_log.run_row(object_key=key, status="failed", metadata={"error": message})
-        entries = [
-            {
-                "path": key, "status": "completed", "row_count": result.row_count, "pos": e["pos"],
-                "column": e["column"], "inferred_type": e["inferred_type"], "confidence": e["confidence"],
-                "nullable": e["nullable"], "error": None,
-            }
-            for e in result.schema_entries()
-        ]
-        return entries, result.run_row()
-
-    with ThreadPoolExecutor(_CONCURRENT_FILES) as pool:
-        outcomes = list(pool.map(one, keys))
-    if log_path is not None and outcomes:
-        run_log.append_runs(spark, log_path, [run for _, run in outcomes])
-    return local_frame(spark, [entry for entries, _ in outcomes for entry in entries], PREFIX_SCHEMA)
+def process_prefix(
+    spark: SparkSession, prefix: str, log_path: str | None = None, *, allow_malformed: bool = False, **date_options
+) -> DataFrame:
+    """Process every CSV file below a prefix; one schema row per column and file, landed.
+
+    All files are read and profiled together, with the file as an aggregation key: the number of jobs does not grow
+    with the files, and neither file names nor result rows pass through the driver. A file that cannot be processed
+    gives one ``failed`` row. Each file gets a run row.
+    """
+    if list_supported_files(spark, prefix).where(F.col("format") == "csv").isEmpty():
+        return local_frame(spark, [], PREFIX_SCHEMA)
+    cells, files = read_each(spark, prefix)
+    error = F.when(F.col("columns").isNull(), F.lit(fixed.ERR_EMPTY_FILE))
+    if not allow_malformed:
+        error = error.when(F.col("malformed") > 0, F.lit(fixed.ERR_PARSE))
+    files = landed(files.withColumn("error", error), "prefix_files")
+    columns = files.where(F.col("error").isNull()).select("file", F.posexplode("columns").alias("pos", "column"))
+    schema = landed(infer(profile_files(cells, columns, **date_options), (SRC,)), "prefix_schema")
+    good = schema.join(files.select(F.col("file").alias(SRC), "row_count"), SRC)
+    good = good.select(
+        F.col(SRC).alias("path"), F.lit("completed").alias("status"), "row_count", "pos", "column", "inferred_type", "confidence",
+        "nullable", F.lit(None).cast("string").alias("error"),
+    )
+    bad = files.where(F.col("error").isNotNull()).select(F.col("file").alias("path"), F.lit("failed").alias("status"), "error")
+    found = landed(good.unionByName(bad, allowMissingColumns=True).select(*PREFIX_SCHEMA.names), "prefix_result")
+    if log_path is not None:
+        entries = schema.groupBy(F.col(SRC).alias("file")).agg(F.sort_array(F.collect_list(F.struct("pos", _schema_fields(schema).alias("entry")))).alias("own"))
+        run_log.append_run_frame(files.join(entries, "file", "left"), log_path, {"paging": {"dates": _stored_dates(date_options)}})
+    return found

@@ -220,9 +220,9 @@ _LINES = f"{_RANGE}, line long, text string, ends string, bad boolean, blank boo
 _SUMMARY = f"{_RANGE}, out_u boolean, out_q boolean, n_u long, n_q long, header string"
 
 
-def _physical(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _physical(spark: SparkSession, path: str | list[str], options: dict) -> DataFrame:
     facts = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"), ("file_block_length", "length"))]
-    return spark.read.option("lineSep", "\n").text(path).select(*facts, F.col("value").cast("binary").alias("value"))
+    return spark.read.options(lineSep="\n", **options).text(path).select(*facts, F.col("value").cast("binary").alias("value"))
 
 
 def composed(summary: DataFrame) -> DataFrame:
@@ -297,62 +297,108 @@ def header_cells(text: str) -> list[str]:
     return cells
 
 
-def read_csv(spark: SparkSession, path: str | list[str], *, columns: list[str] | None = None) -> CsvTable:
-    """Raw table of CSV files; lands it.
+@dataclass
+class CsvFiles:
+    """The landed ranges of some files, the kind of header of each, the kinds, and the rows as arrays of cells."""
 
-    Its columns are those of the first file (by name), then those that only later files have; ``columns`` names
-    the wanted ones instead.
-    """
+    ranges: DataFrame
+    kinds: DataFrame
+    headers: list[str]
+    rows: DataFrame
+    many: bool
+
+    def spread(self, frame: DataFrame) -> DataFrame:
+        """A frame with a row per file or range, broadcast only where those are few."""
+        return frame if self.many else F.broadcast(frame)
+
+
+def read_rows(spark: SparkSession, path: str | list[str], **options) -> CsvFiles:
+    """Rows of CSV files, headers left out: file, row (from 2), cells, problem; and one row per kind of header on the driver."""
     try:
-        physical = _physical(spark, path)
+        physical = _physical(spark, path, options)
     except AnalysisException as error:
         raise CsvError(fixed.ERR_FILE_MISSING % path) from error
     summary = landed(physical.mapInArrow(scanner(False), _SUMMARY), "csv_ranges")
     found = summary.groupBy("header").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("ranges"))
     found = found.orderBy(F.col("header").isNotNull(), "file").limit(_HEADERS + 2).collect()
-    many = sum(row["ranges"] for row in found) > _BROADCAST_RANGES
     headers = [row["header"] for row in found if row["header"] is not None]
-    if not headers:
-        raise CsvError(fixed.ERR_EMPTY_FILE)
     if len(headers) > _HEADERS:
         raise CsvError(f"The files have more than {_HEADERS} kinds of headers.")
-    names = {text: column_names(header_cells(text)) for text in headers}
+    kinds = summary.where(F.col("header").isNotNull()).select("file", F.col("header").alias("kind"))
+    files = CsvFiles(summary, kinds, headers, summary, sum(row["ranges"] for row in found) > _BROADCAST_RANGES)
+    ranges = composed(summary).join(kinds.select("file"), "file")
+    ranges = files.spread(ranges.select("file", "start", "length", "quoted", "before", "unclosed"))
+    lines = physical.mapInArrow(scanner(True), _LINES)
+    if headers:
+        lines = lines.join(files.spread(kinds.select("file")), "file", "left_semi")
+    rows = _rows(lines, ranges).where(F.col("row") > 1)
+    files.rows = rows.select("file", "row", split_cells(F.col("text")).alias("cells"), "problem")
+    return files
+
+
+def _malformed(width: Column) -> Column:
+    """The marker of a row, null on good ones."""
+    long_row = F.when(F.size("cells") > width, F.lit("cells"))
+    first_cell = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    return F.when(F.coalesce("problem", long_row).isNotNull(), F.concat(F.lit("malformed: "), first_cell))
+
+
+def read_csv(spark: SparkSession, path: str | list[str], *, columns: list[str] | None = None) -> CsvTable:
+    """Raw table of CSV files; lands it.
+
+    Its columns are those of the first file (by name), then those that only later files have; ``columns`` names
+    the wanted ones instead.
+    """
+    files = read_rows(spark, path)
+    if not files.headers:
+        raise CsvError(fixed.ERR_EMPTY_FILE)
+    names = {text: column_names(header_cells(text)) for text in files.headers}
     merged: dict[str, str] = {}
     for own in names.values():
         for name in own:
             merged.setdefault(name.lower(), name)
     every = columns or [*merged.values()]
     refuse_clash(every, SRC, BLK, SEQ, MALFORMED)
-
-    ranges = composed(summary)
-    kinds = summary.where(F.col("header").isNotNull()).select("file", F.col("header").alias("kind"))
-    ranges = ranges.join(kinds, "file")
-    ranges = ranges if many else F.broadcast(ranges)
-    lines = physical.mapInArrow(scanner(True), _LINES)
-    rows = _rows(lines, ranges.select("file", "start", "length", "quoted", "before", "unclosed")).where(F.col("row") > 1)
-    cut = rows.withColumn("cells", split_cells(F.col("text")))
-    if len(headers) == 1 and names[headers[0]] == every:
-        cut = cut.withColumns({"width": F.lit(len(every)), "own": F.col("cells")})
+    if len(names) == 1 and names[files.headers[0]] == every:
+        cut = files.rows.withColumns({"width": F.lit(len(every)), "own": F.col("cells")})
     else:
         place = [[text, len(own), [{n.lower(): i for i, n in enumerate(own)}.get(name.lower(), -1) for name in every]] for text, own in names.items()]
         orders = spark.createDataFrame(place, "kind string, width int, places array<int>")
-        # One row per file, and a row per kind of header.
-        files = kinds.join(F.broadcast(orders), "kind").drop("kind")
         own = F.transform("places", lambda p: F.when(p >= 0, F.get("cells", p)))
-        cut = cut.join(files if many else F.broadcast(files), "file").withColumn("own", own)
-    long_row = F.when(F.size("cells") > F.col("width"), F.lit("cells"))
-    first_cell = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+        # One row per file, and a row per kind of header.
+        cut = files.rows.join(files.spread(files.kinds.join(F.broadcast(orders), "kind").drop("kind")), "file").withColumn("own", own)
     folder = land(
         cut.select(
             F.col("file").alias(SRC), F.lit(0).cast("bigint").alias(BLK), (F.col("row") - 2).alias(SEQ),
             *[F.coalesce(F.get("own", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(len(every))],
-            F.when(F.coalesce("problem", long_row).isNotNull(), F.concat(F.lit("malformed: "), first_cell)).alias(MALFORMED),
+            _malformed(F.col("width")).alias(MALFORMED),
         ),
         "csv_rows",
     )
     return open_landed(spark, folder, every, path if isinstance(path, str) else ",".join(path))
 
 
+def read_each(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """All CSV files below a path, each a table of its own: landed cells (position, ``pos, raw``) and files (``file, columns, row_count,
+    malformed``; ``columns`` is null where a file has no header)."""
+    files = read_rows(spark, path, recursiveFileLookup=True, pathGlobFilter="*.[cC][sS][vV]")
+    place = [[text, column_names(header_cells(text))] for text in files.headers]
+    orders = spark.createDataFrame(place, "kind string, columns array<string>")
+    # One row per file, and a row per kind of header.
+    known = files.spread(files.kinds.join(F.broadcast(orders), "kind").drop("kind"))
+    rows = files.rows.join(known, "file").withColumn("mark", _malformed(F.size("columns")))
+    rows = landed(
+        rows.select(
+            F.col("file").alias(SRC), F.lit(0).cast("bigint").alias(BLK), (F.col("row") - 2).alias(SEQ), "mark",
+            F.transform("columns", lambda _, i: F.coalesce(F.get("cells", i), F.lit(""))).alias("cells"),
+        ),
+        "csv_file_rows",
+    )
+    counts = rows.groupBy(F.col(SRC).alias("file")).agg(F.count(F.lit(1)).alias("row_count"), F.count("mark").alias("malformed"))
+    every = files.ranges.select("file").distinct().join(known, "file", "left").join(counts, "file", "left")
+    return rows.select(SRC, BLK, SEQ, F.posexplode("cells").alias("pos", "raw")), every.fillna(0, ["row_count", "malformed"])
+
+
 def open_landed(spark: SparkSession, folder: str, columns: list[str], label: str = "") -> CsvTable:
     """A table that ``read_csv`` landed, without reading its files again."""
     cells = [f"c{i}" for i in range(len(columns))]

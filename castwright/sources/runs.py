@@ -62,6 +62,30 @@ def append_runs(spark: SparkSession, log_path: str, rows: list[dict]) -> DataFra
     return frame
 
 
+def append_run_frame(files: DataFrame, log_path: str, metadata: dict) -> None:
+    """Append a run row for each file of a frame (``file, columns, row_count, error, own``), built where the rows are."""
+    entries = F.transform("own", lambda x: x["entry"])
+    warnings = F.array_sort(F.array_distinct(F.flatten(F.transform(entries, lambda e: e["warnings"]))))
+    done = F.col("error").isNull()
+    none = F.lit("[]")
+    shown = F.to_json(F.struct(F.col("error")))
+    rows = files.select(
+        F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("run_id"),
+        F.lit("").alias("bucket"),
+        F.col("file").alias("object_key"),
+        F.lit("csv").alias("file_type"),
+        F.lit("").alias("sheet_name"),
+        F.when(done, F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
+        F.when(done, F.col("row_count")).otherwise(F.lit(0)).alias("row_count"),
+        F.when(done, F.coalesce(F.to_json(entries, {"ignoreNullFields": "false"}), none)).otherwise(none).alias("schema"),
+        F.when(done, F.coalesce(F.to_json(warnings), none)).otherwise(none).alias("warnings"),
+        F.when(done, F.coalesce(F.to_json("columns"), none)).otherwise(none).alias("preview_columns"),
+        F.when(done, F.lit(json.dumps(metadata))).otherwise(shown).alias("processing_metadata"),
+    )
+    stamped = rows.withColumn("created_at", F.current_timestamp()).withColumn("run_date", F.to_date("created_at"))
+    stamped.write.mode("append").partitionBy("run_date").parquet(log_path)
+
+
 def read_runs(spark: SparkSession, log_path: str) -> DataFrame:
     """All runs, newest first."""
     return spark.read.parquet(log_path).orderBy(F.desc("created_at"), "object_key")

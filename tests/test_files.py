@@ -166,13 +166,25 @@ def test_prefix(spark, tmp_path):
     put(tmp_path, "in/a.csv", SAMPLE)
     put(tmp_path, "in/b.csv", "x,y\n1,2\n3,4,5\n")
     put(tmp_path, "in/c.txt", "x")
+    put(tmp_path, "in/sub/d.CSV", "Score,Name\n" + "".join(f'{i % 70},"n{i}\n"\n' for i in range(300)))
+    put(tmp_path, "in/e.csv", "\n \n")
     log = str(tmp_path / "runs")
-    found = process_prefix(spark, str(tmp_path / "in"), log).collect()
-    assert [(r["column"], r["inferred_type"]) for r in found if r["status"] == "completed"] == [
-        ("Name", "text"), ("Birthdate", "date"), ("Score", "integer"), ("Grade", "category"),
+    found = process_prefix(spark, str(tmp_path / "in"), log).orderBy("path", "pos").collect()
+    assert [(r["column"], r["inferred_type"], r["row_count"]) for r in found if r["status"] == "completed"] == [
+        ("Name", "text", 5), ("Birthdate", "date", 5), ("Score", "integer", 5), ("Grade", "category", 5),
+        ("Score", "integer", 300), ("Name", "text", 300),
     ]
-    assert [r["error"] for r in found if r["status"] == "failed"] == [fixed.ERR_PARSE]
-    assert sorted(r["status"] for r in runs.read_runs(spark, log).collect()) == ["completed", "failed"]
+    assert [r["error"] for r in found if r["status"] == "failed"] == [fixed.ERR_PARSE, fixed.ERR_EMPTY_FILE]
+    logged = {r["object_key"].rsplit("/", 1)[1]: r for r in runs.read_runs(spark, log).collect()}
+    assert {k: r["status"] for k, r in logged.items()} == {"a.csv": "completed", "b.csv": "failed", "d.CSV": "completed", "e.csv": "failed"}
+    # A run of the log is what processing the file alone gives.
+    for name, path in (("a.csv", "in/a.csv"), ("d.CSV", "in/sub/d.CSV")):
+        alone = process_csv(spark, str(tmp_path / path))
+        run = runs.find_run(spark, log, logged[name]["run_id"])
+        assert run["schema"] == json.loads(json.dumps(alone.schema_entries())) and run["row_count"] == alone.row_count
+        assert run["preview_columns"] == alone.preview_columns and run["warnings"] == alone.warnings
+    _, rows = preview_run(spark, log, logged["d.CSV"]["run_id"], 2, 100)
+    assert [r["Name"] for r in rows.collect()] == [f"n{i}" for i in range(100, 200)]
 
 
 def test_split_file_keeps_order(spark, tmp_path):

@@ -12,7 +12,7 @@ def table(spark, columns):
 
 
 def schema_of(spark, columns, **options):
-    return {r["column"]: r for r in infer_table(table(spark, columns), "row", **options).collect()}
+    return {r["column"]: r for r in infer_table(table(spark, columns), "row", list(columns), **options).collect()}
 
 
 def test_boolean_ambiguous_date_and_category(spark):
@@ -38,13 +38,13 @@ def test_small_sample_category(spark):
 
 
 def test_unsafe_override_is_rejected(spark):
-    found = profile(table(spark, {"mixed": ["1", "two", "3"]}), "row")
+    found = profile(table(spark, {"mixed": ["1", "two", "3"]}), "row", ["mixed"])
     with pytest.raises(OverrideError, match="Column 'mixed' cannot be safely converted to 'integer'."):
         apply_overrides(infer(found), found, {"mixed": "integer"})
 
 
 def test_override_errors_in_order(spark):
-    found = profile(table(spark, {"a": ["1", "2"], "d": ["01/02/2020", "03/04/2020"]}), "row")
+    found = profile(table(spark, {"a": ["1", "2"], "d": ["01/02/2020", "03/04/2020"]}), "row", ["a", "d"])
     checked = check_overrides(found, {"zzz": "text", "a": "money", "d": "integer"}).orderBy("position").collect()
     assert [r["error"] for r in checked] == [
         "Column 'zzz' does not exist in the dataset.",
@@ -57,7 +57,7 @@ def test_override_errors_in_order(spark):
 
 
 def test_forced_date_changes_type_and_warning_only(spark):
-    found = profile(table(spark, {"d": ["01/02/2020", "03/04/2020"], "n": ["1", "2"]}), "row")
+    found = profile(table(spark, {"d": ["01/02/2020", "03/04/2020"], "n": ["1", "2"]}), "row", ["d", "n"])
     row, other = apply_overrides(infer(found), found, {"d": "date", "n": "float"}).collect()
     assert (row["inferred_type"], row["storage_type"], row["display_type"]) == ("date", "datetime64[ns]", "Date")
     assert row["warnings"] == [fixed.WARN_FORCED] and row["confidence"] == 0.3
@@ -95,7 +95,7 @@ def test_ambiguity_is_sticky(spark):
 
 def test_empty_table_keeps_defaults(spark):
     empty = table(spark, {"a": ["x"], "b": ["y"]}).where("false")
-    rows = profile(empty, "row").orderBy("pos").collect()
+    rows = profile(empty, "row", ["a", "b"]).orderBy("pos").collect()
     assert [r["column"] for r in rows] == ["a", "b"]
     for r in rows:
         assert r["total_count"] == 0 and r["unique_count"] == 0 and r["sample_values"] == []
@@ -104,7 +104,7 @@ def test_empty_table_keeps_defaults(spark):
 
 
 def test_can_convert_matrix(spark):
-    found = profile(table(spark, {"a": ["1", "0"], "t": ["x", "y"]}), "row")
+    found = profile(table(spark, {"a": ["1", "0"], "t": ["x", "y"]}), "row", ["a", "t"])
     allowed = {(r["column"], r["target_type"]) for r in can_convert_matrix(found).collect() if r["allowed"]}
     assert allowed == {
         ("a", "text"), ("a", "integer"), ("a", "float"), ("a", "boolean"), ("a", "category"),

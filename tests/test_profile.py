@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from castwright import profile, value_counts
+from castwright import profile, value_counts, with_ordinals
 from castwright import fixed
+from castwright.operators.paging import raw_page
 from castwright.operators.profile import PROFILE_SCHEMA
 
 
@@ -50,7 +51,7 @@ def dirty(spark):
 
 def test_counts_uniques_and_samples(dirty):
     columns, frame = dirty
-    found = {r["column"]: measured(r) for r in profile(frame, "row").collect()}
+    found = {r["column"]: measured(r) for r in profile(frame, "row", [c for c in frame.columns if c != "row"]).collect()}
     assert found == {name: counts(cells) for name, cells in columns.items()}
 
 
@@ -121,3 +122,17 @@ def test_value_counts(dirty):
 def test_profile_fields(dirty):
     _, frame = dirty
     assert profile(frame, "row").columns == PROFILE_SCHEMA.names + ["unique_count", "sample_values"]
+
+
+def test_the_key_is_a_column_like_the_others(spark):
+    frame = spark.createDataFrame([(3, "a"), (1, "b"), (2, None)], "id int, v string")
+    found = {r["column"]: r for r in profile(frame, "id").collect()}
+    assert list(found["id"]["sample_values"]) == ["1", "2", "3"] and found["id"]["integer_valid"]
+    assert list(found["v"]["sample_values"]) == ["b", "a"]
+
+
+def test_a_missing_key_comes_last(spark):
+    frame = spark.createDataFrame([(None, "z"), (5, "a"), (-(2**62), "b")], "id long, v string")
+    assert [r["v"] for r in raw_page(frame, 1, 10, "id").collect()] == ["b", "a", "z"]
+    assert sorted((r["ord"], r["v"]) for r in with_ordinals(frame, "id").collect()) == [(0, "b"), (1, "a"), (2, "z")]
+    assert list(profile(frame, "id").collect()[1]["sample_values"]) == ["b", "a", "z"]
