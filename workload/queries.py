@@ -480,10 +480,19 @@ def file_type(spark, folder):
     return names.withColumn("file_type", files.file_type(F.col("name")))
 
 
-@query()
+@query(
+    "SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(length(CAST(o_orderkey AS VARCHAR)) + 1)::BIGINT AS size, 'csv' AS format "
+    "FROM orders GROUP BY ALL"
+)
 def file_listing(spark, folder):
-    path = landed_csv(spark, folder, "file_listing")
-    return files.list_supported_files(spark, path).select("size", "format")
+    """A CSV file a month, each line an order key, beside as many text and JSON files, which no listing shows."""
+    path = work_folder(spark, "file_listing")
+    month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    rows = table(spark, folder, "orders").select(month, F.col("o_orderkey").cast("string").alias("line")).repartition("month")
+    for kind in ("csv", "text", "json"):
+        rows.write.mode("overwrite").partitionBy("month").format(kind).save(f"{path}/{kind}")
+    listed = files.list_supported_files(spark, path)
+    return listed.select(F.regexp_extract("key", "/month=([0-9-]+)/", 1).alias("month"), "size", "format")
 
 
 @query(f"SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in ORDER_COLUMNS)} FROM ({inputs.RAW_ORDERS})")
