@@ -254,13 +254,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, in which no benchmark item is found. The name `__row` is reserved."""
+    """The rows of `docs`, all columns, in which no benchmark item is found; their names may be any."""
     row = F.xxhash64("`doc_id`", "`text`")
-    found = land(find_leaks(docs.select(row.alias("doc_id"), "`text`"), benchmark).select(F.col("doc_id").alias("__row")).distinct())
-    keyed = docs.withColumn("__row", row)
-    split = marked(keyed, maybe_in(found, "__row"), "__row", "__maybe")
-    doubtful = split.where("__maybe").join(found, "__row", "left_anti")
-    return split.where("not __maybe").unionByName(doubtful).select(*docs.columns)
+    found = land(find_leaks(docs.select(row.alias("doc_id"), "`text`"), benchmark).select(F.col("doc_id").alias("row")).distinct())
+    split = marked(docs.select(row.alias("row"), F.struct("*").alias("kept")), maybe_in(found, "row"), "row", "maybe")
+    doubtful = split.where("maybe").join(found, "row", "left_anti")
+    return split.where("not maybe").unionByName(doubtful).select("kept.*")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castwright.llm.common import checked, land, marked, maybe_in, prefiltered, text_bytes
+from castwright.llm.common import checked, land, maybe_in, prefiltered, text_bytes
 from castwright.llm.graph import components
 from castwright.llm.words import in_chunks, mixed, pieces, word_hashes
 
@@ -372,16 +372,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of `docs` that stay when one row of each component does: the one with the smallest id, then text hash.
 
-    Rows without words are in no component and all stay. All columns are carried; names `__id`, `__tid` are reserved.
+    Rows without words are in no component and all stay. All columns are carried; their names may be any.
     """
     found = near_duplicates(docs, percent, words).where("cls <> 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
-    keep = land(found.groupBy("root").agg(F.min(order).alias("first")).select(_id(F.col("first.doc_id")).alias("__id"), F.col("first.tid").alias("__tid")))
+    keep = land(found.groupBy("root").agg(F.min(order).alias("first")).select(_id(F.col("first.doc_id")).alias("id"), F.col("first.tid").alias("tid")))
     has_words = F.coalesce(F.col("`text`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(has_words).withColumns({"__id": _id(F.col("`doc_id`")), "__tid": F.xxhash64("`text`")})
-    rows = marked(rows, maybe_in(keep, "__tid"), "__tid", "__maybe").where("__maybe").drop("__maybe")
-    kept = rows.join(keep, ["__id", "__tid"], "left_semi").dropDuplicates(["__id", "__tid"])
-    return kept.select(*docs.columns).unionByName(docs.where(~has_words))
+    rows = docs.where(has_words).select(_id(F.col("`doc_id`")).alias("id"), F.xxhash64("`text`").alias("tid"), F.struct("*").alias("kept"))
+    rows = prefiltered(rows, maybe_in(keep, "tid"), "tid")
+    kept = rows.join(keep, ["id", "tid"], "left_semi").dropDuplicates(["id", "tid"])
+    return kept.select("kept.*").unionByName(docs.where(~has_words))
 
 
 def _id(key):  # noqa: ANN001, ANN202

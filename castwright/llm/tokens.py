@@ -136,7 +136,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2")
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, dtype)
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
-        shard, block, offset = TaskContext.get().partitionId(), 0, 0
+        shard, block, offset, held = TaskContext.get().partitionId(), 0, 0, 0
         keys: list[int | None] = []
         counts: list[int] = []
         parts: list[bytes] = []
@@ -151,10 +151,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2")
                 ids = own.of(text.as_py() or "") + end
                 keys.append(key)
                 counts.append(len(ids) // width)
+                held += len(ids) // width
                 parts.append(ids)
-                if sum(counts) >= BLOCK:
+                if held >= BLOCK:
                     yield row()
-                    offset, block, keys, counts, parts = offset + sum(counts), block + 1, [], [], []
+                    offset, block, held, keys, counts, parts = offset + held, block + 1, 0, [], [], []
         if keys:
             yield row()
 
