@@ -12,11 +12,16 @@ least; sets with more of them index those too. So no linked pair is lost. For th
 least 1 + spare - (fewest empty segments of the two) signatures, and sets or pairs that share fewer are dropped unseen.
 
 Candidates. Signatures are cut into slices, grouped inside each task first (a signature held by a third of all sets costs
-one entry a task), then across tasks. Members of a signature point to its smallest member. Each set is first verified
-against the pointer that shares most signatures. After components, only signatures that still hold several components matter:
-up to `LIGHT` members, their pairs across components are verified. Sets of larger ones are indexed again by segments
-twice as large with one-deletion neighbourhoods (m = ceil((H + 1) / 2), a linked pair differs by at most one shingle in some
-segment), and all pairs across components of those signatures are verified.
+one entry a task), then across tasks. Members of a signature point to its head, the member that shares most signatures with
+others: of copies that were changed one by one it is the least changed. Each set is first verified
+against the head that shares most signatures. After components, only signatures that still hold several components matter.
+There shingles that no other set of an open signature holds bound the differences of any pair from below (they differ at least by the
+private shingles of both), so a set stays in a signature only if a set of another component may be near enough
+(`reachable`); in a group of thousands of changed copies this leaves few, without a look at any pair. Those left point once more to
+the head of another component. Then signatures with up to `LIGHT` members have their pairs across components
+verified. Sets of larger ones are indexed again by segments twice as large with one-deletion neighbourhoods
+(m = ceil((H + 1) / 2), a linked pair differs by at most one shingle in some segment), reduced in the same way, and the
+pairs across components of those signatures are verified.
 
 Verification first compares parity sketches, which bound the differences from below, so that only pairs
 close to the threshold move their sets; then the full shingle sets of both classes. Links inside one component are not enumerated further.
@@ -39,7 +44,7 @@ from castwright.llm.common import checked, land, maybe_in, prefiltered, text_byt
 from castwright.llm.graph import components
 from castwright.llm.words import in_chunks, mixed, pieces, word_hashes
 
-WORDS, PERCENT, SPARE, LIGHT, FLUSH = 4, 85, 3, 48, 3_000_000
+WORDS, PERCENT, SPARE, LIGHT, FLUSH, SEEN = 4, 85, 3, 48, 3_000_000, 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -212,11 +217,97 @@ def pruned(entries: DataFrame, facts: DataFrame) -> DataFrame:
 
 def pointers(entries: DataFrame) -> DataFrame:
     """For each class the pair (a, b) with the signature head a that it shares most signatures with, if several."""
-    heads = entries.groupBy("sig").agg(F.min("cls").alias("a"))
+    size = entries.groupBy("cls").agg(F.count(F.lit(1)).alias("size"))
+    heads = entries.join(size, "cls").groupBy("sig").agg(F.min(F.struct(-F.col("size"), "cls"))["cls"].alias("a"))
     shared = entries.join(heads, "sig").where("cls <> a").groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     return shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
+def private_counts(sets: DataFrame, classes: DataFrame, slices: int) -> DataFrame:
+    """Columns cls, private: how many shingles of each class no other of the classes holds (never too many).
+
+    A task sends each shingle once: with its class, or with 0 if several of its classes hold it. A class that comes
+    twice (see `near_duplicates`) counts as one.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        names: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            tokens, classes = np.concatenate(held), np.concatenate(names)
+            order = np.lexsort((classes, tokens))
+            tokens, classes = tokens[order], classes[order]
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            one = np.minimum.reduceat(classes, first) == np.maximum.reduceat(classes, first)
+            rows = np.empty(len(first), _RECORD)
+            home, rows["sig"] = (tokens[first] >> np.uint64(32)).astype(np.int64) % slices, tokens[first] & np.uint64(0xFFFFFFFF)
+            rows["cls"] = np.where(one, classes[first], 0)
+            order = np.argsort(home, kind="stable")
+            rows, edges = rows[order], np.searchsorted(home[order], np.arange(slices + 1))
+            used = [i for i in range(slices) if edges[i] < edges[i + 1]]
+            return pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "data": pa.array([rows[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary())})
+
+        for batch in batches:
+            for cls, tokens in zip(batch["cls"].to_pylist(), batch["tokens"], strict=True):
+                held.append(np.frombuffer(tokens.as_py(), np.uint64))
+                names.append(np.full(len(held[-1]), cls, np.int64))
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield flush()
+                    held, names, size = [], [], 0
+        if size:
+            yield flush()
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.concatenate([np.frombuffer(x, _RECORD) for x in rows["data"]])
+        sigs, classes = found["sig"].astype(np.int64), found["cls"].astype(np.int64)
+        order = np.lexsort((classes, sigs))
+        sigs, classes = sigs[order], classes[order]
+        first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        low, high = np.minimum.reduceat(classes, first), np.maximum.reduceat(classes, first)
+        cls, n = np.unique(low[(low == high) & (low != 0)], return_counts=True)
+        return pd.DataFrame({"cls": cls, "private": n})
+
+    packed = sets.select("cls", "tokens").join(classes, "cls", "left_semi").mapInArrow(gather, "slice int, data binary")
+    return land(packed.groupBy("slice").applyInPandas(count, "cls long, private long").groupBy("cls").agg(F.sum("private").alias("private")))
+
+
+def near_enough(na: str, nb: str, own: str, other: str, percent: int) -> str:
+    """SQL: sets of these sizes and private shingles may be linked; linked sets differ in at most (sizes) * (100 - percent) / (100 + percent)."""
+    return f"({own} + {other}) * {100 + percent} <= ({na} + {nb}) * {100 - percent} AND 100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
+
+
+def reachable(placed: DataFrame, facts: DataFrame, private: DataFrame, percent: int) -> DataFrame:
+    """Members (sig, cls, root, n, private, members) that may be linked to a member of another component in their signature.
+
+    The test takes the least private count of another component and the largest size a partner may have, so it keeps every linked pair.
+    """
+    known = placed.select("sig", "cls", "root").join(facts.select("cls", "n"), "cls").join(private, "cls", "left").withColumn("private", F.coalesce("private", F.lit(0).cast("long")))
+    known = land(known)
+    first = known.groupBy("sig").agg(F.min(F.struct("private", "root")).alias("first"))
+    second = known.join(first, "sig").where("root <> first.root").groupBy("sig").agg(F.min("private").alias("second"))
+    both = known.join(first, "sig").join(second, "sig")
+    other = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.private"))
+    widest = F.floor(F.col("n") * 100 / percent) + 1
+    kept = both.where((F.col("private") + other) * (100 + percent) <= (F.col("n") + widest) * (100 - percent)).select("sig", "cls", "root", "n", "private")
+    still = kept.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    return land(kept.join(still.select("sig", "members"), "sig"))
+
+
+def crossing(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each class with the head of another component that it shares most signatures with; a head has fewest private shingles."""
+    first = members.groupBy("sig").agg(F.min(F.struct("private", "root", "cls")).alias("first"))
+    rest = members.join(first, "sig").where("root <> first.root")
+    second = rest.groupBy("sig").agg(F.min(F.struct("private", "root", "cls")).alias("second"))
+    both = members.join(first, "sig").join(second, "sig")
+    other = F.when(F.col("root") == F.col("first.root"), F.col("second.cls")).otherwise(F.col("first.cls"))
+    shared = both.select(other.alias("a"), F.col("cls").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best"))
+    return best.select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+
+
 def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, maybe shared) whose sizes allow a link, and that share enough signatures."""
     both = pairs
@@ -280,10 +371,11 @@ def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return land(placed.join(open_sigs.select("sig", "members"), "sig"))
 
 
-def across(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b, shared) of classes that share signatures and lie in different components."""
-    left, right = placed.select("sig", F.col("cls").alias("a"), F.col("root").alias("ra")), placed.select("sig", F.col("cls").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, "sig").where("ra < rb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, shared) of classes that share signatures, lie in different components and may be near enough."""
+    left, right = (members.select("sig", F.col("cls").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("private").alias(f"p{x}")) for x in "ab")
+    pairs = left.join(right, "sig").where("ra < rb").where(near_enough("na", "nb", "pa", "pb", percent))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -305,7 +397,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
             for i, tokens in enumerate(sets):
                 docs["n"][i], docs["cls"][i] = len(tokens), (cls := class_of(tokens))
                 if cls and cls not in seen:
-                    if len(seen) < FLUSH:
+                    if len(seen) < SEEN:
                         seen.add(cls)
                     sigs, docs["least"][i] = signatures(tokens, percent)
                     gather.add(sigs, cls)
@@ -328,7 +420,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
             fresh = []
             for tid, text in zip(batch["tid"].to_pylist(), text_bytes(batch["text"]), strict=True):
                 if tid not in seen:  # copies of a text stand together
-                    if len(seen) < FLUSH:
+                    if len(seen) < SEEN:
                         seen.add(tid)
                     fresh.append(text)
             found = [tokens for part in in_chunks(fresh) for tokens in shingle_sets(part, words)]
@@ -338,12 +430,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     sets = land(texts.mapInArrow(rebuild, "cls long, n long, tokens binary, sketch binary"))  # a class may come twice, from parts of a split partition
 
     links = verified(pairs, sets, percent)
-    roots = components(links)
-    placed = with_roots(entries, roots)
+    placed = with_roots(entries, components(links))
+    private = private_counts(sets, placed.select("cls").distinct(), slices)
+    links = links.unionByName(verified(land(possible(crossing(reachable(placed, facts, private, percent), percent), facts, percent)), sets, percent))
+    placed = reachable(with_roots(placed.select("sig", "cls"), components(links)), facts, private, percent)
     # A pair that also shares a heavy signature may fall short here; it is found below.
-    light = possible(across(placed.where(F.col("members") <= LIGHT)), facts, percent).join(pairs, ["a", "b"], "left_anti")
-    more = verified(land(light), sets, percent)
-    links = links.unionByName(more)
+    light = possible(across(placed.where(F.col("members") <= LIGHT), percent), facts, percent).join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(land(light), sets, percent))
     roots = components(links)
     heavy = with_roots(placed.where(F.col("members") > LIGHT).select("sig", "cls"), roots).select("cls").distinct()
 
@@ -356,11 +449,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
                     yield from gather.flush()
         yield from gather.flush()
 
-    again = members(met(sets.join(heavy, "cls", "left_semi").select("cls", "tokens").mapInArrow(deletions, _PACKED)))
-    links = links.unionByName(verified(land(possible(pointers(again), facts, percent)), sets, percent))
-    placed = with_roots(again, components(links))
-    links = links.unionByName(verified(land(possible(across(placed).drop("shared"), facts, percent)), sets, percent))
-    roots = components(links)
+    if not heavy.isEmpty():
+        again = members(met(sets.join(heavy, "cls", "left_semi").select("cls", "tokens").mapInArrow(deletions, _PACKED)))
+        # Among the sets left more shingles are private than before.
+        private = private_counts(sets, heavy, slices)
+        placed = reachable(with_roots(again, roots), facts, private, percent)
+        links = links.unionByName(verified(land(possible(crossing(placed, percent), facts, percent)), sets, percent))
+        placed = reachable(with_roots(placed.select("sig", "cls"), components(links)), facts, private, percent)
+        links = links.unionByName(verified(land(possible(across(placed, percent).drop("shared"), facts, percent)), sets, percent))
+        roots = components(links)
 
     least = slim.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     grouped = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

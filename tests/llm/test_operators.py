@@ -81,6 +81,44 @@ def test_ngram_heavy_signatures(spark, monkeypatch):
     assert len(set(got.values())) == len(texts) - len(links)  # here every link joins two documents
 
 
+def test_ngram_group_of_changed_copies(spark, monkeypatch):
+    """A large group of copies around the threshold, changed by words of their own or by a few shared alternatives: brute force, without all pairs."""
+    draw, base = random.Random(11), prose(120).split(" ")
+    texts = []
+    for i in range(500):
+        words = list(base)
+        for place in draw.sample(range(120), draw.randint(0, 9)):
+            words[place] = f"own{i}x{place}"
+        texts.append(" ".join(words))
+    for _ in range(150):
+        texts.append(" ".join(w + draw.choice(["", "a"]) if place % 12 == 5 else w for place, w in enumerate(base)))
+    sets = [set(ngram_join.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common) and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    asked, verified = [], ngram_join.verified
+
+    def counting(pairs, *more):
+        asked.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "verified", counting)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}
+    assert 1 < len(set(got.values())) < len(texts)
+    assert sum(asked) < 40 * len(texts)  # all pairs are 325 times the texts
+
+
 def test_sketches_never_exceed_the_differences():
     rng = np.random.default_rng(3)
     for size in (1, 2, 31, 32, 33, 500, 5000):
