@@ -128,7 +128,9 @@ def split_tree(blocks: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return nodes.filter("n > 0")
 
 
-SRC, BLOCK, KEY, SIZE, COPIES, SHARD, ORDER = "__src", "__block", "__key", "__size", "__copies", "__shard", "__order"
+SRC, BLOCK, KEY, SIZE, COPIES, SHARD, ORDER, ROW = "__src", "__block", "__key", "__size", "__copies", "__shard", "__order", "__row"
+# Words of a shard, about: a task shuffles one shard locally.
+SHARD_WORDS = 1 << 24
 
 
 def keyed(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -138,14 +140,15 @@ def keyed(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def slim(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size and key of every document, landed, so that the texts are read once for all counts."""
-    rows = keyed(docs, seed).withColumn(SIZE, word_count(F.col("`text`")))
-    return land(checked(rows, "doc_id", "source", SRC, KEY, SIZE))
+    """doc_id, source, size, key and a number of every row, landed, so that the texts are read once for all counts."""
+    rows = keyed(docs, seed).withColumns({SIZE: word_count(F.col("`text`")), ROW: F.monotonically_increasing_id()})
+    return land(checked(rows, "doc_id", "source", SRC, KEY, SIZE, ROW))
 
 
-def block_count(sized: DataFrame) -> int:
-    """Blocks of a source: the square root of the number of all documents."""
-    return max(1, math.isqrt(sized.count()))
+def shape_of(sized: DataFrame, share: float) -> tuple[int, int]:
+    """Blocks of a source: the square root of the number of all documents. Shards: a power of two that grows with the mix, 16 at least."""
+    docs, words = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum(SIZE), F.lit(0))).first()
+    return max(1, math.isqrt(docs)), 1 << max(4, math.ceil(words * share / SHARD_WORDS - 1).bit_length())
 
 
 def block_plan(sized: DataFrame, blocks: int, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
@@ -182,18 +185,10 @@ def drawn(rows: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
     return found.withColumn(COPIES, F.col("passes") + F.when(F.col(KEY) <= F.col("cut"), 1).otherwise(0))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 0) -> DataFrame:
-    """The mixed rows of `docs` (needs doc_id, text, source; other columns are carried), in shuffled shards.
-
-    Adds `__shard`: 0 to shards - 1. A document drawn twice comes twice, in different shards as a rule. Rows are
-    partitioned by shard and locally shuffled. Empty texts have no words, add nothing to a quota, and
-    are drawn with their block. Columns named like the reserved ones (`__...`) are refused.
-    """
-    reserved = {SRC, BLOCK, KEY, SIZE, COPIES, SHARD, ORDER} & set(docs.columns)
-    if reserved:
-        raise ValueError(f"reserved column names: {sorted(reserved)}")
-    sized = slim(docs, seed)
-    blocks = block_count(sized)
+def deal(rows: DataFrame, sized: DataFrame, weights: Sequence[float], share: float, most: float, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The drawn copies of `rows` (with the reserved key columns) with their shard, and the plan they follow."""
+    blocks, grown = shape_of(sized, share)
+    shards = shards or grown
     plan = land(block_plan(sized, blocks, weights, share, most, seed))
     # Every drawn block copy takes one slot of its source: pass by pass, in the source's block order.
     slots = plan.select(SRC, BLOCK, "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("copy"), "passes", "cut")
@@ -205,22 +200,36 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     # Shards take consecutive slots, so they are disjoint; the block order is already random.
     seats = tree.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("shard")) - F.col("n"))
     seats = seats.select(F.col("source").alias(SRC), F.col("shard").alias(SHARD), F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("slot"))
-    homes = land(slots.join(seats, [SRC, "slot"]).select(SRC, BLOCK, "copy", SHARD))
-    taken = drawn(keyed(docs, seed), plan.select(SRC, BLOCK, "passes", "cut"), blocks).filter(F.col(COPIES) > 0)
+    homes = land(slots.join(seats, [SRC, "slot"]).select(SRC, BLOCK, F.col("copy").alias("__copy"), SHARD))
+    taken = drawn(rows, plan.select(SRC, BLOCK, "passes", "cut"), blocks).filter(F.col(COPIES) > 0)
     copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(COPIES).cast("long") - 1)))
-    homes = homes.withColumnRenamed("copy", "__copy")
     out = copies.join(homes, [SRC, BLOCK, "__copy"]).withColumn(ORDER, F.xxhash64(F.lit(seed + 1), KEY, "__copy"))
-    dealt = out.repartition(shards, SHARD).sortWithinPartitions(SHARD, ORDER)
+    return out.repartitionById(shards, F.col(SHARD).cast("int")).sortWithinPartitions(SHARD, ORDER), plan
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 0) -> DataFrame:
+    """The mixed rows of `docs` (needs doc_id, text, source; other columns are carried), in shuffled shards.
+
+    Adds `__shard`: 0 to shards - 1 (a power of two; by default one shard for about `SHARD_WORDS` words). A document drawn twice
+    comes twice, in different shards as a rule. Each shard is one partition, locally shuffled. Empty texts have no words, add nothing
+    to a quota, and are drawn with their block. Columns named like the reserved ones (`__...`) are refused.
+    """
+    reserved = {SRC, BLOCK, KEY, SIZE, COPIES, SHARD, ORDER, ROW, "__copy"} & set(docs.columns)
+    if reserved:
+        raise ValueError(f"reserved column names: {sorted(reserved)}")
+    dealt, _ = deal(keyed(docs, seed), slim(docs, seed), weights, share, most, shards, seed)
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], SHARD)
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """Per row of `docs`: doc_id, size, source_size, target, taken (words the mix takes from it, repeats counted).
+    """Per row of `docs`: doc_id, size, source_size, target, taken: its words in the mix, summed over the rows that the shards hold.
 
     Null texts count no words; a null source is a source of its own; rows alike are drawn alike; an empty table
     gives no rows.
     """
     sized = slim(docs, seed)
-    blocks = block_count(sized)
-    found = drawn(sized, block_plan(sized, blocks, weights, share, most, seed), blocks)
-    return found.select("doc_id", F.col(SIZE).alias("size"), "source_size", "target", (F.col(SIZE) * F.col(COPIES)).cast("long").alias("taken"))
+    dealt, plan = deal(sized, sized, weights, share, most, None, seed)
+    taken = dealt.groupBy(ROW).agg(F.sum(SIZE).alias("taken"))
+    goals = plan.groupBy(SRC).agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    found = sized.join(goals, SRC).join(taken, ROW, "left")
+    return found.select("doc_id", F.col(SIZE).alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -252,6 +252,25 @@ def test_mixing(docs, none):
     assert mixing.mixture(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_taken_words_are_those_of_the_dealt_rows(docs):
+    kept = [c for c in docs.columns if c != "row"]
+    dealt = mixing.mix(docs.select(*kept)).withColumn("at", F.spark_partition_id())
+    assert all(r.low == r.high for r in dealt.groupBy("__shard").agg(F.min("at").alias("low"), F.max("at").alias("high")).collect())
+    assert dealt.select("at").distinct().count() == dealt.select("__shard").distinct().count()  # one shard, one partition
+    words: dict = {}
+    for r in dealt.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len((r.text or "").split())
+    planned: dict = {}
+    for r in mixing.mixture(docs).collect():
+        planned[r.doc_id] = planned.get(r.doc_id, 0) + r.taken
+    assert {k: v for k, v in planned.items() if v} == {k: v for k, v in words.items() if v}
+
+
+def test_shards_follow_the_size(spark):
+    sized = spark.createDataFrame([(3 * mixing.SHARD_WORDS,)] * 16, "__size long")
+    assert mixing.shape_of(sized, 1.0) == (4, 64) and mixing.shape_of(sized.limit(1), 1.0) == (1, 16) and mixing.shape_of(sized.limit(0), 1.5) == (1, 16)
+
+
 def test_splitting_tree_is_exact(spark):
     blocks = spark.createDataFrame([("a", 100), ("b", 1), ("c", 37), (None, 12)], "source string, n long")
     tree = mixing.split_tree(blocks, 8).collect()
