@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from castwright.llm.common import checked, land
 
-BLOCK, LANE, LIMIT, CACHE = 1 << 16, 128, 18, 1_200_000
+BLOCK, LANE, LIMIT, CACHE = 1 << 16, 128, 18, 600_000
 # Fixed: marks that end a word, of those that never join a letter (an apostrophe may).
 MARKS = ".,;:!?%#&$*"
 # The pairs of the white space that a text may be cut at.
@@ -44,14 +44,32 @@ PROBES = ["the", "Unlikely", "\u00e9t\u00e9s", "\u017bubr", "zqxj"]
 SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or b >= 161 and b != 173))}
 
 
+class NotWhole(Exception):
+    """A piece is not one run without white space."""
+
+
+class Words(dict):
+    """Ids of pieces, as bytes, found when first asked for. At `CACHE` pieces the store starts anew, so it stays small whatever the corpus."""
+
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[piece] = ids = self.find(piece)
+        return ids
+
+
 class Pieces:
-    """Ids of words, as bytes, so that a task asks the library once for each word.
+    """Ids of texts, by words whose ids are kept, so that the library is asked once for each word in store.
 
     A byte-level vocabulary splits a text before it merges: a word takes at most one space before it, and letters
     are split from marks. So where no two white space characters meet, none stands at an end, and all are single spaces or
     line breaks, a text may be cut before every space, around every line break, and between a letter and the ASCII marks that
     end a word, without changing an id. The cut shows it: each piece is then one run without white space, but for a line break
-    before it. Any other text goes to the library whole. At `CACHE` words the store starts anew, so it stays small whatever the corpus.
+    before it. Any other text goes to the library whole.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -59,72 +77,69 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.words: dict[str, bytes] = {}  # a word stands for itself with a space before it; "\nword" has a line break instead
-        self.marks: dict[str, bytes] = {}
+        # A piece of `words` stands for itself with a space before it, or has a line break instead; `firsts` begin a text.
+        self.words, self.firsts, self.marks = Words(self.find), Words(self.find_first), Words(self.encode)
         self.line_break = self.encode("\n")
         # A word of letters is one unit of a byte-level splitter, so its model may be asked without the splitter; only if it agrees.
         self.code = {"<u2": "H", "<u4": "I"}[dtype]
-        same = [array(self.code, [t.id for t in self.tokenizer.model.tokenize(self.shown(" " + w))]).tobytes() == self.encode(" " + w) for w in PROBES]
+        self.model = self.tokenizer.model.tokenize
+        same = [self.unit(lead + w) == self.encode(lead + w) for w in PROBES for lead in ("", " ")]
         self.direct = all(same)
 
+    def forget(self) -> None:
+        """Give the store back; the tokenizer stays."""
+        self.words.clear()
+        self.firsts.clear()
+        self.marks.clear()
+
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    @staticmethod
-    def shown(text: str) -> str:
-        """The text as byte-level vocabularies spell it: a visible character for each byte."""
-        return text.encode().decode("latin-1").translate(SHOWN)
+    def unit(self, text: str) -> bytes:
+        """Ids of what the splitter leaves in one piece: the model reads it spelled as a visible character for each byte."""
+        shown = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(SHOWN)
+        return array(self.code, [t.id for t in self.model(shown)]).tobytes()
 
     @staticmethod
-    def whole(piece: str) -> bool:
-        """Whether a piece is one run without white space (any that Unicode or Python knows), after a line break or none."""
-        run = piece[1:] if piece[:1] == "\n" else piece
-        return run.split() == [run]
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of new words; those of letters only go to the library's model directly."""
-        known = self.words
-        if len(known) + len(words) > CACHE:
-            known.clear()
-        cores = {w: w.rstrip(MARKS) for w in words}
-        plain = [c for c in {*cores.values()}.difference(known) if c.isalpha() and (c.isascii() or max(c) < LATIN)]
-        if self.direct:
-            model = self.tokenizer.model.tokenize
-            for core in plain:
-                shown = "\u0120" + core if core.isascii() else self.shown(" " + core)
-                known[core] = array(self.code, [t.id for t in model(shown)]).tobytes()
-        for word, core in cores.items():
-            if word in known:
-                continue
-            if core != word and core in known and core[-1] < LATIN and core[-1].isalpha():
-                mark = word[len(core) :]
-                if mark not in self.marks:
-                    self.marks[mark] = self.encode(mark)
-                known[word] = known[core] + self.marks[mark]
-            else:
-                known[word] = self.line_break + self.encode(word[1:]) if word[0] == "\n" else self.encode(" " + word)
+    def letters(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < LATIN)
+
+    def find(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii() and self.direct:
+            return array(self.code, [t.id for t in self.model("\u0120" + piece)]).tobytes()
+        if piece[:1] == "\n":
+            return self.line_break + self.firsts[piece[1:]]
+        core = piece.rstrip(MARKS)
+        if self.direct and self.letters(core):
+            return self.unit(" " + core) if core == piece else self.words[core] + self.marks[piece[len(core) :]]
+        if piece.split() != [piece]:  # white space that Unicode or Python knows, or nothing
+            raise NotWhole
+        return self.encode(" " + piece)
+
+    def find_first(self, piece: str) -> bytes:
+        core = piece.rstrip(MARKS)
+        if self.direct and self.letters(core):
+            return self.unit(core) if core == piece else self.firsts[core] + self.marks[piece[len(core) :]]
+        if piece.split() != [piece]:
+            raise NotWhole
+        return self.encode(piece)
 
     def of(self, text: str) -> bytes:
         """Ids of a whole text."""
         if any(map(text.__contains__, PAIRS)):
             return self.encode(text)
-        parts = text.replace("\n", " \n").split(" ")
-        if not self.whole(parts[0]):
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            return self.firsts[first] + b"".join([*map(self.words.__getitem__, rest)])
+        except NotWhole:
             return self.encode(text)
-        if missing := {*parts[1:]}.difference(self.words):  # the store holds whole pieces only
-            if not all(map(self.whole, missing)):
-                return self.encode(text)
-            self.learn(missing)
-            if {*parts[1:]}.difference(self.words):  # a full store was cleared in between
-                return self.encode(text)
-        return self.encode(parts[0]) + b"".join([*map(self.words.__getitem__, parts[1:])])
 
 
 _ENCODERS: dict[tuple[str, str], Pieces] = {}
 
 
 def encoder(tokenizer: str, dtype: str) -> Pieces:
-    """The encoder of this worker, which keeps its words from task to task."""
+    """The encoder of this worker; a task that is done with it lets it `forget` its words."""
     if (tokenizer, dtype) not in _ENCODERS:
         _ENCODERS[tokenizer, dtype] = Pieces(tokenizer, dtype)
     return _ENCODERS[tokenizer, dtype]
@@ -156,6 +171,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2")
                 if held >= BLOCK:
                     yield row()
                     offset, block, held, keys, counts, parts = offset + held, block + 1, 0, [], [], []
+        own.forget()
         if keys:
             yield row()
 
