@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,11 @@ from castwright.llm.common import checked, land
 
 SURE, MOST, DEEP = 5, 0.6, 6
 PLAIN = -1  # stands for a whole page without its furniture, in place of a node
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!])[^<]*\Z", re.S)
+# A tag ends at the first `>` outside quotes. Where there is none up to the end of the page, quotes are broken: from there on they
+# mean nothing, and a tag holds no `<`. So no text is scanned twice, however odd the page is.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?=[a-zA-Z/!])[^<]*+\Z|<(?P<broken>(?=/?[a-zA-Z]|[!?]))", re.S)
+_BARE = re.compile(r"<!--.*?(?:-->|\Z)|<![^<>]*+>|<\?[^<>]*+>|<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>|<(?=[a-zA-Z/!])[^<]*+\Z", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
@@ -70,10 +73,13 @@ class Page:
 
     __slots__ = ("tags", "parents", "kids", "hard", "words", "marked", "junk", "sizes")
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, frame_only: bool = False) -> None:
+        """`frame_only`: furniture words are not read, for `layout` alone."""
         self.tags, self.parents, self.kids, self.hard, self.words = ["#"], [-1], [[]], [False], [frozenset()]
-        self.read(source)
+        self.read(source, not frame_only)
         self.sizes = None
+        if frame_only:
+            return
         self.junk = self.hard
         self.judge(frozenset())
         self.marked = self.junk  # as matching sees it, whatever is judged later
@@ -98,9 +104,13 @@ class Page:
             out.append(zlib.crc32(b"".join(parts)))
         return out
 
-    def read(self, source: str) -> None:
+    def read(self, source: str, with_words: bool) -> None:
         tags, parents, kids, at, end = self.tags, self.parents, self.kids, 0, 0
-        while m := _TOKEN.search(source, end):
+        search = _TOKEN.search
+        while m := search(source, end):
+            if m.lastgroup:  # broken
+                search = _BARE.search
+                continue
             if m.start() > end:
                 kids[at].append(source[end : m.start()])
             name = m.group(2)
@@ -140,7 +150,8 @@ class Page:
             parents.append(at)
             kids.append([])
             self.hard.append(self.hard[at] or self.furniture(name, at))
-            self.words.append(self.furniture_words(name, attributes))
+            if with_words:
+                self.words.append(self.furniture_words(name, attributes))
             kids[at].append(len(tags) - 1)
             if attributes.endswith("/") and name not in BLOCK:
                 continue
@@ -161,6 +172,7 @@ class Page:
         return False
 
     @staticmethod
+    @lru_cache(maxsize=4096)  # the pages of a host repeat their attributes
     def furniture_words(name: str, attributes: str) -> frozenset[str]:
         if name == "form":
             return frozenset(["<form>"])
@@ -205,7 +217,7 @@ class Page:
 
         def close() -> None:
             text = "".join(parts)
-            text = _SPACE.sub(" ", html_entities.unescape(text) if "&" in text else text).strip()
+            text = " ".join((html_entities.unescape(text) if "&" in text else text).split())
             parts.clear()
             if text:
                 out.append(text)
@@ -501,7 +513,7 @@ def extract(page: Page, found: dict[int, list[int]], region: int, constant: set[
 
 
 def layouts(html: pd.Series) -> pd.Series:
-    return html.map(lambda source: Page(source).layout() if isinstance(source, str) else -1).astype("int64")
+    return html.map(lambda source: Page(source, frame_only=True).layout() if isinstance(source, str) else -1).astype("int64")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

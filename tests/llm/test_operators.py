@@ -344,6 +344,15 @@ def test_tree_matching():
     assert len(wrapper.match(deep, wrapper.Page("<div>" * 4000 + "end"))) == 4001
 
 
+@pytest.mark.parametrize("odd", ["<a '", "<!a", "<?", "<a \"'", "<a <b", "<a 'x>", "</a \"", "<a'"])
+def test_broken_quotes_take_linear_time(odd):
+    page = wrapper.Page("<p>kept &amp; whole</p>" + odd * 250_000)  # hours, were the rest of the page read again from every tag
+    assert page.blocks(0)[0] == "kept & whole"
+    later = wrapper.Page("<p>one</p><p title='>two</p><div>three</div>")
+    assert later.blocks(0) == ["one", "two", "three"]  # the quote never ends, so it means nothing
+    assert wrapper.Page("<p title='a>b'>one</p>\u2003<i title=\"'\">two\u00a0\n three</i>").blocks(0) == ["one", "two three"]
+
+
 def test_main_text_stays_whole(spark):
     def page(body):
         return f"<html><body><div class=top-menu><a>Home</a></div><div class='sidebar'>links</div>{body}<footer>f</footer></body></html>"
