@@ -185,8 +185,8 @@ def drawn(rows: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
     return found.withColumn(COPIES, F.col("passes") + F.when(F.col(KEY) <= F.col("cut"), 1).otherwise(0))
 
 
-def deal(rows: DataFrame, sized: DataFrame, weights: Sequence[float], share: float, most: float, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The drawn copies of `rows` (with the reserved key columns) with their shard, and the plan they follow."""
+def deal(rows: DataFrame, sized: DataFrame, weights: Sequence[float], share: float, most: float, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """The drawn copies of `rows` (with the reserved key columns) with their shard, the plan they follow, and the number of blocks."""
     blocks, grown = shape_of(sized, share)
     shards = shards or grown
     plan = land(block_plan(sized, blocks, weights, share, most, seed))
@@ -204,7 +204,7 @@ def deal(rows: DataFrame, sized: DataFrame, weights: Sequence[float], share: flo
     taken = drawn(rows, plan.select(SRC, BLOCK, "passes", "cut"), blocks).filter(F.col(COPIES) > 0)
     copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(COPIES).cast("long") - 1)))
     out = copies.join(homes, [SRC, BLOCK, "__copy"]).withColumn(ORDER, F.xxhash64(F.lit(seed + 1), KEY, "__copy"))
-    return out.repartitionById(shards, F.col(SHARD).cast("int")).sortWithinPartitions(SHARD, ORDER), plan
+    return out.repartitionById(shards, F.col(SHARD).cast("int")).sortWithinPartitions(SHARD, ORDER), plan, blocks
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 0) -> DataFrame:
@@ -217,7 +217,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     reserved = {SRC, BLOCK, KEY, SIZE, COPIES, SHARD, ORDER, ROW, "__copy"} & set(docs.columns)
     if reserved:
         raise ValueError(f"reserved column names: {sorted(reserved)}")
-    dealt, _ = deal(keyed(docs, seed), slim(docs, seed), weights, share, most, shards, seed)
+    dealt, _, _ = deal(keyed(docs, seed), slim(docs, seed), weights, share, most, shards, seed)
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], SHARD)
 
 
@@ -228,8 +228,8 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     gives no rows.
     """
     sized = slim(docs, seed)
-    dealt, plan = deal(sized, sized, weights, share, most, None, seed)
+    dealt, plan, blocks = deal(sized, sized, weights, share, most, None, seed)
     taken = dealt.groupBy(ROW).agg(F.sum(SIZE).alias("taken"))
-    goals = plan.groupBy(SRC).agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    found = sized.join(goals, SRC).join(taken, ROW, "left")
+    goals = plan.select(SRC, BLOCK, "source_size", "target")  # by block, so that no source is a hot key
+    found = sized.withColumn(BLOCK, F.pmod(F.col(KEY), F.lit(blocks))).join(goals, [SRC, BLOCK]).join(taken, ROW, "left")
     return found.select("doc_id", F.col(SIZE).alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
