@@ -18,6 +18,8 @@ ORDER_COLUMNS = (SRC, BLK, SEQ)
 _LAST = 2**63 - 1
 # Estimates count decoded bytes, so this is a few megabytes of a compressed file.
 _SPLIT_BYTES = 32 * 1024 * 1024
+# Spark packs files up to this size (its cost of opening one) into one split.
+_LEAST_BYTES = 4 * 1024 * 1024
 
 
 @dataclass
@@ -120,12 +122,15 @@ def spread(frame: DataFrame) -> DataFrame:
 
     Only a frame whose estimated size would fill fewer splits than there are cores
     is redistributed, so the shuffle is bounded by cores times the split size and
-    never applies to large data, which has splits enough.
+    never applies to large data, which has splits enough. A scan of as many files as there are cores
+    is spread already, if the files together hold more than a split each.
     """
     session = frame.sparkSession
     cores = session.sparkContext.defaultParallelism
     estimate = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return frame.repartition(cores) if estimate < cores * _SPLIT_BYTES else frame
+    if estimate >= cores * _SPLIT_BYTES or (estimate >= cores * _LEAST_BYTES and len(frame.inputFiles()) >= cores):
+        return frame
+    return frame.repartition(cores)
 
 
 def unpivot(ordered: Ordered, columns: list[str], *, as_text: bool = False) -> DataFrame:

@@ -162,12 +162,12 @@ def scanner(whole: bool):
             return base ^ ((turns - np.where(known, turns[last], 0)) % 2 == 1)
 
         key, header, number = None, None, 0
-        state, count = {}, {}
+        state, count, broken = {}, {}, {}
 
         def summary() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(
-                [{"file": key[0], "start": key[1], "length": key[2], "out_u": state[False], "out_q": state[True], "n_u": count[False], "n_q": count[True], "header": "".join(header) if header is not None else None}],
-                pa.schema([("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("out_u", pa.bool_()), ("out_q", pa.bool_()), ("n_u", pa.int64()), ("n_q", pa.int64()), ("header", pa.string())]),
+                [{"file": key[0], "start": key[1], "length": key[2], "out_u": state[False], "out_q": state[True], "n_u": count[False], "n_q": count[True], "broken_u": broken[False], "broken_q": broken[True], "header": "".join(header) if header is not None else None}],
+                pa.schema([("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("out_u", pa.bool_()), ("out_q", pa.bool_()), ("n_u", pa.int64()), ("n_q", pa.int64()), ("broken_u", pa.bool_()), ("broken_q", pa.bool_()), ("header", pa.string())]),
             )
 
         for batch in batches:
@@ -181,7 +181,7 @@ def scanner(whole: bool):
                     if key is not None and not whole:
                         yield summary()
                     key, header, number, closed = now, None, 0, False
-                    state, count = {False: False, True: True}, {False: 0, True: 0}
+                    state, count, broken = {False: False, True: True}, {False: 0, True: 0}, {False: False, True: False}
                 text, ends, bad = pieces(batch["value"].slice(low, high - low), key[1] == 0 and number == 0)
                 outside, inside = steps(text)
                 blank = pc.match_substring_regex(text, r"^[ \t]*$").to_numpy(zero_copy_only=False)
@@ -192,6 +192,7 @@ def scanner(whole: bool):
                     rows = count[start] + np.cumsum(~before & ~blank)
                     columns[start] = (before, after, rows)
                     state[start], count[start] = bool(after[-1]), int(rows[-1])
+                    broken[start] = broken[start] or bool(before.any() or after.any())
                 if not whole and key[1] == 0 and not closed:  # the first row of the file, as far as it stands in this range
                     before, after, rows = columns[False]
                     for i in np.flatnonzero(rows == 1).tolist():
@@ -217,7 +218,7 @@ def scanner(whole: bool):
 
 _RANGE = "file string, start long, length long"
 _LINES = f"{_RANGE}, line long, text string, ends string, bad boolean, blank boolean, in_u boolean, out_u boolean, n_u long, in_q boolean, out_q boolean, n_q long"
-_SUMMARY = f"{_RANGE}, out_u boolean, out_q boolean, n_u long, n_q long, header string"
+_SUMMARY = f"{_RANGE}, out_u boolean, out_q boolean, n_u long, n_q long, broken_u boolean, broken_q boolean, header string"
 
 
 def _physical(spark: SparkSession, path: str | list[str], options: dict) -> DataFrame:
@@ -226,8 +227,8 @@ def _physical(spark: SparkSession, path: str | list[str], options: dict) -> Data
 
 
 def composed(summary: DataFrame) -> DataFrame:
-    """Per range: the state it starts in (``quoted``), the rows of its file that start before it (``before``), and ``unclosed``: the
-    number of the file's last row if that row never ends."""
+    """Per range: the state it starts in (``quoted``), the rows of its file that start before it (``before``), ``unclosed``: the
+    number of the file's last row if that row never ends, and ``broken``: does it hold a line of a row with line breaks?"""
     in_file = Window.partitionBy("file").orderBy("start")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     turned = F.sum((F.col("out_u") & ~F.col("out_q")).cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, 0))
@@ -241,14 +242,15 @@ def composed(summary: DataFrame) -> DataFrame:
     marked = marked.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     whole = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = F.last(F.when(F.col("quoted"), F.col("out_q")).otherwise(F.col("out_u"))).over(whole)
-    return marked.select("file", "start", "length", "quoted", "before", "n", F.when(out, F.sum("n").over(whole)).alias("unclosed"))
+    broken = F.when(F.col("quoted"), F.col("broken_q")).otherwise(F.col("broken_u"))
+    return marked.select("file", "start", "length", "quoted", "before", "n", F.when(out, F.sum("n").over(whole)).alias("unclosed"), broken.alias("broken"))
 
 
 # --- rows and cells -------------------------------------------------------------
 
 
-def _rows(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """file, row (from 1, the header's), text, problem."""
+def _rows(lines: DataFrame, ranges: DataFrame, broken: bool = True) -> DataFrame:
+    """file, row (from 1, the header's), text, problem. Without ``broken`` rows, every line is one, and the lines are read once."""
     seen = lines.join(ranges, ["file", "start", "length"], "left")
     state = F.coalesce("quoted", F.raise_error(F.lit("The files or their split settings changed while they were read.")).cast("boolean"))
     seen = seen.withColumn("quoted", state)
@@ -262,6 +264,8 @@ def _rows(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     problem = F.when(endless, F.lit("quote")).when(F.col("bad"), F.lit("encoding"))
     alone = ~F.col("inside") & (~F.col("open") | endless)
     single = seen.where(alone).select("file", "row", "text", problem.alias("problem"))
+    if not broken:
+        return single
     # A row with line breaks: its lines meet by (file, row), wherever they were read.
     own = F.sort_array(F.collect_list(F.struct("start", "line", "text", "ends")))
     whole = seen.where(~alone).groupBy("file", "row").agg(own.alias("own"), F.max(problem).alias("problem"))
@@ -327,11 +331,12 @@ def read_rows(spark: SparkSession, path: str | list[str], **options) -> CsvFiles
     kinds = summary.where(F.col("header").isNotNull()).select("file", F.col("header").alias("kind"))
     files = CsvFiles(summary, kinds, headers, summary, sum(row["ranges"] for row in found) > _BROADCAST_RANGES)
     ranges = composed(summary).join(kinds.select("file"), "file")
+    broken = not ranges.where("broken").isEmpty()
     ranges = files.spread(ranges.select("file", "start", "length", "quoted", "before", "unclosed"))
     lines = physical.mapInArrow(scanner(True), _LINES)
     if headers:
         lines = lines.join(files.spread(kinds.select("file")), "file", "left_semi")
-    rows = _rows(lines, ranges).where(F.col("row") > 1)
+    rows = _rows(lines, ranges, broken).where(F.col("row") > 1)
     files.rows = rows.select("file", "row", split_cells(F.col("text")).alias("cells"), "problem")
     return files
 

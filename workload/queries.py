@@ -453,7 +453,7 @@ def row_ordinals(spark, folder):
 
 def _ranges(spark, folder) -> DataFrame:
     """raw_orders in row order over several files, whose names sort in that order."""
-    return raw_orders(spark, folder).repartitionByRange(8, KEY).sortWithinPartitions(KEY)
+    return inputs.raw_orders_in_order(spark, folder)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
