@@ -504,7 +504,7 @@ def csv_scan(spark, folder):
 def csv_scan_quoted_breaks(spark, folder):
     path = work_folder(spark, "csv_scan_quoted_breaks")
     texts = table(spark, folder, "documents").select("text", "lang", "source")
-    write_csv(texts.repartition(4), path)
+    write_csv(texts.repartition(inputs.pieces(texts.count(), 4, inputs.TEXTS_PER_FILE)), path)
     return csv_source.read_csv(spark, path).frame
 
 
@@ -520,7 +520,7 @@ def csv_malformed(spark, folder):
     lines = table(spark, folder, "orders").select(line.alias("a"))
     # The separator of this writer is no comma, so the commas of a line become cells when read.
     named = lines.withColumnRenamed("a", "key,status")
-    named.repartition(3).write.mode("overwrite").options(header=True, sep="\x01", quote="\x02").csv(path)
+    named.repartition(inputs.pieces(named.count(), 3)).write.mode("overwrite").options(header=True, sep="\x01", quote="\x02").csv(path)
     return csv_source.malformed_rows(csv_source.read_csv(spark, path)).agg(
         F.sum("row_count").alias("row_count"), F.sum("malformed").alias("malformed")
     )
