@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
 1. Equal vectors form one class, which keeps its `KEEP` smallest ids; so a vector with a third of all rows is one node.
-2. Classes are dealt at random (by a hash of the vector) to shards of about `SHARD` nodes.
+2. Classes are dealt at random (by a hash of the vector) to shards of `SHARD` nodes or more (`shard_size`).
 3. Each shard's graph: node levels fall geometrically. On each level a node is linked to nodes chosen among its nearest
    on that level, a candidate only if it is nearer to the node than to every node chosen before; links go both ways
    until a node is full. The nearest nodes are found exactly, in blocks, as a shard is small. Inner products are made a
    distance by one more component, sqrt(R^2 - |x|^2) with R the largest norm of the shard. Neighbours are flat int32 arrays.
 4. Blocks of queries visit every shard. All queries of a block walk the graph in step: greedily down the upper levels, then
-   with a beam of `BEAM` on the lowest. Scores of what they find are then taken in double precision on the original vectors.
+   with a beam of `BEAM` on the lowest, wider by the root of what a shard is larger than `SHARD`. Scores of what they find are then taken in double precision on the original vectors.
 5. A query's results from all shards are merged.
 
 Rows whose vector is null, zero, or holds a null or non-finite component take no part, neither as query nor as candidate; a
@@ -17,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from castwright.llm.common import checked, land
 
 SHARD, LINKS, NEAR, BEAM, AT_ONCE, BLOCK = 4096, 16, 48, 96, 4, 512
+# The largest shard, in nodes and bytes of vectors, and the factor of its growth: of the cost of a visit and that of a compared pair.
+MOST, SHARD_BYTES, BALANCE = 32_768, 1 << 25, 1_250
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -149,32 +152,46 @@ def search(queries: np.ndarray, vectors: np.ndarray, levels: list[tuple[np.ndarr
     seen = np.zeros((len(q), n + 1), bool)
     seen[rows[:, 0], at] = True
     base = levels[0][1]
-    while not done.all():
-        front = np.argsort(done, axis=1, kind="stable")[:, :AT_ONCE]  # the best that are not yet expanded
-        live = ~np.take_along_axis(done, front, 1)
-        np.put_along_axis(done, front, True, 1)
-        around = base[np.take_along_axis(ids, front, 1)].astype(np.int64)
-        around[~live] = -1
-        around = around.reshape(len(q), -1)
-        around[seen[rows, around]] = -1
-        seen[rows, around] = True
-        seen[:, n] = seen[:, -1] = False
-        # One place for a node that two expanded nodes share.
-        order = np.argsort(around, axis=1, kind="stable")
-        ordered = np.take_along_axis(around, order, 1)
-        ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = -1
-        fresh = np.where(ordered >= 0, np.einsum("qd,qkd->qk", q, x[ordered]), -np.inf)
-        ids, scores, done = np.concatenate([ids, ordered], 1), np.concatenate([scores, fresh], 1), np.concatenate([done, ordered < 0], 1)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :beam]
-        ids, scores, done = (np.take_along_axis(v, order, 1) for v in (ids, scores, done))
-        done |= ids < 0
+    live = np.arange(len(q))  # queries with nodes to expand
+    while len(live):
+        i, s, d = ids[live], scores[live], done[live]
+        front = ~d & (np.cumsum(~d, 1) <= AT_ONCE)  # the best that are not yet expanded
+        d |= front
+        who, slot = np.nonzero(front)
+        around = base[i[who, slot]]
+        who, around = np.repeat(who, around.shape[1]), around.ravel()
+        new = (around >= 0) & ~seen[live[who], around]
+        pairs = np.unique(who[new] * n + around[new])  # one place for a node that two expanded nodes share
+        who, around = pairs // n, pairs % n
+        seen[live[who], around] = True
+        fresh = np.einsum("ij,ij->i", q[live[who]], x[around])
+        near = fresh > s[who, -1]  # the others would not enter the beam
+        who, around, fresh = who[near], around[near], fresh[near]
+        counts = np.bincount(who, minlength=len(live))
+        if len(who):
+            shape, column = (len(live), counts.max()), np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
+            more, gains, closed = np.full(shape, -1, np.int64), np.full(shape, -np.inf, np.float32), np.ones(shape, bool)
+            more[who, column], gains[who, column], closed[who, column] = around, fresh, False
+            i, s, d = np.concatenate([i, more], 1), np.concatenate([s, gains], 1), np.concatenate([d, closed], 1)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+            i, s, d = (np.take_along_axis(v, order, 1) for v in (i, s, d))
+        ids[live], scores[live], done[live] = i, s, d
+        live = live[~d.all(1)]
     return ids
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: int = 21, shard: int = SHARD) -> DataFrame:
+def shard_size(nodes: int, dim: int) -> int:
+    """Nodes of a shard. The exact links cost a node in proportion to it, the visits of the queries in inverse proportion, and both
+    are least together where it grows as the root of the nodes; a shard must fit into a task, whatever the length of its vectors."""
+    fits = max(SHARD, min(MOST, SHARD_BYTES // (8 * max(dim, 1))))
+    return min(fits, max(SHARD, math.isqrt(BALANCE * nodes)))
+
+
+def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: int = 21, shard: int | None = None) -> DataFrame:
     """The landed index: a row per shard (shard, dim, v: its vectors, ids, nodes and links of all levels, flat)."""
     nodes = land(classes(usable(vectors, key, vector), keep))
-    shards = max(1, -(-nodes.count() // shard))
+    count, dim = nodes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    shards = max(1, -(-count // (shard or shard_size(count, dim or 1))))
 
     def graph(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("v")  # the same graph on every run
@@ -216,7 +233,8 @@ def nearest(vectors: DataFrame, chosen: Column, k: int = 20, key: str = "vec_id"
                 nodes, links = np.frombuffer(row["nodes"], "<i4"), np.frombuffer(row["links"], "<i4").reshape(len(row["nodes"]) // 4, -1)
                 cuts = np.concatenate([[0], np.cumsum(row["sizes"])])
                 levels = [(nodes[a:b], links[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                found = search(q, x, levels, max(beam, k + 1))
+                wide = int(beam * max(1.0, len(x) / SHARD) ** 0.5)  # a larger shard holds more of a query's nearest
+                found = search(q, x, levels, max(wide, k + 1))
                 # Every id of a found class, with the exact score.
                 who, slot = np.nonzero(found >= 0)
                 node = found[who, slot]

@@ -1,7 +1,9 @@
 """Inputs and scans that grow with their tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from castwright.llm import hnsw
 from castwright.sources import csv as csv_source
 from workload import inputs
 
@@ -38,3 +40,21 @@ def test_lines_are_read_once_where_no_row_holds_a_line_break(spark, tmp_path):
     assert found["plain"] == (1, [(2, ["1", 'x,"y'], None), (3, ["2", "z"], None)])
     assert found["broken"] == (2, [(2, ["1", "x\ny"], None), (3, ["2", "z"], None)])
     assert found["endless"][1][0] == (2, ["1", "x"], None) and found["endless"][1][1][2] == "quote"
+
+
+def test_shards_grow_with_the_root_of_the_vectors():
+    assert hnsw.shard_size(1_000, 64) == hnsw.SHARD
+    visits = [n // 20 * -(-n // hnsw.shard_size(n, 64)) for n in (10_256, 51_282)]
+    assert visits[1] < 13 * visits[0]  # shards of one size: 21 times
+    assert hnsw.shard_size(10**9, 64) == hnsw.MOST and hnsw.shard_size(10**9, 4096) == hnsw.SHARD
+
+
+def test_search_scores_only_what_it_has_not_seen(monkeypatch):
+    x = np.random.default_rng(0).standard_normal((700, 12)).astype(np.float32)
+    levels, scored, einsum = hnsw.build(x), [], np.einsum
+    monkeypatch.setattr(hnsw.np, "einsum", lambda how, a, b: (scored.append(b.size // 12) if how == "ij,ij->i" else None, einsum(how, a, b))[1])
+    found = hnsw.search(x[:40], x, levels, 64)
+    assert 0 < sum(scored) <= 40 * 700
+    want = np.argsort(-(x[:40] @ x.T), axis=1)[:, :20]
+    assert np.mean([len({*a[:20]} & {*b}) / 20 for a, b in zip(found.tolist(), want.tolist())]) >= 0.95
+    assert all(len({*a}) == 64 for a in found.tolist())
