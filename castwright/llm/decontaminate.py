@@ -115,8 +115,12 @@ def frequencies(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
                 ids, starts, _ = strides(texts)
                 terms = (ids % TERMS).astype(np.int64)
                 own = vocabulary[terms]
-                pairs = np.unique(numbers(ids, starts)[own] * TERMS + terms[own])
-                total += np.bincount(pairs % TERMS, minlength=TERMS)
+                terms, stride = terms[own], numbers(ids, starts)[own]
+                order = by_term(terms)
+                terms, stride = terms[order], stride[order]
+                new = np.ones(len(terms), bool)
+                new[1:] = (terms[1:] != terms[:-1]) | (stride[1:] != stride[:-1])
+                total += np.bincount(terms[new], minlength=TERMS)
                 every += len(starts)
         yield pa.RecordBatch.from_pydict({"term": np.append(np.flatnonzero(total), -1), "n": np.append(total[total > 0], every)})
 
@@ -126,6 +130,11 @@ def frequencies(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return out[:TERMS], int(out[TERMS])
 
 
+def by_term(terms: np.ndarray) -> np.ndarray:
+    """The stable order of terms; 16 bits are sorted by counting."""
+    return np.argsort(terms.astype(np.uint16), kind="stable")
+
+
 def with_next(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Each stride together with the next one of the same text."""
     rows[:-1] += np.where((owner[1:] == owner[:-1])[:, None], rows[1:], rows.dtype.type(0))
@@ -169,7 +178,7 @@ def coordinates(words: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                 rows /= np.maximum(norm, 1e-6)
                 # Each stride stands in its own passage and in the one before.
                 rows[1:] += np.where((owner[1:] == owner[:-1])[:, None], rows[:-1], np.float32(0))
-                order = np.argsort(terms, kind="stable")
+                order = by_term(terms)
                 ordered = terms[order]
                 first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
                 total[ordered[first]] += np.add.reduceat(rows[stride[order]], first, axis=0)

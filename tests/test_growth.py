@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from castwright.llm import hnsw
+from castwright.llm import decontaminate, hnsw
 from castwright.sources import csv as csv_source
 from workload import inputs
 
@@ -58,3 +58,8 @@ def test_search_scores_only_what_it_has_not_seen(monkeypatch):
     want = np.argsort(-(x[:40] @ x.T), axis=1)[:, :20]
     assert np.mean([len({*a[:20]} & {*b}) / 20 for a, b in zip(found.tolist(), want.tolist())]) >= 0.95
     assert all(len({*a}) == 64 for a in found.tolist())
+
+
+def test_terms_are_ordered_by_counting():
+    terms = np.random.default_rng(0).integers(0, decontaminate.TERMS, 5000).astype(np.uint32)
+    assert decontaminate.TERMS <= 1 << 16 and (decontaminate.by_term(terms) == np.argsort(terms, kind="stable")).all()
