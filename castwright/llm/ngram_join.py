@@ -15,16 +15,14 @@ Candidates. Signatures are cut into slices, grouped inside each task first (a si
 one entry a task), then across tasks. Members of a signature point to its head, the member that shares most signatures with
 others: of copies that were changed one by one it is the least changed. Each set is first verified
 against the head that shares most signatures. After components, only signatures that still hold several components matter.
-There shingles that no other set of an open signature holds bound the differences of any pair from below (they differ at least by the
-private shingles of both), so a set stays in a signature only if a set of another component may be near enough
-(`reachable`); in a group of thousands of changed copies this leaves few, without a look at any pair. Those left point once more to
-the head of another component. Then signatures with up to `LIGHT` members have their pairs across components
-verified. Sets of larger ones are indexed again by segments twice as large with one-deletion neighbourhoods
-(m = ceil((H + 1) / 2), a linked pair differs by at most one shingle in some segment), reduced in the same way, and the
-pairs across components of those signatures are verified.
-
-Verification first compares parity sketches, which bound the differences from below, so that only pairs
-close to the threshold move their sets; then the full shingle sets of both classes. Links inside one component are not enumerated further.
+Their members meet with parity sketches, which bound the differences of two sets from below, and only pairs across components that
+the sketches allow become rows (`nearby`): in a group of thousands of changed copies these are few. Each set is first verified against the
+nearest one of another component; then all such pairs of signatures with up to `LIGHT` members are. Sets of larger ones are indexed
+again by segments twice as large with one-deletion neighbourhoods (m = ceil((H + 1) / 2), a linked pair differs by at most one shingle
+in some segment), and compared in the same way. The comparing of two sketches is quadratic in the members of a signature; memory and rows are not.
+
+Verification compares the sketches, so that only pairs close to the threshold move their sets, then the full shingle sets of both classes.
+Links inside one component are not enumerated further.
 """
 
 from __future__ import annotations
@@ -45,6 +43,8 @@ from castwright.llm.graph import components
 from castwright.llm.words import in_chunks, mixed, pieces, word_hashes
 
 WORDS, PERCENT, SPARE, LIGHT, FLUSH, SEEN = 4, 85, 3, 48, 3_000_000, 500_000
+# Of a cell of `nearby`: members of one signature, members, shingles of their sets (two to four bits of sketch each); pairs, or words of sketches, held at a time.
+GRID, CELL, SHARE, PAIRS, NONE = 8192, 1 << 18, 1 << 27, 1 << 21, np.iinfo(np.int64).max
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -223,89 +223,104 @@ def pointers(entries: DataFrame) -> DataFrame:
     return shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
-def private_counts(sets: DataFrame, classes: DataFrame, slices: int) -> DataFrame:
-    """Columns cls, private: how many shingles of each class no other of the classes holds (never too many).
+def nearby(members: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Landed pairs (a, b) of members (sig, cls, root, members) of one signature that lie in different components and may be linked by their sketches.
 
-    A task sends each shingle once: with its class, or with 0 if several of its classes hold it. A class that comes
-    twice (see `near_duplicates`) counts as one.
+    With `nearest` each class gives only the pair with the fewest differences. Signatures are dealt to cells of bounded size, with the
+    sketches of their members, and compared there, so no row is made for a pair that the sketches rule out. A signature of more than `GRID`
+    members is cut into blocks and each two blocks meet in a cell.
     """
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        names: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            tokens, classes = np.concatenate(held), np.concatenate(names)
-            order = np.lexsort((classes, tokens))
-            tokens, classes = tokens[order], classes[order]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            one = np.minimum.reduceat(classes, first) == np.maximum.reduceat(classes, first)
-            rows = np.empty(len(first), _RECORD)
-            home, rows["sig"] = (tokens[first] >> np.uint64(32)).astype(np.int64) % slices, tokens[first] & np.uint64(0xFFFFFFFF)
-            rows["cls"] = np.where(one, classes[first], 0)
-            order = np.argsort(home, kind="stable")
-            rows, edges = rows[order], np.searchsorted(home[order], np.arange(slices + 1))
-            used = [i for i in range(slices) if edges[i] < edges[i + 1]]
-            return pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "data": pa.array([rows[edges[i] : edges[i + 1]].tobytes() for i in used], pa.binary())})
-
-        for batch in batches:
-            for cls, tokens in zip(batch["cls"].to_pylist(), batch["tokens"], strict=True):
-                held.append(np.frombuffer(tokens.as_py(), np.uint64))
-                names.append(np.full(len(held[-1]), cls, np.int64))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush()
-                    held, names, size = [], [], 0
-        if size:
-            yield flush()
-
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = np.concatenate([np.frombuffer(x, _RECORD) for x in rows["data"]])
-        sigs, classes = found["sig"].astype(np.int64), found["cls"].astype(np.int64)
-        order = np.lexsort((classes, sigs))
-        sigs, classes = sigs[order], classes[order]
-        first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-        low, high = np.minimum.reduceat(classes, first), np.maximum.reduceat(classes, first)
-        cls, n = np.unique(low[(low == high) & (low != 0)], return_counts=True)
-        return pd.DataFrame({"cls": cls, "private": n})
-
-    packed = sets.select("cls", "tokens").join(classes, "cls", "left_semi").mapInArrow(gather, "slice int, data binary")
-    return land(packed.groupBy("slice").applyInPandas(count, "cls long, private long").groupBy("cls").agg(F.sum("private").alias("private")))
-
-
-def near_enough(na: str, nb: str, own: str, other: str, percent: int) -> str:
-    """SQL: sets of these sizes and private shingles may be linked; linked sets differ in at most (sizes) * (100 - percent) / (100 + percent)."""
-    return f"({own} + {other}) * {100 + percent} <= ({na} + {nb}) * {100 - percent} AND 100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})"
-
-
-def reachable(placed: DataFrame, facts: DataFrame, private: DataFrame, percent: int) -> DataFrame:
-    """Members (sig, cls, root, n, private, members) that may be linked to a member of another component in their signature.
-
-    The test takes the least private count of another component and the largest size a partner may have, so it keeps every linked pair.
+    held = members.groupBy("cls").agg(F.count(F.lit(1)).alias("e")).join(facts, "cls").agg(F.sum("e"), F.sum(F.col("e") * F.col("n"))).first()
+    cells = max(8, (held[0] or 0) // CELL, (held[1] or 0) // SHARE)  # by members, so that a class comes to few cells
+    blocks = F.ceil(F.col("members") / GRID)
+    dealt = members.withColumn("side", F.pmod(F.xxhash64("cls", "sig"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    whole = F.pmod(F.xxhash64("sig"), F.lit(cells).cast("long"))
+    part = F.xxhash64("sig", F.least("side", "other"), F.greatest("side", "other"))
+    dealt = dealt.select(F.when(F.col("members") <= GRID, whole).otherwise(part).alias("cell"), "sig", "cls", "root", "side")
+    known = dealt.select(F.col("cell").alias("at"), F.col("cls").alias("name")).distinct().join(sets.select(F.col("cls").alias("name"), "n", "sketch"), "name")
+
+    def compare(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.drop_duplicates("name").sort_values("name")
+        near = Sketches(known["n"].to_numpy(np.int64), known["sketch"].tolist())
+        names, best, found = known["name"].to_numpy(np.int64), np.full(len(known), NONE), [np.zeros(0, np.int64)]
+        rows = rows.sort_values(["sig", "cls"])
+        place, n = np.searchsorted(names, rows["cls"].to_numpy(np.int64)), len(names)
+        for i, j in joined(rows["sig"].to_numpy(np.int64), rows["side"].to_numpy(np.int64), rows["root"].to_numpy(np.int64)):
+            i, j = np.divmod(np.unique(np.minimum(place[i], place[j]) * n + np.maximum(place[i], place[j])), n)
+            i, j, apart = near.close(i, j, percent)
+            if nearest:
+                np.minimum.at(best, i, apart * n + j)
+                np.minimum.at(best, j, apart * n + i)
+            else:
+                found = [np.unique(np.concatenate([*found, i * n + j]))]
+        if nearest:
+            i = np.flatnonzero(best < NONE)
+            return pd.DataFrame({"a": names[i], "b": names[best[i] % n], "apart": best[i] // n})
+        i, j = np.divmod(found[0], max(n, 1))
+        return pd.DataFrame({"a": names[i], "b": names[j], "apart": 0})
+
+    pairs = dealt.groupBy("cell").cogroup(known.groupBy("at")).applyInPandas(compare, "a long, b long, apart long")
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    return land(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def joined(sigs: np.ndarray, sides: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all two rows of a signature with different roots, about `PAIRS` at a time; rows are in order of `sigs`.
+
+    Where a signature has rows of two sides, those of one side meet only the other.
     """
-    known = placed.select("sig", "cls", "root").join(facts.select("cls", "n"), "cls").join(private, "cls", "left").withColumn("private", F.coalesce("private", F.lit(0).cast("long")))
-    known = land(known)
-    first = known.groupBy("sig").agg(F.min(F.struct("private", "root")).alias("first"))
-    second = known.join(first, "sig").where("root <> first.root").groupBy("sig").agg(F.min("private").alias("second"))
-    both = known.join(first, "sig").join(second, "sig")
-    other = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.private"))
-    widest = F.floor(F.col("n") * 100 / percent) + 1
-    kept = both.where((F.col("private") + other) * (100 + percent) <= (F.col("n") + widest) * (100 - percent)).select("sig", "cls", "root", "n", "private")
-    still = kept.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-    return land(kept.join(still.select("sig", "members"), "sig"))
-
-
-def crossing(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each class with the head of another component that it shares most signatures with; a head has fewest private shingles."""
-    first = members.groupBy("sig").agg(F.min(F.struct("private", "root", "cls")).alias("first"))
-    rest = members.join(first, "sig").where("root <> first.root")
-    second = rest.groupBy("sig").agg(F.min(F.struct("private", "root", "cls")).alias("second"))
-    both = members.join(first, "sig").join(second, "sig")
-    other = F.when(F.col("root") == F.col("first.root"), F.col("second.cls")).otherwise(F.col("first.cls"))
-    shared = both.select(other.alias("a"), F.col("cls").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best"))
-    return best.select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+    if not len(sigs):
+        return
+    first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    size = np.diff(np.append(first, len(sigs)))
+    after = np.repeat(first + size, size) - np.arange(len(sigs)) - 1
+    mixed_sides = np.repeat(np.minimum.reduceat(sides, first) != np.maximum.reduceat(sides, first), size)
+    ends = np.cumsum(after)
+    low = 0
+    while low < len(sigs):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        n = after[low:high]
+        i = np.repeat(np.arange(low, high), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        own = (roots[i] != roots[j]) & (~mixed_sides[i] | (sides[i] != sides[j]))
+        if own.any():
+            yield i[own], j[own]
+        low = high
+
+
+class Sketches:
+    """The sketches of some sets, as a matrix for each length."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes]) -> None:
+        self.sizes, self.length = sizes, np.array([len(x) // 8 for x in sketches], np.int64)
+        self.place, self.rows = np.zeros(len(sketches), np.int64), {}
+        for length in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == length)
+            self.place[own] = np.arange(len(own))
+            self.rows[length, length] = np.frombuffer(b"".join([sketches[x] for x in own]), "<u8").reshape(-1, length)
+
+    def folded(self, length: int, to: int) -> np.ndarray:
+        if (length, to) not in self.rows:
+            self.rows[length, to] = np.bitwise_xor.reduce(self.rows[length, length].reshape(-1, length // to, to), axis=1)
+        return self.rows[length, to]
+
+    def close(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs (i, j) those whose sizes and sketches allow a link, and in how many tokens they differ at least (see `fewest_differences`)."""
+        a, b = self.sizes[i], self.sizes[j]
+        fit = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        i, j, most = i[fit], j[fit], (a + b)[fit] * (100 - percent)
+        apart = np.zeros(len(i), np.int64)
+        kinds = self.length[i] << 32 | self.length[j]
+        for kind in np.unique(kinds).tolist():
+            left, right = kind >> 32, kind & 0xFFFFFFFF
+            short = min(left, right)
+            x, y = self.folded(left, short), self.folded(right, short)
+            own = np.flatnonzero(kinds == kind)
+            for part in np.array_split(own, len(own) * short // PAIRS + 1):
+                apart[part] = np.bitwise_count(x[self.place[i[part]]] ^ y[self.place[j[part]]]).sum(1)
+        near = apart * (100 + percent) <= most
+        return i[near], j[near], apart[near]
 
 
 def possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -371,13 +386,6 @@ def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return land(placed.join(open_sigs.select("sig", "members"), "sig"))
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, shared) of classes that share signatures, lie in different components and may be near enough."""
-    left, right = (members.select("sig", F.col("cls").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("private").alias(f"p{x}")) for x in "ab")
-    pairs = left.join(right, "sig").where("ra < rb").where(near_enough("na", "nb", "pa", "pb", percent))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, cls (class of the set, 0 if empty), component_id, tid (hash of the text), root (smallest class).
 
@@ -431,11 +439,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     links = verified(pairs, sets, percent)
     placed = with_roots(entries, components(links))
-    private = private_counts(sets, placed.select("cls").distinct(), slices)
-    links = links.unionByName(verified(land(possible(crossing(reachable(placed, facts, private, percent), percent), facts, percent)), sets, percent))
-    placed = reachable(with_roots(placed.select("sig", "cls"), components(links)), facts, private, percent)
-    # A pair that also shares a heavy signature may fall short here; it is found below.
-    light = possible(across(placed.where(F.col("members") <= LIGHT), percent), facts, percent).join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(nearby(placed, facts, sets, percent, nearest=True), sets, percent))
+    placed = with_roots(placed.select("sig", "cls"), components(links))
+    # A pair that shares heavy signatures only is found below.
+    light = nearby(placed.where(F.col("members") <= LIGHT), facts, sets, percent).join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(verified(land(light), sets, percent))
     roots = components(links)
     heavy = with_roots(placed.where(F.col("members") > LIGHT).select("sig", "cls"), roots).select("cls").distinct()
@@ -451,12 +458,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     if not heavy.isEmpty():
         again = members(met(sets.join(heavy, "cls", "left_semi").select("cls", "tokens").mapInArrow(deletions, _PACKED)))
-        # Among the sets left more shingles are private than before.
-        private = private_counts(sets, heavy, slices)
-        placed = reachable(with_roots(again, roots), facts, private, percent)
-        links = links.unionByName(verified(land(possible(crossing(placed, percent), facts, percent)), sets, percent))
-        placed = reachable(with_roots(placed.select("sig", "cls"), components(links)), facts, private, percent)
-        links = links.unionByName(verified(land(possible(across(placed, percent).drop("shared"), facts, percent)), sets, percent))
+        placed = with_roots(again, roots)
+        links = links.unionByName(verified(nearby(placed, facts, sets, percent, nearest=True), sets, percent))
+        placed = with_roots(placed.select("sig", "cls"), components(links))
+        links = links.unionByName(verified(nearby(placed, facts, sets, percent), sets, percent))
         roots = components(links)
 
     least = slim.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least"))

@@ -119,6 +119,33 @@ def test_ngram_group_of_changed_copies(spark, monkeypatch):
     assert sum(asked) < 40 * len(texts)  # all pairs are 325 times the texts
 
 
+def test_near_members_of_a_signature(spark, monkeypatch):
+    """Members of large signatures meet in blocks; only pairs that the sketches allow become rows: those of brute force."""
+    monkeypatch.setattr(ngram_join, "GRID", 7)
+    monkeypatch.setattr(ngram_join, "PAIRS", 50)
+    base, draw = prose(150).split(" "), random.Random(7)
+    texts = [" ".join(f"own{i}x{place}" if place in (draws := draw.sample(range(150), 4 if i % 9 else 0)) else w for place, w in enumerate(base)) for i in range(60)]
+    texts += [t + " " + prose(3) for t in texts[:5]] + [prose(40) for _ in range(5)]
+    sets = [ngram_join.shingles(t.encode()) for t in texts]
+    sketches = [ngram_join.sketch(x) for x in sets]
+    facts = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "cls long, n long")
+    known = spark.createDataFrame([(i, len(x), bytearray(y)) for i, (x, y) in enumerate(zip(sets, sketches)) for _ in range(1 + i % 2)], "cls long, n long, sketch binary")
+    held = {1: list(range(len(texts))), 2: [0, 61], 3: [3, 4, 62]}
+    members = spark.createDataFrame([(sig, i, i // 2, len(own)) for sig, own in held.items() for i in own], "sig long, cls long, root long, members long")
+    apart = {}
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            a, b, d = len(sets[i]), len(sets[j]), ngram_join.fewest_differences(sketches[i], sketches[j])
+            if i // 2 != j // 2 and d * 185 <= (a + b) * 15 and 100 * min(a, b) >= 85 * max(a, b):
+                apart[i, j] = d
+    got = [tuple(r) for r in ngram_join.nearby(members, facts, known, 85).collect()]
+    assert sorted(got) == sorted(apart) and 0 < len(apart) < len(texts) ** 2 / 4
+    nearest = [tuple(r) for r in ngram_join.nearby(members, facts, known, 85, nearest=True).collect()]
+    assert len(nearest) <= len(texts) and set(nearest) <= set(apart)
+    for i in {x for pair in apart for x in pair}:
+        assert min(d for pair, d in apart.items() if i in pair) in [apart[pair] for pair in nearest if i in pair]
+
+
 def test_sketches_never_exceed_the_differences():
     rng = np.random.default_rng(3)
     for size in (1, 2, 31, 32, 33, 500, 5000):
