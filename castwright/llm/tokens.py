@@ -178,7 +178,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, dtype: str = "<u2")
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
     rows = checked(docs, "doc_id", "text")
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return land(ordered.mapInArrow(blocks, "shard int, block int, offset long, doc_ids array<long>, counts array<long>, ids binary"))
+    return land(ordered.mapInArrow(blocks, "shard int, block int, offset long, doc_ids array<long>, counts array<long>, ids binary"), codec="zstd")
 
 
 def id_counts(blocks: DataFrame, dtype: str = "<u2") -> DataFrame:

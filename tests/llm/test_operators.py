@@ -204,6 +204,13 @@ def test_token_files(spark, docs, none, tmp_path):
     assert tokens.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_id_blocks_are_landed_small(docs):
+    """Ids take two bytes each before they are coded; the blocks are the largest table of the stage, so they are landed with zstd."""
+    blocks = tokens.tokenized(docs, tokenizer_path(), 2)
+    assert blocks.inputFiles() and all(".zstd." in f for f in blocks.inputFiles())
+    assert blocks.selectExpr("sum(size(doc_ids)) AS n").first().n == docs.count()
+
+
 def test_code_lengths_are_bounded_and_complete():
     counts = np.array([2**i for i in range(40)])
     bits = tokens.code_lengths(counts, 8)
