@@ -229,7 +229,8 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def confirmed(item: np.ndarray, around: np.ndarray) -> float:
     """Share of the item found in order; 0 if not enough, or without its answer."""
-    if np.isin(item, around).mean() < LIKELY:
+    held = set(around.tolist())
+    if sum(map(held.__contains__, item.tolist())) / len(item) < LIKELY:
         return 0.0
     share = common(item, around) / len(item)
     if share >= SURE:
