@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ PAIRS = ("  ", " \n", "\n ", "\n\n")
 LATIN = "\u0250"
 PROBES = ["the", "Unlikely", "\u00e9t\u00e9s", "\u017bubr", "zqxj"]
 # Printable Latin-1 bytes show as themselves, the others, in order, as the characters from 256 on.
-SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or b >= 161 and b != 173))}
+HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or b >= 161 and b != 173))}
+SHOWN = "".join(chr(HIDDEN.get(b, b)) for b in range(256))
 
 
 class NotWhole(Exception):
@@ -97,8 +99,7 @@ class Pieces:
 
     def unit(self, text: str) -> bytes:
         """Ids of what the splitter leaves in one piece: the model reads it spelled as a visible character for each byte."""
-        shown = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(SHOWN)
-        return array(self.code, [t.id for t in self.model(shown)]).tobytes()
+        return array(self.code, [t.id for t in self.model(charmap_decode(text.encode(), "strict", SHOWN)[0])]).tobytes()
 
     @staticmethod
     def letters(word: str) -> bool:
@@ -236,45 +237,49 @@ def canonical(symbols: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def pack(codes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words that hold the codes one after the other, and the bit offset of each."""
-    bits = bits.astype(np.int64)
-    ends = np.cumsum(bits)
+    ends = np.cumsum(bits, dtype=np.int64)
     at = ends - bits
     words = np.zeros(int(ends[-1] + 63 >> 6) + 1 if len(bits) else 1, np.uint64)
     if not len(bits):
         return words, at
     word, room = at >> 6, 64 - (at & 63) - bits
-    over = room < 0
-    head = np.where(over, codes >> np.maximum(-room, 0).astype(np.uint64), codes << np.maximum(room, 0).astype(np.uint64))
+    over = np.flatnonzero(room < 0)
+    head = codes << room.view(np.uint64)  # no code has 64 bits, and those over the edge come next
+    head[over] = codes[over] >> (-room[over]).view(np.uint64)
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     words[word[first]] = np.bitwise_or.reduceat(head, first)
-    words[word[over] + 1] |= codes[over] << (64 + room[over]).astype(np.uint64)
+    words[word[over] + 1] |= codes[over] << (64 + room[over]).view(np.uint64)
     return words, at
 
 
-def look_up(symbols: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbol and length for every value of the next `width` bits."""
+def look_up(symbols: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, int]:
+    """For every value of the next `width` bits the symbol, shifted by 8 bits, and its length."""
     width = int(bits.max()) if len(bits) else 1
     codes = canonical(symbols, bits).astype(np.int64)
-    table, length = np.zeros(1 << width, np.uint32), np.zeros(1 << width, np.uint8)
+    small = not len(symbols) or int(symbols.max()) < 1 << 24
+    table = np.zeros(1 << width, np.uint32 if small else np.int64)
     order = np.argsort(codes << (width - bits.astype(np.int64)), kind="stable")
     span = 1 << (width - bits[order].astype(np.int64))
     filled = int(span.sum())
-    table[:filled], length[:filled] = np.repeat(symbols[order], span), np.repeat(bits[order], span)
-    return table, length, width
-
-
-def unpack(words: np.ndarray, starts: np.ndarray, n: int, table: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
-    """The `n` ids of a block, all lanes in step."""
-    out = np.zeros((len(starts), LANE), np.uint32)
-    at, down, last = starts.astype(np.int64), np.uint64(64 - width), len(words) - 2
+    table[:filled] = np.repeat(symbols[order] << 8 | bits[order], span)
+    return table, width
+
+
+def unpack(words: np.ndarray, starts: np.ndarray, n: int, table: np.ndarray, width: int) -> np.ndarray:
+    """The `n` ids of a block, all lanes in step; a code has at most 32 bits, so it lies in the 64 bits from its half word on."""
+    ahead = np.zeros(2 * len(words), np.uint64)
+    ahead[::2] = words
+    ahead[1:-1:2] = words[:-1] << np.uint64(32) | words[1:] >> np.uint64(32)
+    out = np.zeros((LANE, len(starts)), table.dtype)
+    at, down = starts.astype(np.int64), np.uint64(64 - width)
+    full = (n - 1) % LANE + 1  # the last lane may be shorter
     for k in range(LANE):
-        live = len(starts) if k < (n - 1) % LANE + 1 else len(starts) - 1  # the last lane may be shorter
-        p = at[:live]
-        word, bit = np.minimum(p >> 6, last), (p & 63).astype(np.uint64)
-        value = (words[word] << bit | words[word + 1] >> np.uint64(1) >> (np.uint64(63) - bit)) >> down
-        out[:live, k] = table[value]
-        at[:live] += length[value]
-    return out.reshape(-1)[:n]
+        if k == full:
+            at = at[:-1]
+        found = table[(ahead[at >> 5] << (at & 31).view(np.uint64) >> down).view(np.int64)]
+        out[k, : len(at)] = found
+        at += found & 255
+    return (out.T >> 8).astype(np.uint32).reshape(-1)[:n]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, dtype: str = "<u2", limit: int = LIMIT) -> None:
@@ -311,7 +316,7 @@ def decoder(spark: SparkSession, path: str) -> Callable[[bytes, bytes, int], np.
     """A function that decodes one block (bits, checkpoints, n) of the folder; it may be used inside tasks."""
     codes = spark.read.parquet(f"{path}/codes").toPandas()  # a row per id of the vocabulary at most
     symbols, bits = codes["id"].to_numpy(np.int64), codes["bits"].to_numpy(np.uint8)
-    built: list[tuple[np.ndarray, np.ndarray, int]] = []
+    built: list[tuple[np.ndarray, int]] = []
 
     def decode(payload: bytes, lanes: bytes, n: int) -> np.ndarray:
         if not built:

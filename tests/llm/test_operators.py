@@ -211,6 +211,18 @@ def test_id_blocks_are_landed_small(docs):
     assert blocks.selectExpr("sum(size(doc_ids)) AS n").first().n == docs.count()
 
 
+def test_coded_blocks_round_trip():
+    g = np.random.default_rng(3)
+    for symbols in (np.array([5]), np.array([0, 7, 40_000, 65_535]), np.arange(3000) * 7, np.array([1, 1 << 24, (1 << 32) - 1])):
+        bits = tokens.code_lengths(g.integers(1, 1 << 20, len(symbols)) ** 3 // (1 << 30) + 1)
+        codes, (table, width) = tokens.canonical(symbols, bits), tokens.look_up(symbols, bits)
+        for n in (1, 127, 128, 129, 5000):
+            picked = g.integers(0, len(symbols), n)
+            words, at = tokens.pack(codes[picked], bits[picked])
+            assert at.tolist() == (np.cumsum(bits[picked].astype(int)) - bits[picked]).tolist()
+            assert tokens.unpack(words, at[:: tokens.LANE], n, table, width).tolist() == symbols[picked].tolist()
+
+
 def test_code_lengths_are_bounded_and_complete():
     counts = np.array([2**i for i in range(40)])
     bits = tokens.code_lengths(counts, 8)
