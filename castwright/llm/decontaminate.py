@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castwright.llm.common import checked, land, marked, maybe_in
+from castwright.llm.common import checked, land, marked, maybe_in, scratch
 from castwright.llm.words import in_chunks, pieces, word_hashes
 
 STRIDE, TERMS, RANK, COMMON, COSINE, BITS, SURE, LIKELY, SHORT, ITEMS = 24, 1 << 16, 48, 0.1, 0.3, 0.45, 0.75, 0.6, 10, 4096
@@ -266,7 +266,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, in which no benchmark item is found; their names may be any."""
     row = F.xxhash64("`doc_id`", "`text`")
-    found = land(find_leaks(docs.select(row.alias("doc_id"), "`text`"), benchmark).select(F.col("doc_id").alias("row")).distinct())
+    with scratch(docs.sparkSession) as stay:
+        found = stay(find_leaks(docs.select(row.alias("doc_id"), "`text`"), benchmark).select(F.col("doc_id").alias("row")).distinct())
     split = marked(docs.select(row.alias("row"), F.struct("*").alias("kept")), maybe_in(found, "row"), "row", "maybe")
     doubtful = split.where("maybe").join(found, "row", "left_anti")
     return split.where("not maybe").unionByName(doubtful).select("kept.*")

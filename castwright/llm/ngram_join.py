@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castwright.llm.common import checked, land, maybe_in, prefiltered, text_bytes
+from castwright.llm.common import checked, land, maybe_in, prefiltered, scratch, text_bytes
 from castwright.llm.graph import components
 from castwright.llm.words import in_chunks, mixed, pieces, word_hashes
 
@@ -360,6 +360,11 @@ def hopeful(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return land(kept.select("a", "b").distinct())
 
 
+def members_of(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """The sets that may be the pairs' a or b, so that a join moves no others; an exact join must follow."""
+    return prefiltered(sets, maybe_in(pairs.select(F.col(side).alias("cls")), "cls"), "cls")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: by sketches, which lose no such pair, then by their full sets."""
     pairs = hopeful(pairs, sets, percent)
@@ -374,9 +379,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             out.append(100 * common >= percent * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    heads = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    return land(right.join(heads, "a").where(F.pandas_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct())
+    right, heads = (members_of(pairs, sets, side).select(F.col("cls").alias(side), F.col("tokens").alias(f"t{side}")) for side in ("b", "a"))
+    return land(pairs.join(right, "b").join(heads, "a").where(F.pandas_udf(linked, "boolean")("ta", "tb")).select("a", "b").distinct())
 
 
 def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -476,9 +480,10 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
 
     Rows without words are in no component and all stay. All columns are carried; their names may be any.
     """
-    found = near_duplicates(docs, percent, words).where("cls <> 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
-    keep = land(found.groupBy("root").agg(F.min(order).alias("first")).select(_id(F.col("first.doc_id")).alias("id"), F.col("first.tid").alias("tid")))
+    with scratch(docs.sparkSession) as stay:
+        found = near_duplicates(docs, percent, words).where("cls <> 0")
+        keep = stay(found.groupBy("root").agg(F.min(order).alias("first")).select(_id(F.col("first.doc_id")).alias("id"), F.col("first.tid").alias("tid")))
     has_words = F.coalesce(F.col("`text`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.where(has_words).select(_id(F.col("`doc_id`")).alias("id"), F.xxhash64("`text`").alias("tid"), F.struct("*").alias("kept"))
     rows = prefiltered(rows, maybe_in(keep, "tid"), "tid")

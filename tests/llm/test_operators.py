@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from castwright.llm import decontaminate, hnsw, mixing, ngram_join, pii, quality, suffix_dedup, tokens, toxicity, wrapper
+from castwright.llm.common import land, scratch
 from castwright.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, score double, row string, cls string, best int, slice int"
@@ -164,6 +166,28 @@ def test_one_of_each(docs):
     assert kept.columns == docs.columns
 
 
+def test_stages_drop_their_own_tables(spark, docs):
+    """What a stage of the pipeline lands on its way goes with it; only the rows to leave out stay."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    with scratch(spark) as stay:
+        inner = land(docs)
+        kept = stay(inner.groupBy("source").count())
+        assert len(set(folder.iterdir()) - before) == 2
+    assert kept.count() == 4 and len(set(folder.iterdir()) - before) == 1
+    items = spark.createDataFrame([(1, BASES[3])], "item_id long, text string")
+    clean = decontaminate.without_leaks(docs, items)
+    assert clean.count() < docs.count() and len(set(folder.iterdir()) - before) == 2
+
+
+def test_sets_that_are_in_no_pair_are_not_moved(spark):
+    sets = spark.range(2000).select(F.col("id").alias("cls"), F.lit(1).alias("n"))
+    pairs = spark.createDataFrame([(3, 5), (7, 5), (9, 1999)], "a long, b long")
+    for side, want in (("a", {3, 7, 9}), ("b", {5, 1999})):
+        found = {r.cls for r in ngram_join.members_of(pairs, sets, side).collect()}
+        assert found >= want and len(found) < 20
+
+
 def test_suffix_dedup(docs, none, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     length, rows = 60, docs.collect()
