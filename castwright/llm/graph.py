@@ -32,3 +32,16 @@ def components(links: DataFrame) -> DataFrame:
             tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return land(roots.select(F.col("u").alias("node"), "root").unionByName(tops))
         before = now
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` (node, root) after more links (a, b): components meet by their roots, so links inside one cost no round."""
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    between = land(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct())
+    if between.isEmpty():
+        return roots
+    tops = components(between)
+    known = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return land(known.unionByName(tops.join(roots, "node", "left_anti")))

@@ -17,7 +17,8 @@ others: of copies that were changed one by one it is the least changed. Each set
 against the head that shares most signatures. After components, only signatures that still hold several components matter.
 Their members meet with parity sketches, which bound the differences of two sets from below, and only pairs across components that
 the sketches allow become rows (`nearby`): in a group of thousands of changed copies these are few. Each set is first verified against the
-nearest one of another component; then all such pairs of signatures with up to `LIGHT` members are. Sets of larger ones are indexed
+nearest one of another component; a set that the sketches bring near none has no link left to find and leaves (`unsettled`), however many
+members its signatures have. Of the others, all such pairs of signatures with up to `LIGHT` members are verified. Sets of larger ones are indexed
 again by segments twice as large with one-deletion neighbourhoods (m = ceil((H + 1) / 2), a linked pair differs by at most one shingle
 in some segment), and compared in the same way. The comparing of two sketches is quadratic in the members of a signature; memory and rows are not.
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from castwright.llm.common import checked, land, maybe_in, prefiltered, scratch, text_bytes
-from castwright.llm.graph import components
+from castwright.llm.graph import components, merged
 from castwright.llm.words import in_chunks, mixed, pieces, word_hashes
 
 WORDS, PERCENT, SPARE, LIGHT, FLUSH, SEEN = 4, 85, 3, 48, 3_000_000, 500_000
@@ -365,9 +366,10 @@ def members_of(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return prefiltered(sets, maybe_in(pairs.select(F.col(side).alias("cls")), "cls"), "cls")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: by sketches, which lose no such pair, then by their full sets."""
-    pairs = hopeful(pairs, sets, percent)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, sketched: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold: by sketches, unless `sketched` pairs passed them, which lose no such pair, then by their full sets."""
+    if not sketched:
+        pairs = hopeful(pairs, sets, percent)
 
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
@@ -390,6 +392,12 @@ def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return land(placed.join(open_sigs.select("sig", "members"), "sig"))
 
 
+def unsettled(placed: DataFrame, near: DataFrame) -> DataFrame:
+    """Members of the classes of `near`, the nearest pairs across components that sketches allow: a class without one has no link left to find."""
+    left = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return placed.select("sig", "cls").join(left, "cls", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, cls (class of the set, 0 if empty), component_id, tid (hash of the text), root (smallest class).
 
@@ -441,14 +449,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     texts = prefiltered(rows.select("tid", "text"), maybe_in(wanted, "tid"), "tid").join(wanted, "tid", "left_semi")
     sets = land(texts.mapInArrow(rebuild, "cls long, n long, tokens binary, sketch binary"))  # a class may come twice, from parts of a split partition
 
-    links = verified(pairs, sets, percent)
-    placed = with_roots(entries, components(links))
-    links = links.unionByName(verified(nearby(placed, facts, sets, percent, nearest=True), sets, percent))
-    placed = with_roots(placed.select("sig", "cls"), components(links))
+    roots = components(verified(pairs, sets, percent))
+    placed = with_roots(entries, roots)
+    near = nearby(placed, facts, sets, percent, nearest=True)
+    roots = merged(roots, verified(near, sets, percent, True))
+    placed = with_roots(unsettled(placed, near), roots)
     # A pair that shares heavy signatures only is found below.
     light = nearby(placed.where(F.col("members") <= LIGHT), facts, sets, percent).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(land(light), sets, percent))
-    roots = components(links)
+    roots = merged(roots, verified(land(light), sets, percent, True))
     heavy = with_roots(placed.where(F.col("members") > LIGHT).select("sig", "cls"), roots).select("cls").distinct()
 
     def deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,10 +471,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     if not heavy.isEmpty():
         again = members(met(sets.join(heavy, "cls", "left_semi").select("cls", "tokens").mapInArrow(deletions, _PACKED)))
         placed = with_roots(again, roots)
-        links = links.unionByName(verified(nearby(placed, facts, sets, percent, nearest=True), sets, percent))
-        placed = with_roots(placed.select("sig", "cls"), components(links))
-        links = links.unionByName(verified(nearby(placed, facts, sets, percent), sets, percent))
-        roots = components(links)
+        near = nearby(placed, facts, sets, percent, nearest=True)
+        roots = merged(roots, verified(near, sets, percent, True))
+        placed = with_roots(unsettled(placed, near), roots)
+        roots = merged(roots, verified(nearby(placed, facts, sets, percent), sets, percent, True))
 
     least = slim.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     grouped = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
