@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from castwright.llm import decontaminate, hnsw, mixing, ngram_join, pii, quality, suffix_dedup, tokens, toxicity, wrapper
 from castwright.llm.common import land, scratch
+from castwright.llm.graph import components, merged
 from castwright.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, score double, row string, cls string, best int, slice int"
@@ -121,6 +122,34 @@ def test_ngram_group_of_changed_copies(spark, monkeypatch):
     assert sum(asked) < 40 * len(texts)  # all pairs are 325 times the texts
 
 
+def test_sets_near_no_other_are_not_indexed_again(spark, monkeypatch):
+    """Members of heavy signatures that no sketch brings near another component leave; those that it does are still linked."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 2)
+    monkeypatch.setattr(ngram_join, "SPARE", 1)
+    draw, indexed, met = random.Random(5), [], ngram_join.met
+    some = lambda n: " ".join(draw.choice(WORDS) for _ in range(n))
+    shared = some(60)
+    apart = [shared + " " + some(40) for _ in range(25)]
+
+    def counting(packed):
+        indexed.append(1)
+        return met(packed)
+
+    monkeypatch.setattr(ngram_join, "met", counting)
+    frame = spark.createDataFrame(list(enumerate(apart)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame).collect()} == {i: i for i in range(25)}
+    assert len(indexed) == 1
+
+
+def test_components_merged_by_roots(spark):
+    first = [(2, 1), (3, 2), (6, 5), (9, 8)]
+    roots = components(spark.createDataFrame(first, "a long, b long"))
+    for more in ([], [(3, 1)], [(3, 6), (7, 9), (11, 10)], [(12, 3), (12, 5), (4, 12), (10, 9)]):
+        found = merged(roots, spark.createDataFrame(more, "a long, b long"))
+        want = components(spark.createDataFrame(first + more, "a long, b long"))
+        assert sorted(map(tuple, found.select("node", "root").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_near_members_of_a_signature(spark, monkeypatch):
     """Members of large signatures meet in blocks; only pairs that the sketches allow become rows: those of brute force."""
     monkeypatch.setattr(ngram_join, "GRID", 7)
