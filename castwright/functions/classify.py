@@ -76,12 +76,15 @@ def typed_cell(cell: Column, data_type: T.DataType) -> tuple[Column, Column]:
 def classify(cells: DataFrame, v: str = "v", mask: str = "mask", **date_options) -> DataFrame:
     """Add the mask of the normalized text column ``v``; cheap, common shapes are tested first."""
     number = f"CASE WHEN {numbers.whole_test('__cleaned', '__scientific')} THEN {INTEGER | NUMBER} ELSE {NUMBER} END"
+    # A slash stands in dates only, a j in complex numbers only (of these kinds); two inner dashes in dates and those.
     settled = F.expr(
         f"CASE WHEN {v} IN ('0', '1') THEN {INTEGER | NUMBER | BOOLEAN} "
-        f"WHEN {v} RLIKE {raw(numbers.PLAIN_DIGITS)} THEN {INTEGER | NUMBER} "
+        f"WHEN contains({v}, '/') THEN NULL "
+        f"WHEN contains({v}, 'j') OR contains({v}, 'J') THEN CASE WHEN {complexes.complex_test(v)} THEN {COMPLEX} END "
+        f"WHEN {dates.dashed(v)} THEN NULL "
+        f"WHEN {v} >= '0' AND {v} < ':' AND {v} RLIKE {raw(numbers.PLAIN_DIGITS)} THEN {INTEGER | NUMBER} "
         f"WHEN {text.is_alpha_boolean(v)} THEN {BOOLEAN | ALPHA} "
-        f"WHEN {numbers.number_test('__cleaned')} THEN {number} "
-        f"WHEN {complexes.complex_test(v)} THEN {COMPLEX} END"
+        f"WHEN {numbers.number_test('__cleaned')} THEN {number} END"
     )
     date_mask = (
         f"{DATETIME} | CASE WHEN {dates.ambiguous_test('__')} THEN {AMBIGUOUS} ELSE 0 END "
@@ -101,5 +104,5 @@ def classify(cells: DataFrame, v: str = "v", mask: str = "mask", **date_options)
         ]
     )
     return apply_stages(cells, [rule]).drop(
-        "__cleaned", "__scientific", "__iso", "__settled", "__parts", "__numbers", "__wall", "__shift", "__instant", "__stamp"
+        "__cleaned", "__scientific", "__short", "__iso", "__settled", "__parts", "__numbers", "__wall", "__shift", "__instant", "__stamp"
     )

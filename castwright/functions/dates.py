@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from castwright import fixed
 from castwright.functions.stages import Stages, raw
-from castwright.functions.text import begins_with
+from castwright.functions.text import begins_with, ends_with
 
 # --- fixed values: names a date may carry -----------------------------------
 MONTH_NAMES = (
@@ -46,7 +46,8 @@ YEAR, FIRST, SECOND, SHORT, NAME, GAP, HOUR, MINUTE, SECONDS, FRACTION, HALF, ZO
 def parts_sql(v: str) -> str:
     """SQL: the captured pieces (empty text where absent), or null for another shape."""
     initials = "0123456789" + "".join(name[0] for name in f"{MONTH_NAMES}|{DAY_NAMES}".split("|"))
-    return rf"CASE WHEN {begins_with(v, initials)} AND {v} RLIKE {raw(SHAPE)} THEN split(regexp_replace({v}, {raw(SHAPE)}, r'{_PIECES}'), r'\|', -1) END"
+    possible = f"{begins_with(v, initials)} AND {ends_with(v, '0123456789.mMZC')}"
+    return rf"CASE WHEN {possible} AND {v} RLIKE {raw(SHAPE)} THEN split(regexp_replace({v}, {raw(SHAPE)}, r'{_PIECES}'), r'\|', -1) END"
 
 
 def plain_iso(v: str) -> str:
@@ -55,7 +56,32 @@ def plain_iso(v: str) -> str:
     The year bounds keep it inside the range of valid instants.
     """
     shape = raw(r"^(?:1[7-9]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}(?: [0-9]{2}:[0-9]{2}:[0-9]{2})?\z")
-    return f"CASE WHEN {begins_with(v, '12')} AND {v} RLIKE {shape} THEN try_cast({v} AS TIMESTAMP_NTZ) END"
+    return f"CASE WHEN {begins_with(v, '12')} AND {dashed(v)} AND {v} RLIKE {shape} THEN try_cast({v} AS TIMESTAMP_NTZ) END"
+
+
+def dashed(v: str) -> str:
+    """SQL: are there dashes where a plain ISO date has them?"""
+    return f"(substring({v}, 5, 1) = '-' AND substring({v}, 8, 1) = '-')"
+
+
+def short_date(v: str, when: str) -> str:
+    """SQL: 100 times the first field and the second one of a plain short date, such as ``9/3/1995``; null for others.
+
+    The two separators are alike, and the year has four digits and lies within the range of valid instants.
+    """
+    shape = raw(r"^[0-9]{1,2}([-/])[0-9]{1,2}\1(?:1[7-9]|2[01])[0-9]{2}\z")
+    sep = f"substring({v}, -5, 1)"
+    first, second = f"substring_index({v}, {sep}, 1)", f"substring_index(left({v}, length({v}) - 5), {sep}, -1)"
+    plain = f"length({v}) <= 10 AND ({sep} = '/' OR {sep} = '-') AND {v} RLIKE {shape}"
+    return f"CASE WHEN {when} AND {plain} THEN CAST(concat({first}, lpad({second}, 2, '0')) AS INT) END"
+
+
+def _short_stamp(v: str, short: str, dayfirst: bool) -> str:
+    """SQL: timestamp of a ``short_date``; null if there is no such day."""
+    first, second = f"({short} DIV 100)", f"({short} % 100)"
+    swap = f"{second} <= 12" if dayfirst else f"{first} > 12"
+    monthday = f"CASE WHEN {swap} THEN concat({second}, '-', {first}) ELSE concat({first}, '-', {second}) END"
+    return f"try_cast(concat(right({v}, 4), '-', {monthday}) AS TIMESTAMP_NTZ)"
 
 
 def time_test(source: str, prefix: str) -> str:
@@ -73,7 +99,8 @@ def ambiguous_test(prefix: str) -> str:
 
     Meaningful only where the parsed timestamp is not null.
     """
-    first, second = f"get({prefix}numbers, {SHORT})", f"get({prefix}numbers, {SECOND})"
+    first = f"coalesce({prefix}short DIV 100, get({prefix}numbers, {SHORT}))"
+    second = f"coalesce({prefix}short % 100, get({prefix}numbers, {SECOND}))"
     return f"coalesce({first} <= 12 AND {second} <= 12 AND {first} <> {second}, false)"
 
 
@@ -147,20 +174,32 @@ def timestamp_stages(
     """
     this_year = str(pivot_year) if pivot_year else "year(current_date())"
     today = f"DATE'{reference_date}'" if reference_date else "current_date()"
-    names = ("iso", "parts", "numbers", "wall", "shift", "instant")
-    iso, parts, numbers, wall, shift, instant = (prefix + n for n in names)
+    names = ("short", "iso", "parts", "numbers", "wall", "shift", "instant")
+    short, iso, parts, numbers, wall, shift, instant = (prefix + n for n in names)
     return [
-        # Plain ISO forms, the most common ones, need no pieces.
-        {iso: F.expr(f"CASE WHEN {when or 'true'} THEN {plain_iso(source)} END")},
+        {short: F.expr(short_date(source, when or "true"))},
+        # Plain ISO forms and plain short dates, the most common ones, need no pieces.
+        {
+            iso: F.expr(
+                f"CASE WHEN {short} IS NOT NULL THEN {_short_stamp(source, short, dayfirst)} "
+                f"WHEN {when or 'true'} THEN {plain_iso(source)} END"
+            )
+        },
         {parts: F.expr(f"CASE WHEN {when or 'true'} AND {iso} IS NULL THEN {parts_sql(source)} END")},
         {numbers: F.expr(_numbers(parts))},
+        # Most cells have no pieces, and the null of each would pass through all of this.
         {
             wall: F.expr(
-                f"concat({_calendar(parts, numbers, dayfirst, this_year, today)}, ' ', {_clock(parts, numbers)})"
+                f"CASE WHEN {parts} IS NOT NULL THEN "
+                f"concat({_calendar(parts, numbers, dayfirst, this_year, today)}, ' ', {_clock(parts, numbers)}) END"
             ),
-            shift: F.expr(_offset_minutes(parts, numbers)),
+            shift: F.expr(f"CASE WHEN {parts} IS NOT NULL THEN {_offset_minutes(parts, numbers)} END"),
+        },
+        {
+            instant: F.expr(
+                f"CASE WHEN {wall} IS NOT NULL THEN try_cast({wall} AS TIMESTAMP_NTZ) - make_dt_interval(0, 0, {shift}, 0) END"
+            )
         },
-        {instant: F.expr(f"try_cast({wall} AS TIMESTAMP_NTZ) - make_dt_interval(0, 0, {shift}, 0)")},
         {
             target: F.expr(
                 f"CASE WHEN {iso} IS NOT NULL THEN {iso} WHEN {instant} BETWEEN TIMESTAMP_NTZ'{fixed.FIRST_INSTANT}' "

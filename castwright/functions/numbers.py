@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from castwright import fixed
 from castwright.functions.stages import Stages, raw
-from castwright.functions.text import begins_with
+from castwright.functions.text import begins_with, ends_with
 
 # What a number may begin with: digits, signs, point, underscore, and the letters of inf and nan.
 NUMBER_START = "0123456789+-._in"
+# What a cleaned one may end with.
+NUMBER_END = "0123456789.fFyYnN"
 PLAIN_DIGITS = r"^[0-9]+\z"
 SIGNED_DIGITS = r"^[+-]?[0-9]+\z"
 WHOLE = r"^[+-]?([0-9]+(\.0*)?|\.0+)\z"
@@ -42,7 +44,7 @@ def clean_number(v: str) -> Column:
 
 def number_test(cleaned: str) -> str:
     """SQL: is a cleaned text a number, infinities and NaN forms included?"""
-    return f"({begins_with(cleaned, NUMBER_START)} AND {cleaned} RLIKE {raw(NUMERIC)})"
+    return f"({begins_with(cleaned, NUMBER_START)} AND {ends_with(cleaned, NUMBER_END)} AND {cleaned} RLIKE {raw(NUMERIC)})"
 
 
 def is_number(cleaned: str) -> Column:
@@ -110,7 +112,10 @@ def to_double(cleaned: str) -> Column:
 
 def number_stages(source: str, prefix: str) -> Stages:
     """Add ``<prefix>cleaned`` and ``<prefix>scientific`` of the text column ``source``."""
+    scientific = f"{prefix}scientific"
     return [
         {f"{prefix}cleaned": clean_number(source)},
-        {f"{prefix}scientific": scientific_parts(f"{prefix}cleaned")},
+        {scientific: scientific_parts(f"{prefix}cleaned")},
+        # The lambda only ends the fused code here, before it is too long to be compiled to machine code.
+        {scientific: F.expr(f"transform({scientific}, p -> p)")},
     ]

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from castwright import fixed
-from castwright.functions.stages import raw
 
 _ALPHA_TOKENS = [t for t in fixed.TRUE_TOKENS + fixed.FALSE_TOKENS if not t.isdigit()]
 
@@ -20,12 +19,19 @@ def begins_with(v: str, characters: str) -> str:
     return f"contains('{both_cases}', left({v}, 1))"
 
 
+def ends_with(v: str, characters: str) -> str:
+    """SQL: does a value that is not empty end with one of some characters, as they are written?"""
+    return f"contains('{characters}', right({v}, 1))"
+
+
 def _is_token(v: str, tokens: list[str]) -> str:
-    """SQL: case-insensitive membership in a list of tokens."""
+    """SQL: membership in a list of ASCII tokens, in either case.
+
+    No other letter has one of theirs as its small form but the Kelvin sign, and no token has a k.
+    """
     words = [t for t in tokens if t]
-    pattern = raw(rf'(?i)^({"|".join(words)})\z')
     initials = "".join(t[0] for t in words)
-    found = f"({begins_with(v, initials)} AND length({v}) <= {max(map(len, words))} AND {v} RLIKE {pattern})"
+    found = f"({begins_with(v, initials)} AND length({v}) <= {max(map(len, words))} AND find_in_set(lower({v}), '{",".join(words)}') > 0)"
     return found if len(words) == len(tokens) else f"({v} = '' OR {found})"
 
 

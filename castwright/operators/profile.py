@@ -152,10 +152,15 @@ def sample_bound(row):
 
 
 def _leading_rows(ordered: Ordered, bounds: list) -> DataFrame:
-    """Rows up to the last bound; a plain integer key filters inside the scan."""
+    """Rows up to the last bound; a plain integer key, or the place of a landed row, filters inside the scan."""
     frame = ordered.frame
-    if ordered.by_value or ordered.block_keys:
+    if ordered.by_value:
         return frame
+    if ordered.block_keys:
+        upto, last = F.lit(True), dict(zip((SRC, BLK, SEQ), max(bounds)))
+        for key in [SEQ, *reversed(ordered.block_keys)]:
+            upto = (F.col(key) < F.lit(last[key])) | ((F.col(key) == F.lit(last[key])) & upto)
+        return frame.where(upto)
     last = max(bound[2] for bound in bounds)
     if ordered.key_column and isinstance(
         frame.schema[ordered.key_column].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
@@ -218,10 +223,9 @@ def values(ordered: Ordered, rows: dict[int, dict]) -> DataFrame:
             bounds[name] = bound
     if not counted and not bounds:
         return local_frame(ordered.frame.sparkSession, [], VALUES_SCHEMA)
-    if ordered.key_column is None:
-        # One scan: the position of a file row is only comparable within the same scan layout.
+    if ordered.by_value:
         return _first_positions(ordered, counted + list(bounds), bounds)
-    # A key filters in the scan, so the leading rows of the other columns are a scan of their own.
+    # A key or a place filters in the scan, so the leading rows of the other columns are a scan of their own.
     scans = [_first_positions(ordered, counted, {})] if counted else []
     scans += [_first_positions(ordered, list(bounds), bounds)] if bounds else []
     return scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])

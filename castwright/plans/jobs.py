@@ -136,12 +136,13 @@ def process_csv(
     started = perf_counter()
     table = read_csv(spark, path)
     # The malformed marker is profiled as one more column, so the check costs no pass of its own.
-    ordered = Ordered(table.positioned, [*table.columns, MALFORMED], [SRC, BLK])
+    # The block of a landed row stands for its file, so the name is not carried with every cell.
+    ordered = Ordered(table.positioned, [*table.columns, MALFORMED], [BLK])
     rows = collect_evidence(evidence(ordered, **date_options))
     marker = rows.pop(len(table.columns), None)  # it has a value only on malformed rows
     if marker and marker["non_null_count"] and not allow_malformed:
         raise CsvError(fixed.ERR_PARSE)
-    ordered = Ordered(table.positioned, table.columns, [SRC, BLK])
+    ordered = Ordered(table.positioned, table.columns, [BLK])
     found, schema, warnings = _settle(finish(spark, table.columns, rows, values(ordered, rows)), overrides)
     row_count = found.first()["total_count"]
     leading = paging.raw_page(table.positioned, 1, page_size).select(*map(quoted, table.columns))

@@ -8,7 +8,8 @@ split all the same:
 2. The effects of a file's ranges are composed in order: a running sum over one row per range tells the state each
    range starts in, and how many rows start before it.
 3. The ranges are read again. A line that is a whole row passes on; only lines of rows with line breaks are brought
-   together by (file, row). Rows are cut into cells and landed as Parquet with their file and row number.
+   together by (file, row). Rows are cut into cells and landed as Parquet with their file and row number. If no file
+   has a row with line breaks and all have one header, Arrow cuts the regular lines while they are read.
 
 The landed row number is the row's position from then on, whatever the split settings of later jobs. The two scans must see the
 same ranges; a row of a range that the first did not see stops the job with an error.
@@ -22,7 +23,7 @@ one path may have their columns in any order, and columns of their own: cells ar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -54,7 +55,8 @@ class CsvError(ValueError):
 class CsvTable:
     """A raw CSV table, landed.
 
-    ``positioned`` carries, besides the columns, the file and number of each row and a marker on malformed ones.
+    ``positioned`` carries, besides the columns, the file of each row (its name, and as block its number by name), the number of
+    the row, and a marker on malformed ones. The block and the number order the rows.
     ``landed`` is the folder it is read from; ``open_landed`` opens it again.
     """
 
@@ -103,17 +105,19 @@ def needs_multiline(spark: SparkSession, path: str | list[str]) -> bool:
 # --- the quote automaton ------------------------------------------------------
 
 
-def scanner(whole: bool):
+def scanner(whole: bool, width: int | None = None):
     """A function for ``mapInArrow`` over (file, start, length, value), whose rows come in file order within a range.
 
-    With ``whole`` it gives a row per line, else a row per range. It refers to nothing outside itself, so that executors need
-    not have this package.
+    With ``whole`` it gives a row per line, else a row per range. With ``width``, every line must be a row: it gives a row per
+    line that is not blank, cut into so many cells, or with its ``text`` if it is not as wide or not plainly quoted. It refers to
+    nothing outside itself, so that executors need not have this package.
     """
 
     def scan(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
+        import pyarrow.csv as pv
 
         cell = r'(?:"(?:[^"]|"")*"(?:[^",][^,]*)?|[^",][^,]*|)'
         ends_outside = {False: rf"^(?:{cell},)*{cell}$", True: rf'^(?:[^"]|"")*"(?:[^",][^,]*)?(?:,{cell})*$'}
@@ -161,6 +165,30 @@ def scanner(whole: bool):
             base = np.where(known, outside[last], start)
             return base ^ ((turns - np.where(known, turns[last], 0)) % 2 == 1)
 
+        def cut(text: pa.Array, bad: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
+            """The cells of lines by column, and which lines were cut; the cells of others are null."""
+            plain = r'(?:"(?:[^"]|"")*"|[^",]*)'
+            whole = ~bad & ~pc.match_substring(text, '"').to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(~bad & ~whole)
+            if len(some):
+                own = text.take(pa.array(some))
+                whole[some] = pc.match_substring_regex(own, rf"^{plain}(?:,{plain})*$").to_numpy(zero_copy_only=False)
+            names, place, wrong = [f"c{i}" for i in range(width)], np.flatnonzero(whole), []
+            if not len(place):
+                return [pa.nulls(len(text), pa.string())] * width, whole
+            lines = ("\n".join(text.filter(pa.array(whole)).to_pylist()) + "\n").encode()
+            found = pv.read_csv(
+                pa.BufferReader(lines),
+                read_options=pv.ReadOptions(use_threads=False, block_size=len(lines) + 1, column_names=names),
+                parse_options=pv.ParseOptions(ignore_empty_lines=False, invalid_row_handler=lambda row: wrong.append(row.number - 1) or "skip"),
+                convert_options=pv.ConvertOptions(check_utf8=False, column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
+            )
+            whole[place[wrong]] = False
+            if len(found) != whole.sum():
+                raise ValueError("The lines of a batch were not cut into as many rows.")
+            spot = pa.array(np.cumsum(whole) - 1, mask=~whole)
+            return [found[name].combine_chunks().take(spot) for name in names], whole
+
         key, header, number = None, None, 0
         state, count, broken = {}, {}, {}
 
@@ -171,20 +199,32 @@ def scanner(whole: bool):
             )
 
         for batch in batches:
-            keys = [batch[c].to_pylist() for c in ("file", "start", "length")]
-            edges = [0, *[i for i in range(1, batch.num_rows) if any(k[i] != k[i - 1] for k in keys)], batch.num_rows]
+            keys = [batch[c] for c in ("file", "start", "length")]
+            turns = [pc.not_equal(k.slice(1), k.slice(0, max(len(k) - 1, 0))).to_numpy(zero_copy_only=False) for k in keys]
+            edges = [0, *(np.flatnonzero(np.logical_or.reduce(turns)) + 1).tolist(), batch.num_rows]
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 if low == high:
                     continue
-                now = tuple(k[low] for k in keys)
+                now = tuple(k[low].as_py() for k in keys)
                 if now != key:
                     if key is not None and not whole:
                         yield summary()
                     key, header, number, closed = now, None, 0, False
                     state, count, broken = {False: False, True: True}, {False: 0, True: 0}, {False: False, True: False}
                 text, ends, bad = pieces(batch["value"].slice(low, high - low), key[1] == 0 and number == 0)
-                outside, inside = steps(text)
                 blank = pc.match_substring_regex(text, r"^[ \t]*$").to_numpy(zero_copy_only=False)
+                if width is not None:
+                    number += len(text)
+                    text, bad = text.filter(pa.array(~blank)), bad[~blank]
+                    n = len(text)
+                    cells, done = cut(text, bad)
+                    fields = {"file": pa.repeat(pa.scalar(key[0]), n), "start": pa.repeat(pa.scalar(key[1], pa.int64()), n), "length": pa.repeat(pa.scalar(key[2], pa.int64()), n)}
+                    fields |= {"n": np.arange(count[False] + 1, count[False] + 1 + n), "bad": bad}
+                    fields |= {"text": pc.if_else(pa.array(done), pa.scalar(None, pa.string()), text.cast(pa.string()))}
+                    yield pa.RecordBatch.from_pydict(fields | {f"c{i}": column for i, column in enumerate(cells)})
+                    count[False] += n
+                    continue
+                outside, inside = steps(text)
                 columns = {}
                 for start in (False, True):
                     after = states(outside, inside, state[start])
@@ -249,11 +289,14 @@ def composed(summary: DataFrame) -> DataFrame:
 # --- rows and cells -------------------------------------------------------------
 
 
+def _unseen(kind: str) -> Column:
+    return F.raise_error(F.lit("The files or their split settings changed while they were read.")).cast(kind)
+
+
 def _rows(lines: DataFrame, ranges: DataFrame, broken: bool = True) -> DataFrame:
     """file, row (from 1, the header's), text, problem. Without ``broken`` rows, every line is one, and the lines are read once."""
     seen = lines.join(ranges, ["file", "start", "length"], "left")
-    state = F.coalesce("quoted", F.raise_error(F.lit("The files or their split settings changed while they were read.")).cast("boolean"))
-    seen = seen.withColumn("quoted", state)
+    seen = seen.withColumn("quoted", F.coalesce("quoted", _unseen("boolean")))
     pick = lambda name: F.when(F.col("quoted"), F.col(f"{name}_q")).otherwise(F.col(f"{name}_u"))
     seen = seen.select(
         "file", "start", "line", "text", "ends", "bad", "blank", pick("in").alias("inside"), pick("out").alias("open"),
@@ -303,13 +346,18 @@ def header_cells(text: str) -> list[str]:
 
 @dataclass
 class CsvFiles:
-    """The landed ranges of some files, the kind of header of each, the kinds, and the rows as arrays of cells."""
+    """The landed ranges of some files, the kind of header of each, the kinds, and the rows as arrays of cells.
+
+    ``cut`` gives, if every line is a row, the rows with so many cells as columns ``c0``, ``c1`` and so on; the array of ``cells`` is
+    there only for rows that are not plain ones of that width.
+    """
 
     ranges: DataFrame
     kinds: DataFrame
     headers: list[str]
     rows: DataFrame
     many: bool
+    cut: Callable[[int], DataFrame] | None = None
 
     def spread(self, frame: DataFrame) -> DataFrame:
         """A frame with a row per file or range, broadcast only where those are few."""
@@ -333,11 +381,20 @@ def read_rows(spark: SparkSession, path: str | list[str], **options) -> CsvFiles
     ranges = composed(summary).join(kinds.select("file"), "file")
     broken = not ranges.where("broken").isEmpty()
     ranges = files.spread(ranges.select("file", "start", "length", "quoted", "before", "unclosed"))
-    lines = physical.mapInArrow(scanner(True), _LINES)
-    if headers:
-        lines = lines.join(files.spread(kinds.select("file")), "file", "left_semi")
-    rows = _rows(lines, ranges, broken).where(F.col("row") > 1)
+    in_files = lambda lines: lines.join(files.spread(kinds.select("file")), "file", "left_semi") if headers else lines
+    rows = _rows(in_files(physical.mapInArrow(scanner(True), _LINES)), ranges, broken).where(F.col("row") > 1)
     files.rows = rows.select("file", "row", split_cells(F.col("text")).alias("cells"), "problem")
+
+    def cut(width: int) -> DataFrame:
+        names = [f"c{i}" for i in range(width)]
+        lines = physical.mapInArrow(scanner(True, width), ", ".join([_RANGE, "n long, bad boolean, text string", *[f"{c} string" for c in names]]))
+        seen = in_files(lines).join(ranges, ["file", "start", "length"], "left")
+        row = F.coalesce(F.col("before") + F.col("n"), _unseen("long"))
+        problem = F.when(F.col("bad"), F.lit("encoding"))
+        cells = F.when(F.col("text").isNotNull(), split_cells(F.col("text")))
+        return seen.select("file", row.alias("row"), cells.alias("cells"), problem.alias("problem"), *names).where(F.col("row") > 1)
+
+    files.cut = None if broken else cut
     return files
 
 
@@ -364,18 +421,25 @@ def read_csv(spark: SparkSession, path: str | list[str], *, columns: list[str] |
             merged.setdefault(name.lower(), name)
     every = columns or [*merged.values()]
     refuse_clash(every, SRC, BLK, SEQ, MALFORMED)
+    cells = [F.get("own", F.lit(i)) for i in range(len(every))]
     if len(names) == 1 and names[files.headers[0]] == every:
-        cut = files.rows.withColumns({"width": F.lit(len(every)), "own": F.col("cells")})
+        rows = files.rows
+        if files.cut:
+            rows = files.cut(len(every))
+            cells = [F.coalesce(f"c{i}", own) for i, own in enumerate(cells)]
+        cut = rows.withColumns({"width": F.lit(len(every)), "own": F.col("cells")})
     else:
         place = [[text, len(own), [{n.lower(): i for i, n in enumerate(own)}.get(name.lower(), -1) for name in every]] for text, own in names.items()]
         orders = spark.createDataFrame(place, "kind string, width int, places array<int>")
         own = F.transform("places", lambda p: F.when(p >= 0, F.get("cells", p)))
         # One row per file, and a row per kind of header.
         cut = files.rows.join(files.spread(files.kinds.join(F.broadcast(orders), "kind").drop("kind")), "file").withColumn("own", own)
+    # The block is the file's number by name: one row per file is the most a task sees.
+    numbered = files.kinds.select("file", F.row_number().over(Window.orderBy("file")).cast("bigint").alias("block"))
     folder = land(
-        cut.select(
-            F.col("file").alias(SRC), F.lit(0).cast("bigint").alias(BLK), (F.col("row") - 2).alias(SEQ),
-            *[F.coalesce(F.get("own", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(len(every))],
+        cut.join(files.spread(numbered), "file").select(
+            F.col("file").alias(SRC), F.col("block").alias(BLK), (F.col("row") - 2).alias(SEQ),
+            *[F.coalesce(cell, F.lit("")).alias(f"c{i}") for i, cell in enumerate(cells)],
             _malformed(F.col("width")).alias(MALFORMED),
         ),
         "csv_rows",
